@@ -35,9 +35,10 @@ def _powers(n: int) -> np.ndarray:
         return np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(max(n - 1, 0), _GOLD))))
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def split(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """(offsets, words): text i has words offsets[i]:offsets[i+1]. Null and blank texts have none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     values, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]
     keep = pc.greater(pc.binary_length(values), 0)
