@@ -19,9 +19,11 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +36,17 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 class WordTokenizer:
-    """Token ids of whole texts, each different word tokenized once.
+    """Token ids of whole texts, each different word part tokenized once.
 
-    Right for tokenizers whose pieces never reach across ASCII white space, which
-    they drop. Words are joined by a special token, whose id marks the borders.
+    For the public word tokenizer: pieces never reach across ASCII white space, which
+    it drops, it lower-cases, and it splits letters from punctuation. A word of letters
+    and the ASCII punctuation after it are two parts; parts are encoded many at a time
+    with spaces between, and each ends with the one token that closes a word. All other
+    words are encoded whole, with a special token between them.
     """
 
-    GROUP, MOST = 2000, 400_000
+    GROUP, MOST = 2000, 600_000
+    TAIL = ".,;:!?\"()[]{}*/\\-_+=#$%&@^~`"
 
     def __init__(self, path: str, mark: str = "<|startoftext|>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,59 +54,88 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = [np.zeros(0, np.int32)]
-        self.ends = [np.zeros(1, np.int64)]
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if self.mark in w]
-        plain = [w for w in words if self.mark not in w] if odd else words
-        ids: list[int] = []
-        for k in range(0, len(plain), self.GROUP):
-            joined = self.mark.join(plain[k : k + self.GROUP])
-            ids += self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids
-            ids.append(self.mark_id)
-        flat = np.array(ids, np.int32)
-        border = flat == self.mark_id
+        """Slot 0 is the empty part."""
+        self.parts: dict[str, int] = {"": 0}
+        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(2, np.int64)
+
+    def _encoded(self, joined: list[str]) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        return np.array([i for f in found for i in f.ids], np.int32)
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if p.isalpha() or not p.strip(self.TAIL)]
+        ids = self._encoded([" ".join(plain[k : k + self.GROUP]) for k in range(0, len(plain), self.GROUP)])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(plain):  # a part that is no single word to the tokenizer
+            plain, ids, ends = [], ids[:0], ends[:0]
+        fast = set(plain)
+        odd = [p for p in parts if p not in fast]
+        alone = [p for p in odd if self.mark in p]
+        odd = [p for p in odd if self.mark not in p]
+        marked = self._encoded([self.mark.join([*odd[k : k + self.GROUP], ""]) for k in range(0, len(odd), self.GROUP)])
+        border = marked == self.mark_id
         at = np.flatnonzero(border)
-        flat, ends = flat[~border], at - np.arange(len(at))
-        for w in odd:
-            more = self.tokenizer.encode(w, add_special_tokens=False).ids
-            flat = np.concatenate((flat, np.array(more, np.int32)))
-            ends = np.append(ends, len(flat))
-        base = self.ends[-1][-1]
-        for i, w in enumerate([*plain, *odd], len(self.known)):
-            self.known[w] = i
-        self.pool.append(flat)
-        self.ends.append(ends + base)
+        pool, all_ends = [ids, marked[~border]], [ends, len(ids) + at - np.arange(len(at))]
+        done = sum(map(len, pool))
+        for p in alone:
+            pool.append(np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int32))
+            done += len(pool[-1])
+            all_ends.append(np.array([done]))
+        for k, p in enumerate([*plain, *odd, *alone], len(self.parts)):
+            self.parts[p] = k
+        self.ends = np.concatenate([self.ends, *(e + len(self.pool) for e in all_ends)])
+        self.pool = np.concatenate([self.pool, *pool])
+
+    def _slots(self, parts: pa.Array) -> np.ndarray:
+        found = parts.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        if new := [p for p in distinct if p not in self.parts]:
+            self._learn(new)
+        known = self.parts
+        return np.fromiter((known[p] for p in distinct), np.int64, len(distinct))[found.indices.to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of the texts, without end marks."""
-        offsets, values = split(texts, lower=False)
+        """(offsets, ids) of the texts, without end marks. Special tokens in a text are what the tokenizer makes of them."""
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        offsets, values = split(texts, lower=not special)
+        if not len(values):
+            return offsets, np.zeros(0, np.int32)
         found = values.dictionary_encode()
-        words = found.dictionary.to_pylist()
-        if len(self.known) + len(words) > self.MOST:
+        words = found.dictionary
+        if len(self.parts) + len(words) > self.MOST:
             self.forget()
-        known = self.known
-        if new := [w for w in words if w not in known]:
-            self._learn(new)
-            self.pool, self.ends = [np.concatenate(self.pool)], [np.concatenate(self.ends)]
-        pool, ends = self.pool[0], self.ends[0]
-        slot = np.fromiter((known[w] for w in words), np.int64, len(words))[found.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        start, size = ends[slot], ends[slot + 1] - ends[slot]
+        stems = pc.ascii_rtrim(words, characters=self.TAIL)
+        stems = pc.if_else(pc.utf8_is_alpha(stems), stems, words)
+        cut = pc.binary_length(stems).to_numpy()
+        tailed = np.flatnonzero(cut < pc.binary_length(words).to_numpy())
+        tails = [w.encode()[k:].decode() for w, k in zip(words.take(pa.array(tailed)).to_pylist(), cut[tailed].tolist(), strict=True)]
+        slots = np.zeros((len(words), 2), np.int64)
+        slots[:, 0] = self._slots(stems)
+        slots[tailed, 1] = self._slots(pa.array(tails, pa.string()))
+        slots = slots[found.indices.to_numpy()].ravel()
+        start, size = self.ends[slots], self.ends[slots + 1] - self.ends[slots]
         total = np.concatenate(([0], np.cumsum(size)))
-        ids = pool[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
-        return total[offsets], ids
+        ids = self.pool[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
+        return total[2 * offsets], ids
+
+
+@lru_cache(1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer for all tasks of a Python worker."""
+    return WordTokenizer(path)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for batch in slices(batches, "text", 16 << 20):
             offsets, ids = tokenizer.encode(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
