@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BLOCK = 2048
-SALTS = 64  # parts into which the candidate blocks' ids are dealt
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -40,36 +39,38 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _blocks(vectors: DataFrame, block: int) -> DataFrame:
-    """Rows (dim, ids, data): up to ``block`` vectors of one length, as packed doubles."""
+    """Rows (q, dim, ids, data): up to ``block`` vectors of one q and one length, as packed doubles; q may be null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list, int]] = {}
+        held: dict[tuple, tuple[list, list]] = {}
 
-        def out(dim: int) -> pa.RecordBatch:
-            ids, data, _ = held.pop(dim)
+        def out(key: tuple) -> pa.RecordBatch:
+            ids, data = held.pop(key)
+            packed = [np.concatenate(ids).tobytes(), np.concatenate(data).tobytes()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(data).tobytes()], pa.binary())],
-                names=["dim", "ids", "data"],
+                [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names=["q", "dim", "ids", "data"]
             )
 
         for batch in batches:
-            sizes = pc.list_value_length(batch.column("vector")).to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes).tolist():
-                part = batch.filter(pa.array(sizes == dim))
+            sizes = pc.list_value_length(batch.column("vector"))
+            keys = sorted(set(zip(batch.column("q").to_pylist(), sizes.to_pylist(), strict=True)), key=str)
+            for q, dim in keys:
+                same = pc.and_(pc.equal(sizes, dim), pc.is_null(batch.column("q")) if q is None else pc.equal(batch.column("q"), q))
+                part = batch.filter(same)
                 ids = part.column("vec_id").to_numpy()
                 data = part.column("vector").flatten().to_numpy().reshape(-1, dim)
                 for k in range(0, len(ids), block):
-                    have = held.setdefault(dim, ([], [], 0))
+                    have = held.setdefault((q, dim), ([], []))
                     have[0].append(ids[k : k + block])
                     have[1].append(data[k : k + block])
-                    n = have[2] + len(ids[k : k + block])
-                    held[dim] = (have[0], have[1], n)
-                    if n >= block:
-                        yield out(dim)
-        for dim in list(held):
-            yield out(dim)
+                    if sum(map(len, have[0])) >= block:
+                        yield out((q, dim))
+            for key in [x for x in held if x[0] is not None and x[0] != keys[-1][0]]:
+                yield out(key)
+        for key in list(held):
+            yield out(key)
 
-    return vectors.mapInArrow(run, "dim int, ids binary, data binary")
+    return vectors.mapInArrow(run, "q long, dim int, ids binary, data binary")
 
 
 def codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,62 +81,90 @@ def codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return code, scale, np.linalg.norm(data, axis=1), np.linalg.norm(data - code * scale[:, None], axis=1)
 
 
-def tile(q_ids, q, c_ids, c, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its (ids, scores) of the tile's k best candidates, exact."""
-    q_code, q_scale, q_norm, q_err = codes(q)
-    c_code, c_scale, c_norm, c_err = codes(c)
-    # Products of int8 codes are whole numbers: float32 sums up to 2**24, and doubles beyond, hold them exactly.
-    kind = np.float32 if q.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    near = (q_code.astype(kind) @ c_code.astype(kind).T).astype(np.float64)
-    near *= q_scale[:, None]
-    near *= c_scale[None, :]
-    # |q.c - near| <= |q| |c error| + |q error| |c rounded|, and a little for the doubles' own rounding
-    bound = q_norm[:, None] * c_err[None, :] + q_err[:, None] * (c_norm + c_err)[None, :]
-    bound += 1e-12 * q_norm[:, None] * c_norm[None, :]
-    own = q_ids[:, None] == c_ids[None, :]
-    low = np.where(own, -np.inf, near - bound)
-    at_least = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)
-    keep = ~own & (near + bound >= at_least[:, None])
-    out = []
-    for i in range(len(q)):
-        at = np.flatnonzero(keep[i])
-        scores = np.einsum("ij,j->i", c[at], q[i])
-        best = np.lexsort((c_ids[at], -scores))[:k]
-        out.append((c_ids[at][best], scores[best]))
-    return out
+class Queries:
+    """A block of queries and, for each, a heap of its k best candidates so far."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, k: int):
+        self.ids, self.data, self.k = ids, data, k
+        self.code, self.scale, self.norm, self.err = codes(data)
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.worst = np.full(len(ids), -np.inf)  # score that a candidate must reach
+
+    def meet(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        """One tile: bounds from int8 products, exact scores for the pairs that may count."""
+        c_code, c_scale, c_norm, c_err = codes(c)
+        # Products of int8 codes are whole numbers: float32 sums up to 2**24, and doubles beyond, hold them exactly.
+        kind = np.float32 if c.shape[1] * 127 * 127 < 1 << 24 else np.float64
+        near = (self.code.astype(kind) @ c_code.astype(kind).T).astype(np.float64)
+        near *= self.scale[:, None]
+        near *= c_scale[None, :]
+        # |q.c - near| <= |q| |c error| + |q error| |c rounded|, and a little for the doubles' own rounding
+        bound = self.norm[:, None] * c_err[None, :] + self.err[:, None] * (c_norm + c_err)[None, :]
+        bound += 1e-12 * self.norm[:, None] * c_norm[None, :]
+        own = self.ids[:, None] == c_ids[None, :]
+        least = self.worst
+        if len(c_ids) > self.k:
+            low = near - bound
+            low[own] = -np.inf
+            least = np.maximum(least, np.partition(low, -self.k, axis=1)[:, -self.k])
+        near += bound
+        near[own] = -np.inf
+        rows, cols = np.nonzero(near >= np.maximum(least, -1e308)[:, None])
+        for at in range(0, len(rows), 1 << 16):
+            r, j = rows[at : at + (1 << 16)], cols[at : at + (1 << 16)]
+            scores = np.einsum("ij,ij->i", self.data[r], c[j])
+            for i, s, v in zip(r.tolist(), scores.tolist(), (-c_ids[j]).tolist(), strict=True):
+                heap = self.heaps[i]
+                if len(heap) < self.k:
+                    heapq.heappush(heap, (s, v))
+                elif (s, v) > heap[0]:
+                    heapq.heapreplace(heap, (s, v))
+        self.worst = np.array([h[0][0] if len(h) == self.k else -np.inf for h in self.heaps])
+
+    def found(self) -> pa.RecordBatch:
+        sizes = [len(h) for h in self.heaps]
+        flat = [x for h in self.heaps for x in h]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(self.ids, sizes)), pa.array([-v for _, v in flat], pa.int64()), pa.array([s for s, _ in flat], pa.float64())],
+            names=["query_id", "vec_id", "score"],
+        )
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest inner products for each row whose vec_id is divisible by ``every``."""
-    good = usable(vectors)
-    stored = written(_blocks(good, block), "blocks").withColumn("c", F.monotonically_increasing_id())
-    queries = written(_blocks(good.where(F.col("vec_id") % every == 0), block), "queries").withColumn("q", F.monotonically_increasing_id())
-    # A stated query set meets all rows: block ids alone are paired, each side's data joins by its block's key.
-    q_ids = queries.select("q", "dim", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    c_ids = stored.select("c", F.col("dim").alias("c_dim"), F.pmod("c", F.lit(SALTS)).cast("int").alias("c_salt"))
-    pairs = q_ids.join(c_ids, (q_ids.dim == c_ids.c_dim) & (q_ids.salt == c_ids.c_salt)).select("q", "c")
-    joined = (
-        pairs.join(queries.select("q", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "dim"), "q")
-        .join(stored.select("c", F.col("ids").alias("c_ids"), F.col("data").alias("c_data")), "c")
-        .select("dim", "q_ids", "q_data", "c_ids", "c_data")
-    )
-    joined = joined.repartition(F.xxhash64("q_ids", "c_ids"))
+    """query_id, rank, vec_id, score: the k largest inner products for each row whose vec_id is divisible by ``every``.
+
+    The stated query set meets all rows in blocks: query block q goes to ``parts`` tasks
+    together with each candidate block in turn, so that a task sends on k rows a query.
+    """
+    spark = vectors.sparkSession
+    good = usable(vectors).withColumn("q", F.lit(None).cast("long"))
+    stored = written(_blocks(good, block), "blocks").withColumn("c", F.monotonically_increasing_id()).drop("q")
+    asked = good.where(F.col("vec_id") % every == 0)
+    n = asked.count()
+    blocks = max(1, -(-n // block))
+    parts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks))
+    dealt = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")).repartition("q").sortWithinPartitions("q")
+    numbers = lambda n, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(n - 1).cast(kind)))
+    queries = _blocks(dealt, 2 * block).select("q", numbers(parts, "int").alias("part"), F.lit(-1).cast("long").alias("c"), "dim", "ids", "data")
+    rows = stored.select(numbers(blocks, "long").alias("q"), F.pmod("c", F.lit(parts)).cast("int").alias("part"), "c", "dim", "ids", "data")
+    met = queries.union(rows).repartition("q", "part").sortWithinPartitions("q", "part", "c")
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, q_ids, q, c_ids, c = (batch.column(j)[i].as_py() for j in range(5))
-                q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                q, c = np.frombuffer(q).reshape(-1, dim), np.frombuffer(c).reshape(-1, dim)
-                found = tile(q_ids, q, c_ids, c, k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(q_ids, [len(a) for a, _ in found])),
-                        pa.array(np.concatenate([a for a, _ in found])),
-                        pa.array(np.concatenate([s for _, s in found])),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
+                q, part, c, dim, ids, data = (batch.column(j)[i].as_py() for j in range(6))
+                ids, data = np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim)
+                if (q, part) != key:
+                    yield from (x.found() for _, x in held)
+                    key, held = (q, part), []
+                if c < 0:
+                    held.append((dim, Queries(ids, data, k)))
+                else:
+                    for d, x in held:
+                        if d == dim:
+                            x.meet(ids, data)
+        yield from (x.found() for _, x in held)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list[tuple[float, int]]] = {}
@@ -162,6 +191,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK
         if heaps:
             yield out(list(heaps))
 
-    found = joined.mapInArrow(tiles, "query_id long, vec_id long, score double")
+    found = met.mapInArrow(tiles, "query_id long, vec_id long, score double")
     found = found.repartition("query_id").sortWithinPartitions("query_id")
     return found.mapInArrow(merged, "query_id long, rank int, vec_id long, score double")
