@@ -26,11 +26,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import id_text, slices, written
-from .words import shingles, split, word_hashes
+from .words import mix, shingles, split, word_hashes
 
 THRESHOLD = 0.7
 MOST_TERMS = 5000  # of the lexicon
@@ -39,6 +40,7 @@ LEAST_RATIO = 6  # of a term's rates in toxic and clean texts
 DAMPED = 0.3  # of the expected rate of hits
 REPEATS = 3  # occurrences of one word that count
 STEMS = (4, 5, 6, 7, 8)  # letters of word beginnings
+ID_BITS = 1 << 24
 COUNTS = ("toxic", "clean", "toxic_words", "clean_words")
 FUZZY = 5  # letters that a term needs to be matched with an error
 LEAST_WEIGHT = 1.5  # of a term matched with an error
@@ -152,6 +154,31 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def id_bits(ids: DataFrame, bits: int = ID_BITS) -> np.ndarray:
+    """A bitmap of fixed size with the hash of each doc_id set; what is not set is not among ``ids``."""
+    pieces = 16
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[_bit(batch.column("doc_id").to_numpy(), bits)] = True
+        packed = np.packbits(own).reshape(pieces, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(pieces), pa.int32()), pa.array([p.tobytes() for p in packed], pa.binary())], names=["piece", "bits"])
+
+    def either(key, table):
+        out = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()])
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    rows = ids.select("doc_id").mapInArrow(mark, "piece int, bits binary").groupBy("piece").applyInArrow(either, "piece int, bits binary").collect()
+    if not rows:
+        return np.zeros(bits // 8, np.uint8)
+    return np.frombuffer(b"".join(r["bits"] for r in sorted(rows, key=lambda r: r["piece"])), np.uint8)
+
+
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
 def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """term and COUNTS: training documents of either label that hold a term, and its occurrences in them.
 
@@ -168,8 +195,15 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.max("toxic").alias("toxic"))
     )
 
+    labelled = id_bits(known)
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
+            batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+            at = _bit(batch.column("doc_id").to_numpy(), 8 * len(labelled))
+            batch = batch.filter(pa.array(labelled[at >> 3] >> (7 - (at & 7)) & 1 == 1))
+            if not batch.num_rows:
+                continue
             offsets, hashes = shingles(*word_hashes(batch.column("text")))
             if len(hashes):
                 sign = np.minimum.reduceat(np.append(hashes, np.uint64(0)), offsets[:-1])
@@ -181,7 +215,7 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             order = np.lexsort((doc, sign))
             first = order[np.concatenate(([True], np.diff(sign[order]) != 0))]
             kept = batch.take(pa.array(np.sort(first)))
-            yield pa.RecordBatch.from_arrays([pa.array(sign[np.sort(first)]), *(kept.column(c) for c in ("doc_id", "text", "toxic"))], names=["sign", "doc_id", "text", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(sign[np.sort(first)]), kept.column("doc_id"), kept.column("text")], names=["sign", "doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -213,8 +247,9 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             table = np.concatenate(counts).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(table[:, i]) for i in range(4))], names=["term", *COUNTS])
 
-    texts = id_text(docs).join(known, "doc_id").select("doc_id", "text", "toxic")
-    texts = texts.mapInArrow(signed, "sign long, doc_id long, text string, toxic int")
+    # The bitmap spares most unlabelled texts the way to the join, which then decides.
+    texts = id_text(docs).mapInArrow(signed, "sign long, doc_id long, text string")
+    texts = texts.join(known.hint("merge"), "doc_id").select("sign", "doc_id", "text", "toxic")
     texts = texts.repartition("sign").sortWithinPartitions("sign", "doc_id")
     counted = texts.mapInArrow(run, "term string, " + ", ".join(f"{c} long" for c in COUNTS))
     return counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS))
