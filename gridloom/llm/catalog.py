@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard_join, lm_scoring, packing, secret_scan, substring_dedup, telephony, toxicity, warc
+from . import ann, jaccard_join, lm_scoring, packing, secret_scan, substring_dedup, suffix_pieces, telephony, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.audio_columns(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_pieces.encoding_report(table(spark, sf_dir, "documents"), tokenizer_file(suffix_pieces.MODEL))
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -59,6 +63,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media_columns": op2_media_columns,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_secret_scans": op5_secret_scans,
     "op6_toxicity": op6_toxicity,
