@@ -74,11 +74,19 @@ class PieceModel:
         self.join_codes = np.array(sorted(joins), np.int64)
         self.join_rank = np.array([self.rank[joins[c]] for c in self.join_codes.tolist()], np.int64)
         self.n = n
+        # Most pairs join to no piece; a table of hashed pairs says so at once.
+        self.may_join = np.zeros(1 << 22, bool)
+        self.may_join[self._hashed(self.join_codes)] = True
         alphabet = sorted({c for p in self.id for c in p})
         self.symbol = {ord(c): k + 1 for k, c in enumerate(alphabet)}
         self.depth = max(map(len, self.id))
         self.keys = np.array([b"".join(self._code(self.symbol[ord(c)]) for c in p) for p in self.id])
         self.key_ids = np.array(list(self.id.values()), np.int64)
+        width = f"S{2 * self.depth}"
+        self.low_keys = self.keys.astype(width)
+        # What follows all suffixes that begin with the piece; a piece of full depth has no room for that mark.
+        self.high_keys = np.array([k + b"\xff" if len(k) < 2 * self.depth else k for k in self.keys.tolist()], width)
+        self.full = np.flatnonzero(self.size[self.key_ids] == self.depth)
         self.bytes = [bytes([int(p[3:-1], 16)]) if kinds[i] == 6 else p.replace(SPACE, " ").encode() if kinds[i] == 1 else b"" for i, p in enumerate(self.pieces)]
 
     @staticmethod
@@ -101,6 +109,10 @@ class PieceModel:
         if last[0] is not None:
             self.left[i], self.right[i] = self.id[last[0]], self.id[last[1]]
 
+    @staticmethod
+    def _hashed(codes: np.ndarray) -> np.ndarray:
+        return (codes * 0x9E3779B1 >> 7) & ((1 << 22) - 1)
+
     def pairs_stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether piece a then piece b stay two, for arrays of pieces; _NONE is a character outside all pieces."""
         out = np.ones(len(a), bool)
@@ -110,9 +122,11 @@ class PieceModel:
         never = np.iinfo(np.int64).max
         until_x, until_y = np.full(len(x), never), np.full(len(x), never)
         while len(live):
-            at = np.searchsorted(self.join_codes, x * self.n + y)
-            at = np.minimum(at, len(self.join_codes) - 1)
-            rank = np.where(self.join_codes[at] == x * self.n + y, self.join_rank[at], never)
+            code = x * self.n + y
+            rank = np.full(len(x), never)
+            some = np.flatnonzero(self.may_join[self._hashed(code)])
+            at = np.minimum(np.searchsorted(self.join_codes, code[some]), len(self.join_codes) - 1)
+            rank[some] = np.where(self.join_codes[at] == code[some], self.join_rank[at], never)
             # Of equal merges the leftmost comes first: x's own before the border's, the border's before y's.
             bad = (rank != never) & (rank < until_x) & (rank <= until_y)
             out[live[bad]] = False
@@ -130,7 +144,7 @@ class PieceModel:
 class Encoder:
     """Encodes batches; what a word encodes to is kept, up to MOST words."""
 
-    MOST = 600_000
+    MOST, AT_ONCE = 900_000, 60_000
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
@@ -160,11 +174,9 @@ class Encoder:
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(coded.ravel(), 2 * m.depth)[::2][place]).view(f"S{2 * m.depth}").ravel()
         order = np.argsort(suffixes, kind="stable")
         ranked = suffixes[order]
-        low = np.searchsorted(ranked, m.keys.astype(f"S{2 * m.depth}"), side="left")
-        high = np.searchsorted(ranked, np.array([k + b"\xff" for k in m.keys.tolist()], f"S{2 * m.depth + 1}").astype(f"S{2 * m.depth}"), side="right")
-        full = m.size[m.key_ids] == m.depth  # no room for the mark: equal keys end the range
-        if full.any():
-            high[full] = np.searchsorted(ranked, m.keys[full].astype(f"S{2 * m.depth}"), side="right")
+        low = np.searchsorted(ranked, m.low_keys, side="left")
+        high = np.searchsorted(ranked, m.high_keys, side="left")
+        high[m.full] = np.searchsorted(ranked, m.low_keys[m.full], side="right")
         n = np.maximum(high - low, 0)
         at = order[np.arange(n.sum()) + np.repeat(low - np.concatenate(([0], np.cumsum(n)))[:-1], n)]
         return at, np.repeat(m.key_ids, n)
@@ -231,12 +243,13 @@ class Encoder:
         odd[np.searchsorted(offsets, np.flatnonzero(blank[index]), side="right") - 1] = True
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         whole = {i: _PART.findall(SPACE + t.as_py().replace(" ", SPACE)) for i, t in ((i, texts[i]) for i in np.flatnonzero(odd & ~empty).tolist())}
-        split = [[] if b else _PART.findall(SPACE + w) for w, b in zip(words, blank.tolist(), strict=False)]
+        split = [[] if b else _PART.findall(SPACE + w) if "\n" in w else (SPACE + w,) for w, b in zip(words, blank.tolist(), strict=False)]
         if len(self.known) + len(split) > self.MOST:
             self.forget()
         new = dict.fromkeys(p for parts in (*split, *whole.values()) for p in parts if p not in self.known)
-        if new:
-            self._learn(list(new))
+        new = list(new)
+        for k in range(0, len(new), self.AT_ONCE):  # the index and edges of so many words at a time
+            self._learn(new[k : k + self.AT_ONCE])
         known = self.known
         counts = np.array([len(s) for s in split] or [0], np.int64)
         slots = np.fromiter((known[p] for s in split for p in s), np.int64, int(counts.sum()))
@@ -299,7 +312,7 @@ def encoding_report(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 12 << 20):
             offsets, ids = encoder.encode(batch.column("text"))
             back = encoder.decode(offsets, ids)
             raw = ids.astype("<u4")
