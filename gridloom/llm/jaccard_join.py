@@ -1,22 +1,24 @@
-"""Exact n-gram Jaccard join: token groups, union bounds, prefixes.
+"""Exact n-gram Jaccard join by a token-group matrix.
 
 A document is the set of its 5-word shingles. Two link when their sets' Jaccard
-similarity reaches the threshold. The result is exact up to 64-bit hash
-collisions:
-
-1. Equal sets are one node. Sets that can link share a token among the first
-   ``n - ceil(t n) + 1`` of each under any common order of tokens (prefix
-   filter). The order puts tokens that many documents hold last; that list of
-   frequent tokens is only an order, so its bounded size changes no result.
-2. Sets that share a prefix token meet in that token's bucket. Each set is first
-   compared with the bucket's leader alone; its best leader over all buckets
-   decides. What links becomes a group of similar documents.
-3. Where a bucket still holds different groups, a set meets the other group as a
-   whole: the union of that group's tokens bounds the overlap with any member,
-   and only groups that reach the bound are opened and compared one by one.
+similarity reaches the threshold. The result is exact up to collisions of
+``BITS``-bit token hashes:
+
+1. Tasks send their sets' tokens, packed and sorted, to buckets of tokens. A
+   bucket counts in how many sets each token is and answers with the tokens that
+   several sets hold. Others cannot be in an overlap, so a set needs no more
+   than its shared tokens and its size; one with too few of them links with none.
+2. Of sets in order of rarity of their tokens, two that link share one among the
+   first ``n - ceil(t n) + 1`` (prefix filter; tokens of one set alone come
+   first). Sets that share such a token are compared with the one whose tokens
+   are most shared. What gathers around such leaders is a group of similar
+   documents; what links to them is a part of it.
+3. A set that shares a prefix token with another part meets that part's group,
+   kept as blocks of a token-group matrix: the block's token union bounds the
+   overlap with any member, and only blocks that reach the bound are opened.
 
 Nulls and texts without words have an empty set and link with nothing; fewer
-than five words are one shingle. Repeated rows link with each other.
+than five words are one shingle. Repeated rows, and texts with equal sets, link.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +36,17 @@ from .shared import id_text, slices, written
 from .words import mix, shingles, word_hashes
 
 THRESHOLD = 80  # in a hundred
-FREQUENT = 200_000  # tokens in the list that goes last
-OFTEN = 4  # documents of a task that make a token a candidate for it
+BITS = 48  # of a token's hash; more for corpora of over 1e12 tokens
+FLUSH = 3 << 20  # tokens that a task gathers before it sends them
+BLOCK = 1024  # sets in a block of a group
+_INDEX = 20  # bits of a node that count within what a task sends at once
+_CODEC = "zstd"
 
 
 def sets_of(texts: pa.Array) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, in order."""
     offsets, hashes = shingles(*word_hashes(texts))
+    hashes = hashes >> np.uint64(64 - BITS)
     return [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
@@ -49,231 +56,290 @@ def set_id(tokens: np.ndarray) -> int:
         return int(mix(np.array([mix(tokens ^ np.uint64(0x5E7)).sum() + np.uint64(len(tokens))]))[0].view(np.int64))
 
 
-def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
-    """Whether two sets, in order and without repeats, reach the threshold."""
-    if 100 * min(len(a), len(b)) < threshold * max(len(a), len(b)) or not len(a):
-        return False
-    both = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * both >= threshold * (len(a) + len(b) - both)
+def similar(both, n, m, threshold: int = THRESHOLD):
+    """Whether sets of n and m tokens with ``both`` in common reach the threshold."""
+    return 100 * both >= threshold * (n + m - both)
 
 
-def prefix_size(n: int, threshold: int = THRESHOLD) -> int:
+def prefix_size(n, threshold: int = THRESHOLD):
     """Tokens of which a set of n must share one with any set that it links with."""
     return n - (threshold * n + 99) // 100 + 1
 
 
-def _described(texts: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, set_id, n) and of tokens that several sets of a task hold (null doc_id, token, count)."""
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers byte plane by byte plane, compressed; the first one, in order, as steps."""
+    out = [np.uint32(len(columns[0])).tobytes()]
+    for i, c in enumerate(columns):
+        c = np.diff(c, prepend=c.dtype.type(0)) if i == 0 else c
+        planes = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T
+        used = max((k + 1 for k in range(len(planes)) if planes[k].any()), default=0)
+        out += [np.uint32(used).tobytes(), np.ascontiguousarray(planes[:used]).tobytes()]
+    raw = b"".join(out)
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _unpacked(data: bytes, *kinds: type) -> list[np.ndarray]:
+    size = int(np.frombuffer(data[:4], np.uint32)[0])
+    raw = pa.decompress(data[4:], decompressed_size=size, codec=_CODEC, asbytes=True)
+    n, at, out = int(np.frombuffer(raw[:4], np.uint32)[0]), 4, []
+    for i, kind in enumerate(kinds):
+        used = int(np.frombuffer(raw[at : at + 4], np.uint32)[0])
+        planes = np.zeros((np.dtype(kind).itemsize, n), np.uint8)
+        planes[:used] = np.frombuffer(raw[at + 4 : at + 4 + used * n], np.uint8).reshape(used, n)
+        at += 4 + used * n
+        c = np.ascontiguousarray(planes.T).view(kind).ravel()
+        out.append(np.cumsum(c, dtype=kind) if i == 0 else c)
+    return out
+
+
+def _sent(texts: DataFrame, buckets: int) -> DataFrame:
+    """Packets (bucket, flush, data): tokens and indexes by bucket, and, in a negative bucket, the documents of a flush.
+
+    A flush is what a task sends at once; its different sets are numbered by indexes.
+    """
+    shift = np.uint64(BITS - (buckets - 1).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in slices(batches, "text"):
-            sets = sets_of(batch.column("text"))
-            ids = [set_id(s) if len(s) else None for s in sets]
-            new = []
-            for i, s in zip(ids, sets, strict=True):
-                if i is not None and i not in seen:
-                    seen.add(i)
-                    new.append(s)
-            if new:
-                own, often = np.unique(np.concatenate(new), return_counts=True)
-                own, often = own[often > 1], often[often > 1]
-                tokens, at = np.unique(np.concatenate((tokens, own)), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate((counts, often)), minlength=len(tokens)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([True] * len(sets))],
-                names=["doc_id", "key", "n", "is_doc"],
+        part, number = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+        total, seen = 0, {}
+        docs: list[tuple] = []  # doc_id, whether it is null, set_id, size, index
+
+        def packets() -> pa.RecordBatch:
+            sizes = [len(s) for s in held]
+            tokens, index = np.concatenate([np.zeros(0, np.uint64), *held]), np.repeat(np.arange(len(held)), sizes).astype(np.uint32)
+            order = np.argsort(tokens, kind="stable")
+            tokens, index = tokens[order], index[order]
+            cuts = np.searchsorted(tokens >> shift, np.arange(buckets + 1, dtype=np.uint64))
+            data = [_packed(tokens[a:b], index[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            data.append(np.array(docs, np.int64).tobytes())
+            flush = part << 12 | number
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*range(buckets), -1 - flush % buckets], pa.int32()), pa.array([flush] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "flush", "data"]
             )
-        keep = counts >= OFTEN
-        tokens, counts = tokens[keep], counts[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(tokens), pa.int64()), pa.array(tokens.view(np.int64)), pa.array(counts), pa.array([False] * len(tokens))],
-            names=["doc_id", "key", "n", "is_doc"],
-        )
 
-    return texts.mapInArrow(run, "doc_id long, key long, n long, is_doc boolean")
+        for batch in slices(batches, "text"):
+            for doc, s in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text")), strict=True):
+                own = set_id(s) if len(s) else 0
+                at = -1
+                if len(s) and own not in seen:
+                    at = seen[own] = len(held)
+                    held.append(s)
+                    total += len(s)
+                docs.append((doc or 0, doc is None, own, len(s), at))
+            if total > FLUSH or len(docs) > 1 << (_INDEX - 1):
+                yield packets()
+                held, docs, total, seen, number = [], [], 0, {}, number + 1
+        if docs:
+            yield packets()
+
+    return texts.mapInArrow(run, "bucket int, flush long, data binary")
+
+
+def _answered(packets: DataFrame) -> DataFrame:
+    """(flush, docs, data): of each flush the tokens that other sets have too, with their number of sets, and its documents."""
+
+    def count(key, table):
+        flushes, data = table.column("flush").to_pylist(), table.column("data").to_pylist()
+        if key[0].as_py() < 0:
+            return pa.table({"flush": pa.array(flushes, pa.int64()), "docs": pa.array([True] * len(data)), "data": pa.array(data, pa.binary())})
+        parts = [_unpacked(d, np.uint64, np.uint32) for d in data]
+        tokens = np.concatenate([p[0] for p in parts])
+        order = np.argsort(tokens, kind="stable")
+        new = np.concatenate(([True], np.diff(tokens[order]) != 0)) if len(tokens) else np.zeros(0, bool)
+        times = np.diff(np.append(np.flatnonzero(new), len(tokens)))
+        often = np.empty(len(tokens), np.int64)
+        often[order] = np.repeat(times, times)
+        out, at = [], 0
+        for t, i in parts:
+            own = often[at : at + len(t)]
+            keep = own > 1
+            out.append(_packed(t[keep], i[keep], np.minimum(own[keep], 2**31).astype(np.uint32)))
+            at += len(t)
+        return pa.table({"flush": pa.array(flushes, pa.int64()), "docs": pa.array([False] * len(data)), "data": pa.array(out, pa.binary())})
+
+    return packets.groupBy("bucket").applyInArrow(count, "flush long, docs boolean, data binary")
+
+
+def _candidates(answers: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, set_id, n, node, score, tokens, prefix) of each document; the last three for sets that can link at all, once a flush.
+
+    tokens are the shared ones in order, score how often they are shared, prefix the
+    rarest of them that the filter needs.
+    """
+
+    def collect(key, table):
+        flush, docs, parts = key[0].as_py(), None, []
+        for is_docs, data in zip(table.column("docs").to_pylist(), table.column("data").to_pylist(), strict=True):
+            if is_docs:
+                docs = np.frombuffer(data, np.int64).reshape(-1, 5)
+            else:
+                parts.append(_unpacked(data, np.uint64, np.uint32, np.uint32))
+        tokens, index, often = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        order = np.argsort(index, kind="stable")
+        tokens, index, often = tokens[order], index[order], often[order].astype(np.int64)
+        cuts = np.searchsorted(index, np.arange(int(docs[:, 4].max()) + 2)).tolist()
+        rows: list[tuple] = []
+        for doc, null, own_id, n, i in docs.tolist():
+            row = (None if null else doc, own_id if n else None, n, flush << _INDEX | i if i >= 0 else None)
+            a, b = (cuts[i], cuts[i + 1]) if i >= 0 else (0, 0)
+            if a == b or 100 * (b - a) < threshold * n:
+                rows.append((*row, None, None, None))
+                continue
+            own, count = tokens[a:b], often[a:b]
+            least = prefix_size(n, threshold) - (n - (b - a))
+            rare = np.lexsort((own, count))[: max(least, 0)]
+            rows.append((*row, float(count.sum()) / n, np.sort(own).tobytes(), own[rare].view(np.int64)))
+        columns = list(zip(*rows, strict=True))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("doc_id", "set_id", "n", "node", "score", "tokens", "prefix"), columns, kinds, strict=True)})
+
+    return answers.groupBy("flush").applyInArrow(collect, "doc_id long, set_id long, n long, node long, score double, tokens binary, prefix array<long>")
 
 
-def _postings(texts: DataFrame, frequent: np.ndarray, threshold: int) -> DataFrame:
-    """(token, node, n) for the prefix of each set, once a task."""
+def _leaders(postings: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): each set and the leader that most of its prefix tokens name: the most shared set of a token whose size allows a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches, "text"):
-            tokens, nodes, sizes = [np.zeros(0, np.uint64)], [], []
-            for s in sets_of(batch.column("text")):
-                if not len(s) or (node := set_id(s)) in seen:
-                    continue
-                seen.add(node)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    last = frequent[at] == s
-                    part = np.concatenate((s[~last], s[last]))[: prefix_size(len(s), threshold)]
+        token, leaders = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for t, node, n in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "n")), strict=True):
+                if t != token:
+                    token, leaders = t, []
+                for leader, m in leaders:
+                    if 100 * min(n, m) >= threshold * max(n, m):
+                        out.append((node, leader))
+                        break
                 else:
-                    part = s[: prefix_size(len(s), threshold)]
-                tokens.append(part)
-                nodes.append(node)
-                sizes.append((len(part), len(s)))
-            sizes = np.array(sizes, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(tokens).view(np.int64)),
-                    pa.array(np.repeat(np.array(nodes, np.int64), sizes[:, 0])),
-                    pa.array(np.repeat(sizes[:, 1], sizes[:, 0]).astype(np.int32)),
-                ],
-                names=["token", "node", "n"],
-            )
+                    # No leader of a size near: at most one for each step of sizes.
+                    leaders.append((node, n))
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    dealt = postings.repartition("token").sortWithinPartitions("token", F.desc("score"), "node")
+    counted = dealt.mapInArrow(run, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("times"))
+    return counted.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
+
 
-    return texts.mapInArrow(run, "token long, node long, n int")
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of tokens that at least two sets have, in order of token and size."""
+def _verified(stars: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, whose fate the next batch decides
-        joined = False  # whether the row before it has the same token
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            token = batch.column("token").to_numpy()
-            same = token[1:] == token[:-1]
-            # A row is alone if neither neighbour has its token; equal (token, node) rows count as neighbours.
-            before = np.concatenate(([joined if held is not None else False], same))
-            after = np.concatenate((same, [False]))
-            keep = before | after
-            keep[-1] = False
-            yield batch.filter(pa.array(keep))
-            held, joined = batch.slice(batch.num_rows - 1, 1), bool(before[-1])
-        if held is not None and joined:
-            yield held
-
-    return postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "token long, node long, n int")
-
-
-def _leaders(shared: DataFrame, threshold: int) -> DataFrame:
-    """(node, leader, times): each set and the leader of its size in a bucket."""
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
+                keep.append(bool(similar(_overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), n, m, threshold)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    a_side = sets.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x"))
+    b_side = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
+    return stars.join(b_side, "b").join(a_side, "a").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _met(asked: DataFrame, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) of sets (node, group) with members of the groups that they ask, block by block of the groups' matrix.
+
+    ``members`` has node, group and part; a part's own sets are linked already, and one link to each other part will do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, leader, size, last = None, None, 0, None
+        key, held, index = None, [], None
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for t, node, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if t != token or threshold * n > 100 * size:
-                    token, leader, size = t, node, n
-                elif node != leader and (t, node) != last:
-                    out.append((node, leader))
-                last = (t, node)
+            for group, block, asks, node, part, n, data in zip(*(batch.column(c).to_pylist() for c in ("group", "block", "asks", "node", "part", "n", "tokens")), strict=True):
+                if (group, block) != key:
+                    key, held, index = (group, block), [], None
+                tokens = np.frombuffer(data, np.uint64)
+                if not asks:
+                    held.append((node, part, n, tokens))
+                elif held:
+                    if index is None:
+                        nodes, parts, sizes = (np.array([h[k] for h in held], np.int64) for k in range(3))
+                        flat, own = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), [len(h[3]) for h in held])
+                        order = np.argsort(flat, kind="stable")
+                        flat, own = flat[order], own[order]
+                        first = np.flatnonzero(np.concatenate(([True], np.diff(flat) != 0)))
+                        index = (flat[first], first, np.append(first[1:], len(flat)), own, nodes, parts, sizes)
+                    union, low, high, own, nodes, parts, sizes = index
+                    at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                    at = at[union[at] == tokens]
+                    # J >= t needs an overlap of t / (1 + t) of both sizes' sum at least.
+                    if len(at) * (100 + threshold) < threshold * (n + int(sizes.min())):
+                        continue
+                    size = (high - low)[at]
+                    spots = np.arange(size.sum()) + np.repeat(low[at] - (np.cumsum(size) - size), size)
+                    both = np.bincount(own[spots], minlength=len(sizes))
+                    found = np.flatnonzero(similar(both, n, sizes, threshold) & (parts != part))
+                    _, one = np.unique(parts[found], return_index=True)
+                    out += [(node, x) for x in nodes[found[one]].tolist()]
             pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["node", "leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    pairs = shared.sortWithinPartitions("token", "n", "node").mapInArrow(run, "node long, leader long")
-    counted = pairs.groupBy("node", "leader").agg(F.count("*").alias("times"))
-    return counted.groupBy("node").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
+    wanted = asked.select("group").distinct()
+    size = members.join(wanted, "group").groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    held = members.join(size, "group").select("group", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), "node", "part")
+    asks = asked.join(size, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "node", "part")
+    rows = held.union(asks).join(sets.select("node", "n", "tokens"), "node")
+    dealt = rows.repartition("group", "block").sortWithinPartitions("group", "block", "asks", "node")
+    return dealt.select("group", "block", "asks", "node", "part", "n", "tokens").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b, other) of nodes that link: ``texts`` has one (node, text) a node.
+def _asked(postings: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, part, group): sets and the groups in which a set of another part shares a prefix token.
 
-    Pairs come in order of a and of b's group ``other``: the union of the group's
-    tokens bounds the overlap first, and only a group that reaches it is opened.
+    Within a group, sets of its largest part need not ask, for the others do. Of two
+    groups, the sets of the smaller one ask the larger; of equal ones, those of the later.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_a, set_a, known = None, None, {}
-        for batch in slices(batches, "b_text", 4 << 20):
-            ids_a, ids_b, others = (batch.column(c).to_pylist() for c in ("a", "b", "other"))
-            b_sets = sets_of(batch.column("b_text"))
-            out, k = [], 0
-            while k < len(ids_a):
-                end = k
-                while end < len(ids_a) and ids_a[end] == ids_a[k] and others[end] == others[k]:
-                    end += 1
-                if ids_a[k] != last_a:
-                    last_a = ids_a[k]
-                    set_a = sets_of(batch.column("a_text").slice(k, 1))[0]
-                group = b_sets[k:end]
-                union = np.unique(np.concatenate(group)) if len(group) > 1 else group[0]
-                least = min(map(len, group))
-                overlap = len(set_a) + len(union) - len(np.union1d(set_a, union))
-                # J >= t needs an overlap of t / (1 + t) of both sizes' sum at least.
-                if overlap * (100 + threshold) >= threshold * (len(set_a) + least):
-                    out += [(ids_a[k], ids_b[k + i]) for i, s in enumerate(group) if linked(set_a, s, threshold)]
-                k = end
-            found = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    a_side = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-    b_side = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    met = pairs.join(b_side, "b").join(a_side, "a")
-    met = met.sortWithinPartitions("a", "other", "b").select("a", "b", "other", "a_text", "b_text")
-    return met.mapInArrow(run, "a long, b long")
+    sizes = members.groupBy("group", "part").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("group").agg(F.sum("n").alias("size"), F.max_by("part", F.struct("n", -F.col("part"))).alias("main"))
+    placed = postings.select("token", "node").join(members, "node")
+    mixed = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
+    left = placed.join(mixed, "token").join(groups, "group")
+    there = left.groupBy("token", F.col("group").alias("other")).agg(F.min("part").alias("low"), F.max("part").alias("high"), F.first("size").alias("other_size"))
+    # Where a token is in one group alone, its largest part's sets have nothing to ask.
+    alone = there.groupBy("token").agg(F.count("*").alias("groups"))
+    asking = left.join(alone, "token").where((F.col("groups") > 1) | (F.col("part") != F.col("main")))
+    larger = F.struct(F.col("other_size"), -F.col("other")) > F.struct(F.col("size"), -F.col("group"))
+    own = (F.col("other") == F.col("group")) & (F.col("part") != F.col("main")) & ((F.col("low") != F.col("part")) | (F.col("high") != F.col("part")))
+    met = asking.join(there, "token").where(own | ((F.col("other") != F.col("group")) & larger))
+    return met.select("node", "part", F.col("other").alias("group")).distinct()
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each document."""
-    texts = id_text(docs)
-    described = written(_described(texts), "sets")
-    order = described.where("not is_doc").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= 2 * OFTEN)
-    frequent = np.sort(np.array([r["key"] for r in order.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").collect()], np.int64).view(np.uint64))
-    rows = described.where("is_doc").select("doc_id", F.col("key").alias("node"), "n")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    shared = written(_shared(_postings(texts, frequent, threshold)), "postings")
-
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        """One text for each node that occurs in the pairs."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return texts.join(wanted.join(nodes, "node").select("node", F.col("first").alias("doc_id")), "doc_id").select("node", "text").dropDuplicates(["node"])
-
-    stars = written(_leaders(shared, threshold).select(F.col("node").alias("a"), F.col("leader").alias("b"), F.col("leader").alias("other")), "pairs")
-    edges = written(_verified(stars, written(with_texts(stars), "texts"), threshold), "links")
+    spark = docs.sparkSession
+    buckets = 1 << max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    stored = written(_candidates(_answered(_sent(id_text(docs), buckets)), threshold), "candidates")
+    rows = stored.select("doc_id", "set_id", "n", "node")
+    # Equal sets of different flushes are one: the smallest node stands for them.
+    nodes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("node").alias("node"), F.min("doc_id").alias("first"))
+    sets = stored.where("tokens is not null").select("node", "n", "tokens")
+    chosen = stored.where("tokens is not null").select("node", "n", "score", "prefix").join(nodes.select("node"), "node", "left_semi")
+    postings = chosen.select("node", "n", "score", F.explode("prefix").alias("token"))
+
+    stars = written(_leaders(postings, threshold), "stars")
+    edges = written(_verified(stars, sets, threshold), "links")
     groups = components(edges)
 
-    labelled = shared.join(groups, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("part"))
-    mixed = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    left = labelled.join(mixed, "token").distinct()
-    rest = _across(left, threshold).join(stars.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "other")
-    rest = written(rest, "pairs")
-    more = written(_verified(rest, written(with_texts(rest), "texts"), threshold), "links")
+    # A group holds what its leaders gathered, linked or not; its parts are linked.
+    gathered = components(stars).withColumnRenamed("component", "group")
+    members = chosen.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    members = written(members.join(gathered, "node", "left").select("node", "part", F.coalesce("group", "node").alias("group")), "members")
+    more = written(_met(written(_asked(postings, members), "asked"), members, sets, threshold), "links")
     final = components(edges.union(more))
 
-    placed = nodes.join(final, "node", "left").select("node", "first", F.coalesce("component", "node").alias("part"))
+    placed = nodes.join(final, "node", "left").select("set_id", "first", F.coalesce("component", "node").alias("part"))
     least = placed.groupBy("part").agg(F.min("first").alias("component_id"))
-    by_node = placed.join(least, "part").select(F.col("node").alias("found"), "component_id")
-    out = rows.join(by_node, F.col("node") == F.col("found"), "left")
+    by_set = placed.join(least, "part").select(F.col("set_id").alias("found"), "component_id")
+    out = rows.join(by_set, F.col("set_id") == F.col("found"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _across(left: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, other): sets of one bucket in different groups whose sizes allow a link; ``other`` is b's group, a the larger set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held = None, []
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for t, node, n, part in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "n", "part")), strict=True):
-                if t != token:
-                    token, held = t, []
-                # In order of size: those too small for this one are too small for all that follow.
-                held = [x for x in held if 100 * x[1] >= threshold * n]
-                out += [(node, x[0], x[2]) for x in held if x[2] != part]
-                held.append((node, n, part))
-                if len(out) > 1 << 16:
-                    yield _pairs(out)
-                    out = []
-            yield _pairs(out)
-
-    def _pairs(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        table = np.unique(np.array(out, np.int64).reshape(-1, 3), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(3)], names=["a", "b", "other"])
-
-    ordered = left.repartition("token").sortWithinPartitions("token", "n", "node")
-    return ordered.mapInArrow(run, "a long, b long, other long").distinct()
-
-
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their component."""
     kept = jaccard_components(docs, threshold).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
