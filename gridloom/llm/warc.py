@@ -183,6 +183,31 @@ class _Members:
                 yield from _Plain(io.BytesIO(b"".join(data)))
 
 
+class _Lines(io.RawIOBase):
+    """A pyarrow file for Python's buffered reading by lines."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        data = self.file.read(len(into))
+        into[: len(data)] = data
+        return len(data)
+
+    def seek(self, at: int, whence: int = 0) -> int:
+        self.file.seek(at, whence)
+        return self.file.tell()
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+
 class _Plain:
     """Records of a file that is not compressed; unwanted blocks are skipped by their length."""
 
@@ -241,7 +266,9 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _File | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without files
+            return
         schema = to_arrow_schema(self.schema)
         with_payload = "payload" in schema.names
         fs, _ = filesystem(self.path)
@@ -249,7 +276,7 @@ class WarcReader(DataSourceReader):
         with fs.open_input_file(partition.path) as file:
             start = file.read(2)
             file.seek(0)
-            for head, block in _Members(file) if start == b"\x1f\x8b" else _Plain(file):
+            for head, block in _Members(file) if start == b"\x1f\x8b" else _Plain(io.BufferedReader(_Lines(file))):
                 row = _row(head)
                 if not self.wanted(row):
                     continue
