@@ -79,7 +79,7 @@ def dual_layout(spots: DataFrame, cols: int, bar1: DataFrame, n1: int, bar2: Dat
     return out.select("row", "col", "block_row", "block_col", "spot_in_block", "bar_1", "bar_2", F.concat("bar_1", "bar_2").alias("combined"))
 
 
-def hsdb_layout(spots: DataFrame, cols: int, bar1: DataFrame, bar2: DataFrame, seed: object) -> DataFrame:
+def hierarchical_layout(spots: DataFrame, cols: int, bar1: DataFrame, bar2: DataFrame, seed: object) -> DataFrame:
     """Block barcodes by place, and the sixteen spot barcodes permuted anew in each block.
 
     ``bar1`` has block_row, block_col, seq; ``bar2`` sixteen rows idx, seq.

@@ -397,40 +397,40 @@ def broken_layout_violations(spark, sf_dir):
     return layouts.layout_violations(bad)
 
 
-_HSDB = """, b2 AS (SELECT idx, seq FROM lib2 WHERE idx < 16), bb AS (SELECT DISTINCT block_row, block_col FROM blocks),
+_HIER = """, b2 AS (SELECT idx, seq FROM lib2 WHERE idx < 16), bb AS (SELECT DISTINCT block_row, block_col FROM blocks),
  b1 AS (SELECT block_row, block_col, translate(substr(md5('block:' || block_row || ':' || block_col), 1, 28), '0123456789abcdef', 'ACGTACGTACGTACGT') AS bar_1 FROM bb),
- turned AS (SELECT block_row, block_col, seq AS bar_2, row_number() OVER (PARTITION BY block_row, block_col ORDER BY md5('hsdb:' || block_row || ':' || block_col || ':' || idx), idx) - 1 AS spot_in_block FROM bb, b2),
- hsdb AS (SELECT row, col, s.block_row::INT AS block_row, s.block_col::INT AS block_col, s.spot_in_block::INT AS spot_in_block, bar_1, bar_2, bar_1 || bar_2 AS combined FROM blocks s JOIN b1 USING (block_row, block_col) JOIN turned USING (block_row, block_col, spot_in_block))"""
+ turned AS (SELECT block_row, block_col, seq AS bar_2, row_number() OVER (PARTITION BY block_row, block_col ORDER BY md5('hierarchical:' || block_row || ':' || block_col || ':' || idx), idx) - 1 AS spot_in_block FROM bb, b2),
+ hierarchical AS (SELECT row, col, s.block_row::INT AS block_row, s.block_col::INT AS block_col, s.spot_in_block::INT AS spot_in_block, bar_1, bar_2, bar_1 || bar_2 AS combined FROM blocks s JOIN b1 USING (block_row, block_col) JOIN turned USING (block_row, block_col, spot_in_block))"""
 
 
-@query("hsdb_layout", _HSDB + " SELECT * FROM hsdb")
-def hsdb_layout(spark, sf_dir):
+@query("hierarchical_layout", _HIER + " SELECT * FROM hierarchical")
+def hierarchical_layout(spark, sf_dir):
     s = spots(spark, sf_dir).drop("bar")
     blocks = grid.with_blocks(s, COLS).select("block_row", "block_col").distinct()
     bar1 = blocks.withColumn("seq", prng.dna(28, "block", F.col("block_row"), F.col("block_col")))
-    return layouts.hsdb_layout(s, COLS, bar1, short_library(spark, sf_dir).where("idx < 16"), "hsdb")
+    return layouts.hierarchical_layout(s, COLS, bar1, short_library(spark, sf_dir).where("idx < 16"), "hierarchical")
 
 
-@query("hsdb_validate", _HSDB + _RULES.format(t="hsdb"))
-def hsdb_validate(spark, sf_dir):
-    return layouts.layout_violations(hsdb_layout(spark, sf_dir))
+@query("hierarchical_validate", _HIER + _RULES.format(t="hierarchical"))
+def hierarchical_validate(spark, sf_dir):
+    return layouts.layout_violations(hierarchical_layout(spark, sf_dir))
 
 
 @query(
-    "hsdb_stats",
-    _HSDB
+    "hierarchical_stats",
+    _HIER
     + """, m AS (SELECT *, length(regexp_replace(combined, '[^G]', '', 'g')) / length(combined) AS g, length(regexp_replace(combined, '[^GC]', '', 'g')) / length(combined) AS gc,
- list_max(list_transform(regexp_extract_all(combined, 'A+|C+|G+|T+'), lambda r: length(r))) AS run FROM hsdb)
+ list_max(list_transform(regexp_extract_all(combined, 'A+|C+|G+|T+'), lambda r: length(r))) AS run FROM hierarchical)
 SELECT count(*) AS n_spots, count(DISTINCT combined) AS n_unique, count(DISTINCT bar_1) AS n_bar_1, count(DISTINCT bar_2) AS n_bar_2, round(avg(g), 4) AS g_mean, round(max(g), 4) AS g_max, count(*) FILTER (g > 0.25) AS g_above,
  round(avg(gc), 4) AS gc_mean, round(min(gc), 4) AS gc_min, round(max(gc), 4) AS gc_max, max(run)::INT AS max_run FROM m""",
 )
-def hsdb_stats(spark, sf_dir):
-    return layouts.layout_stats(hsdb_layout(spark, sf_dir))
+def hierarchical_stats(spark, sf_dir):
+    return layouts.layout_stats(hierarchical_layout(spark, sf_dir))
 
 
-@query("per_cycle_g", _HSDB + ", c AS (SELECT unnest(range(0, 36)) AS cycle, unnest(string_split(combined, '')) AS b FROM hsdb) SELECT cycle::INT AS cycle, count(*) AS n, round(avg((b = 'G')::INT), 6) AS g_share FROM c GROUP BY cycle")
+@query("per_cycle_g", _HIER + ", c AS (SELECT unnest(range(0, 36)) AS cycle, unnest(string_split(combined, '')) AS b FROM hierarchical) SELECT cycle::INT AS cycle, count(*) AS n, round(avg((b = 'G')::INT), 6) AS g_share FROM c GROUP BY cycle")
 def per_cycle_g(spark, sf_dir):
-    return layouts.g_by_cycle(hsdb_layout(spark, sf_dir), "combined")
+    return layouts.g_by_cycle(hierarchical_layout(spark, sf_dir), "combined")
 
 
 _UV = f", uv AS (SELECT row, col, (row::BIGINT * 4096) // (SELECT rows FROM dims) AS u, (col::BIGINT * 4096) // {COLS} AS v FROM spots)"

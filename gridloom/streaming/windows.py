@@ -8,13 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MOST_REFS = 100_000
+
 
 
 def decode_stream(reads: DataFrame, library: DataFrame, threshold: int, late: str = "10 minutes") -> DataFrame:
     """(read_id, ts, decoded) of a stream (read_id, ts, seq): stateless per micro-batch but for repeats of a read, which go within the watermark.
 
-    The library is static and small; ties leave a read undecoded.
+    The library is static and small (at most MOST_REFS sequences, which is checked): each read
+    meets it as one broadcast array. Ties leave a read undecoded.
     """
+    if library.limit(MOST_REFS + 1).count() > MOST_REFS:
+        raise ValueError(f"a stream meets at most {MOST_REFS} sequences")
     once = reads.withWatermark("ts", late).dropDuplicatesWithinWatermark(["read_id"]) if reads.isStreaming else reads.dropDuplicates(["read_id"])
     refs = library.select("idx", F.col("seq").alias("ref")).agg(F.collect_list(F.struct("idx", "ref")).alias("refs"))
     near = F.filter(

@@ -43,11 +43,11 @@ def test_dual_layout_rules(spark):
         layouts.dual_layout(grid.grid(spark, 4, 4), 4, one, 7, two, 3, 1)
 
 
-def test_hsdb_layout(spark):
+def test_hierarchical_layout(spark):
     spots = grid.grid(spark, 9, 10)
     blocks = grid.with_blocks(spots, 10).select("block_row", "block_col").distinct().withColumn("seq", prng.dna(28, "k", F.col("block_row"), F.col("block_col")))
     two = spark.createDataFrame(list(enumerate(SPOTS)), "idx int, seq string")
-    out = layouts.hsdb_layout(spots, 10, blocks, two, 42)
+    out = layouts.hierarchical_layout(spots, 10, blocks, two, 42)
     assert out.count() == 90 and layouts.layout_violations(out).count() == 0
 
 
