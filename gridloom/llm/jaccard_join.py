@@ -37,7 +37,7 @@ from .words import mix, shingles, word_hashes
 
 THRESHOLD = 80  # in a hundred
 BITS = 48  # of a token's hash; more for corpora of over 1e12 tokens
-FLUSH = 3 << 20  # tokens that a task gathers before it sends them
+FLUSH = 2 << 20  # tokens that a task gathers before it sends them
 BLOCK = 1024  # sets in a block of a group
 _INDEX = 20  # bits of a node that count within what a task sends at once
 _CODEC = "zstd"
@@ -118,7 +118,7 @@ def _sent(texts: DataFrame, buckets: int) -> DataFrame:
                 [pa.array([*range(buckets), -1 - flush % buckets], pa.int32()), pa.array([flush] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "flush", "data"]
             )
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             for doc, s in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text")), strict=True):
                 own = set_id(s) if len(s) else 0
                 at = -1
@@ -341,6 +341,6 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component."""
+    """The rows of ``docs`` that are the smallest doc_id of their component; rows that share a doc_id, or have none, stay together."""
     kept = jaccard_components(docs, threshold).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")

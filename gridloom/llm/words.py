@@ -49,17 +49,41 @@ def split(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     return offsets, values
 
 
+_AT_ONCE = 1 << 20  # bytes whose terms are held at a time
+
+
 def hash_words(values: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string of ``values`` (none null or empty)."""
     if not len(values):
         return np.zeros(0, np.uint64)
     ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
     data = np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
-    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    out = np.empty(len(sizes), np.uint64)
+    at = 0
     with np.errstate(over="ignore"):
-        terms = _powers(int(sizes.max()))[place] * _BYTE[data]
-        return mix(np.add.reduceat(terms, starts) + sizes.astype(np.uint64))
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, side="right")) - 1)
+            if to == at + 1:
+                out[at] = _sum_of(data[ends[at] : ends[to]])
+            else:
+                starts = ends[at:to] - ends[at]
+                place = np.arange(ends[to] - ends[at]) - np.repeat(starts, sizes[at:to])
+                terms = _powers(int(sizes[at:to].max()))[place] * _BYTE[data[ends[at] : ends[to]]]
+                out[at:to] = np.add.reduceat(terms, starts)
+            at = to
+        return mix(out + sizes.astype(np.uint64))
+
+
+def _sum_of(word: np.ndarray) -> np.uint64:
+    """The sum of one word's terms, some bytes at a time."""
+    powers, total, scale = _powers(min(len(word), _AT_ONCE)), np.uint64(0), np.uint64(1)
+    for k in range(0, len(word), _AT_ONCE):
+        part = word[k : k + _AT_ONCE]
+        total += scale * (powers[: len(part)] * _BYTE[part]).sum(dtype=np.uint64)
+        scale *= powers[-1] * _GOLD
+    return total
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

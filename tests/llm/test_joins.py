@@ -91,7 +91,7 @@ def test_windows_are_tree_nodes(values, least):
 
 def test_passages(docs_of, words):
     texts = list(ODD)
-    shared = [words(n, 50 + n) for n in (50, 60, 130, 35)]
+    shared = [words(n, 50 + n) for n in (50, 60, 130, 49)]
     for k in range(60):
         parts = [words(30 + k, 900 + k)]
         parts += [shared[k % 4], words(25, 2000 + k)] if k % 3 else []
