@@ -66,8 +66,13 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> int:
     return -(-table(spark, sf_dir, "part").count() // COLS)
 
 
+def whole_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("pos"), prng.bits(36, "axis", F.col("s_suppkey")).alias("code"))
+
+
 def axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").where("s_suppkey <= 200").select(F.col("s_suppkey").cast("int").alias("pos"), prng.bits(36, "axis", F.col("s_suppkey")).alias("code"))
+    """The part of the axis that the SQL takes."""
+    return whole_axis(spark, sf_dir).where("pos <= 200")
 
 
 def true_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -624,7 +629,7 @@ def duplicate_spots(spark, sf_dir):
 
 @query("block_barcodes", None)
 def block_barcodes(spark, sf_dir):
-    ax = axis(spark, sf_dir).where("pos <= 60").select("pos", dna.bits_to_dna(F.left(dna.bit_string(F.col("code"), 36), F.lit(28))).alias("seq"))
+    ax = whole_axis(spark, sf_dir).select("pos", dna.bits_to_dna(F.left(dna.bit_string(F.col("code"), 36), F.lit(28))).alias("seq"))
     return codes.block_barcodes(ax, ax)
 
 

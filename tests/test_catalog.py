@@ -43,3 +43,10 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_block_barcodes_of_all_suppliers(spark, tmp_path):
+    n = 300
+    spark.range(1, n + 1).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = catalog.QUERIES["block_barcodes"](spark, str(tmp_path)).select("block_row", "block_col").distinct()
+    assert rows.count() == n * n and rows.agg({"block_row": "max"}).first()[0] == n
