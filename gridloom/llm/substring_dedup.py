@@ -175,30 +175,60 @@ def _intervals(links: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc long, doc0 long, shift long, s long, e long")
 
 
-def _shingles_once(batch: pa.RecordBatch, column: str) -> dict[int, np.ndarray]:
-    """Shingle hashes (32 bits) of each document of the batch, by doc id."""
+def _shingles_once(batch: pa.RecordBatch, column: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Shingle hashes and word hashes (32 bits) of each document of the batch, by doc id."""
     ids = batch.column(column).to_numpy()
     distinct, first = np.unique(ids, return_index=True)
-    offsets, hashes = shingles(*word_hashes(batch.column("text").take(pa.array(first))))
-    hashes = hashes.astype(np.uint32)
-    return {int(d): hashes[offsets[i] : offsets[i + 1]] for i, d in enumerate(distinct)}
+    at, words = word_hashes(batch.column("text").take(pa.array(first)))
+    offsets, hashes = shingles(at, words)
+    hashes, words = hashes.astype(np.uint32), words.astype(np.uint32)
+    return {int(d): (hashes[offsets[i] : offsets[i + 1]], words[at[i] : at[i + 1]]) for i, d in enumerate(distinct)}
 
 
-def verified_stretches(own: np.ndarray, other: np.ndarray, least: int, similar: int = SIMILAR) -> list[tuple[int, int]]:
-    """Stretches (from, to) of ``own`` whose windows of ``least`` shingles are similar to ``other``, ends cut to shared ones; what is then shorter than ``least`` goes."""
-    if len(own) < least:
-        return []
+def _part(text: tuple[np.ndarray, np.ndarray], start: int, end: int) -> bytes:
+    """Shingles start to end of a text and their words: one after the other."""
+    hashes, words = (x[max(0, start) : max(0, y)] for x, y in zip(text, (end, end + SHINGLE - 1), strict=True))
+    return np.uint32(len(hashes)).tobytes() + hashes.tobytes() + words.tobytes()
+
+
+def _parted(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(part, np.uint32)
+    return both[1 : 1 + both[0]], both[1 + both[0] :]
+
+
+def verified_stretches(own: np.ndarray, other: np.ndarray, least: int, own_words: np.ndarray, other_words: np.ndarray, similar: int = SIMILAR) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Stretches of words (from, to) of ``own`` whose windows of ``least`` shingles are similar to ``other``, and which windows those are.
+
+    Ends are cut back to words that both hold: those of the outermost shared shingles, and
+    words beyond them that stand at the same place of the other passage, as they do where
+    a word near an end is changed. What is then shorter than a passage goes.
+    """
+    ok = np.zeros(max(len(own) - least + 1, 0), bool)
+    if not len(ok):
+        return [], ok
     both = np.isin(own, other)
     sums = np.concatenate(([0], np.cumsum(both)))
     # Equal sizes: J = i / (2 n - i) >= t needs i (1 + t) >= 2 t n.
     good = (sums[least:] - sums[:-least]) * (100 + similar) >= 2 * similar * least
     starts = np.flatnonzero(good)
     out: list[tuple[int, int]] = []
+
+    def same(at: int, places: range) -> list[int]:
+        """Words of ``places`` that the other passage has at the same distance from the shingle ``at``."""
+        shift = int(np.flatnonzero(other == own[at])[0]) - at
+        return [k for k in places if 0 <= k + shift < len(other_words) and k < len(own_words) and own_words[k] == other_words[k + shift]]
+
     for part in np.split(starts, np.flatnonzero(np.diff(starts) > least) + 1) if len(starts) else []:
         held = np.flatnonzero(both[part[0] : part[-1] + least]) + part[0]
-        if held[-1] + 1 - held[0] >= least:
-            out.append((int(held[0]), int(held[-1]) + 1))
-    return out
+        first, last = int(held[0]), int(held[-1])
+        start, end = first, last + SHINGLE
+        if end - start < least + SHINGLE - 1:
+            start = min([start, *same(first, range(int(part[0]), first))])
+            end = max([end, *(k + 1 for k in same(last, range(end, int(part[-1]) + least + SHINGLE - 1)))])
+        if end - start >= least + SHINGLE - 1:
+            out.append((start, end))
+            ok[part] = True
+    return out, ok
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -212,15 +242,17 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
             sets = _shingles_once(batch, "doc0")
             part = []
             for doc0, shift, s, e in zip(*(batch.column(c).to_pylist() for c in ("doc0", "shift", "s", "e")), strict=True):
-                part.append(sets[doc0][max(0, s + shift - SHINGLE) : max(0, e + shift + SHINGLE)].tobytes())
+                part.append(_part(sets[doc0], s + shift - SHINGLE, e + shift + SHINGLE))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "doc0", "s", "e")), pa.array(part, pa.binary())], names=["doc", "doc0", "s", "e", "part"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             sets, out = _shingles_once(batch, "doc"), []
             for doc, doc0, s, e, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "doc0", "s", "e", "part")), strict=True):
-                for a, b in verified_stretches(sets[doc][s:e], np.frombuffer(part, np.uint32), least):
-                    out.append((doc, s + a, s + b + SHINGLE - 1, doc0))
+                hashes, words = sets[doc]
+                other, other_words = _parted(part)
+                for a, b in verified_stretches(hashes[s:e], other, least, words[s : e + SHINGLE - 1], other_words)[0]:
+                    out.append((doc, s + a, s + b, doc0))
             table = np.array(out, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(4)], names=["doc_id", "start", "end", "source"])
 

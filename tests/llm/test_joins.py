@@ -127,6 +127,15 @@ def test_passages(docs_of, words):
     assert substring_dedup.passage_report(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("place", [3, 48])
+def test_passage_with_an_edit_near_an_end(docs_of, words, place):
+    w = words(52, 71).split()
+    other = [*w[:place], "changed", *w[place + 1 :]]
+    texts = [" ".join([words(40, 72 + k), *x, words(40, 75 + k)]) for k, x in enumerate((w, other))]
+    rows = {r.doc_id: r for r in substring_dedup.passage_report(docs_of(texts)).collect()}
+    assert rows[1].component_id == 0 and rows[1].spans == "40:92"
+
+
 def test_cut_text():
     assert substring_dedup.cut_text("a b  c d", [(1, 3)]) == "a d" and substring_dedup.cut_text("a b", [(0, 2)]) == ""
 
