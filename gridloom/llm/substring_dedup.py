@@ -19,7 +19,10 @@ passage, and its ends are cut back to what both hold.
 
 Equal passages always share their keys. Of near-equal ones at the similarity
 itself, a single window's chance to share one is 1 - (1 - 0.8**2)**2, and rises
-with length and similarity.
+with length and similarity. An exact way covers the rest: a similar window of 46
+shingles has lost five at most, a changed word costs five of them and one put in or
+left out four, so 21 in a row are shared. Every 21 in a row hold a seed (eight in a
+row, the smallest by hash of their kind), and the seed is a key.
 
 Nulls, empty texts and texts under ``least`` shingles have no passages. Rows that
 share a doc_id are one document. A passage repeated within one document alone
@@ -43,6 +46,7 @@ from .words import SHINGLE, mix, shingles, word_hashes
 LEAST_WORDS = 50
 SIMILAR = 80  # in a hundred
 PAIRS = ((0, 1), (2, 3))  # hash functions whose minima make a key
+SEED = 8  # shingles of a seed
 _PLACE = np.uint64((1 << 28) - 1)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,8 +66,36 @@ def window_minima(values: np.ndarray, least: int) -> np.ndarray:
     return (np.minimum(after[: n - least + 1], before[least - 1 : n]) & _PLACE).astype(np.int64)
 
 
+def seed_reach(least: int, similar: int = SIMILAR) -> int:
+    """Shingles in a row that a similar window shares at least with the other text.
+
+    A break (a word changed, put in or left out) costs SHINGLE - 1 shingles or more.
+    """
+    lost = least - -(-2 * similar * least // (100 + similar))
+    return -(-(least - lost) // (lost // (SHINGLE - 1) + 1))
+
+
+def seeds(offsets: np.ndarray, hashes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(key, text, first start, starts, anchor) of seeds: any ``seed_reach`` shingles in a row hold one, chosen by its own hash alone."""
+    reach = seed_reach(least)
+    size = min(SEED, reach)
+    rolled = np.zeros(max(len(hashes) - size + 1, 0), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            rolled = mix(rolled + hashes[k : k + len(rolled)])
+    counts = np.diff(offsets)
+    text = np.repeat(np.arange(len(counts)), counts)
+    n = max(len(hashes) - reach + 1, 0)
+    inside = np.flatnonzero((text[:n] == text[reach - 1 :]) & (counts[text[:n]] >= least)) if n else np.zeros(0, np.int64)
+    at = np.unique(window_minima(rolled, reach - size + 1)[inside])
+    own = text[at]
+    place = at - offsets[own]
+    start = np.maximum(place - (least - size), 0)
+    return rolled[at], own, start, np.minimum(place + least, counts[own]) - start - least + 1, place
+
+
 def compact_windows(offsets: np.ndarray, hashes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(key, text, first start, starts, anchor) of the windows that share two functions' minima.
+    """(key, text, first start, starts, anchor) of the windows that share two functions' minima, or a seed.
 
     Places count from the text's first shingle.
     """
@@ -86,6 +118,7 @@ def compact_windows(offsets: np.ndarray, hashes: np.ndarray, least: int) -> tupl
                 key = mix(hashes[at[first]] * np.uint64(3) + mix(hashes[other[first]] + np.uint64(number)))
             own = text[inside[first]]
             out.append((key, own, inside[first] - offsets[own], size, at[first] - offsets[own]))
+        out.append(seeds(offsets, hashes, least))
     if not out:
         return tuple(np.zeros(0, np.uint64 if i == 0 else np.int64) for i in range(5))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridloom.llm import ann, jaccard_join, packing, substring_dedup, toxicity, warc
 from gridloom.llm.components import components
+from gridloom.llm.words import shingles as word_shingles
+from gridloom.llm.words import word_hashes
 
 ODD = [None, "", " \n", "a b", "A  B", "one two three four five", "x " * 4000]
 
@@ -136,6 +139,17 @@ def test_passage_with_an_edit_near_an_end(docs_of, words, place):
     assert rows[1].component_id == 0 and rows[1].spans == "40:92"
 
 
+def test_similar_windows_share_a_key(words):
+    """Planted passages of 50 words at J = 0.8: one word changed, put in or left out."""
+    assert substring_dedup.seed_reach(46) == 21
+    for k in range(150):
+        w, at = words(50, 7000 + k).split(), 5 + k % 40
+        other = [[*w[:at], "changed", *w[at + 1 :]], [*w[:at], "more", *w[at:-1]], [*w[:at], *w[at + 1 :], "end"]][k % 3]
+        texts = pa.array([" ".join([words(30, 8000 + 2 * k + i), *x, words(30, 9000 + 2 * k + i)]) for i, x in enumerate((w, other))])
+        key, own, *_ = substring_dedup.compact_windows(*word_shingles(*word_hashes(texts)), 46)
+        assert set(key[own == 0]) & set(key[own == 1]), k
+
+
 def test_cut_text():
     assert substring_dedup.cut_text("a b  c d", [(1, 3)]) == "a d" and substring_dedup.cut_text("a b", [(0, 2)]) == ""
 
