@@ -9,13 +9,15 @@ of the sliding windows of that length, and a node's share is a run of window
 starts. Joining the runs of two functions by overlap gives the subsequences that
 share both minima: their signature is a key.
 
-Windows of different documents with one key are candidates. Each meets the
-key's smallest document alone; a task does so among its own windows first and
+Windows of different documents with one key are candidates. Each first meets the
+key's smallest document; a task does so among its own windows first and
 sends on one window a key, so a passage that very many documents hold is neither
 one task nor a square of pairs. Candidates on one diagonal of a pair of
 documents join to intervals, which are verified shingle by shingle: a stretch of
 ``least`` shingles counts where it reaches the similarity with the other
-passage, and its ends are cut back to what both hold.
+passage, and its ends are cut back to what both hold. Windows that fail against
+their leader come together by key with all leaders of it, and are verified
+against one after another until one is similar; else they lead as well.
 
 Equal passages always share their keys. Of near-equal ones at the similarity
 itself, a single window's chance to share one is 1 - (1 - 0.8**2)**2, and rises
@@ -32,7 +34,9 @@ does not count. Other columns do not matter.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +136,11 @@ def _met(key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray,
 
 
 def _links(texts: DataFrame, least: int) -> DataFrame:
-    """(doc, start, size, doc0, shift): windows of ``doc`` that share a key with ``doc0``, whose places are ``shift`` further."""
-    schema = "part long, doc long, place long, doc0 long, shift long"
+    """(doc, s, e, doc0, shift, key, anchor): windows of ``doc`` that share a key with ``doc0``, whose places are ``shift`` further.
+
+    Without doc0: leaders of keys of more documents, and their own repeats.
+    """
+    schema = "part long, doc long, place long, doc0 long, shift long, key long"
 
     def pack(start, size, anchor):
         """One number for a window: its anchor, and its start and size, which are near."""
@@ -152,41 +159,52 @@ def _links(texts: DataFrame, least: int) -> DataFrame:
             link = ~new & (doc != doc[lead])
             doc0 = pa.array(doc[lead], mask=~link)
             part = np.where(link, mix(doc.view(np.uint64)), key).view(np.int64)
-            shift = np.where(link, anchor[lead] - anchor, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(doc), pa.array(place), doc0, pa.array(shift)], names=["part", "doc", "place", "doc0", "shift"])
+            # Of what is sent on, the shift says whether windows were linked to it here; part is the key.
+            led = np.zeros(len(key), np.int64)
+            led[lead[link]] = 1
+            shift = np.where(link, anchor[lead] - anchor, led)
+            own_key = np.where(link, key.view(np.int64), 0)
+            columns = [pa.array(part), pa.array(doc), pa.array(place), doc0, pa.array(shift), pa.array(own_key)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc", "place", "doc0", "shift", "key"])
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, int] | None = None  # key, leader, the leader's anchor
+        last: tuple | None = None  # key, leader, the leader's place, whether a task linked to it
         for batch in batches:
             if not batch.num_rows:
                 continue
             done = batch.column("doc0").is_valid().to_numpy(zero_copy_only=False)
             linked, lone = batch.filter(pa.array(done)), batch.filter(pa.array(~done))
-            key, doc, place = (lone.column(c).to_numpy() for c in ("part", "doc", "place"))
+            key, doc, place, led = (lone.column(c).to_numpy() for c in ("part", "doc", "place", "shift"))
             if last is not None:
-                key, doc, place = np.append(last[0], key), np.append(last[1], doc), np.append(last[2], place)
+                key, doc, place, led = (np.append(x, y) for x, y in zip(last, (key, doc, place, led), strict=True))
             new = np.concatenate(([True], np.diff(key) != 0)) if len(key) else np.zeros(0, bool)
             lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
             if len(key):
-                last = (key[-1], doc[lead[-1]], place[lead[-1]])
+                last = (key[-1], doc[lead[-1]], place[lead[-1]], led[lead[-1]])
             link = ~new & (doc != doc[lead])
-            found_doc = np.concatenate((doc[link], linked.column("doc").to_numpy()))
-            found_place = np.concatenate((place[link], linked.column("place").to_numpy()))
-            found_doc0 = np.concatenate((doc[lead][link], linked.column("doc0").to_numpy(zero_copy_only=False).astype(np.int64)))
-            found_shift = np.concatenate(((place[lead] >> 20)[link] - (place >> 20)[link], linked.column("shift").to_numpy()))
+            leads = ~new & ~link | led.astype(bool) & ~link
+            leads[lead[link]] = True
+            none = np.zeros(np.count_nonzero(leads), np.int64)
+            found = [np.concatenate(x).astype(np.int64) for x in (
+                (doc[link], linked.column("doc").to_numpy(), doc[leads]),
+                (place[link], linked.column("place").to_numpy(), place[leads]),
+                (doc[lead][link], linked.column("doc0").to_numpy(zero_copy_only=False), none),
+                ((place[lead] >> 20)[link] - (place >> 20)[link], linked.column("shift").to_numpy(), none),
+                (key[link], linked.column("key").to_numpy(), key[leads]),
+            )]
+            found_doc, found_place, found_doc0, found_shift, found_key = found
             start = (found_place >> 20) - (found_place >> 10 & 1023)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x.astype(np.int64)) for x in (found_doc, start, start + (found_place & 1023) - 1 + least, found_doc0, found_shift)],
-                names=["doc", "s", "e", "doc0", "shift"],
-            )
+            doc0 = pa.array(found_doc0, mask=np.arange(len(found_doc)) >= len(found_doc) - len(none))
+            columns = (found_doc, start, start + (found_place & 1023) - 1 + least, doc0, found_shift, found_key, found_place >> 20)
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["doc", "s", "e", "doc0", "shift", "key", "anchor"])
 
     windows = texts.mapInArrow(run, schema)
     dealt = windows.repartition("part").sortWithinPartitions("part", "doc", "place")
-    return dealt.mapInArrow(star, "doc long, s long, e long, doc0 long, shift long")
+    return dealt.mapInArrow(star, "doc long, s long, e long, doc0 long, shift long, key long, anchor long")
 
 
 def _intervals(links: DataFrame) -> DataFrame:
-    """(doc, doc0, shift, s, e): overlapping candidates of a pair of documents on one diagonal, joined."""
+    """(doc, doc0, shift, s, e, windows): overlapping candidates of a pair of documents on one diagonal, joined; key, s, e and anchor of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,12 +218,14 @@ def _intervals(links: DataFrame) -> DataFrame:
             apart = np.concatenate(([True], group[1:] * wide + s[1:] > reach[:-1]))
             first = np.flatnonzero(new | apart)
             end = np.append(first[1:], len(s)) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (doc[first], doc0[first], shift[first], s[first], reach[end] - group[end] * wide)], names=["doc", "doc0", "shift", "s", "e"]
-            )
+            rows = np.stack([batch.column("key").to_numpy(), s, e, batch.column("anchor").to_numpy()], axis=1)
+            bounds = (np.append(first, len(s)) * 32).astype(np.int32)
+            windows = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(rows))])
+            columns = [pa.array(x) for x in (doc[first], doc0[first], shift[first], s[first], reach[end] - group[end] * wide)]
+            yield pa.RecordBatch.from_arrays([*columns, windows], names=["doc", "doc0", "shift", "s", "e", "windows"])
 
     dealt = links.repartition("doc").sortWithinPartitions("doc", "doc0", "shift", "s")
-    return dealt.mapInArrow(run, "doc long, doc0 long, shift long, s long, e long")
+    return dealt.mapInArrow(run, "doc long, doc0 long, shift long, s long, e long, windows binary")
 
 
 def _shingles_once(batch: pa.RecordBatch, column: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -233,8 +253,8 @@ def verified_stretches(own: np.ndarray, other: np.ndarray, least: int, own_words
     """Stretches of words (from, to) of ``own`` whose windows of ``least`` shingles are similar to ``other``, and which windows those are.
 
     Ends are cut back to words that both hold: those of the outermost shared shingles, and
-    words beyond them that stand at the same place of the other passage, as they do where
-    a word near an end is changed. What is then shorter than a passage goes.
+    words beyond them, two in a row, that stand at the same place of the other passage, as
+    they do where a word near an end is changed; one alone may be chance. What is then shorter than a passage goes.
     """
     ok = np.zeros(max(len(own) - least + 1, 0), bool)
     if not len(ok):
@@ -247,9 +267,10 @@ def verified_stretches(own: np.ndarray, other: np.ndarray, least: int, own_words
     out: list[tuple[int, int]] = []
 
     def same(at: int, places: range) -> list[int]:
-        """Words of ``places`` that the other passage has at the same distance from the shingle ``at``."""
+        """Words of ``places``, two in a row, that the other passage has at the same distance from the shingle ``at``."""
         shift = int(np.flatnonzero(other == own[at])[0]) - at
-        return [k for k in places if 0 <= k + shift < len(other_words) and k < len(own_words) and own_words[k] == other_words[k + shift]]
+        found = {k for k in places if 0 <= k + shift < len(other_words) and k < len(own_words) and own_words[k] == other_words[k + shift]}
+        return [k for k in found if k - 1 in found or k + 1 in found]
 
     for part in np.split(starts, np.flatnonzero(np.diff(starts) > least) + 1) if len(starts) else []:
         held = np.flatnonzero(both[part[0] : part[-1] + least]) + part[0]
@@ -268,7 +289,8 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
     """(doc_id, start, end, source): words start to end of a document repeat a passage of ``source``, which has a smaller doc_id."""
     least = least_words - SHINGLE + 1
     texts = id_text(docs).where("doc_id is not null")
-    found = written(_intervals(_links(texts, least)), "intervals")
+    links = written(_links(texts, least), "links")
+    found = written(_intervals(links.where("doc0 is not null")), "intervals")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -276,23 +298,87 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
             part = []
             for doc0, shift, s, e in zip(*(batch.column(c).to_pylist() for c in ("doc0", "shift", "s", "e")), strict=True):
                 part.append(_part(sets[doc0], s + shift - SHINGLE, e + shift + SHINGLE))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "doc0", "s", "e")), pa.array(part, pa.binary())], names=["doc", "doc0", "s", "e", "part"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "doc0", "s", "e", "windows")), pa.array(part, pa.binary())], names=["doc", "doc0", "s", "e", "windows", "part"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            sets, out = _shingles_once(batch, "doc"), []
-            for doc, doc0, s, e, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "doc0", "s", "e", "part")), strict=True):
+            sets, out, failed = _shingles_once(batch, "doc"), [], [np.zeros((0, 5), np.int64)]
+            for doc, doc0, s, e, windows, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "doc0", "s", "e", "windows", "part")), strict=True):
                 hashes, words = sets[doc]
                 other, other_words = _parted(part)
-                for a, b in verified_stretches(hashes[s:e], other, least, words[s : e + SHINGLE - 1], other_words)[0]:
-                    out.append((doc, s + a, s + b, doc0))
+                stretches, ok = verified_stretches(hashes[s:e], other, least, words[s : e + SHINGLE - 1], other_words)
+                out += [(doc, s + a, s + b, doc0, 0) for a, b in stretches]
+                if not ok.all():
+                    sums = np.concatenate(([0], np.cumsum(ok)))
+                    key, start, end, anchor = np.frombuffer(windows, np.int64).reshape(-1, 4).T
+                    bad = sums[np.minimum(end - s - least + 1, len(ok))] == sums[np.minimum(start - s, len(ok))]
+                    failed.append(np.stack([np.broadcast_to(doc, len(key)), anchor, np.full(len(key), -1), np.broadcast_to(doc0, len(key)), key], axis=1)[bad])
+            table = np.concatenate((np.array(out, np.int64).reshape(-1, 5), *failed))
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(5)], names=["doc_id", "start", "end", "source", "key"])
+
+    sources = found.join(texts.withColumnRenamed("doc_id", "doc0"), "doc0").select("doc", "doc0", "shift", "s", "e", "windows", "text")
+    parts = sources.mapInArrow(cut, "doc long, doc0 long, s long, e long, windows binary, part binary")
+    both = parts.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "doc0", "s", "e", "windows", "part", "text")
+    met = written(both.mapInArrow(verify, "doc_id long, start long, end long, source long, key long"), "verified")
+    passages = met.where("end >= 0").select("doc_id", "start", "end", "source")
+    failed = met.where("end < 0").select("key", F.col("doc_id").alias("doc"), F.col("start").alias("anchor"), F.lit(1).alias("role"))
+    leaders = links.where("doc0 is null").select("key", "doc", "anchor", F.lit(0).alias("role"))
+    return passages.unionByName(_further(failed.unionByName(leaders).distinct(), texts, least))
+
+
+def _further(rows: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """Passages of windows (role 1) that failed against their leader: each meets the key's leaders (role 0) and earlier failed ones in turn."""
+    # A key's only leader and the one window that failed against it have met.
+    open_keys = rows.groupBy("key").agg(F.sum("role").alias("n_failed"), F.count("*").alias("n")).where("n_failed > 0 and n > 2").select("key")
+    asked = rows.join(open_keys, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "anchor", "role")).alias("asked"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            sets = _shingles_once(batch, "doc")
+            for doc, lists in zip(batch.column("doc").to_pylist(), batch.column("asked"), strict=True):
+                windows = lists.values
+                anchor = windows.field("anchor").to_numpy()
+                for k in range(0, len(anchor), 4096):
+                    some = anchor[k : k + 4096]
+                    place = np.maximum(some - least + 1 - SHINGLE, 0)
+                    parts = [_part(sets[doc], p, a + least + SHINGLE) for p, a in zip(place.tolist(), some.tolist(), strict=True)]
+                    columns = [windows.field("key")[k : k + 4096], pa.array(np.full(len(some), doc)), windows.field("role")[k : k + 4096], pa.array(some), pa.array(place), pa.array(parts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "role", "anchor", "place", "part"])
+
+    enough = -(-2 * SIMILAR * least // (100 + SIMILAR))
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, leaders, holders = None, [], {}
+        for batch in batches:
+            out = []
+            for key, doc, role, anchor, place, part in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "role", "anchor", "place", "part")), strict=True):
+                if key != now:
+                    now, leaders, holders = key, [], {}
+                hashes, words = _parted(part)
+                held = hashes.tolist()
+                if role:
+                    low = max(anchor - least + 1, 0) - place
+                    high = anchor + least - place
+                    own, own_words = hashes[low:high], words[low : high + SHINGLE - 1]
+                    shared = Counter(chain.from_iterable(holders.get(h, ()) for h in own.tolist()))
+                    done = False
+                    for i in sorted(i for i, n in shared.items() if n >= enough):
+                        doc0, other, other_words = leaders[i]
+                        if doc0 != doc and (stretches := verified_stretches(own, other, least, own_words, other_words)[0]):
+                            out += [(doc, place + low + a, place + low + b, doc0) for a, b in stretches]
+                            done = True
+                            break
+                    if done:
+                        continue
+                for h in set(held):
+                    holders.setdefault(h, []).append(len(leaders))
+                leaders.append((doc, hashes, words))
             table = np.array(out, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(4)], names=["doc_id", "start", "end", "source"])
 
-    sources = found.join(texts.withColumnRenamed("doc_id", "doc0"), "doc0").select("doc", "doc0", "shift", "s", "e", "text")
-    parts = sources.mapInArrow(cut, "doc long, doc0 long, s long, e long, part binary")
-    both = parts.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "doc0", "s", "e", "part", "text")
-    return both.mapInArrow(verify, "doc_id long, start long, end long, source long")
+    parts = asked.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "asked", "text").mapInArrow(cut, "key long, doc long, role int, anchor long, place long, part binary")
+    dealt = parts.repartition("key").sortWithinPartitions("key", "doc", "role", "anchor")
+    return dealt.mapInArrow(further, "doc_id long, start long, end long, source long")
 
 
 def spans_of(passages: DataFrame) -> DataFrame:

@@ -150,6 +150,21 @@ def test_similar_windows_share_a_key(words):
         assert set(key[own == 0]) & set(key[own == 1]), k
 
 
+def test_a_leader_that_is_not_similar_hides_no_repeat(docs_of, words):
+    """Documents before an exact repeat hold variants of it with words changed far apart."""
+    texts, pairs = [], []
+    for k in range(40):
+        w = words(50, 300 + k).split()
+        for at in ((8, 40), (16, 33), (2, 25, 47)):
+            variant = [f"other{i}" if i in at else x for i, x in enumerate(w)]
+            texts.append(" ".join([words(30, 4000 + len(texts)), *variant, words(30, 6000 + len(texts))]))
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join([words(30, 4000 + i), *w, words(30, 6000 + i)]) for i in pairs[-1]]
+    rows = {r.doc_id: r for r in substring_dedup.passage_report(docs_of(texts).coalesce(1)).collect()}
+    assert [rows[b].spans for _, b in pairs] == ["30:80"] * len(pairs)
+    assert all(rows[b].component_id == a for a, b in pairs)
+
+
 def test_cut_text():
     assert substring_dedup.cut_text("a b  c d", [(1, 3)]) == "a d" and substring_dedup.cut_text("a b", [(0, 2)]) == ""
 
