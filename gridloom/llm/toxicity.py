@@ -38,7 +38,6 @@ MOST_TERMS = 5000  # of the lexicon
 LEAST_EVIDENCE = 30.0  # G-squared of a term
 LEAST_RATIO = 6  # of a term's rates in toxic and clean texts
 DAMPED = 0.3  # of the expected rate of hits
-REPEATS = 3  # occurrences of one word that count
 STEMS = (4, 5, 6, 7, 8)  # letters of word beginnings
 ID_BITS = 1 << 24
 COUNTS = ("toxic", "clean", "toxic_words", "clean_words")
@@ -351,7 +350,7 @@ class Scorer:
             sums.setdefault(d, {}).setdefault(index[i], []).append(value)
         out = self.lexicon.base - self.lexicon.rate * np.diff(offsets)
         for d, own in sums.items():
-            out[d] += sum(sum(sorted(values)[-REPEATS:]) for values in own.values())
+            out[d] += sum(sum(values) for values in own.values())
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
     @staticmethod

@@ -222,6 +222,11 @@ def test_toxicity(spark, docs_of, words):
     assert [r.score for r in none] == [0.5, 0.5]
 
 
+def test_long_toxic_texts_keep_all_their_hits():
+    scorer = toxicity.Scorer(toxicity.Lexicon(words={"idiot": 8.0}, base=-2.0, rate=0.005))
+    assert (scorer.score(pa.array(["a b idiot c d " * n for n in (1, 20, 2000)])) > 0.7).all()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abcd", min_size=1, max_size=9))
 def test_matcher_is_levenshtein(word):
