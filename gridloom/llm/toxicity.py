@@ -262,8 +262,19 @@ def _evidence(yes, no, all_yes: int, all_no: int):
     return F.when(yes > expected_yes, 2 * (part(yes, expected_yes) + part(no, expected_no))).otherwise(0.0)
 
 
+def _strong(counts: np.ndarray, total, words_yes: int, words_no: int) -> bool:
+    """Whether COUNTS of a beginning are evidence enough."""
+    yes, no, toxic_words, clean_words = counts.tolist()
+    share = total["toxic"] / (total["toxic"] + total["clean"])
+    expected = (yes + no) * share
+    if yes <= expected or toxic_words / words_yes < LEAST_RATIO * clean_words / words_no:
+        return False
+    g = 2 * (yes * math.log(yes / expected) + (no * math.log(no / (yes + no - expected)) if no else 0.0))
+    return 0.95 * g >= LEAST_EVIDENCE
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """The lexicon of all training documents; at most MOST_TERMS candidate terms come to the driver."""
+    """The lexicon of all training documents: at most MOST_TERMS terms, none of them covered by a chosen beginning."""
     counts = written(word_counts(docs, labels), "toxic-words")
     total = counts.where("term is null").first()
     if total is None or not total["toxic"] or not total["clean"]:
@@ -280,12 +291,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     strong = strong.where(F.col("toxic_words") / words_yes >= LEAST_RATIO * F.col("clean_words") / words_no)
     out = Lexicon(base=math.log(total["toxic"] / total["clean"]))
     rate = 0.0
-    for r in strong.orderBy(F.desc("g"), "kind", "word").limit(MOST_TERMS).collect():
+    # Occurrences and documents of chosen terms, by the beginnings that cover them.
+    taken: dict[str, np.ndarray] = {}
+    for r in strong.orderBy(F.desc("g"), "kind", "word").toLocalIterator():
+        if len(out.words) + len(out.stems) >= MOST_TERMS:
+            break
         term = r["word"]
-        if any(t.startswith(term) or term.startswith(t) for t in (*out.words, *out.stems)):
+        heads = [term[:k] for k in STEMS if k < len(term)]
+        if any(h in out.stems for h in heads):
             continue
-        (out.words if r["kind"] == "0" else out.stems)[term] = weight(r["toxic_words"], r["clean_words"])
-        rate += max(0.0, r["toxic_words"] / words_yes - r["clean_words"] / words_no)
+        own = np.array([r[c] for c in COUNTS])
+        if r["kind"] != "0":
+            # A beginning stands for what no longer term has said.
+            own = np.maximum(own - taken.get(term, 0), 0)
+            if not _strong(own, total, words_yes, words_no):
+                continue
+        for h in heads:
+            taken[h] = taken.get(h, 0) + own
+        toxic_words, clean_words = own[2:].tolist()
+        (out.words if r["kind"] == "0" else out.stems)[term] = weight(toxic_words, clean_words)
+        rate += max(0.0, toxic_words / words_yes - clean_words / words_no)
     out.rate = DAMPED * rate
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -222,6 +222,21 @@ def test_toxicity(spark, docs_of, words):
     assert [r.score for r in none] == [0.5, 0.5]
 
 
+def test_longer_words_stay_beside_shorter_ones(spark, docs_of, words):
+    texts = []
+    for i in range(600):
+        w = words(60, 20_000 + i).split()
+        if i % 2:
+            w[20:20] = ["qud"] if i % 3 else ["qudhole"]
+        texts.append(" ".join(w))
+    texts.append(words(40, 30_000) + " qudhole " + words(20, 30_001))
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(600)], "doc_id long, quality int, toxic int")
+    docs = docs_of(texts)
+    lexicon = toxicity.learn(docs, marks)
+    assert {"qud", "qudhole"} <= set(lexicon.words) and not lexicon.stems
+    assert {r.doc_id: r.predicted for r in toxicity.scored(docs, lexicon).collect()}[600] == 1
+
+
 def test_long_toxic_texts_keep_all_their_hits():
     scorer = toxicity.Scorer(toxicity.Lexicon(words={"idiot": 8.0}, base=-2.0, rate=0.005))
     assert (scorer.score(pa.array(["a b idiot c d " * n for n in (1, 20, 2000)])) > 0.7).all()
