@@ -1,57 +1,60 @@
 """Substring dedup: near-duplicate passages by compact windows.
 
-A text is the sequence of its 5-word shingles; each of a few hash functions
-orders them. In the Cartesian tree of one function's values, a node is the
-minimum of every subsequence within its span that holds it: one compact window
-(left end, node, right end) stands for all of them. Passages have ``least``
-shingles or more, so only nodes that span as many matter; these are the minima
-of the sliding windows of that length, and a node's share is a run of window
-starts. Joining the runs of two functions by overlap gives the subsequences that
-share both minima: their signature is a key.
-
-Windows of different documents with one key are candidates. Each first meets the
-key's smallest document; a task does so among its own windows first and
-sends on one window a key, so a passage that very many documents hold is neither
-one task nor a square of pairs. Candidates on one diagonal of a pair of
-documents join to intervals, which are verified shingle by shingle: a stretch of
-``least`` shingles counts where it reaches the similarity with the other
-passage, and its ends are cut back to what both hold. Windows that fail against
-their leader come together by key with all leaders of it, and are verified
-against one after another until one is similar; else they lead as well.
-
-Equal passages always share their keys. Of near-equal ones at the similarity
-itself, a single window's chance to share one is 1 - (1 - 0.8**2)**2, and rises
-with length and similarity. An exact way covers the rest: a similar window of 46
-shingles has lost five at most, a changed word costs five of them and one put in or
-left out four, so 21 in a row are shared. Every 21 in a row hold a seed (eight in a
-row, the smallest by hash of their kind), and the seed is a key.
+A text is the sequence of its 5-word shingles; hash functions order them. In the
+Cartesian tree of one function's values, a node is the minimum of every subsequence
+within its span that holds it: one compact window (left end, node, right end) stands
+for all of them. The nodes that span ``t`` places or more are the minima of the
+sliding windows of that length, and are found as such, without the rest of the tree;
+a run of equal shingles is one node. Joining the windows of two functions by overlap
+gives the subsequences of ``t`` shingles that share both minima: their signature, the
+two shingles and their distance, is a key.
+
+How short windows must be so that no similar passage is missed follows from the
+similarity: a stretch of ``least`` shingles that is similar has lost five at most (of
+46, at 0.8), a word changed, put in or left out costs four or more, so 21 in a row
+are shared. With t = 21 all functions agree on some window of them: every similar
+pair of passages has a key in common, by rule and not by chance.
+
+1. Windows of different documents with one key are candidates. Each meets the key's
+   leader, the first window of its smallest document. Tasks combine their own windows
+   of a key before the shuffle and send on one document's alone; the rest learn the
+   leader from that one, so results do not depend on how rows are dealt.
+2. Candidates of a pair of documents join to intervals by place and diagonal. The
+   leader's words there, cut from its text once, meet the document's own text and are
+   verified shingle by shingle (by hashes of 32 bits a word): a stretch of ``least``
+   shingles counts where it reaches the similarity, and its ends are cut back to what
+   both hold.
+3. A window that neither its leader nor another passage covers meets all windows of
+   its key by their words: shingles that several documents of the key hold bound the
+   overlap, what reaches the bound is verified. One similar passage of a smaller
+   document, and one of each class not linked yet, is enough.
 
 Nulls, empty texts and texts under ``least`` shingles have no passages. Rows that
-share a doc_id are one document. A passage repeated within one document alone
-does not count. Other columns do not matter.
+share a doc_id are one document, with the largest of their texts. A passage repeated
+within one document alone does not count. Other columns do not matter.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import id_text, slices, written
+from .shared import give_back, id_text, remove, slices, written
 from .words import SHINGLE, mix, shingles, word_hashes
 
 LEAST_WORDS = 50
 SIMILAR = 80  # in a hundred
-PAIRS = ((0, 1), (2, 3))  # hash functions whose minima make a key
-SEED = 8  # shingles of a seed
+SLICE = 2 << 20  # bytes of text whose windows are made at once
+MANY = 50_000  # windows that meet a leader in one task
 _PLACE = np.uint64((1 << 28) - 1)
+_WIDE = 28  # bits of a window's width
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -70,315 +73,473 @@ def window_minima(values: np.ndarray, least: int) -> np.ndarray:
     return (np.minimum(after[: n - least + 1], before[least - 1 : n]) & _PLACE).astype(np.int64)
 
 
-def seed_reach(least: int, similar: int = SIMILAR) -> int:
-    """Shingles in a row that a similar window shares at least with the other text.
+def shared_at_least(least: int, similar: int = SIMILAR) -> int:
+    """Shingles of ``least`` that a similar stretch has in common: equal sizes, so J = i / (2 n - i)."""
+    return -(-2 * similar * least // (100 + similar))
 
-    A break (a word changed, put in or left out) costs SHINGLE - 1 shingles or more.
-    """
-    lost = least - -(-2 * similar * least // (100 + similar))
-    return -(-(least - lost) // (lost // (SHINGLE - 1) + 1))
 
+def shared_in_a_row(least: int, similar: int = SIMILAR) -> int:
+    """Shingles in a row that a similar stretch shares at least.
 
-def seeds(offsets: np.ndarray, hashes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(key, text, first start, starts, anchor) of seeds: any ``seed_reach`` shingles in a row hold one, chosen by its own hash alone."""
-    reach = seed_reach(least)
-    size = min(SEED, reach)
-    rolled = np.zeros(max(len(hashes) - size + 1, 0), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(size):
-            rolled = mix(rolled + hashes[k : k + len(rolled)])
-    counts = np.diff(offsets)
-    text = np.repeat(np.arange(len(counts)), counts)
-    n = max(len(hashes) - reach + 1, 0)
-    inside = np.flatnonzero((text[:n] == text[reach - 1 :]) & (counts[text[:n]] >= least)) if n else np.zeros(0, np.int64)
-    at = np.unique(window_minima(rolled, reach - size + 1)[inside])
-    own = text[at]
-    place = at - offsets[own]
-    start = np.maximum(place - (least - size), 0)
-    return rolled[at], own, start, np.minimum(place + least, counts[own]) - start - least + 1, place
+    A break (a word changed, put in or left out) costs SHINGLE - 1 shingles or more.
+    """
+    enough = shared_at_least(least, similar)
+    return -(-enough // ((least - enough) // (SHINGLE - 1) + 1))
 
 
 def compact_windows(offsets: np.ndarray, hashes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(key, text, first start, starts, anchor) of the windows that share two functions' minima, or a seed.
+    """(key, text, start, end) of the windows that share two functions' minima.
 
-    Places count from the text's first shingle.
+    Start and end enclose both minima; places count from the text's first shingle.
     """
-    n = len(hashes)
+    t = shared_in_a_row(least)
     counts = np.diff(offsets)
     text = np.repeat(np.arange(len(counts)), counts)
-    out: list[tuple[np.ndarray, ...]] = []
-    if n >= least:
-        inside = np.flatnonzero(text[: n - least + 1] == text[least - 1 :])
-        minima = {}
-        for j in sorted({j for pair in PAIRS for j in pair}):
-            minima[j] = window_minima(mix(hashes ^ np.uint64(0xA5A5A5A5 * (j + 1))), least)[inside]
-        for number, (a, b) in enumerate(PAIRS):
-            at, other = minima[a], minima[b]
-            # Runs of starts: within one text, one minimum of either function.
-            new = np.concatenate(([True], (np.diff(at) != 0) | (np.diff(other) != 0) | (np.diff(inside) != 1))) if len(at) else np.zeros(0, bool)
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(at)))
-            with np.errstate(over="ignore"):
-                key = mix(hashes[at[first]] * np.uint64(3) + mix(hashes[other[first]] + np.uint64(number)))
-            own = text[inside[first]]
-            out.append((key, own, inside[first] - offsets[own], size, at[first] - offsets[own]))
-        out.append(seeds(offsets, hashes, least))
-    if not out:
-        return tuple(np.zeros(0, np.uint64 if i == 0 else np.int64) for i in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    n = len(hashes) - t + 1
+    inside = np.flatnonzero((text[:n] == text[t - 1 :]) & (counts[text[:n]] >= least)) if n > 0 else np.zeros(0, np.int64)
+    if not len(inside):
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])))
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    after = np.append(first[1:], len(hashes))
+    a, b = (run[window_minima(mix(hashes ^ np.uint64(0xA5A5A5A5 * (j + 1))), t)[inside]] for j in range(2))
+    # Runs of starts: within one text, one minimum of either function.
+    own = text[inside]
+    changed = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(own) != 0))))
+    a, b, own = a[changed], b[changed], own[changed]
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    apart = np.where(a < b, 1, -1) * (first[high] - after[low] + 1) * (a != b)
+    with np.errstate(over="ignore"):
+        key = mix(hashes[first[a]] * np.uint64(3) + mix(hashes[first[b]] + np.uint64(7)) + apart.view(np.uint64))
+    return key, own, first[low] - offsets[own], after[high] - offsets[own]
 
 
-def _met(key: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray):
-    """In order of key and document: (order, whether first of its key, place of its key's first)."""
-    order = np.lexsort((start, doc, key))
-    new = np.concatenate(([True], np.diff(key[order]) != 0)) if len(order) else np.zeros(0, bool)
-    return order, new, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
+def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
-def _links(texts: DataFrame, least: int) -> DataFrame:
-    """(doc, s, e, doc0, shift, key, anchor): windows of ``doc`` that share a key with ``doc0``, whose places are ``shift`` further.
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[i], starts[i] + 1, ... of sizes[i] each, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
-    Without doc0: leaders of keys of more documents, and their own repeats.
-    """
-    schema = "part long, doc long, place long, doc0 long, shift long, key long"
 
-    def pack(start, size, anchor):
-        """One number for a window: its anchor, and its start and size, which are near."""
-        return anchor << 20 | (anchor - start) << 10 | size
+def _one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id and text of each document, and, where ids occur in several rows, these ids and a sign of the text that counts)."""
+    texts = id_text(docs).where("doc_id is not null")
+    again = texts.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return texts, None
+    chosen = written(texts.join(again, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")), "chosen")
+    rest = texts.join(chosen.select("doc_id"), "doc_id", "left_anti")
+    return rest.unionByName(chosen), chosen.select("doc_id", F.sha2("text", 256).alias("sign"))
+
+
+def _links(texts: DataFrame, least: int) -> DataFrame:
+    """(key, doc, place, doc0, place0): windows and their key's leader, the first window of another document; without doc0: the leader's repeats."""
+    schema = "part long, key long, doc long, place long, doc0 long, place0 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            offsets, hashes = shingles(*word_hashes(batch.column("text")))
-            ids = batch.column("doc_id").to_numpy()
-            key, own, start, size, anchor = compact_windows(offsets, hashes, least)
-            doc = ids[own]
-            order, new, lead = _met(key, doc, start, size, anchor)
-            key, doc, start, size, anchor = (x[order] for x in (key, doc, start, size, anchor))
-            place = pack(start, size, anchor)
-            # The leader's own repeats go with it: they may meet another document there.
-            link = ~new & (doc != doc[lead])
-            doc0 = pa.array(doc[lead], mask=~link)
-            part = np.where(link, mix(doc.view(np.uint64)), key).view(np.int64)
-            # Of what is sent on, the shift says whether windows were linked to it here; part is the key.
-            led = np.zeros(len(key), np.int64)
-            led[lead[link]] = 1
-            shift = np.where(link, anchor[lead] - anchor, led)
-            own_key = np.where(link, key.view(np.int64), 0)
-            columns = [pa.array(part), pa.array(doc), pa.array(place), doc0, pa.array(shift), pa.array(own_key)]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "doc", "place", "doc0", "shift", "key"])
+        for batch in slices(batches, "text", SLICE):
+            key, own, start, end = compact_windows(*shingles(*word_hashes(batch.column("text"))), least)
+            doc, place = batch.column("doc_id").to_numpy()[own], start << _WIDE | end - start
+            order = np.lexsort((place, doc, key))
+            key, doc, place = key[order].view(np.int64), doc[order], place[order]
+            lead = np.maximum.accumulate(np.where(np.diff(key, prepend=~key[:1]) != 0, np.arange(len(key)), 0))
+            # Windows of further documents stay out of the key's task; they go by the leader that they have here.
+            held = doc != doc[lead]
+            part = np.where(held, mix(key.view(np.uint64) + mix(doc[lead].view(np.uint64))).view(np.int64), key)
+            yield _batch({"part": part, "key": key, "doc": doc, "place": place, "doc0": pa.array(doc[lead], mask=~held), "place0": pa.array(place[lead], mask=~held)})
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # key, leader, the leader's place, whether a task linked to it
+        """Rows of a key in order of documents: the first leads; windows with a leader from before pass."""
+        last: tuple | None = None  # key, document and place of the leader
         for batch in batches:
             if not batch.num_rows:
                 continue
-            done = batch.column("doc0").is_valid().to_numpy(zero_copy_only=False)
-            linked, lone = batch.filter(pa.array(done)), batch.filter(pa.array(~done))
-            key, doc, place, led = (lone.column(c).to_numpy() for c in ("part", "doc", "place", "shift"))
+            held = batch.column("doc0").is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(held)).select(["key", "doc", "place", "doc0", "place0"]).append_column("held", pa.array(np.ones(held.sum(), bool)))
+            rows = batch.filter(pa.array(~held))
+            key, doc, place = (rows.column(c).to_numpy() for c in ("key", "doc", "place"))
             if last is not None:
-                key, doc, place, led = (np.append(x, y) for x, y in zip(last, (key, doc, place, led), strict=True))
-            new = np.concatenate(([True], np.diff(key) != 0)) if len(key) else np.zeros(0, bool)
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
-            if len(key):
-                last = (key[-1], doc[lead[-1]], place[lead[-1]], led[lead[-1]])
-            link = ~new & (doc != doc[lead])
-            leads = ~new & ~link | led.astype(bool) & ~link
-            leads[lead[link]] = True
-            none = np.zeros(np.count_nonzero(leads), np.int64)
-            found = [np.concatenate(x).astype(np.int64) for x in (
-                (doc[link], linked.column("doc").to_numpy(), doc[leads]),
-                (place[link], linked.column("place").to_numpy(), place[leads]),
-                (doc[lead][link], linked.column("doc0").to_numpy(zero_copy_only=False), none),
-                ((place[lead] >> 20)[link] - (place >> 20)[link], linked.column("shift").to_numpy(), none),
-                (key[link], linked.column("key").to_numpy(), key[leads]),
-            )]
-            found_doc, found_place, found_doc0, found_shift, found_key = found
-            start = (found_place >> 20) - (found_place >> 10 & 1023)
-            doc0 = pa.array(found_doc0, mask=np.arange(len(found_doc)) >= len(found_doc) - len(none))
-            columns = (found_doc, start, start + (found_place & 1023) - 1 + least, doc0, found_shift, found_key, found_place >> 20)
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["doc", "s", "e", "doc0", "shift", "key", "anchor"])
-
-    windows = texts.mapInArrow(run, schema)
-    dealt = windows.repartition("part").sortWithinPartitions("part", "doc", "place")
-    return dealt.mapInArrow(star, "doc long, s long, e long, doc0 long, shift long, key long, anchor long")
-
-
-def _intervals(links: DataFrame) -> DataFrame:
-    """(doc, doc0, shift, s, e, windows): overlapping candidates of a pair of documents on one diagonal, joined; key, s, e and anchor of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+                key, doc, place = (np.append(np.int64(x), y) for x, y in zip(last, (key, doc, place), strict=True))
+            if not len(key):
                 continue
-            doc, doc0, shift, s, e = (batch.column(c).to_numpy() for c in ("doc", "doc0", "shift", "s", "e"))
-            new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(doc0) != 0) | (np.diff(shift) != 0)))
-            group = np.cumsum(new)
-            wide = int(e.max()) + 1
-            reach = np.maximum.accumulate(group * wide + e)
-            apart = np.concatenate(([True], group[1:] * wide + s[1:] > reach[:-1]))
-            first = np.flatnonzero(new | apart)
-            end = np.append(first[1:], len(s)) - 1
-            rows = np.stack([batch.column("key").to_numpy(), s, e, batch.column("anchor").to_numpy()], axis=1)
-            bounds = (np.append(first, len(s)) * 32).astype(np.int32)
-            windows = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(rows))])
-            columns = [pa.array(x) for x in (doc[first], doc0[first], shift[first], s[first], reach[end] - group[end] * wide)]
-            yield pa.RecordBatch.from_arrays([*columns, windows], names=["doc", "doc0", "shift", "s", "e", "windows"])
-
-    dealt = links.repartition("doc").sortWithinPartitions("doc", "doc0", "shift", "s")
-    return dealt.mapInArrow(run, "doc long, doc0 long, shift long, s long, e long, windows binary")
-
-
-def _shingles_once(batch: pa.RecordBatch, column: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Shingle hashes and word hashes (32 bits) of each document of the batch, by doc id."""
-    ids = batch.column(column).to_numpy()
-    distinct, first = np.unique(ids, return_index=True)
-    at, words = word_hashes(batch.column("text").take(pa.array(first)))
-    offsets, hashes = shingles(at, words)
-    hashes, words = hashes.astype(np.uint32), words.astype(np.uint32)
-    return {int(d): (hashes[offsets[i] : offsets[i + 1]], words[at[i] : at[i + 1]]) for i, d in enumerate(distinct)}
-
-
-def _part(text: tuple[np.ndarray, np.ndarray], start: int, end: int) -> bytes:
-    """Shingles start to end of a text and their words: one after the other."""
-    hashes, words = (x[max(0, start) : max(0, y)] for x, y in zip(text, (end, end + SHINGLE - 1), strict=True))
-    return np.uint32(len(hashes)).tobytes() + hashes.tobytes() + words.tobytes()
-
-
-def _parted(part: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(part, np.uint32)
-    return both[1 : 1 + both[0]], both[1 + both[0] :]
-
-
-def verified_stretches(own: np.ndarray, other: np.ndarray, least: int, own_words: np.ndarray, other_words: np.ndarray, similar: int = SIMILAR) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Stretches of words (from, to) of ``own`` whose windows of ``least`` shingles are similar to ``other``, and which windows those are.
-
-    Ends are cut back to words that both hold: those of the outermost shared shingles, and
-    words beyond them, two in a row, that stand at the same place of the other passage, as
-    they do where a word near an end is changed; one alone may be chance. What is then shorter than a passage goes.
+            new = np.diff(key, prepend=~key[:1]) != 0
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            # A key's own repeats of its leader count only beside other documents; the next batch may hold those.
+            other = doc != doc[lead]
+            met = np.zeros(len(key), bool)
+            met[lead[other]] = True
+            met[lead[-1]] = True
+            keep = other | (met[lead] & (np.arange(len(key)) != lead))
+            if last is not None:
+                keep[0] = False
+            last = (key[-1], doc[lead[-1]], place[lead[-1]])
+            doc0, place0 = pa.array(doc[lead][keep], mask=~other[keep]), pa.array(place[lead][keep], mask=~other[keep])
+            yield _batch({"key": key[keep], "doc": doc[keep], "place": place[keep], "doc0": doc0, "place0": place0, "held": np.zeros(keep.sum(), bool)})
+
+    dealt = texts.mapInArrow(run, schema).repartition("part").sortWithinPartitions("part", "key", "doc", "place")
+    rows = written(dealt.mapInArrow(star, "key long, doc long, place long, doc0 long, place0 long, held boolean"), "windows")
+    done, held = rows.where("not held").drop("held"), rows.where("held").drop("held")
+    leaders = done.where("doc0 is not null").select("key", F.col("doc").alias("doc0"), F.col("place").alias("place0"), F.col("doc0").alias("first"), F.col("place0").alias("first_place"))
+    found = held.join(leaders, ["key", "doc0", "place0"], "left")
+    first = found.select("key", "doc", "place", F.coalesce("first", "doc0").alias("doc0"), F.when(F.col("first").isNull(), F.col("place0")).otherwise(F.col("first_place")).alias("place0"))
+    links = written(done.unionByName(first), "links")
+    remove(rows.sparkSession, rows)
+    return links
+
+
+def _with_texts(texts: DataFrame, rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` (with an id) and the texts of their ids, dealt by id and salt: each text (kind 0) comes before its rows, once."""
+    names = [c for c in rows.columns if c not in ("id", "salt")]
+    rows = rows.withColumns({"kind": F.lit(1), "text": F.lit(None).cast("string")})
+    if "salt" in texts.columns:
+        both, by = rows.unionByName(texts.withColumn("kind", F.lit(0)), allowMissingColumns=True), ("id", "salt")
+    else:
+        both, by = rows.unionByName(texts.select(F.col("doc_id").alias("id"), F.lit(0).alias("kind"), "text"), allowMissingColumns=True), ("id",)
+    return both.repartition(*by).sortWithinPartitions(*by, "kind", *order).select("id", "kind", *names, "text")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], same: tuple[str, ...]) -> Iterator[tuple[dict[int, np.ndarray], pa.Table]]:
+    """Of rows in order: (32-bit hashes of the words of the texts asked for, by id; the rows that ask). Rows that agree in ``same`` stay together."""
+    held: list[pa.RecordBatch] = []
+    text: pa.Table | None = None  # of the last id
+    ended = False
+
+    def out(rows: pa.Table) -> tuple[dict[int, np.ndarray], pa.Table]:
+        nonlocal text
+        asks = rows.filter(pc.equal(rows.column("kind"), 1)).drop_columns(["text"]).combine_chunks()
+        texts = rows.filter(pc.equal(rows.column("kind"), 0)).select(["id", "text"])
+        texts = texts if text is None else pa.concat_tables([text, texts])
+        text = texts.slice(texts.num_rows - 1) if texts.num_rows else None
+        words: dict[int, np.ndarray] = {}
+        texts = texts.filter(pc.is_in(texts.column("id"), pc.unique(asks.column("id")))).combine_chunks()
+        for part in slices(iter(texts.to_batches()), "text", SLICE):
+            at, hashes = word_hashes(part.column("text"))
+            hashes = hashes.astype(np.uint32)
+            words |= {i: hashes[a:b] for i, a, b in zip(part.column("id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        return words, asks
+
+    while not ended:
+        batch = next(batches, None)
+        ended = batch is None
+        if not ended and batch.num_rows:
+            held.append(batch)
+        if not held or not ended and sum(b.nbytes for b in held) < 2 << 20:
+            continue
+        rows = pa.Table.from_batches(held)
+        stop = rows.num_rows
+        if not ended:
+            # The last group may go on in the next batch; it is one document's at most.
+            last = np.ones(stop, bool)
+            for name in same:
+                column = pc.fill_null(rows.column(name), -1).to_numpy()
+                last &= column == column[-1]
+            stop = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
+        if stop:
+            yield out(rows.slice(0, stop))
+        held = rows.slice(stop).to_batches()
+    give_back()
+
+
+def _intervals(pair: np.ndarray, start: np.ndarray, end: np.ndarray, start0: np.ndarray, end0: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(interval of each candidate, and pair, from, to, from0, to0 of each interval) of candidates in order of pair and start.
+
+    Shingles from:to hold all stretches of ``least`` with a candidate in them, from0:to0 what such a stretch can be similar to.
+    """
+    low, high = start - (least - 1), end + (least - 1)
+    shift = start0 - start
+    reach = np.maximum.accumulate(pair * (1 << 40) + high)
+    lost = least - shared_at_least(least)
+    new = np.concatenate(([True], (np.diff(pair) != 0) | (pair[1:] * (1 << 40) + low[1:] > reach[:-1]) | (np.abs(np.diff(shift)) > lost)))
+    first = np.flatnonzero(new)
+    low, high = np.maximum(low[first], 0), np.maximum.reduceat(high, first)
+    low0 = np.minimum.reduceat(start0, first) - (least - 1) - lost
+    high0 = np.maximum.reduceat(end0, first) + (least - 1) + lost
+    return np.cumsum(new) - 1, pair[first], low, high, np.maximum(low0, 0), high0
+
+
+def similar_stretches(own: np.ndarray, bounds: np.ndarray, other: np.ndarray, bounds0: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of sequences of words, own[bounds[i]:bounds[i + 1]] and other alike: (pair, from, to).
+
+    from:to are words of own, from a sequence's first, where it holds a passage similar
+    to one of the other. Ends are cut back to words that both hold: those of the
+    outermost shared shingles, and words beyond them, two in a row, that stand at the same
+    place of the other passage, as they do where a word near an end is changed; one alone
+    may be chance. What is then shorter than a passage goes.
     """
-    ok = np.zeros(max(len(own) - least + 1, 0), bool)
-    if not len(ok):
-        return [], ok
-    both = np.isin(own, other)
+    lost = SHINGLE - 1
+    sizes = np.maximum(np.diff(bounds) - lost, 0)
+    sizes0 = np.maximum(np.diff(bounds0) - lost, 0)
+    rolled, rolled0 = (_rolled(x) for x in (own, other))
+    at, at0 = _flat(bounds[:-1], sizes), _flat(bounds0[:-1], sizes0)
+    pair, pair0 = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes0)), sizes0)
+    with np.errstate(over="ignore"):
+        mine = rolled[at] + mix(pair.astype(np.uint64))
+        theirs = np.unique(rolled0[at0] + mix(pair0.astype(np.uint64)))
+    both = np.zeros(len(own) + 1, bool)
+    if len(theirs):
+        both[at] = theirs[np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)] == mine
     sums = np.concatenate(([0], np.cumsum(both)))
-    # Equal sizes: J = i / (2 n - i) >= t needs i (1 + t) >= 2 t n.
-    good = (sums[least:] - sums[:-least]) * (100 + similar) >= 2 * similar * least
-    starts = np.flatnonzero(good)
-    out: list[tuple[int, int]] = []
-
-    def same(at: int, places: range) -> list[int]:
-        """Words of ``places``, two in a row, that the other passage has at the same distance from the shingle ``at``."""
-        shift = int(np.flatnonzero(other == own[at])[0]) - at
-        found = {k for k in places if 0 <= k + shift < len(other_words) and k < len(own_words) and own_words[k] == other_words[k + shift]}
-        return [k for k in found if k - 1 in found or k + 1 in found]
-
-    for part in np.split(starts, np.flatnonzero(np.diff(starts) > least) + 1) if len(starts) else []:
-        held = np.flatnonzero(both[part[0] : part[-1] + least]) + part[0]
-        first, last = int(held[0]), int(held[-1])
-        start, end = first, last + SHINGLE
-        if end - start < least + SHINGLE - 1:
-            start = min([start, *same(first, range(int(part[0]), first))])
-            end = max([end, *(k + 1 for k in same(last, range(end, int(part[-1]) + least + SHINGLE - 1)))])
-        if end - start >= least + SHINGLE - 1:
-            out.append((start, end))
-            ok[part] = True
-    return out, ok
+    starts = _flat(bounds[:-1], np.maximum(sizes - least + 1, 0))
+    good = starts[sums[starts + least] - sums[starts] >= shared_at_least(least)]
+    table = np.zeros((0, 3), np.int64)
+    if len(good):
+        owner = np.searchsorted(bounds, good, side="right") - 1
+        first = np.flatnonzero(np.concatenate(([True], (np.diff(good) > least) | (np.diff(owner) != 0))))
+        last = np.append(first[1:], len(good)) - 1
+        held = np.flatnonzero(both)
+        a = held[np.searchsorted(held, good[first])]
+        b = held[np.searchsorted(held, good[last] + least) - 1] + SHINGLE
+        for i in np.flatnonzero(b - a < least + lost).tolist():
+            p, low, high = int(owner[first[i]]), int(good[first[i]]), int(good[last[i]])
+            hashes0 = rolled0[bounds0[p] : max(bounds0[p + 1] - lost, bounds0[p])]
+
+            def same(place: int, places: range) -> list[int]:
+                """Words of ``places``, two in a row, that the other passage has at the same distance from the shingle at ``place``."""
+                shift = int(np.flatnonzero(hashes0 == rolled[place])[0]) + int(bounds0[p]) - place
+                found = {k for k in places if bounds0[p] <= k + shift < bounds0[p + 1] and k < bounds[p + 1] and own[k] == other[k + shift]}
+                return [k for k in found if k - 1 in found or k + 1 in found]
+
+            end = int(b[i])
+            b[i] = max([end, *(k + 1 for k in same(end - SHINGLE, range(end, high + least + lost)))])
+            a[i] = min([int(a[i]), *same(int(a[i]), range(low, int(a[i])))])
+        accepted = b - a >= least + lost
+        p = owner[first][accepted]
+        table = np.stack([p, a[accepted] - bounds[p], b[accepted] - bounds[p]], axis=1)
+    return table[:, 0], table[:, 1], table[:, 2]
+
+
+def _rolled(words: np.ndarray) -> np.ndarray:
+    """A hash of the SHINGLE words from each place on (of what follows, at the end)."""
+    padded = np.concatenate((words.astype(np.uint64), np.zeros(SHINGLE - 1, np.uint64)))
+    rolled = np.zeros(len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            rolled = mix(rolled + padded[k : k + len(words)])
+    return rolled
+
+
+def _dealt_by_leader(links: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and texts by leader's document, with a salt: those of a document of very many go to several tasks, each with its text."""
+    most = max(MANY, links.count() // 1000)
+    large = links.groupBy("doc0").count().where(F.col("count") > most).select(F.col("doc0").alias("id"), F.ceil(F.col("count") / most).cast("int").alias("salts"))
+    rows = links.withColumnRenamed("doc0", "id")
+    sources = texts.withColumnRenamed("doc_id", "id")
+    few = large.collect()  # under a thousand rows, by its threshold
+    if not few:
+        return rows.withColumn("salt", F.lit(0)), sources.withColumn("salt", F.lit(0))
+    large = F.broadcast(links.sparkSession.createDataFrame(few, "id long, salts int"))
+    salts = F.coalesce("salts", F.lit(1))
+    rows = rows.join(large, "id", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), salts).cast("int")).drop("salts")
+    return rows, sources.join(large, "id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+
+
+def _bytes(parts: list[np.ndarray] | np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary value for each of ``parts``; or, of one array, for each of its pieces between ``cuts``."""
+    data = np.ascontiguousarray(parts)
+    bounds = (cuts * (data.itemsize * (data.size // max(len(data), 1)))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _parts(links: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(doc, doc0, windows, intervals, words) of each pair of documents: what the leader's document holds where windows of ``doc`` met it."""
+    rows, sources = _dealt_by_leader(links, texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, asks in _groups(batches, ("id", "kind", "doc")):
+            if not asks.num_rows:
+                continue
+            doc0, doc, key, place, place0 = (asks.column(c).to_numpy() for c in ("id", "doc", "key", "place", "place0"))
+            new = np.concatenate(([True], (np.diff(doc0) != 0) | (np.diff(doc) != 0)))
+            first = np.flatnonzero(new)
+            start, start0 = place >> _WIDE, place0 >> _WIDE
+            end, end0 = start + (place & int(_PLACE)), start0 + (place0 & int(_PLACE))
+            _, pair, low, high, low0, high0 = _intervals(np.cumsum(new) - 1, start, end, start0, end0, least)
+            found = [words[d][a : b + SHINGLE - 1] for d, a, b in zip(doc0[first][pair].tolist(), low0.tolist(), high0.tolist(), strict=True)]
+            sizes = np.array([len(x) for x in found], np.int64)
+            cuts = np.searchsorted(pair, np.arange(len(first) + 1))
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            yield _batch(
+                {
+                    "doc": doc[first],
+                    "doc0": doc0[first],
+                    "windows": _bytes(np.stack([key, place], axis=1), np.append(first, len(doc))),
+                    "intervals": _bytes(np.stack([low, high, sizes], axis=1), cuts),
+                    "words": _bytes(np.concatenate(found), ends[cuts]),
+                }
+            )
+
+    dealt = _with_texts(sources, rows, "doc", "place", "key")
+    return dealt.mapInArrow(run, "doc long, doc0 long, windows binary, intervals binary, words binary")
+
+
+def _verified(parts: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """Passages (doc_id, start, end, source) that are similar to the leader's; with a key, windows (doc_id, place in start) that no passage covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, asks in _groups(batches, ("id", "kind")):
+            if not asks.num_rows:
+                continue
+            doc, doc0 = asks.column("id").to_numpy(), asks.column("doc0").to_numpy()
+            intervals = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in asks.column("intervals").to_pylist()]
+            windows = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in asks.column("windows").to_pylist()]
+            other = np.concatenate([np.frombuffer(x, np.uint32) for x in asks.column("words").to_pylist()])
+            pair = np.repeat(np.arange(len(doc)), [len(x) for x in intervals])
+            low, high, sizes0 = np.concatenate(intervals).T
+            mine = [words[d][a : b + SHINGLE - 1] for d, a, b in zip(doc[pair].tolist(), low.tolist(), high.tolist(), strict=True)]
+            bounds = np.concatenate(([0], np.cumsum([len(x) for x in mine])))
+            at, start, end = similar_stretches(np.concatenate(mine), bounds, other, np.concatenate(([0], np.cumsum(sizes0))), least)
+            start, end = start + low[at], end + low[at]
+            spans = {"doc_id": doc[pair[at]], "start": start, "end": end, "source": doc0[pair[at]], "key": pa.nulls(len(at), pa.int64())}
+            yield _batch(spans)
+            # Windows outside all passages of their document.
+            owner = np.repeat(doc, [len(x) for x in windows])
+            key, place = np.concatenate(windows).T
+            number = {d: i for i, d in enumerate(dict.fromkeys(doc.tolist()))}
+            wide = np.int64(1) << 40
+            group = np.array([number[d] for d in owner.tolist()], np.int64)
+            span = np.array([number[d] for d in spans["doc_id"].tolist()], np.int64)
+            order = np.argsort(span * wide + start, kind="stable")
+            reach = np.maximum.accumulate((span * wide + end)[order])
+            a, b = place >> _WIDE, (place >> _WIDE) + (place & int(_PLACE)) + SHINGLE - 1
+            before = np.searchsorted((span * wide + start)[order], group * wide + a, side="right") - 1
+            covered = (before >= 0) & (reach[np.maximum(before, 0)] >= group * wide + b) if len(reach) else np.zeros(len(key), bool)
+            rest = {"doc_id": owner[~covered], "start": place[~covered], "end": pa.nulls((~covered).sum(), pa.int64()), "source": pa.nulls((~covered).sum(), pa.int64()), "key": key[~covered]}
+            yield _batch(rest)
+
+    dealt = _with_texts(texts, parts.withColumnRenamed("doc", "id"), "doc0")
+    return dealt.mapInArrow(run, "doc_id long, start long, end long, source long, key long")
+
+
+def _contexts(open_windows: DataFrame, links: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(key, doc, place, open, at, words) of all windows of the keys of ``open_windows``: the words around, from word ``at`` on."""
+    keys = open_windows.select("key").distinct()
+    rows = links.join(keys, "key", "left_semi")
+    leaders = rows.where("doc0 is not null").select("key", F.col("doc0").alias("doc"), F.col("place0").alias("place")).distinct()
+    windows = rows.select("key", "doc", "place", F.lit(0).alias("open")).unionByName(leaders.withColumn("open", F.lit(0)))
+    windows = windows.unionByName(open_windows.withColumn("open", F.lit(1))).groupBy("key", "doc", "place").agg(F.max("open").alias("open"))
+    around = 2 * least - shared_at_least(least) - 1  # shingles beside a window: what a stretch, or one similar to it, can reach
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, asks in _groups(batches, ()):
+            for part in asks.to_batches(max_chunksize=8192):
+                doc, place = part.column("id").to_numpy(), part.column("place").to_numpy()
+                start = np.maximum((place >> _WIDE) - around, 0)
+                end = (place >> _WIDE) + (place & int(_PLACE)) + around + SHINGLE - 1
+                found = [words[d][a:b] for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
+                cuts = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+                yield _batch({"key": part.column("key"), "doc": doc, "place": place, "open": part.column("open"), "at": start, "words": _bytes(np.concatenate(found), cuts)})
+
+    dealt = _with_texts(texts, windows.withColumnRenamed("doc", "id"), "place", "key")
+    return dealt.mapInArrow(run, "key long, doc long, place long, open int, at long, words binary")
+
+
+def _met(doc: np.ndarray, at: np.ndarray, is_open: np.ndarray, words: list[np.ndarray], least: int) -> list[tuple[int, int, int, int]]:
+    """Passages (doc, start, end, source) of one key's windows, in order of documents, that the open ones among them are part of."""
+    enough = shared_at_least(least)
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in words])))
+    flat = np.concatenate(words)
+    sizes = np.maximum(np.diff(bounds) - SHINGLE + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, kind = np.unique(_rolled(flat)[_flat(bounds[:-1], sizes)], return_inverse=True)
+    # Shingles that two documents have at least: what several rows share without them does not count.
+    low, high = np.full(kind.max() + 1 if len(kind) else 0, np.iinfo(np.int64).max), np.full(kind.max() + 1 if len(kind) else 0, np.iinfo(np.int64).min)
+    np.minimum.at(low, kind, doc[row])
+    np.maximum.at(high, kind, doc[row])
+    shared = (low < high)[kind]
+    sums = np.concatenate(([0], np.cumsum(shared)))
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    starts = _flat(first[:-1], np.maximum(sizes - least + 1, 0))
+    may = np.zeros(len(sizes), bool)
+    may[row[starts[sums[starts + least] - sums[starts] >= enough]]] = True
+    asking = np.flatnonzero(may & is_open)
+    if not len(asking):
+        return []
+    listed = np.flatnonzero(shared & may[row])
+    pairs = np.unique(kind[listed] * np.int64(len(sizes)) + row[listed])
+    holders, of = pairs % len(sizes), pairs // len(sizes)
+    cuts = np.searchsorted(of, np.arange(len(low) + 1))
+    # Windows that are not open are linked already, by their leader or by what covers them.
+    root = np.where(is_open, np.arange(len(sizes)), -1)
+
+    def find(i: int) -> int:
+        while root[i] not in (i, -1):
+            i = root[i]
+        return i if root[i] == i else -1
+
+    out: list[tuple[int, int, int, int]] = []
+    for x in asking.tolist():
+        mine, times = np.unique(kind[first[x] : first[x + 1]], return_counts=True)
+        many = cuts[mine + 1] - cuts[mine]
+        both = np.bincount(holders[_flat(cuts[mine], many)], np.repeat(times, many), len(sizes))
+        done = False
+        for y in np.flatnonzero((both >= enough) & (doc != doc[x])).tolist():
+            if find(x) == find(y) and (done or doc[y] > doc[x]):
+                continue
+            later, source = (x, y) if doc[y] < doc[x] else (y, x)
+            _, start, end = similar_stretches(words[later], np.array([0, len(words[later])]), words[source], np.array([0, len(words[source])]), least)
+            if len(start):
+                out += [(int(doc[later]), int(at[later]) + a, int(at[later]) + b, int(doc[source])) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                done |= later == x
+                a, b = find(x), find(y)
+                if -1 in (a, b):
+                    for k in (a, b):
+                        if k != -1:
+                            root[k] = -1
+                else:
+                    root[max(a, b)] = min(a, b)
+    return out
+
+
+def _further(rows: DataFrame, least: int) -> DataFrame:
+    """Passages of open windows that other windows of their key hold as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        ended, most = False, 1 << 20
+        while not ended:
+            batch = next(batches, None)
+            ended = batch is None
+            if not ended and batch.num_rows:
+                held.append(batch)
+            if not held or not ended and sum(b.nbytes for b in held) < most:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column("key").to_numpy()
+            # The last key may go on in the next batch.
+            others = np.flatnonzero(key != key[-1])
+            stop = len(key) if ended else int(others[-1]) + 1 if len(others) else 0
+            most = 1 << 20 if stop else 2 * table.nbytes
+            out: list[tuple[int, int, int, int]] = []
+            doc, at, is_open = table.column("doc").to_numpy(), table.column("at").to_numpy(), table.column("open").to_numpy().astype(bool)
+            edges = np.append(np.flatnonzero(np.diff(key[:stop], prepend=~key[:1]) != 0), stop).tolist()
+            texts = table.column("words")
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                out += _met(doc[a:b], at[a:b], is_open[a:b], [np.frombuffer(x, np.uint32) for x in texts.slice(a, b - a).to_pylist()], least)
+            found = np.array(out, np.int64).reshape(-1, 4)
+            yield _batch({n: found[:, i] for i, n in enumerate(("doc_id", "start", "end", "source"))})
+            held = table.slice(stop).to_batches()
+        give_back()
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "doc", "place")
+    return dealt.mapInArrow(run, "doc_id long, start long, end long, source long")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, start, end, source): words start to end of a document repeat a passage of ``source``, which has a smaller doc_id."""
+    return _passages(_one_text_each(docs)[0], least_words)
+
+
+def _passages(texts: DataFrame, least_words: int) -> DataFrame:
     least = least_words - SHINGLE + 1
-    texts = id_text(docs).where("doc_id is not null")
-    links = written(_links(texts, least), "links")
-    found = written(_intervals(links.where("doc0 is not null")), "intervals")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            sets = _shingles_once(batch, "doc0")
-            part = []
-            for doc0, shift, s, e in zip(*(batch.column(c).to_pylist() for c in ("doc0", "shift", "s", "e")), strict=True):
-                part.append(_part(sets[doc0], s + shift - SHINGLE, e + shift + SHINGLE))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "doc0", "s", "e", "windows")), pa.array(part, pa.binary())], names=["doc", "doc0", "s", "e", "windows", "part"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            sets, out, failed = _shingles_once(batch, "doc"), [], [np.zeros((0, 5), np.int64)]
-            for doc, doc0, s, e, windows, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "doc0", "s", "e", "windows", "part")), strict=True):
-                hashes, words = sets[doc]
-                other, other_words = _parted(part)
-                stretches, ok = verified_stretches(hashes[s:e], other, least, words[s : e + SHINGLE - 1], other_words)
-                out += [(doc, s + a, s + b, doc0, 0) for a, b in stretches]
-                if not ok.all():
-                    sums = np.concatenate(([0], np.cumsum(ok)))
-                    key, start, end, anchor = np.frombuffer(windows, np.int64).reshape(-1, 4).T
-                    bad = sums[np.minimum(end - s - least + 1, len(ok))] == sums[np.minimum(start - s, len(ok))]
-                    failed.append(np.stack([np.broadcast_to(doc, len(key)), anchor, np.full(len(key), -1), np.broadcast_to(doc0, len(key)), key], axis=1)[bad])
-            table = np.concatenate((np.array(out, np.int64).reshape(-1, 5), *failed))
-            yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(5)], names=["doc_id", "start", "end", "source", "key"])
-
-    sources = found.join(texts.withColumnRenamed("doc_id", "doc0"), "doc0").select("doc", "doc0", "shift", "s", "e", "windows", "text")
-    parts = sources.mapInArrow(cut, "doc long, doc0 long, s long, e long, windows binary, part binary")
-    both = parts.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "doc0", "s", "e", "windows", "part", "text")
-    met = written(both.mapInArrow(verify, "doc_id long, start long, end long, source long, key long"), "verified")
-    passages = met.where("end >= 0").select("doc_id", "start", "end", "source")
-    failed = met.where("end < 0").select("key", F.col("doc_id").alias("doc"), F.col("start").alias("anchor"), F.lit(1).alias("role"))
-    leaders = links.where("doc0 is null").select("key", "doc", "anchor", F.lit(0).alias("role"))
-    return passages.unionByName(_further(failed.unionByName(leaders).distinct(), texts, least))
-
-
-def _further(rows: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """Passages of windows (role 1) that failed against their leader: each meets the key's leaders (role 0) and earlier failed ones in turn."""
-    # A key's only leader and the one window that failed against it have met.
-    open_keys = rows.groupBy("key").agg(F.sum("role").alias("n_failed"), F.count("*").alias("n")).where("n_failed > 0 and n > 2").select("key")
-    asked = rows.join(open_keys, "key").groupBy("doc").agg(F.collect_list(F.struct("key", "anchor", "role")).alias("asked"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            sets = _shingles_once(batch, "doc")
-            for doc, lists in zip(batch.column("doc").to_pylist(), batch.column("asked"), strict=True):
-                windows = lists.values
-                anchor = windows.field("anchor").to_numpy()
-                for k in range(0, len(anchor), 4096):
-                    some = anchor[k : k + 4096]
-                    place = np.maximum(some - least + 1 - SHINGLE, 0)
-                    parts = [_part(sets[doc], p, a + least + SHINGLE) for p, a in zip(place.tolist(), some.tolist(), strict=True)]
-                    columns = [windows.field("key")[k : k + 4096], pa.array(np.full(len(some), doc)), windows.field("role")[k : k + 4096], pa.array(some), pa.array(place), pa.array(parts, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "role", "anchor", "place", "part"])
-
-    enough = -(-2 * SIMILAR * least // (100 + SIMILAR))
-
-    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, leaders, holders = None, [], {}
-        for batch in batches:
-            out = []
-            for key, doc, role, anchor, place, part in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "role", "anchor", "place", "part")), strict=True):
-                if key != now:
-                    now, leaders, holders = key, [], {}
-                hashes, words = _parted(part)
-                held = hashes.tolist()
-                if role:
-                    low = max(anchor - least + 1, 0) - place
-                    high = anchor + least - place
-                    own, own_words = hashes[low:high], words[low : high + SHINGLE - 1]
-                    shared = Counter(chain.from_iterable(holders.get(h, ()) for h in own.tolist()))
-                    done = False
-                    for i in sorted(i for i, n in shared.items() if n >= enough):
-                        doc0, other, other_words = leaders[i]
-                        if doc0 != doc and (stretches := verified_stretches(own, other, least, own_words, other_words)[0]):
-                            out += [(doc, place + low + a, place + low + b, doc0) for a, b in stretches]
-                            done = True
-                            break
-                    if done:
-                        continue
-                for h in set(held):
-                    holders.setdefault(h, []).append(len(leaders))
-                leaders.append((doc, hashes, words))
-            table = np.array(out, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(4)], names=["doc_id", "start", "end", "source"])
-
-    parts = asked.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "asked", "text").mapInArrow(cut, "key long, doc long, role int, anchor long, place long, part binary")
-    dealt = parts.repartition("key").sortWithinPartitions("key", "doc", "role", "anchor")
-    return dealt.mapInArrow(further, "doc_id long, start long, end long, source long")
+    links = _links(texts, least)
+    met = written(_verified(_parts(links.where("doc0 is not null"), texts, least), texts, least), "verified")
+    open_windows = met.where("key is not null").select("key", F.col("doc_id").alias("doc"), F.col("start").alias("place"))
+    more = _further(_contexts(open_windows, links, texts, least), least)
+    return met.where("key is null").select("doc_id", "start", "end", "source").unionByName(more)
 
 
 def spans_of(passages: DataFrame) -> DataFrame:
@@ -439,8 +600,14 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(docs.schema)
-    spans = written(spans_of(repeated_passages(docs, least_words)).select(F.col("doc_id").alias("__own"), F.col("spans").alias("__spans")), "spans")
+    texts, again = _one_text_each(docs)
+    spans = written(spans_of(_passages(texts, least_words)).select(F.col("doc_id").alias("__own"), F.col("spans").alias("__spans")), "spans")
     rows = docs.join(spans, F.col("doc_id") == F.col("__own"), "left").drop("__own")
+    if again is not None:
+        # The spans are those of one text; a row of that id with another text stays as it is.
+        signs = again.select(F.col("doc_id").alias("__own"), F.col("sign").alias("__sign"))
+        own = F.col("__sign").isNull() | (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("__sign"))
+        rows = rows.join(signs, F.col("doc_id") == F.col("__own"), "left").withColumn("__spans", F.when(own, F.col("__spans"))).drop("__own", "__sign")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -86,7 +86,7 @@ def test_packing_of_tokens():
 
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 40), min_size=0, max_size=60), st.integers(1, 12))
-def test_windows_are_tree_nodes(values, least):
+def test_minima_of_windows(values, least):
     v = np.array(values, np.uint64) << np.uint64(30)
     got = substring_dedup.window_minima(v, least).tolist()
     assert got == [min(range(s, s + least), key=lambda k: (values[k], k)) for s in range(len(values) - least + 1)]
@@ -141,7 +141,7 @@ def test_passage_with_an_edit_near_an_end(docs_of, words, place):
 
 def test_similar_windows_share_a_key(words):
     """Planted passages of 50 words at J = 0.8: one word changed, put in or left out."""
-    assert substring_dedup.seed_reach(46) == 21
+    assert substring_dedup.shared_in_a_row(46) == 21
     for k in range(150):
         w, at = words(50, 7000 + k).split(), 5 + k % 40
         other = [[*w[:at], "changed", *w[at + 1 :]], [*w[:at], "more", *w[at:-1]], [*w[:at], *w[at + 1 :], "end"]][k % 3]
@@ -150,6 +150,72 @@ def test_similar_windows_share_a_key(words):
         assert set(key[own == 0]) & set(key[own == 1]), k
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=60), st.integers(1, 12))
+def test_minima_of_windows_are_the_tree_nodes_that_span_as_many(values, t):
+    """A Cartesian tree by recursion: nodes (left, node, right) of t places or more."""
+    nodes = set()
+
+    def tree(left, right):
+        if right - left >= t:
+            node = min(range(left, right), key=lambda k: (values[k], k))
+            nodes.add(node)
+            tree(left, node)
+            tree(node + 1, right)
+
+    tree(0, len(values))
+    assert nodes == set(substring_dedup.window_minima(np.array(values, np.uint64) << np.uint64(30), t).tolist())
+
+
+def near(a, b, least=46):
+    """Whether some 50 words of ``a`` are similar to a passage of ``b``, end to end: by every pair of places."""
+    x, y = ([tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (a, b))
+    for i in range(len(x) - least + 1):
+        for j in range(len(y) - least + 1):
+            both = set(x[i : i + least]) & set(y[j : j + least])
+            if 100 * len(both) >= 80 * (2 * least - len(both)) and x[i] in both and x[i + least - 1] in both:
+                return True
+    return False
+
+
+def test_near_copies_of_passages_whatever_the_partitions(spark, words):
+    """Families of a passage and copies with one word changed each, the passage itself not first: every later one is found."""
+    texts, family = [], []
+    for k in range(50):
+        w = words(60, 20_000 + k).split()
+        places = random.Random(k).sample(range(60), 3)
+        for n, at in enumerate((places[0], None, *places[1:])):
+            passage = [f"other{k}x{i}" if i == at else x for i, x in enumerate(w)]
+            texts.append(" ".join([words(30, 30_000 + 4 * k + n), *passage, words(30, 40_000 + 4 * k + n)]))
+            family.append(passage)
+    deal = random.Random(5).sample(range(len(texts)), len(texts))
+    want = {}
+    for i in range(len(texts)):
+        k = i // 4 * 4
+        want[i] = any(near(family[i], family[j]) for j in range(k, k + 4) if deal[j] < deal[i])
+    docs = spark.createDataFrame([(deal[i], t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = []
+    for parts in (1, 7, 40):
+        rows = {r.doc_id: r for r in substring_dedup.passage_report(docs.repartition(parts)).collect()}
+        assert {i for i in want if want[i]} <= {i for i in want if rows[deal[i]].n_spans}
+        for k in range(0, len(texts), 4):
+            if all(near(family[k + 1], family[j]) for j in (k, k + 2, k + 3)):
+                assert {rows[deal[j]].component_id for j in range(k, k + 4)} == {min(deal[k : k + 4])}
+        seen.append(rows)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_rows_of_one_document(spark, words):
+    """Rows that share a doc_id are one document, with the largest of their texts; other rows of it stay as they are."""
+    p, a, b = words(60, 1), words(40, 2), words(40, 3)
+    rows = [(1, f"{a} {p}"), (2, f"a {p}"), (2, f"z {b} {p}"), (3, "of " * 90), (4, "of " * 300), (4, "of " * 300), (None, p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    report = [(r.doc_id, r.spans) for r in substring_dedup.passage_report(docs).orderBy("doc_id").collect()]
+    assert report == [(None, ""), (1, ""), (2, "41:101"), (2, "41:101"), (3, ""), (4, "0:300"), (4, "0:300")]
+    left = sorted((r.doc_id or 0, r.text) for r in substring_dedup.without_repeats(docs).collect())
+    assert left == [(0, p), (1, f"{a} {p}"), (2, f"a {p}"), (2, f"z {b} "), (3, "of " * 90)]
+
+
 def test_a_leader_that_is_not_similar_hides_no_repeat(docs_of, words):
     """Documents before an exact repeat hold variants of it with words changed far apart."""
     texts, pairs = [], []
