@@ -15,7 +15,8 @@ similarity: a stretch of ``least`` shingles that is similar has lost five at mos
 are shared. With t = 21 all functions agree on some window of them: every similar
 pair of passages has a key in common, by rule and not by chance.
 
-1. Windows of different documents with one key are candidates. Each meets the key's
+1. Documents of equal words are found by a key of all their words; the smallest one
+   stands for them. Windows of other documents with one key are candidates. Each meets the key's
    leader, the first window of its smallest document. Tasks combine their own windows
    of a key before the shuffle and send on one document's alone; the rest learn the
    leader from that one, so results do not depend on how rows are dealt.
@@ -136,38 +137,65 @@ def _one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return rest.unionByName(chosen), chosen.select("doc_id", F.sha2("text", 256).alias("sign"))
 
 
+def _signs(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) for each text, by all its shingles in order: an odd key, and a place below zero with their number and more bits."""
+    counts = np.diff(offsets)
+    with np.errstate(over="ignore"):
+        terms = np.append(mix(hashes + _flat(np.zeros(len(counts), np.int64), counts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(0))
+        sums = np.cumsum(terms)
+        total = mix(sums[offsets[1:] - 1] - np.where(offsets[:-1] > 0, sums[offsets[:-1] - 1], np.uint64(0)) + counts.astype(np.uint64))
+    return total | np.uint64(1), -1 - (counts << 20 | (mix(total) >> np.uint64(44)).astype(np.int64))
+
+
 def _links(texts: DataFrame, least: int) -> DataFrame:
-    """(key, doc, place, doc0, place0): windows and their key's leader, the first window of another document; without doc0: the leader's repeats."""
+    """(key, doc, place, doc0, place0): windows and their key's leader, the first window of another document; without doc0: the leader's repeats.
+
+    Documents of equal words have a key of their own, with places below zero.
+    """
     schema = "part long, key long, doc long, place long, doc0 long, place0 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            key, own, start, end = compact_windows(*shingles(*word_hashes(batch.column("text"))), least)
-            doc, place = batch.column("doc_id").to_numpy()[own], start << _WIDE | end - start
+            offsets, hashes = shingles(*word_hashes(batch.column("text")))
+            ids = batch.column("doc_id").to_numpy()
+            key, own, start, end = compact_windows(offsets, hashes, least)
+            sign, length = _signs(offsets, hashes)
+            long = np.flatnonzero(np.diff(offsets) >= least)
+            # Of texts of equal words, one document's windows are enough.
+            order = long[np.lexsort((ids[long], length[long], sign[long]))]
+            again = np.concatenate(([False], (np.diff(sign[order]) == 0) & (np.diff(length[order]) == 0))) if len(order) else np.zeros(0, bool)
+            keep = np.ones(len(ids), bool)
+            keep[order[again]] = False
+            keep = keep[own]
+            key = np.concatenate((key[keep] & ~np.uint64(1), sign[long]))
+            doc = np.concatenate((ids[own[keep]], ids[long]))
+            place = np.concatenate((start[keep] << _WIDE | end[keep] - start[keep], length[long]))
             order = np.lexsort((place, doc, key))
             key, doc, place = key[order].view(np.int64), doc[order], place[order]
             lead = np.maximum.accumulate(np.where(np.diff(key, prepend=~key[:1]) != 0, np.arange(len(key)), 0))
             # Windows of further documents stay out of the key's task; they go by the leader that they have here.
             held = doc != doc[lead]
+            led = np.zeros(len(key), np.int64)
+            led[lead[held]] = 1
             part = np.where(held, mix(key.view(np.uint64) + mix(doc[lead].view(np.uint64))).view(np.int64), key)
-            yield _batch({"part": part, "key": key, "doc": doc, "place": place, "doc0": pa.array(doc[lead], mask=~held), "place0": pa.array(place[lead], mask=~held)})
+            yield _batch({"part": part, "key": key, "doc": doc, "place": place, "doc0": pa.array(doc[lead], mask=~held), "place0": np.where(held, place[lead], led)})
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a key in order of documents: the first leads; windows with a leader from before pass."""
+        """Rows of a key in order of documents: the first leads; windows that have a leader pass."""
         last: tuple | None = None  # key, document and place of the leader
         for batch in batches:
             if not batch.num_rows:
                 continue
             held = batch.column("doc0").is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(held)).select(["key", "doc", "place", "doc0", "place0"]).append_column("held", pa.array(np.ones(held.sum(), bool)))
+            passed = batch.filter(pa.array(held))
+            yield _batch({c: passed.column(c) for c in ("key", "doc", "place", "doc0", "place0")} | {"held": np.full(passed.num_rows, 2)})
             rows = batch.filter(pa.array(~held))
-            key, doc, place = (rows.column(c).to_numpy() for c in ("key", "doc", "place"))
+            key, doc, place, led = (rows.column(c).to_numpy() for c in ("key", "doc", "place", "place0"))
             if last is not None:
-                key, doc, place = (np.append(np.int64(x), y) for x, y in zip(last, (key, doc, place), strict=True))
+                key, doc, place, led = (np.append(np.int64(x), y) for x, y in zip((*last, 0), (key, doc, place, led), strict=True))
             if not len(key):
                 continue
-            new = np.diff(key, prepend=~key[:1]) != 0
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            lead = np.maximum.accumulate(np.where(np.diff(key, prepend=~key[:1]) != 0, np.arange(len(key)), 0))
             # A key's own repeats of its leader count only beside other documents; the next batch may hold those.
             other = doc != doc[lead]
             met = np.zeros(len(key), bool)
@@ -178,15 +206,31 @@ def _links(texts: DataFrame, least: int) -> DataFrame:
                 keep[0] = False
             last = (key[-1], doc[lead[-1]], place[lead[-1]])
             doc0, place0 = pa.array(doc[lead][keep], mask=~other[keep]), pa.array(place[lead][keep], mask=~other[keep])
-            yield _batch({"key": key[keep], "doc": doc[keep], "place": place[keep], "doc0": doc0, "place0": place0, "held": np.zeros(keep.sum(), bool)})
+            yield _batch({"key": key[keep], "doc": doc[keep], "place": place[keep], "doc0": doc0, "place0": place0, "held": led[keep]})
 
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows after the one that led them in their task (held 1, if it has a leader itself): they take its leader."""
+        last = np.zeros((0, 5), np.int64)
+        for batch in batches:
+            held = batch.column("held").to_numpy()
+            rows = np.stack([batch.column(c).to_numpy() for c in ("key", "doc0", "place0", "doc", "place")], axis=1)
+            n = len(last)
+            rows, leads = np.concatenate((last, rows)), np.concatenate((np.ones(n, bool), held == 1))
+            at = np.maximum.accumulate(np.where(leads, np.arange(len(rows)), -1))
+            found = (at >= 0) & (rows[at, :3] == rows[:, :3]).all(axis=1)
+            leader = np.where(found[:, None], rows[at, 3:], rows[:, 1:3])
+            out = np.concatenate((rows[:, [0, 3, 4]], leader), axis=1)[~leads]
+            yield _batch({c: out[:, i] for i, c in enumerate(("key", "doc", "place", "doc0", "place0"))})
+            last = rows[at[-1] :][:1] if len(at) and at[-1] >= 0 else last
+
+    columns = ["key", "doc", "place", "doc0", "place0"]
     dealt = texts.mapInArrow(run, schema).repartition("part").sortWithinPartitions("part", "key", "doc", "place")
-    rows = written(dealt.mapInArrow(star, "key long, doc long, place long, doc0 long, place0 long, held boolean"), "windows")
-    done, held = rows.where("not held").drop("held"), rows.where("held").drop("held")
-    leaders = done.where("doc0 is not null").select("key", F.col("doc").alias("doc0"), F.col("place").alias("place0"), F.col("doc0").alias("first"), F.col("place0").alias("first_place"))
-    found = held.join(leaders, ["key", "doc0", "place0"], "left")
-    first = found.select("key", "doc", "place", F.coalesce("first", "doc0").alias("doc0"), F.when(F.col("first").isNull(), F.col("place0")).otherwise(F.col("first_place")).alias("place0"))
-    links = written(done.unionByName(first), "links")
+    rows = written(dealt.mapInArrow(star, "key long, doc long, place long, doc0 long, place0 long, held long"), "windows")
+    done, held = rows.where("held < 2").select(*columns), rows.where("held = 2")
+    leaders = rows.where("held = 1 and doc0 is not null")
+    leaders = leaders.select("key", F.col("doc0").alias("doc"), F.col("place0").alias("place"), F.col("doc").alias("doc0"), F.col("place").alias("place0"), "held")
+    dealt = leaders.unionByName(held).repartition("key", "doc0").sortWithinPartitions("key", "doc0", "place0", "held", "doc", "place")
+    links = written(done.unionByName(dealt.mapInArrow(follow, "key long, doc long, place long, doc0 long, place0 long")), "links")
     remove(rows.sparkSession, rows)
     return links
 
@@ -471,14 +515,23 @@ def _met(doc: np.ndarray, at: np.ndarray, is_open: np.ndarray, words: list[np.nd
         return i if root[i] == i else -1
 
     out: list[tuple[int, int, int, int]] = []
+    held = np.zeros(len(low), bool)
     for x in asking.tolist():
-        mine, times = np.unique(kind[first[x] : first[x + 1]], return_counts=True)
+        own = kind[first[x] : first[x + 1]]
+        mine, times = np.unique(own, return_counts=True)
         many = cuts[mine + 1] - cuts[mine]
         both = np.bincount(holders[_flat(cuts[mine], many)], np.repeat(times, many), len(sizes))
         done = False
-        for y in np.flatnonzero((both >= enough) & (doc != doc[x])).tolist():
+        met = np.flatnonzero((both >= enough) & (doc != doc[x]))
+        for y in met[np.lexsort((-both[met], doc[met] > doc[x]))].tolist():
             if find(x) == find(y) and (done or doc[y] > doc[x]):
                 continue
+            other = kind[first[y] : first[y + 1]]
+            held[other] = True
+            sums = np.concatenate(([0], np.cumsum(held[own])))
+            held[other] = False
+            if (sums[least:] - sums[:-least]).max() < enough:
+                continue
             later, source = (x, y) if doc[y] < doc[x] else (y, x)
             _, start, end = similar_stretches(words[later], np.array([0, len(words[later])]), words[source], np.array([0, len(words[source])]), least)
             if len(start):
@@ -536,10 +589,14 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
 def _passages(texts: DataFrame, least_words: int) -> DataFrame:
     least = least_words - SHINGLE + 1
     links = _links(texts, least)
+    copies = links.where("place < 0 and place = place0")
+    whole = copies.select(F.col("doc").alias("doc_id"), F.lit(0).cast("long").alias("start"), ((-1 - F.col("place")) / (1 << 20) + SHINGLE - 1).cast("long").alias("end"), F.col("doc0").alias("source"))
+    # What a copy holds, its first document holds.
+    links = written(links.where("place >= 0").join(copies.select("doc"), "doc", "left_anti").select(*links.columns), "links")
     met = written(_verified(_parts(links.where("doc0 is not null"), texts, least), texts, least), "verified")
     open_windows = met.where("key is not null").select("key", F.col("doc_id").alias("doc"), F.col("start").alias("place"))
     more = _further(_contexts(open_windows, links, texts, least), least)
-    return met.where("key is null").select("doc_id", "start", "end", "source").unionByName(more)
+    return whole.unionByName(met.where("key is null").select(*whole.columns)).unionByName(more)
 
 
 def spans_of(passages: DataFrame) -> DataFrame:
