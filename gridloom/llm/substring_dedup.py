@@ -4,10 +4,10 @@ A text is the sequence of its 5-word shingles; hash functions order them. In the
 Cartesian tree of one function's values, a node is the minimum of every subsequence
 within its span that holds it: one compact window (left end, node, right end) stands
 for all of them. The nodes that span ``t`` places or more are the minima of the
-sliding windows of that length, and are found as such, without the rest of the tree;
-a run of equal shingles is one node. Joining the windows of two functions by overlap
+sliding windows of that length, and are found as such, without the rest of the tree; a
+shingle that recurs within t places is one node. Joining the windows of two functions by overlap
 gives the subsequences of ``t`` shingles that share both minima: their signature, the
-two shingles and their distance, is a key.
+two shingles, is a key.
 
 How short windows must be so that no similar passage is missed follows from the
 similarity: a stretch of ``least`` shingles that is similar has lost five at most (of
@@ -100,20 +100,31 @@ def compact_windows(offsets: np.ndarray, hashes: np.ndarray, least: int) -> tupl
     inside = np.flatnonzero((text[:n] == text[t - 1 :]) & (counts[text[:n]] >= least)) if n > 0 else np.zeros(0, np.int64)
     if not len(inside):
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])))
-    first = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    after = np.append(first[1:], len(hashes))
-    a, b = (run[window_minima(mix(hashes ^ np.uint64(0xA5A5A5A5 * (j + 1))), t)[inside]] for j in range(2))
+    node = _recurrences(text, hashes, t)
+    a, b = (window_minima(mix(hashes ^ np.uint64(0xA5A5A5A5 * (j + 1))), t)[inside] for j in range(2))
     # Runs of starts: within one text, one minimum of either function.
     own = text[inside]
-    changed = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(own) != 0))))
-    a, b, own = a[changed], b[changed], own[changed]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    apart = np.where(a < b, 1, -1) * (first[high] - after[low] + 1) * (a != b)
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(node[a]) != 0) | (np.diff(node[b]) != 0) | (np.diff(own) != 0))))
+    start, end = np.minimum.reduceat(np.minimum(a, b), first), np.maximum.reduceat(np.maximum(a, b), first) + 1
+    a, b, own = a[first], b[first], own[first]
     with np.errstate(over="ignore"):
-        key = mix(hashes[first[a]] * np.uint64(3) + mix(hashes[first[b]] + np.uint64(7)) + apart.view(np.uint64))
-    return key, own, first[low] - offsets[own], after[high] - offsets[own]
+        key = mix(hashes[a] * np.uint64(3) + mix(hashes[b] + np.uint64(7)))
+    return key, own, start - offsets[own], end - offsets[own]
+
+
+def _recurrences(text: np.ndarray, hashes: np.ndarray, t: int) -> np.ndarray:
+    """For each place the first of its shingle's places that lead to it by steps of less than ``t``: in repeated words and lines they are one node."""
+    n = len(hashes)
+    node = np.arange(n)
+    for step in range(min(t - 1, n - 1), 0, -1):
+        again = np.flatnonzero((hashes[step:] == hashes[:-step]) & (text[step:] == text[:-step])) + step
+        node[again] = again - step
+    back = np.flatnonzero(node != np.arange(n))
+    while True:
+        far = node[node[back]]
+        if (far == node[back]).all():
+            return node
+        node[back] = far
 
 
 def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
