@@ -10,6 +10,8 @@ from . import ann, jaccard_join, lm_scoring, packing, secret_scan, substring_ded
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; Arrow batches are bounded by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

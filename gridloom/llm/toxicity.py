@@ -14,7 +14,9 @@ hits that a toxic text would have.
 A null or empty text has no hits and gets the score of a text without any; a
 repeated row gets the same score again. Without usable labels the score is 0.5.
 Labels count once a document (toxic if any of its labels is); null labels and
-labels of unknown documents do not count. Columns other than doc_id and text do
+labels of unknown documents do not count. Words of all labelled training texts count;
+as evidence, texts that share their least shingle hash, as copies do, are one family
+and count once a label, for copies of one text prove nothing about its words. Columns other than doc_id and text do
 not matter.
 """
 
@@ -34,7 +36,8 @@ from .shared import id_text, slices, written
 from .words import mix, shingles, split, word_hashes
 
 THRESHOLD = 0.7
-MOST_TERMS = 5000  # of the lexicon
+SLICE = 4 << 20  # bytes of text at a time
+MOST_TERMS = 50_000  # of the lexicon: a bound of the driver's memory
 LEAST_EVIDENCE = 30.0  # G-squared of a term
 LEAST_RATIO = 6  # of a term's rates in toxic and clean texts
 DAMPED = 0.3  # of the expected rate of hits
@@ -178,13 +181,21 @@ def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
+def _least_shingles(texts: pa.Array) -> np.ndarray:
+    """The least shingle hash of each text as a signed number; 0 without words."""
+    offsets, hashes = shingles(*word_hashes(texts))
+    out = np.zeros(len(texts), np.uint64)
+    some = np.diff(offsets) > 0
+    if some.any():
+        out[some] = np.minimum.reduceat(hashes, offsets[:-1][some])
+    return out.view(np.int64)
+
+
 def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """term and COUNTS: training documents of either label that hold a term, and its occurrences in them.
+    """term and COUNTS: families of training documents of either label that hold a term, and its occurrences in all of them.
 
-    The null term counts all documents and words.
+    The null term counts all families and words.
     A term is a digit and a word (0) or the beginning of longer words (its letters).
-    Documents that share their least shingle hash, as copies do, count as one, the
-    smallest doc_id: copies of one text prove nothing about its words.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -197,59 +208,65 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = id_bits(known)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             batch = batch.filter(pc.is_valid(batch.column("doc_id")))
             at = _bit(batch.column("doc_id").to_numpy(), 8 * len(labelled))
             batch = batch.filter(pa.array(labelled[at >> 3] >> (7 - (at & 7)) & 1 == 1))
-            if not batch.num_rows:
-                continue
-            offsets, hashes = shingles(*word_hashes(batch.column("text")))
-            if len(hashes):
-                sign = np.minimum.reduceat(np.append(hashes, np.uint64(0)), offsets[:-1])
-                sign[np.diff(offsets) == 0] = 0
-            else:
-                sign = np.zeros(batch.num_rows, np.uint64)
-            sign = sign.view(np.int64)
-            doc = batch.column("doc_id").to_numpy()
-            order = np.lexsort((doc, sign))
-            first = order[np.concatenate(([True], np.diff(sign[order]) != 0))]
-            kept = batch.take(pa.array(np.sort(first)))
-            yield pa.RecordBatch.from_arrays([pa.array(sign[np.sort(first)]), kept.column("doc_id"), kept.column("text")], names=["sign", "doc_id", "text"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(_least_shingles(batch.column("text"))), batch.column("doc_id"), batch.column("text")], names=["sign", "doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in slices(batches, "text"):
-            sign = batch.column("sign").to_numpy()
-            first = np.concatenate(([sign[0] != last], np.diff(sign) != 0))
-            last = sign[-1]
-            batch = batch.filter(pa.array(first))
-            toxic = batch.column("toxic").to_numpy().astype(bool)
+        # Of the last family, which the next slice may go on with: its sign, and the terms that each label has counted.
+        last, counted = None, (set(), set())
+        for batch in slices(batches, "text", SLICE):
+            sign, toxic = batch.column("sign").to_numpy(), batch.column("toxic").to_numpy().astype(bool)
+            new = np.concatenate(([sign[0] != last], np.diff(sign) != 0))
+            # Family and label of each text; number 0 and 1 are the family from before.
+            family = 2 * np.cumsum(new) + toxic
+            if last is None:
+                counted = (set(), set())
             offsets, values = split(batch.column("text"))
             found = values.dictionary_encode()
             words = [plain(w) for w in found.dictionary.to_pylist()]
             index = found.indices.to_numpy()
             doc = np.repeat(np.arange(len(toxic)), np.diff(offsets))
             bad = toxic[doc]
+            own = family[doc]
+            final = 2 * int(np.cumsum(new)[-1])
+            known_terms: tuple[set, set] = (set(), set())
+            first = np.setdiff1d(family, [y for y in (0, 1) if None in counted[y]])
             terms: list[str | None] = [None]
-            counts = [np.array([[toxic.sum(), (~toxic).sum(), bad.sum(), (~bad).sum()]])]
+            counts = [np.array([[np.count_nonzero(first % 2), np.count_nonzero(first % 2 == 0), bad.sum(), (~bad).sum()]])]
             for k in (0, *STEMS):
                 number: dict[str, int] = {}
                 heads = words if not k else [w[:k] if len(w) > k else "" for w in words]
                 same = np.array([number.setdefault(w, len(number)) for w in heads] or [0], np.int64)
                 wide = max(len(number), 1)
                 every = same[index] if len(index) else np.zeros(0, np.int64)
-                pairs = np.unique(doc * wide + every)
-                at, term = pairs // wide, pairs % wide
-                terms += [f"{k}{w}" for w in number]
-                each = (term[toxic[at]], term[~toxic[at]], every[bad], every[~bad])
+                pairs = np.unique(own * wide + every)
+                of, term = pairs // wide, pairs % wide
+                names = [f"{k}{w}" for w in number]
+                old = np.zeros(len(pairs), bool)
+                for i in np.flatnonzero(of < 2).tolist():
+                    old[i] = names[term[i]] in counted[of[i]]
+                for i in np.flatnonzero(of >= final).tolist():
+                    known_terms[of[i] - final].add(names[term[i]])
+                terms += names
+                of, term = of[~old], term[~old]
+                each = (term[of % 2 == 1], term[of % 2 == 0], every[bad], every[~bad])
                 counts.append(np.stack([np.bincount(x, minlength=len(number)) for x in each], axis=1).reshape(-1, 4))
+            for y in (0, 1):
+                if (family == final + y).any():
+                    known_terms[y].add(None)
+            counted = tuple(a | b for a, b in zip(counted, known_terms, strict=True)) if final == 0 else known_terms
+            last = sign[-1]
             table = np.concatenate(counts).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array(table[:, i]) for i in range(4))], names=["term", *COUNTS])
 
     # The bitmap spares most unlabelled texts the way to the join, which then decides.
     texts = id_text(docs).mapInArrow(signed, "sign long, doc_id long, text string")
-    texts = texts.join(known.hint("merge"), "doc_id").select("sign", "doc_id", "text", "toxic")
-    texts = texts.repartition("sign").sortWithinPartitions("sign", "doc_id")
+    texts = texts.join(known.hint("merge"), "doc_id").select("sign", "text", "toxic")
+    texts = texts.repartition("sign").sortWithinPartitions("sign")
     counted = texts.mapInArrow(run, "term string, " + ", ".join(f"{c} long" for c in COUNTS))
     return counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
@@ -342,11 +359,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 class Scorer:
     """Scores of Arrow batches of texts under a lexicon."""
 
-    MOST = 500_000
-
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.matcher = lexicon, Matcher(lexicon)
-        self.known: dict[str, tuple[str, int] | None] = {}
 
     def _hit(self, word: str) -> tuple[str, int] | None:
         hit = self.matcher.match(plain(word))
@@ -391,7 +405,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             score = scorer.score(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
@@ -407,7 +421,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             keep = scorer.score(batch.column("text")) < THRESHOLD
             yield batch.filter(pa.array(keep)).select(names)
 

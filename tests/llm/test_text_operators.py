@@ -222,6 +222,30 @@ def test_toxicity(spark, docs_of, words):
     assert [r.score for r in none] == [0.5, 0.5]
 
 
+def test_counts_of_all_labelled_words(spark, words):
+    """Against a plain count, under three partitionings; copies in families, some of either label."""
+    texts = [words(30, 40_000 + i % 25) + f" only{i}" for i in range(60)] + [None, "", "x", "two words"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])]
+    labels = [(i, 1, i % 3 == 0) for i in range(len(texts))]
+    train = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want: dict = {}
+    for i, t in rows:
+        if i in train:
+            sign, y = int(toxicity._least_shingles(pa.array([t], pa.string()))[0]), i % 3 == 0
+            each = [toxicity.plain(w) for w in (t or "").lower().split()]
+            terms = [None, *(f"0{w}" for w in each), *(f"{k}{w[:k] if len(w) > k else ''}" for k in toxicity.STEMS for w in each)]
+            for term in terms:
+                held, n = want.setdefault(term, (set(), Counter()))
+                held.add((sign, y))
+                n[y] += 1 if term is not None else len(each)
+    want = {t: (sum(y for _, y in h), sum(not y for _, y in h), n[True], n[False]) for t, (h, n) in want.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, q, int(y)) for i, q, y in labels], "doc_id long, quality int, toxic int")
+    for parts in (1, 5, 30):
+        got = {r.term: tuple(r[c] for c in toxicity.COUNTS) for r in toxicity.word_counts(docs.repartition(parts), marks).collect()}
+        assert got == want
+
+
 def test_longer_words_stay_beside_shorter_ones(spark, docs_of, words):
     texts = []
     for i in range(600):
