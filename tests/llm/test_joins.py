@@ -254,21 +254,31 @@ def test_components(spark, links):
 
 
 def test_neighbours(spark):
+    """Brute force, with repeated ids as queries and as candidates, and rows that take no part; other columns may have any name."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x = rng.normal(size=(304, 16)).astype(np.float32)
     x[7] = x[8]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    rows += [(300, None, 0), (320, [0.0] * 16, 0), (340, [float("nan")] * 16, 0), (360, [None] + [1.0] * 15, 0), (380, [1.0] * 4, 0), (380, [1.0] * 4, 1), (400, [float("inf")] * 16, 0), (None, [1.0] * 16, 0), (500, [], 0)]
+    ids = [*range(300), 20, 20, 33, 33]
+    x[301] = x[20]
+    rows = [(i, v.tolist(), 0) for i, v in zip(ids, x, strict=True)]
+    rows += [(300, None, 0), (320, [0.0] * 16, 0), (340, [float("nan")] * 16, 0), (360, [None] + [1.0] * 15, 0), (400, [float("inf")] * 16, 0), (None, [1.0] * 16, 0), (500, [], 0)]
+    rows += [(380, [1.0] * 4, 0), (380, [1.0] * 4, 1), (381, [2.0] * 4, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got: dict = {}
-    for r in ann.nearest(df, block=64).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    df = df.selectExpr("*", *(f"'x' as {c}" for c in ("row", "q", "c", "dim", "ids", "part", "vector", "score")))
     d = x.astype(float) @ x.astype(float).T
-    for q in range(0, 300, 20):
-        want = sorted((-d[q, j], j) for j in range(300) if j != q)[:20]
-        assert [v for v, _ in got[q]] == [j for _, j in want]
-        assert np.allclose([s for _, s in got[q]], [-s for s, _ in want], rtol=1e-12)
-    assert set(got) == set(range(0, 300, 20))
+    want = {}
+    for q in range(304):
+        if ids[q] % 20 == 0:
+            want.setdefault(ids[q], []).append([(ids[j], s) for s, j in sorted((-d[q, j], ids[j] * 1000 + j) for j in range(304) if j != q)[:20] for j in [j % 1000]])
+    want[380] = [[(381, -8.0), (380, -4.0)]] * 2
+    for parts in (1, 4):
+        got: dict = {}
+        for r in ann.nearest(df.repartition(parts), block=64).collect():
+            got.setdefault(r.query_id, []).append(r)
+        assert set(got) == set(want)
+        for q, lists in want.items():
+            found = sorted((r["rank"], r.vec_id, round(r.score, 9)) for r in got[q])
+            assert found == sorted((k, v, round(-s, 9)) for own in lists for k, (v, s) in enumerate(own, 1)), q
     assert ann.nearest(df.limit(0)).count() == 0
 
 
