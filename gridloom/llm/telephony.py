@@ -2,7 +2,8 @@
 
 mu-law and A-law bytes are expanded by 256-entry lookup tables built from the
 companding rules. IMA ADPCM is decoded with numpy across blocks: step k of all
-blocks is one vector operation. Resampled PCM goes to a binary column.
+blocks is one vector operation. PCM, resampled to half or twice the rate, is stored in
+a binary column beside the media.
 
 A null text is empty; an empty payload is padded like any other, to one block.
 Equal payloads give equal values. Columns other than doc_id and text do not matter.
@@ -23,7 +24,7 @@ from .shared import id_text, slices, written
 
 BLOCK = 192
 RATE = 8000
-MULAW, ALAW = 7, 6  # WAV format tags
+MULAW, ALAW, ADPCM = 7, 6, 0x11  # WAV format tags
 _HEADER = struct.Struct("<4sI4s4sIHHIIHHH4sII")
 
 
@@ -111,55 +112,77 @@ def resample_double(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
-def to_wav(payload: bytes, form: int = MULAW, rate: int = RATE) -> bytes:
-    """A mono WAV file with 8-bit companded samples."""
+def resample_half(pcm: np.ndarray) -> np.ndarray:
+    """Half the rate: the mean of each two samples; a last one alone is kept."""
+    wide = pcm.astype(np.int32)
+    return np.append((wide[: len(pcm) // 2 * 2 : 2] + wide[1::2]) >> 1, wide[len(pcm) // 2 * 2 :]).astype(np.int16)
+
+
+def to_wav(payload: bytes, form: int = MULAW, rate: int = RATE, block: int = 1) -> bytes:
+    """A mono WAV file with 8-bit companded samples, or with ADPCM blocks of ``block`` bytes."""
     n = len(payload)
     pad = n & 1
-    head = _HEADER.pack(b"RIFF", 50 + n + pad, b"WAVE", b"fmt ", 18, form, 1, rate, rate, 1, 8, 0, b"fact", 4, n)
+    samples = n if form != ADPCM else n // block * (2 * block - 7)
+    per_second = rate if form != ADPCM else rate * block // (2 * block - 7)
+    head = _HEADER.pack(b"RIFF", 50 + n + pad, b"WAVE", b"fmt ", 18, form, 1, rate, per_second, block, 8 if form != ADPCM else 4, 0, b"fact", 4, samples)
     return head + struct.pack("<4sI", b"data", n) + payload + b"\0" * pad
 
 
-def from_wav(media: bytes) -> tuple[int, int, bytes]:
-    """(format tag, rate, sample bytes) of a WAV file; a file of another kind is an error."""
+def from_wav(media: bytes) -> tuple[int, int, int, bytes]:
+    """(format tag, rate, bytes in a block, sample bytes) of a WAV file; a file of another kind is an error."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
-    at, form, rate = 12, 0, 0
+    at, form, rate, block = 12, 0, 0, 1
     while at + 8 <= len(media):
         kind, size = media[at : at + 4], int.from_bytes(media[at + 4 : at + 8], "little")
         if kind == b"fmt ":
-            form, _, rate = struct.unpack_from("<HHI", media, at + 8)
+            form, _, rate, _, block = struct.unpack_from("<HHIIH", media, at + 8)
         elif kind == b"data":
-            return form, rate, media[at + 8 : at + 8 + size]
+            return form, rate, block, media[at + 8 : at + 8 + size]
         at += 8 + size + (size & 1)
     raise ValueError("no samples in the WAV file")
 
 
+def pcm_of(media: bytes) -> tuple[int, np.ndarray]:
+    """(rate, 16-bit samples) of a WAV file with mu-law, A-law or ADPCM samples; a last ADPCM block cut short is left out."""
+    form, rate, block, payload = from_wav(media)
+    data = np.frombuffer(payload, np.uint8)
+    if form == ADPCM:
+        return rate, adpcm_decode(data[: len(data) // block * block].reshape(-1, block)).ravel()
+    if form not in (MULAW, ALAW):
+        raise ValueError(f"WAV format {form} is not known")
+    return rate, (_MULAW if form == MULAW else _ALAW)[data]
+
+
+_MULAW, _ALAW = mulaw_table(), alaw_table()
+
+
 def with_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: the text's bytes, spaces appended to whole blocks, as mu-law samples of a WAV file."""
+    """doc_id, n_bytes, media, rate and pcm: the text's bytes, spaces appended to whole blocks, as mu-law samples of a WAV file, and its PCM."""
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             media = [to_wav(r.ljust(max(BLOCK, -(-len(r) // BLOCK) * BLOCK))) for r in raw]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"]
-            )
+            columns = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array([len(r) for r in raw], pa.int64()), "media": pa.array(media, pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns | _pcm_columns(media, 0.5))
+
+    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary, rate int, pcm binary")
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
+def _pcm_columns(media: list[bytes], ratio: float) -> dict[str, pa.Array]:
+    """rate and pcm of WAV files, resampled by ``ratio`` (0.5 or 2)."""
+    resample = {0.5: resample_half, 2: resample_double}[ratio]
+    found = [pcm_of(m) for m in media]
+    return {"rate": pa.array([int(r * ratio) for r, _ in found], pa.int32()), "pcm": pa.array([resample(p).astype("<i2").tobytes() for _, p in found], pa.binary())}
 
-def with_pcm(media: DataFrame) -> DataFrame:
-    """``media`` (doc_id, media) decoded: rate and pcm, 16-bit samples at twice the stored rate."""
-    tables = {MULAW: mulaw_table(), ALAW: alaw_table()}
+
+def with_pcm(media: DataFrame, ratio: float = 0.5) -> DataFrame:
+    """``media`` (doc_id, media: WAV files with mu-law, A-law or ADPCM samples) decoded: rate and pcm, 16-bit samples at ``ratio`` times the stored rate."""
 
     def run(batches):
         for batch in slices(batches, "media", 2 << 20):
-            rates, pcms = [], []
-            for m in batch.column("media").to_pylist():
-                form, rate, payload = from_wav(m)
-                rates.append(2 * rate)
-                pcms.append(resample_double(tables[form][np.frombuffer(payload, np.uint8)]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rates, pa.int32()), pa.array(pcms, pa.binary())], names=["doc_id", "rate", "pcm"])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | _pcm_columns(batch.column("media").to_pylist(), ratio))
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, rate int, pcm binary")
 
@@ -170,26 +193,31 @@ def _said(name: str, pcm: np.ndarray) -> str:
     return f"{name}={int(wide.sum())}/{int((wide * wide).sum())}/{int(wide.max())}/{int(wide.min())}/{crossings}"
 
 
+def feature_of(payload: bytes, pcm: np.ndarray, decoded: np.ndarray | None = None) -> str:
+    """The feature string: statistics of the samples expanded as mu-law, as A-law and decoded as ADPCM blocks, and of the stored PCM."""
+    codes = np.frombuffer(payload, np.uint8)
+    if decoded is None:
+        decoded = adpcm_decode(codes.reshape(-1, BLOCK)).ravel()
+    return f"{_said('mulaw', _MULAW[codes])};{_said('alaw', _ALAW[codes])};{_said('adpcm', decoded)};{_said('pcm', pcm)}/{zlib.crc32(pcm.tobytes()):08x}"
+
+
 def media_report(media: DataFrame) -> DataFrame:
-    """Reads stored media back: digests of payload and stored form, and a feature string.
+    """Reads stored media and PCM back: digests of payload and stored form, and a feature string.
 
-    The feature has, for the samples expanded as mu-law, as A-law and decoded as ADPCM blocks:
-    sum, sum of squares, largest, smallest and sign changes; then CRC-32 of the resampled PCM.
+    The feature has, for the samples expanded as mu-law, as A-law, decoded as ADPCM blocks,
+    and of the stored PCM: sum, sum of squares, largest, smallest and sign changes; then
+    the PCM's CRC-32.
     """
-    mulaw, alaw = mulaw_table(), alaw_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 4 << 20):
             media = batch.column("media").to_pylist()
-            payloads = [from_wav(m)[2] for m in media]
-            data = np.frombuffer(b"".join(payloads), np.uint8)
-            coded = adpcm_decode(data.reshape(-1, BLOCK))
+            payloads = [from_wav(m)[3] for m in media]
+            coded = adpcm_decode(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK))
             features, block = [], 0
-            for p in payloads:
-                codes = np.frombuffer(p, np.uint8)
-                pcm, n = mulaw[codes], len(p) // BLOCK
-                crc = zlib.crc32(resample_double(pcm).tobytes())
-                features.append(f"{_said('mulaw', pcm)};{_said('alaw', alaw[codes])};{_said('adpcm', coded[block : block + n].ravel())};pcm16k={crc:08x}")
+            for p, pcm in zip(payloads, batch.column("pcm").to_pylist(), strict=True):
+                n = len(p) // BLOCK
+                features.append(feature_of(p, np.frombuffer(pcm, "<i2"), coded[block : block + n].ravel()))
                 block += n
             yield pa.RecordBatch.from_arrays(
                 [

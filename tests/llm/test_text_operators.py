@@ -138,6 +138,25 @@ def test_media(docs_of):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
         media = telephony.to_wav(whole)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        codes = list(whole)
+        linear = [telephony.mulaw_table()[codes].tolist(), telephony.alaw_table()[codes].tolist(), [x for k in range(0, len(whole), 192) for x in plain_adpcm(whole[k : k + 192])]]
+        linear.append([(a + b) // 2 for a, b in zip(linear[0][::2], linear[0][1::2], strict=True)])
+        said = [f"{name}={sum(x)}/{sum(v * v for v in x)}/{max(x)}/{min(x)}/{sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}" for name, x in zip(("mulaw", "alaw", "adpcm", "pcm"), linear, strict=True)]
+        assert r.feature == ";".join(said) + f"/{zlib.crc32(np.array(linear[3], '<i2').tobytes()):08x}"
+
+
+def plain_adpcm(block):
+    """Samples of one IMA ADPCM block, code by code."""
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for b in block[4:]:
+        for code in (b & 15, b >> 4):
+            step = int(telephony.STEPS[index])
+            d = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - d if code & 8 else value + d))
+            index = max(0, min(88, index + int(telephony.INDEX_CHANGE[code])))
+            out.append(value)
+    return out
 
 
 def test_companding_and_adpcm():
@@ -146,24 +165,22 @@ def test_companding_and_adpcm():
     assert telephony.mulaw_table()[[0x00, 0x80, 0xFF]].tolist() == [-32124, 32124, 0] and telephony.alaw_table()[[0x55, 0xD5]].tolist() == [-8, 8]
     blocks = np.random.default_rng(1).integers(0, 256, (5, 40)).astype(np.uint8)
     for block, got in zip(blocks, telephony.adpcm_decode(blocks), strict=True):
-        value, index = int(np.frombuffer(block[:2].tobytes(), "<i2")[0]), min(int(block[2]), 88)
-        want = [value]
-        for b in block[4:]:
-            for code in (b & 15, b >> 4):
-                step = int(telephony.STEPS[index])
-                d = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
-                value = max(-32768, min(32767, value - d if code & 8 else value + d))
-                index = max(0, min(88, index + int(telephony.INDEX_CHANGE[code])))
-                want.append(value)
-        assert got.tolist() == want
+        assert got.tolist() == plain_adpcm(block.tobytes())
     assert telephony.resample_double(np.array([0, 10, 20], np.int16)).tolist() == [0, 5, 10, 15, 20, 20]
+    assert telephony.resample_half(np.array([1, 4, -3, -4, 9], np.int16)).tolist() == [2, -4, 9]
     with pytest.raises(ValueError):
         telephony.from_wav(b"none")
 
 
-def test_pcm_column(docs_of):
-    rows = telephony.with_pcm(telephony.with_media(docs_of(["abc", None]))).collect()
-    assert all(r.rate == 16000 and len(r.pcm) == 192 * 4 for r in rows)
+def test_pcm_column(spark, docs_of):
+    stored = telephony.with_media(docs_of(["abc", None])).collect()
+    assert all(r.rate == 4000 and len(r.pcm) == 192 for r in stored)
+    block = np.random.default_rng(2).integers(0, 256, 80).astype(np.uint8).tobytes()
+    files = [(1, telephony.to_wav(block, telephony.ALAW)), (2, telephony.to_wav(block, telephony.ADPCM, block=40)), (3, telephony.to_wav(b""))]
+    rows = {r.doc_id: r for r in telephony.with_pcm(spark.createDataFrame(files, "doc_id long, media binary"), 2).collect()}
+    assert np.frombuffer(rows[1].pcm, "<i2")[::2].tolist() == telephony.alaw_table()[list(block)].tolist() and rows[1].rate == 16000
+    assert np.frombuffer(rows[2].pcm, "<i2")[::2].tolist() == plain_adpcm(block[:40]) + plain_adpcm(block[40:])
+    assert not rows[3].pcm
 
 
 def test_lm_base_scores(docs_of, words):
@@ -182,19 +199,45 @@ def test_lm_base_scores(docs_of, words):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
         assert r.score <= 0
-    held = [r for r in rows if r.held_out and r.doc_id >= len(ODD)]
-    assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
     assert lm_scoring.lm_scores(docs_of([])).count() == 0
+    nulls = lm_scoring.lm_scores(docs_of(["a b"]).selectExpr("cast(null as long) as doc_id", "text")).collect()
+    assert [(r.doc_id, r.held_out, r.n_tokens) for r in nulls] == [(None, False, 3)]
 
 
-def test_lm_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    truth = rng.dirichlet(np.full(6, 0.3), (6, 6))
-    counts = np.array([[rng.multinomial(3000, truth[a, b]) for b in range(6)] for a in range(6)])
-    prior = counts.sum(axis=(0, 1)) / counts.sum()
-    table = lm_scoring.LogBilinear(prior, 12).fit(counts, steps=300, batch=2048).table()
-    assert np.allclose(np.exp(table).sum(axis=2), 1)
-    assert (counts * table).sum() > 1.02 * (counts * np.log(prior)).sum()
+def test_lm_model(docs_of, words):
+    """Against the product of plain probabilities; all known words and one unknown word sum to one; held-out texts fit better than by counts alone."""
+    pairs = {w: words(1, 700 + i) for i, w in enumerate(words(60, 3).split())}
+    r = np.random.default_rng(4)
+    texts = [" ".join(x for w in r.choice(list(pairs), 40) for x in (w, pairs[w])) + f" rare{i // 2}" for i in range(400)] + [None, "never seen"]
+    docs = docs_of(texts)
+    _, model, items, _ = lm_scoring.learned(docs)
+    rows = {r.doc_id: r for r in lm_scoring.lm_scores(docs).collect()}
+    count: Counter = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            count.update([*(t or "").split(), None])
+    hashes = {w: lm_scoring.END_HASH if w is None else lm_scoring.word_hashes(pa.array([w]))[1][0] for w in [*count, "unknown"]}
+    known = {w: [int(x[0]) if k == 0 else float(x[0]) for k, x in enumerate(items.of(np.array([h]), np.array([count[w]])))] for w, h in hashes.items()}
+    p = {k: v.astype(float) for k, v in model.p.items()}
+
+    def probabilities(one, two):
+        q = p["r"][one] @ p["c1"] + p["r"][two] @ p["c2"]
+        soft = lambda s: np.exp(s) / np.exp(s).sum()
+        within = np.concatenate([soft(p["t"][k : k + items.wide] @ q + p["b"][k : k + items.wide, 0]) for k in range(0, items.n, items.wide)])
+        return within * soft(p["u"] @ q + p["d"][:, 0])[np.arange(items.n) // items.wide]
+
+    for one, two in ((0, 1), (5, 3), (items.end, items.end)):
+        item = probabilities(one, two)
+        assert sum(item[k] * 10**share for k, share in known.values()) == pytest.approx(1, abs=1e-5)
+    for i in (0, 7, 400, 401):
+        before, total = [items.end, items.end], 0.0
+        for w in [*(texts[i] or "").split(), None]:
+            k, share = known[w if w in count else "unknown"]
+            total += math.log10(probabilities(before[-1], before[-2])[k]) + share
+            before.append(k)
+        assert rows[i].score == pytest.approx(total, rel=1e-3)
+    held = [r for i, r in rows.items() if r.held_out and i < 400]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
 
 
 def test_toxicity(spark, docs_of, words):
