@@ -365,9 +365,10 @@ def page_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
     largest = rows.where(F.col("n") >= _LEAST_SHARED).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies"))
-    # Only payloads that occur twice meet their rows again; the rest need no partner.
+    # Only payloads that occur twice meet their rows again; the rest need no partner, and small ones a key of their own.
     shared = largest.where("copies > 1").select(F.col("digest").alias("shared_digest"), "largest")
-    known = rows.join(shared, F.col("digest") == F.col("shared_digest"), "left")
+    key = F.when(F.col("n") >= _LEAST_SHARED, F.col("digest")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))
+    known = rows.join(shared, key == F.col("shared_digest"), "left")
     revisit = F.coalesce(F.col("largest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("largest"))), F.lit(False))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     return known.select(
