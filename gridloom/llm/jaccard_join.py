@@ -113,9 +113,11 @@ def _sent(texts: DataFrame, buckets: int) -> DataFrame:
             cuts = np.searchsorted(tokens >> shift, np.arange(buckets + 1, dtype=np.uint64))
             data = [_packed(tokens[a:b], index[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             data.append(np.array(docs, np.int64).tobytes())
-            flush = part << 12 | number
+            if number >> 20 or part >> 22:
+                raise OverflowError("a task sends too often for its numbers; use more partitions")
+            flush = part << 20 | number
             return pa.RecordBatch.from_arrays(
-                [pa.array([*range(buckets), -1 - flush % buckets], pa.int32()), pa.array([flush] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "flush", "data"]
+                [pa.array([*range(buckets), -1 - (part * 7919 + number) % buckets], pa.int32()), pa.array([flush] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "flush", "data"]
             )
 
         for batch in slices(batches, "text", 4 << 20):
