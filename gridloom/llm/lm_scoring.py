@@ -40,12 +40,12 @@ from .shared import give_back, id_text, slices, written
 from .words import word_hashes
 
 END_HASH = np.uint64(0x656E64)
-ROOTS = 16  # items for a square root of types
+ROOTS = 4  # items for a square root of types
 SIZE = 16  # of vectors
 NOISE = 10  # samples for each token
 DRAWS = 64  # of noise, shared by a batch and weighted to NOISE a token
 ROUNDS = 3  # of training, each followed by an average
-BATCH = 16384  # tokens of a step
+BATCH = 4096  # tokens of a step
 RATE = 0.15
 SEED = 20
 SLICE = 6 << 20  # bytes of text whose words are numbered together
@@ -194,7 +194,6 @@ class LogBilinear:
         log_noise = np.log(NOISE * self.prior).astype(np.float32)
         log_class = np.log(NOISE * self.class_prior).astype(np.float32)
         expected = (NOISE * self.class_prior).astype(np.float32)
-        off = lambda x: 1 / (1 + np.exp(np.clip(x, -30, 30)))
         p = self.p
         for at in range(0, len(word), BATCH):
             a, b, w = (x[at : at + BATCH] for x in (one, two, word))
@@ -203,13 +202,17 @@ class LogBilinear:
             v1, v2 = p["r"][a], p["r"][b]
             q = v1 @ p["c1"] + v2 @ p["c2"]
             t_w, t_o = p["t"][w], p["t"][other]
-            true = off(np.einsum("ij,ij->i", q, t_w) + p["b"][w, 0] - log_noise[w])
-            false = off(log_noise[other] - q @ t_o.T - p["b"][other, 0]) * np.float32(-NOISE / DRAWS)
+            true = _off(np.einsum("ij,ij->i", q, t_w) + p["b"][w, 0] - log_noise[w])
+            false = _off(log_noise[other] - p["b"][other, 0] - q @ t_o.T)
+            false *= np.float32(-NOISE / DRAWS)
             # Of classes there are few: their noise is taken in expectation.
-            scores = q @ p["u"].T + p["d"][:, 0] - log_class
-            per_class = off(-scores) * -expected
+            per_class = q @ -p["u"].T
+            per_class += log_class - p["d"][:, 0]
             mine = np.arange(len(w)), c
-            per_class[mine] += off(scores[mine])
+            own = _off(-per_class[mine])
+            per_class = _off(per_class)
+            per_class *= -expected
+            per_class[mine] += own
             d_q = true[:, None] * t_w + false @ t_o + per_class @ p["u"]
             self._step(state, "u", None, per_class.T @ q, rate)
             self._step(state, "d", None, per_class.sum(axis=0)[:, None], rate)
@@ -224,7 +227,7 @@ class LogBilinear:
         """A step of Adagrad; with ``rows``, of these rows alone, gradients of equal ones added up."""
         grad = grad / np.float32(BATCH)
         if rows is not None:
-            order = np.argsort(rows, kind="stable")
+            order = np.argsort(rows.astype(np.uint16) if len(self.prior) <= 1 << 16 else rows, kind="stable")
             rows = rows[order]
             first = np.flatnonzero(np.concatenate(([True], np.diff(rows) != 0)))
             rows, grad = rows[first], np.add.reduceat(grad[order], first, axis=0)
@@ -237,9 +240,10 @@ class LogBilinear:
         """Normalised log10 probability of each token: of its class, and of it within the class."""
         p, out = self.p, np.empty(len(word))
         first, second = p["r"] @ p["c1"], p["r"] @ p["c2"]
-        for at in range(0, len(word), 1 << 15):
-            q = first[one[at : at + (1 << 15)]] + second[two[at : at + (1 << 15)]]
-            w = word[at : at + (1 << 15)]
+        step = 1 << 13
+        for at in range(0, len(word), step):
+            q = first[one[at : at + step]] + second[two[at : at + step]]
+            w = word[at : at + step]
             c = w // self.wide
             own = _of(q @ p["u"].T + p["d"][:, 0], c)
             order = np.argsort(c, kind="stable")
@@ -248,15 +252,24 @@ class LogBilinear:
                 if a < b:
                     rows, low = order[a:b], k * self.wide
                     own[rows] += _of(q[rows] @ p["t"][low : low + self.wide].T + p["b"][low : low + self.wide, 0], w[rows] - low)
-            out[at : at + (1 << 15)] = own
+            out[at : at + step] = own
         return out / math.log(10)
 
 
+def _off(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in the place of ``x``."""
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def _of(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Natural log of the softmax of each row at the chosen column."""
     scores -= scores.max(axis=1, keepdims=True)
     own = scores[np.arange(len(chosen)), chosen].astype(np.float64)
-    return own - np.log(np.exp(scores, out=scores).sum(axis=1, dtype=np.float64))
+    np.exp(scores, out=scores)
+    return own - np.log((scores @ np.ones(scores.shape[1], np.float32)).astype(np.float64))
 
 
 def _averaged(model: LogBilinear, rows: DataFrame, number: int, end: int) -> None:
