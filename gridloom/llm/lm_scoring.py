@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back, id_text, slices, written
+from .shared import give_back, id_text, remove, slices, written
 from .words import word_hashes
 
 END_HASH = np.uint64(0x656E64)
@@ -79,9 +79,10 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Slices of texts, and their words: (slice, word, place, count) a distinct word, with its count in the slice's training texts, and (slice, n, docs, data) a slice.
+    """Slices of texts, and their words: (slice, word, count) a distinct word, with its count in the slice's training texts, and (slice, n, docs, data) a slice.
 
-    place is the word's number in the slice; docs has (doc_id, whether it is null, whether held out, tokens) of each text, data the n tokens' numbers.
+    docs has (doc_id, whether it is null, whether held out, tokens) of each text, data the
+    numbers of the n tokens' words, in the order of their hashes as signed numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,22 +90,22 @@ def numbered(docs: DataFrame) -> DataFrame:
         for batch in _joined(slices(batches, "text", SLICE)):
             offsets, hashes = tokens(batch.column("text"))
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            words, own = np.unique(hashes, return_inverse=True)
+            words, own = np.unique(hashes.view(np.int64), return_inverse=True)
             count = np.bincount(own, np.repeat(~held, np.diff(offsets)), len(words)).astype(np.int64)
             ids = batch.column("doc_id")
             about = np.stack([ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), held, np.diff(offsets)], axis=1).astype(np.int64)
-            schema = [("slice", pa.int64()), ("word", pa.int64()), ("place", pa.int32()), ("count", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("data", pa.binary())]
+            schema = [("slice", pa.int64()), ("word", pa.int64()), ("count", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("data", pa.binary())]
             for at in range(0, len(words), 1 << 16):
                 part = slice(at, at + (1 << 16))
                 m = len(words[part])
-                rows = [np.full(m, number), words[part].view(np.int64), np.arange(at, at + m), count[part]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, (_, t) in zip(rows, schema[:4], strict=True)), *(pa.nulls(m, t) for _, t in schema[4:])], names=[c for c, _ in schema])
-            whole = [number, None, None, None, len(hashes), about.tobytes(), _packed(own)]
+                rows = [np.full(m, number), words[part], count[part]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, (_, t) in zip(rows, schema[:3], strict=True)), *(pa.nulls(m, t) for _, t in schema[3:])], names=[c for c, _ in schema])
+            whole = [number, None, None, len(hashes), about.tobytes(), _packed(own)]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip(whole, schema, strict=True)], names=[c for c, _ in schema])
             number += 1
         give_back()
 
-    return docs.mapInArrow(run, "slice long, word long, place int, count long, n long, docs binary, data binary")
+    return docs.mapInArrow(run, "slice long, word long, count long, n long, docs binary, data binary")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +317,7 @@ def learned(docs: DataFrame) -> tuple[DataFrame, LogBilinear, Items, int]:
     """(slices, model, items, training tokens): (n, docs, data, figures) of each slice, data its tokens' items, figures its texts' n_known, base score and shares."""
     rows = id_text(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     stored = written(numbered(rows), "numbered")
-    asked = stored.where("word is not null").select("slice", "word", "place", "count")
+    asked = stored.where("word is not null").select("slice", "word", "count")
     totals = written(asked.groupBy("word").agg(F.sum("count").alias("total")), "totals")
     sums = totals.agg(F.sum("total").alias("n"), F.sum((F.col("total") > 0).cast("long")).alias("v")).first()
     n, v = sums["n"] or 0, sums["v"] or 0
@@ -358,10 +359,12 @@ def learned(docs: DataFrame) -> tuple[DataFrame, LogBilinear, Items, int]:
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=["n", "docs", "data", "figures"])
         give_back()
 
-    answers = asked.join(totals, "word").select("slice", "word", "place", "total", *(F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("docs", "binary"), ("data", "binary"))))
-    rest = stored.where("n is not null").select("slice", F.lit(None).cast("long").alias("word"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("total"), "n", "docs", "data")
-    met = answers.unionByName(rest).repartition("slice").sortWithinPartitions("slice", F.col("place").asc_nulls_last())
+    answers = asked.select("slice", "word").join(totals, "word").select("slice", "word", "total", *(F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("docs", "binary"), ("data", "binary"))))
+    rest = stored.where("n is not null").select("slice", F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("total"), "n", "docs", "data")
+    met = answers.unionByName(rest).repartition("slice").sortWithinPartitions("slice", F.col("word").asc_nulls_last())
     done = written(met.mapInArrow(answer, "n long, docs binary, data binary, figures binary"), "items")
+    for table in (stored, totals):
+        remove(docs.sparkSession, table)
     model = LogBilinear(items.prior, items.wide)
     if n:
         for k in range(ROUNDS):
