@@ -15,36 +15,46 @@ def brute_matches(reads: DataFrame, library: DataFrame, threshold: int, metric:
     Every pair is compared: for libraries or sequences too short for segments. The
     library is broadcast only if it is small.
     """
-    refs = small(library.select("idx", F.col("seq").alias("ref")))
+    refs = library.select("idx", F.col("seq").alias("ref"))
     seqs = reads.select("seq").distinct()
     if metric == "levenshtein":
         dist = F.levenshtein(F.col("seq"), F.col("ref"), threshold)
         near = F.abs(F.length("seq") - F.length("ref")) <= threshold
-        return seqs.join(refs, near & (dist >= 0)).select("seq", "idx", dist.alias("dist"))
+        return seqs.join(small(refs), near & (dist >= 0)).select("seq", "idx", dist.alias("dist"))
     if metric == "hamming":
-        dist = dna.hamming(F.col("seq"), F.col("ref"), "inf")
-        return seqs.join(refs, (F.length("seq") == F.length("ref")) & (dist <= threshold)).select("seq", "idx", dist.alias("dist"))
+        dist = dna.hamming(F.col("seq"), F.col("ref"), "inf", F.col("__s"), F.col("__r"))
+        met = seqs.withColumn("__s", dna.packed(F.col("seq"))).join(small(refs.withColumn("__r", dna.packed(F.col("ref")))), (F.length("seq") == F.length("ref")) & (dist <= threshold))
+        return met.select("seq", "idx", dist.alias("dist"))
     raise ValueError(f"unknown metric: {metric}")
 
 
-def segment_matches(reads: DataFrame, library: DataFrame, threshold: int, length: int) -> DataFrame:
-    """As ``brute_matches`` by edit distance, for a library of sequences of one length.
+def segment_matches(reads: DataFrame, library: DataFrame, threshold: int, length: int, metric: str = "levenshtein") -> DataFrame:
+    """As ``brute_matches``, for a library of sequences of one length.
 
-    A sequence cut into threshold + 1 pieces has one that an at most ``threshold`` edits
-    leave whole, moved by no more than ``threshold`` places. Pieces meet by a hash join;
-    the distance is computed for the pairs found. Exact, with a shuffle on pieces only.
+    A sequence cut into threshold + 1 pieces has one that at most ``threshold`` edits
+    leave whole, moved by no more than ``threshold`` places (by none under the Hamming
+    distance). Pieces meet by a hash join; the distance is tested there, and only pairs
+    within the threshold are shuffled, to be made distinct. Exact.
     """
     parts = threshold + 1
     if length < parts:
         raise ValueError("more pieces than bases: use brute_matches")
     cuts = [length * k // parts for k in range(parts + 1)]
     cut = lambda s, k, move=0: F.struct(F.lit(k).alias("part"), F.substring(s, cuts[k] + 1 + move, cuts[k + 1] - cuts[k]).alias("piece"))
-    refs = library.select("idx", F.col("seq").alias("ref"), F.explode(F.array(*(cut("seq", k) for k in range(parts)))).alias("s")).select("idx", "ref", "s.part", "s.piece")
-    windows = [cut("seq", k, m) for k in range(parts) for m in range(-threshold, threshold + 1) if cuts[k] + m >= 0]
-    seqs = reads.select("seq").distinct().where(F.length("seq").between(length - threshold, length + threshold))
-    seen = seqs.select("seq", F.explode(F.array_distinct(F.array(*windows))).alias("s")).select("seq", "s.part", "s.piece")
-    pairs = seen.join(refs, ["part", "piece"]).select("seq", "idx", "ref").distinct()
-    return pairs.withColumn("dist", F.levenshtein("seq", "ref", threshold)).where("dist >= 0").select("seq", "idx", "dist")
+    packed = [dna.packed(F.col("seq")).alias("__r")] if metric == "hamming" else []
+    refs = library.select("idx", F.col("seq").alias("ref"), *packed, F.explode(F.array(*(cut("seq", k) for k in range(parts)))).alias("s"))
+    refs = refs.select(*(c for c in refs.columns if c != "s"), "s.part", "s.piece")
+    moves = range(-threshold, threshold + 1) if metric == "levenshtein" else (0,)
+    windows = [cut("seq", k, m) for k in range(parts) for m in moves if cuts[k] + m >= 0]
+    most = threshold if metric == "levenshtein" else 0
+    seqs = reads.select("seq").distinct().where(F.length("seq").between(length - most, length + most))
+    seen = seqs.select("seq", *(p.alias("__s") for p in packed), F.explode(F.array_distinct(F.array(*windows))).alias("s"))
+    seen = seen.select(*(c for c in seen.columns if c != "s"), "s.part", "s.piece")
+    met = seen.join(small(refs), ["part", "piece"])
+    if metric == "hamming":
+        dist = dna.hamming(F.col("seq"), F.col("ref"), "inf", F.col("__s"), F.col("__r"))
+        return met.withColumn("dist", dist).where(F.col("dist") <= threshold).select("seq", "idx", "dist").distinct()
+    return met.withColumn("dist", F.levenshtein("seq", "ref", threshold)).where("dist >= 0").select("seq", "idx", "dist").distinct()
 
 
 def nearest(matches: DataFrame) -> DataFrame:
@@ -61,8 +71,8 @@ def decode(reads: DataFrame, library: DataFrame, threshold: int, length: int | N
     """
     if ties not in ("erase", "first"):
         raise ValueError(f"unknown rule for ties: {ties}")
-    by_pieces = length is not None and metric == "levenshtein" and length // (threshold + 1) >= 4
-    matches = segment_matches(reads, library, threshold, length) if by_pieces else brute_matches(reads, library, threshold, metric)
+    by_pieces = length is not None and length // (threshold + 1) >= (4 if metric == "levenshtein" else 3)
+    matches = segment_matches(reads, library, threshold, length, metric) if by_pieces else brute_matches(reads, library, threshold, metric)
     best = nearest(matches)
     decoded = F.when(F.col("n") == 1, F.col("idx")) if ties == "erase" else F.col("idx")
     best = best.select("seq", decoded.alias("decoded"), "dist", (F.col("n") > 1).alias("ambiguous"))
@@ -95,12 +105,12 @@ def decode_components(reads: DataFrame, x_axis: DataFrame, y_axis: DataFrame, sp
     """``reads`` with decoded_row, decoded_col, x_distance, y_distance, ambiguous and success: both axes by themselves, ties to the smallest position."""
     cut = reads.withColumn("__s", split_read(F.col("seq"), spacer, x_length, y_length)).withColumns({"__x": F.col("__s.x"), "__y": F.col("__s.y")}).drop("__s")
 
-    def axis(name: str, table: DataFrame) -> DataFrame:
+    def axis(name: str, table: DataFrame, length: int) -> DataFrame:
         parts = cut.where(f"__{name} is not null").select(F.col(f"__{name}").alias("seq")).distinct()
-        found = decode(parts, table.select(F.col("pos").alias("idx"), "seq"), threshold, ties="first", metric=metric)
+        found = decode(parts, table.select(F.col("pos").alias("idx"), "seq"), threshold, length, ties="first", metric=metric)
         return found.select(F.col("seq").alias(f"__{name}"), F.col("decoded").alias(f"__{name}_pos"), F.col("dist").alias(f"__{name}_dist"), F.col("ambiguous").alias(f"__{name}_amb"))
 
-    out = cut.join(axis("x", x_axis), "__x", "left").join(axis("y", y_axis), "__y", "left")
+    out = cut.join(axis("x", x_axis, x_length), "__x", "left").join(axis("y", y_axis, y_length), "__y", "left")
     ok = F.col("__x_pos").isNotNull() & F.col("__y_pos").isNotNull()
     return out.withColumns(
         {

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,37 +45,36 @@ def indel(seq: Column, key: Column, sub: float, ins: float, dele: float, seed: o
     return _places(seq, seed, key, make)
 
 
-def binomial(n: int, rate: float, key: Column, seed: object = 0) -> Column:
-    """Successes of n keyed draws."""
-    draws = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: _below(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), k.cast("string")).cast("binary")), 1, rate).cast("int"))
-    return F.aggregate(draws, F.lit(0), lambda a, x: a + x)
-
+def fixed_length(seq: Column, key: Column, sub: float, ins: float, dele: float, seed: object = 0) -> Column:
+    """A read of the same length by edits of the whole sequence, one kind after another.
 
-def fixed_length_channel(sub: float, ins: float, dele: float, seed: int = 1):
-    """An Arrow UDF (seq, key) -> read of the same length, by list edits whose order matters.
-
-    The numbers of edits are binomial: substitutions (any of four bases, at 4/3 of the
-    rate) at places drawn with replacement, deletions at such places without repeats,
-    insertions one after another anywhere; then random bases fill up, or the rest goes.
+    Each of its places draws once for each kind, so the numbers of edits are binomial:
+    substitutions (any of four bases, at 4/3 of the rate) at places drawn with
+    replacement, in turn; deletions at such places, a place once; then, for each base
+    left, perhaps a new one, each put in anywhere after those before it. Random bases
+    fill up, or what is too long goes.
     """
-
-    @F.pandas_udf("string")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for seqs, keys in parts:
-            yield pd.Series([None if s is None else _edited(s, np.random.default_rng([seed, int(k) & (1 << 63) - 1]), sub, ins, dele) for s, k in zip(seqs, keys, strict=True)])
-
-    return run
-
-
-def _edited(seq: str, rng: np.random.Generator, sub: float, ins: float, dele: float) -> str:
-    n, bases = len(seq), list(seq)
-    draw = lambda: "ACGT"[rng.integers(4)]
-    if n:
-        for at in rng.integers(n, size=rng.binomial(n, min(1.0, sub * 4 / 3))):
-            bases[at] = draw()
-        gone = set(rng.integers(n, size=rng.binomial(n, dele)).tolist())
-        bases = [b for i, b in enumerate(bases) if i not in gone]
-        for _ in range(rng.binomial(len(bases), ins)):
-            bases.insert(int(rng.integers(len(bases) + 1)), draw())
-    bases += [draw() for _ in range(n - len(bases))]
-    return "".join(bases[:n])
+    n = F.length(seq)
+    drawn = lambda kind, most: F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: F.md5(F.concat_ws(":", F.lit(f"{seed}{kind}"), key.cast("string"), k.cast("string")).cast("binary")))
+    base = lambda d: F.substr(F.lit("ACGT"), (hex_long(d, 13, 2) % 4).cast("int") + 1, F.lit(1))
+    place = lambda d, size: (hex_long(d, 9, 4) % size).cast("int")
+
+    def put(s: Column, d: Column) -> Column:
+        at = place(d, n)
+        return F.when(_below(d, 1, min(1.0, sub * 4 / 3)), F.concat(F.left(s, at), base(d), F.substr(s, at + 2, n))).otherwise(s)
+
+    def push(s: Column, d: Column) -> Column:
+        at = place(d, F.length(s) + 1)
+        return F.when(_below(d, 1, ins), F.concat(F.left(s, at), base(d), F.substr(s, at + 1, F.length(s)))).otherwise(s)
+
+    changed = F.aggregate(drawn("s", n), seq, put)
+    gone = F.transform(F.filter(drawn("d", n), lambda d: _below(d, 1, dele)), lambda d: place(d, n) + 1)
+    left_over = lambda c, g: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: ~F.array_contains(g, k)), lambda k: F.substr(c, k, F.lit(1))), "")
+    kept = _let(F.struct(changed.alias("c"), gone.alias("g")), lambda x: left_over(x["c"], x["g"]))
+    grown = _let(kept, lambda k: F.when(F.length(k) == 0, "").otherwise(F.aggregate(drawn("i", F.length(k)), k, push)))
+    return F.when(n == 0, "").otherwise(F.left(F.concat(grown, F.array_join(F.transform(drawn("p", n), base), "")), n))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -1,7 +1,9 @@
 """Registered queries: every operator on the driver's tables, and SQL that gives the same rows.
 
 ``part`` stands for a library of 28-base sequences and for a grid of spots (50
-columns), ``supplier`` for an axis of codes, ``orders`` for noisy reads.
+columns), ``supplier`` for an axis of codes and a library of 8-base ones, the first 16
+of ``nation`` for the barcodes of a block's 4 x 4 spots, ``orders`` for noisy reads.
+Every query takes its whole tables.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ ORACLE_SQL: dict[str, str] = {}
 _HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
 WITH = f"""
 WITH lib AS (SELECT p_partkey AS idx, translate(substr(md5('lib:' || p_partkey), 1, 28), {_HEX}) AS seq FROM part),
-lib2 AS (SELECT p_partkey AS idx, translate(substr(md5('lib2:' || p_partkey), 1, 8), {_HEX}) AS seq FROM part WHERE p_partkey < 64),
+lib2 AS (SELECT s_suppkey AS idx, translate(substr(md5('lib2:' || s_suppkey), 1, 8), {_HEX}) AS seq FROM supplier),
+sixteen AS (SELECT n_nationkey AS idx, translate(substr(md5('spot:' || n_nationkey), 1, 8), {_HEX}) AS seq FROM nation WHERE n_nationkey < 16),
 bits AS (SELECT p_partkey AS idx, lpad(bin(('0x' || substr(md5('bits:' || p_partkey), 1, 9))::BIGINT), 36, '0') AS bits FROM part),
 spots AS (SELECT (p_partkey // {COLS})::INT AS row, (p_partkey % {COLS})::INT AS col, seq AS bar FROM part JOIN lib ON idx = p_partkey),
 dims AS (SELECT (max(row) + 1)::INT AS rows FROM spots),
-axis AS (SELECT s_suppkey::INT AS pos, ('0x' || substr(md5('axis:' || s_suppkey), 1, 9))::BIGINT AS code FROM supplier WHERE s_suppkey <= 200),
-truths AS (SELECT o_orderkey AS key, (o_orderkey * 7919) % (SELECT count(*) FROM part) AS truth FROM orders WHERE o_orderkey % 20 = 0),
+axis AS (SELECT s_suppkey::INT AS pos, ('0x' || substr(md5('axis:' || s_suppkey), 1, 9))::BIGINT AS code FROM supplier),
+truths AS (SELECT o_orderkey AS key, (o_orderkey * 7919) % (SELECT count(*) FROM part) AS truth FROM orders),
 blocks AS (SELECT row, col, bar, row // 4 AS block_row, col // 4 AS block_col, (row % 4) * least(4, {COLS} - col // 4 * 4) + col % 4 AS spot_in_block FROM spots)
 """
 
@@ -51,7 +54,12 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def short_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey < 64").select(F.col("p_partkey").alias("idx"), prng.dna(8, "lib2", F.col("p_partkey")).alias("seq"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), prng.dna(8, "lib2", F.col("s_suppkey")).alias("seq"))
+
+
+def sixteen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Barcodes for the spots of a block: 16, by its size."""
+    return table(spark, sf_dir, "nation").where("n_nationkey < 16").select(F.col("n_nationkey").cast("long").alias("idx"), prng.dna(8, "spot", F.col("n_nationkey")).alias("seq"))
 
 
 def bit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,19 +74,14 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> int:
     return -(-table(spark, sf_dir, "part").count() // COLS)
 
 
-def whole_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("pos"), prng.bits(36, "axis", F.col("s_suppkey")).alias("code"))
-
-
 def axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the axis that the SQL takes."""
-    return whole_axis(spark, sf_dir).where("pos <= 200")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("pos"), prng.bits(36, "axis", F.col("s_suppkey")).alias("code"))
 
 
 def true_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, truth, ref): the library entry that each read comes from."""
     lib = library(spark, sf_dir)
-    keys = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("key"))
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     keys = keys.withColumn("truth", F.col("key") * 7919 % lib.count())
     return keys.join(layouts.small(lib.select(F.col("idx").alias("truth"), F.col("seq").alias("ref"))), "truth")
 
@@ -218,22 +221,14 @@ def break_homopolymers(spark, sf_dir):
     return library(spark, sf_dir).select("idx", r["seq"].alias("seq"), r["subs"].alias("subs"))
 
 
-_SMALL = "(SELECT * FROM lib WHERE idx <= 300)"
-
-
-def _first(spark, sf_dir, n: int = 300) -> DataFrame:
-    """A library of a grid's size: all its pairs are asked for."""
-    return library(spark, sf_dir).where(F.col("idx") <= n)
-
-
-@query("hamming_pairs", f"SELECT a.idx AS i, b.idx AS j, b.idx - a.idx AS diff, hamming(a.seq, b.seq)::INT AS dist FROM {_SMALL} a JOIN {_SMALL} b ON a.idx < b.idx")
+@query("hamming_pairs", "SELECT a.idx AS i, b.idx AS j, b.idx - a.idx AS diff, hamming(a.seq, b.seq)::INT AS dist FROM lib a JOIN lib b ON a.idx < b.idx")
 def hamming_pairs(spark, sf_dir):
-    return distances.pairs(_first(spark, sf_dir), "idx", "seq")
+    return distances.pairs(library(spark, sf_dir), "idx", "seq")
 
 
-@query("levenshtein_pairs", f"SELECT a.idx AS i, b.idx AS j, levenshtein(a.seq, b.seq)::INT AS dist, least(levenshtein(a.seq, b.seq), 13)::INT AS capped FROM {_SMALL} a JOIN {_SMALL} b ON a.idx < b.idx")
+@query("levenshtein_pairs", "SELECT a.idx AS i, b.idx AS j, levenshtein(a.seq, b.seq)::INT AS dist, least(levenshtein(a.seq, b.seq), 13)::INT AS capped FROM lib a JOIN lib b ON a.idx < b.idx")
 def levenshtein_pairs(spark, sf_dir):
-    a = _first(spark, sf_dir)
+    a = library(spark, sf_dir)
     b = a.select(F.col("idx").alias("j"), F.col("seq").alias("other"))
     met = a.join(layouts.small(b), F.col("idx") < F.col("j"))
     return met.select(F.col("idx").alias("i"), "j", F.levenshtein("seq", "other").alias("dist"), dna.levenshtein_capped(F.col("seq"), F.col("other"), 12).alias("capped"))
@@ -402,9 +397,9 @@ def broken_layout_violations(spark, sf_dir):
     return layouts.layout_violations(bad)
 
 
-_HIER = """, b2 AS (SELECT idx, seq FROM lib2 WHERE idx < 16), bb AS (SELECT DISTINCT block_row, block_col FROM blocks),
+_HIER = """, bb AS (SELECT DISTINCT block_row, block_col FROM blocks),
  b1 AS (SELECT block_row, block_col, translate(substr(md5('block:' || block_row || ':' || block_col), 1, 28), '0123456789abcdef', 'ACGTACGTACGTACGT') AS bar_1 FROM bb),
- turned AS (SELECT block_row, block_col, seq AS bar_2, row_number() OVER (PARTITION BY block_row, block_col ORDER BY md5('hierarchical:' || block_row || ':' || block_col || ':' || idx), idx) - 1 AS spot_in_block FROM bb, b2),
+ turned AS (SELECT block_row, block_col, seq AS bar_2, row_number() OVER (PARTITION BY block_row, block_col ORDER BY md5('hierarchical:' || block_row || ':' || block_col || ':' || idx), idx) - 1 AS spot_in_block FROM bb, sixteen),
  hierarchical AS (SELECT row, col, s.block_row::INT AS block_row, s.block_col::INT AS block_col, s.spot_in_block::INT AS spot_in_block, bar_1, bar_2, bar_1 || bar_2 AS combined FROM blocks s JOIN b1 USING (block_row, block_col) JOIN turned USING (block_row, block_col, spot_in_block))"""
 
 
@@ -413,7 +408,7 @@ def hierarchical_layout(spark, sf_dir):
     s = spots(spark, sf_dir).drop("bar")
     blocks = grid.with_blocks(s, COLS).select("block_row", "block_col").distinct()
     bar1 = blocks.withColumn("seq", prng.dna(28, "block", F.col("block_row"), F.col("block_col")))
-    return layouts.hierarchical_layout(s, COLS, bar1, short_library(spark, sf_dir).where("idx < 16"), "hierarchical")
+    return layouts.hierarchical_layout(s, COLS, bar1, sixteen(spark, sf_dir), "hierarchical")
 
 
 @query("hierarchical_validate", _HIER + _RULES.format(t="hierarchical"))
@@ -499,7 +494,14 @@ def kmer_candidates(spark, sf_dir):
     return qc.kmers(spark, 6).where(qc.spot_candidate(F.col("seq")))
 
 
-@query("greedy_select", None)
+_GREEDY = """WITH RECURSIVE words AS (SELECT array_to_string(list_transform(range(7, -1, -1), lambda k: substr('ACGT', ((i >> k::INT * 2) & 3)::INT + 1, 1)), '') AS seq FROM range(65536) r(i)),
+ cand AS (SELECT seq FROM words WHERE length(regexp_replace(seq, '[^GC]', '', 'g')) / 8 BETWEEN 0.4 AND 0.6 AND length(regexp_replace(seq, '[^G]', '', 'g')) / 8 <= 0.25 AND list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))) <= 3),
+ chosen(place, seq, held) AS (SELECT 0, min(seq), [min(seq)] FROM cand
+  UNION ALL SELECT place + 1, min(c.seq), list_append(any_value(held), min(c.seq)) FROM chosen g JOIN cand c ON c.seq > g.seq AND list_min(list_transform(held, lambda h: hamming(h, c.seq))) >= 5 WHERE place < 15 GROUP BY place)
+SELECT place::INT AS place, seq FROM chosen"""
+
+
+@query("greedy_select", _GREEDY, prelude=False)
 def greedy_select(spark, sf_dir):
     return spark.createDataFrame([(k, s) for k, s in enumerate(codes.spot_barcodes(spark))], "place int, seq string")
 
@@ -523,14 +525,37 @@ def errors_indel(spark, sf_dir):
     return library(spark, sf_dir).select("idx", errors.indel(F.col("seq"), F.col("idx"), 0.05, 0.04, 0.06, "i").alias("read"))
 
 
-@query("errors_fixed_length", None)
+def _fixed_sql(source: str, seq: str, key: str, more: str, sub: float, ins: float, dele: float, seed: str) -> str:
+    """SQL of the fixed-length channel: a SELECT of ``more`` and the read as seq."""
+    digests = lambda kind, n: f"list_transform(range(1, {n} + 1), lambda k: md5('{seed}{kind}:' || {key} || ':' || k))"
+    u = lambda e: f"('0x' || substr({e}, 1, 8))::BIGINT / 4294967296.0"
+    at = lambda e, n: f"(('0x' || substr({e}, 9, 4))::BIGINT % ({n}))::INT"
+    base = lambda e: f"substr('ACGT', (('0x' || substr({e}, 13, 2))::BIGINT % 4)::INT + 1, 1)"
+    changed = f"list_reduce(list_prepend({seq}, {digests('s', f'length({seq})')}), lambda s, e: CASE WHEN {u('e')} < {min(1.0, sub * 4 / 3)} THEN left(s, {at('e', 'length(s)')}) || {base('e')} || substr(s, {at('e', 'length(s)')} + 2) ELSE s END)"
+    gone = f"list_transform(list_filter({digests('d', f'length({seq})')}, lambda e: {u('e')} < {dele}), lambda e: {at('e', f'length({seq})')} + 1)"
+    kept = "array_to_string(list_transform(list_filter(range(1, length(changed) + 1), lambda k: NOT list_contains(gone, k::INT)), lambda k: substr(changed, k::INT, 1)), '')"
+    grown = f"list_reduce(list_prepend(kept, {digests('i', 'length(kept)')}), lambda s, e: CASE WHEN {u('e')} < {ins} THEN left(s, {at('e', 'length(s) + 1')}) || {base('e')} || substr(s, {at('e', 'length(s) + 1')} + 1) ELSE s END)"
+    fill = f"array_to_string(list_transform({digests('p', 'size')}, lambda e: {base('e')}), '')"
+    return f"""SELECT {more}, left(grown || fill, size) AS seq FROM (SELECT *, {grown} AS grown, {fill} AS fill FROM (SELECT *, {kept} AS kept FROM (SELECT *, length({seq})::INT AS size, {changed} AS changed, {gone} AS gone FROM {source})))"""
+
+
+@query("errors_fixed_length", f", x AS ({_fixed_sql('lib', 'seq', 'idx', 'idx', 0.03, 0.04, 0.14, 'e3')}) SELECT idx, seq AS read FROM x")
 def errors_fixed_length(spark, sf_dir):
-    return library(spark, sf_dir).select("idx", errors.fixed_length_channel(0.03, 0.04, 0.14)(F.col("seq"), F.col("idx")).alias("read"))
+    return library(spark, sf_dir).select("idx", errors.fixed_length(F.col("seq"), F.col("idx"), 0.03, 0.04, 0.14, "e3").alias("read"))
 
 
-_DECODED = """, m AS (SELECT key, truth, r.seq, l.idx, levenshtein(r.seq, l.seq) AS dist FROM reads r JOIN lib l ON levenshtein(r.seq, l.seq) <= 4),
- b AS (SELECT key, min(dist) AS dist FROM m GROUP BY key), t AS (SELECT m.key, any_value(m.dist) AS dist, count(*) AS n, min(idx) AS idx FROM m JOIN b ON m.key = b.key AND m.dist = b.dist GROUP BY m.key),
- flat AS (SELECT reads.key, reads.truth, CASE WHEN n = 1 THEN idx END AS decoded, dist, coalesce(n > 1, false) AS ambiguous FROM reads LEFT JOIN t ON t.key = reads.key)"""
+def _nearest_sql(name: str, seqs: str, lib: str, threshold: int, length: int) -> str:
+    """SQL of ``name`` (seq, dist, n, idx): the nearest of ``lib`` to each of the distinct ``seqs``; pieces find the pairs, as one of threshold + 1 stays whole."""
+    cuts = [length * k // (threshold + 1) for k in range(threshold + 2)]
+    pieces = ", ".join(f"({k}, {cuts[k] + 1 + m}, {cuts[k + 1] - cuts[k]}, {m})" for k in range(threshold + 1) for m in range(-threshold, threshold + 1) if cuts[k] + m >= 0)
+    return f""", {name}_w(part, start, size, move) AS (VALUES {pieces}),
+ {name}_p AS (SELECT DISTINCT r.seq, l.idx, l.seq AS ref FROM (SELECT DISTINCT seq, part, substr(seq, start, size) AS piece FROM (SELECT DISTINCT seq FROM {seqs}), {name}_w) r
+  JOIN (SELECT idx, seq, part, substr(seq, start, size) AS piece FROM {lib}, {name}_w WHERE move = 0) l USING (part, piece)),
+ {name}_m AS (SELECT seq, idx, levenshtein(seq, ref) AS dist FROM {name}_p WHERE levenshtein(seq, ref) <= {threshold}),
+ {name} AS (SELECT seq, any_value(dist) AS dist, count(*) AS n, min(idx) AS idx FROM {name}_m JOIN (SELECT seq, min(dist) AS dist FROM {name}_m GROUP BY seq) USING (seq, dist) GROUP BY seq)"""
+
+
+_DECODED = _nearest_sql("best", "reads", "lib", 4, 28) + ", flat AS (SELECT key, truth, CASE WHEN n = 1 THEN idx END AS decoded, dist, coalesce(n > 1, false) AS ambiguous FROM reads LEFT JOIN best USING (seq))"
 
 
 @query("decode_flat", READS + _DECODED + " SELECT key, truth, decoded, dist::INT AS dist, ambiguous FROM flat")
@@ -558,25 +583,60 @@ def rates_rollup(spark, sf_dir):
     return decode_flat(spark, sf_dir).join(by, "key").rollup("status", "priority").agg(*decode.rate_columns())
 
 
-_LONG = f""", noisy AS (SELECT key, truth, key % 64 AS t2, {_sub_sql('lib.seq || lib2.seq', 'key', 0.04, 'h')} FROM truths JOIN lib ON lib.idx = truth JOIN lib2 ON lib2.idx = key % 64),
- p1 AS (SELECT DISTINCT left(seq, 28) AS a FROM noisy), m1 AS (SELECT a, l.idx, levenshtein(a, l.seq) AS d FROM p1 JOIN lib l ON levenshtein(a, l.seq) <= 4), g1 AS (SELECT a, min(d) AS d FROM m1 GROUP BY a),
- one AS (SELECT m1.a, CASE WHEN count(*) = 1 THEN min(idx) END AS d1 FROM m1 JOIN g1 ON m1.a = g1.a AND m1.d = g1.d GROUP BY m1.a),
- p2 AS (SELECT DISTINCT substr(seq, 29) AS b FROM noisy), m2 AS (SELECT b, l.idx, levenshtein(b, l.seq) AS d FROM p2 JOIN lib2 l ON levenshtein(b, l.seq) <= 2), g2 AS (SELECT b, min(d) AS d FROM m2 GROUP BY b),
- two AS (SELECT m2.b, CASE WHEN count(*) = 1 THEN min(idx) END AS d2 FROM m2 JOIN g2 ON m2.b = g2.b AND m2.d = g2.d GROUP BY m2.b)
-SELECT key, truth, t2, CASE WHEN d2 IS NOT NULL THEN d1 END AS decoded_1, CASE WHEN d1 IS NOT NULL THEN d2 END AS decoded_2
-FROM noisy LEFT JOIN one ON a = left(seq, 28) LEFT JOIN two ON b = substr(seq, 29)"""
+# The default channel and thresholds of the simulation benchmark: 36-base reads of a flat library, and of a block's 28 and a spot's 8 bases.
+RATES, FLAT, PART_1, PART_2 = (0.03, 0.04, 0.14), 5, 4, 2
+_WIDE = f""", wide AS (SELECT p_partkey AS idx, translate(substr(md5('wide:' || p_partkey) || md5('wide+1:' || p_partkey), 1, 36), {_HEX}) AS seq FROM part),
+ noisy AS ({_fixed_sql("(SELECT key, truth, wide.seq AS ref FROM truths JOIN wide ON wide.idx = truth)", "ref", "key", "key, truth", *RATES, "flat")})"""
+_FLAT = _WIDE + _nearest_sql("best", "noisy", "wide", FLAT, 36) + ", done AS (SELECT key, truth, CASE WHEN n = 1 THEN idx END AS decoded FROM noisy LEFT JOIN best USING (seq))"
+
+
+@query("benchmark_flat", _FLAT + f" SELECT 'flat' AS decoder, {_RATES} FROM done")
+def benchmark_flat(spark, sf_dir):
+    wide = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), prng.dna(36, "wide", F.col("p_partkey")).alias("seq"))
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") * 7919 % wide.count()).alias("truth"))
+    clean = keys.join(layouts.small(wide.select(F.col("idx").alias("truth"), "seq")), "truth")
+    noisy = clean.select("key", "truth", errors.fixed_length(F.col("seq"), F.col("key"), *RATES, "flat").alias("seq"))
+    return decode.benchmark_rates(decode.decode(noisy, wide, FLAT, 36).withColumn("decoder", F.lit("flat")), "decoder")
+
+
+_PARTS = (
+    f""", noisy AS ({_fixed_sql("(SELECT key, truth, key % 16 AS spot, lib.seq || sixteen.seq AS ref FROM truths JOIN lib ON lib.idx = truth JOIN sixteen ON sixteen.idx = key % 16)", "ref", "key", "key, truth, spot", *RATES, "parts")}),
+ a AS (SELECT DISTINCT left(seq, 28) AS seq FROM noisy), b AS (SELECT DISTINCT substr(seq, 29) AS seq FROM noisy)"""
+    + _nearest_sql("one", "a", "lib", PART_1, 28)
+    + f""", m2 AS (SELECT b.seq, idx, levenshtein(b.seq, s.seq) AS dist FROM b JOIN sixteen s ON levenshtein(b.seq, s.seq) <= {PART_2}), two AS (SELECT seq, count(*) AS n, min(idx) AS idx FROM m2 JOIN (SELECT seq, min(dist) AS dist FROM m2 GROUP BY seq) USING (seq, dist) GROUP BY seq),
+ done AS (SELECT noisy.key, truth * 16 + spot AS truth, CASE WHEN one.n = 1 AND two.n = 1 THEN one.idx * 16 + two.idx END AS decoded FROM noisy LEFT JOIN one ON one.seq = left(noisy.seq, 28) LEFT JOIN two ON two.seq = substr(noisy.seq, 29))"""
+)
+
+
+@query("benchmark_hierarchical", _PARTS + f" SELECT 'hierarchical' AS decoder, {_RATES} FROM done")
+def benchmark_hierarchical(spark, sf_dir):
+    one, two = library(spark, sf_dir), sixteen(spark, sf_dir)
+    both = true_reads(spark, sf_dir).withColumn("spot", F.col("key") % 16).join(F.broadcast(two.select(F.col("idx").alias("spot"), F.col("seq").alias("r2"))), "spot")
+    noisy = both.select("key", (F.col("truth") * 16 + F.col("spot")).alias("truth"), errors.fixed_length(F.concat("ref", "r2"), F.col("key"), *RATES, "parts").alias("seq"))
+    done = decode.decode_hierarchical(noisy, one, two, 28, PART_1, PART_2).withColumn("decoded", F.col("decoded_1") * 16 + F.col("decoded_2"))
+    return decode.benchmark_rates(done.withColumn("decoder", F.lit("hierarchical")), "decoder")
+
+
+_LONG = (
+    f""", noisy AS (SELECT key, truth, t2, {_sub_sql('lib.seq || lib2.seq', 'key', 0.04, 'h')} FROM (SELECT *, key % (SELECT count(*) FROM lib2) AS t2 FROM truths) JOIN lib ON lib.idx = truth JOIN lib2 ON lib2.idx = t2),
+ a AS (SELECT DISTINCT left(seq, 28) AS seq FROM noisy), b AS (SELECT DISTINCT substr(seq, 29) AS seq FROM noisy)"""
+    + _nearest_sql("one", "a", "lib", 4, 28)
+    + """, m2 AS (SELECT b.seq, idx, levenshtein(b.seq, s.seq) AS dist FROM b JOIN lib2 s ON levenshtein(b.seq, s.seq) <= 2), two AS (SELECT seq, count(*) AS n, min(idx) AS idx FROM m2 JOIN (SELECT seq, min(dist) AS dist FROM m2 GROUP BY seq) USING (seq, dist) GROUP BY seq)
+SELECT key, truth, t2, CASE WHEN one.n = 1 AND two.n = 1 THEN one.idx END AS decoded_1, CASE WHEN one.n = 1 AND two.n = 1 THEN two.idx END AS decoded_2
+FROM noisy LEFT JOIN one ON one.seq = left(noisy.seq, 28) LEFT JOIN two ON two.seq = substr(noisy.seq, 29)"""
+)
 
 
 @query("decode_hierarchical", _LONG)
 def decode_hierarchical(spark, sf_dir):
     one, two = library(spark, sf_dir), short_library(spark, sf_dir)
-    both = true_reads(spark, sf_dir).withColumn("t2", F.col("key") % 64).join(layouts.small(two.select(F.col("idx").alias("t2"), F.col("seq").alias("r2"))), "t2")
+    both = true_reads(spark, sf_dir).withColumn("t2", F.col("key") % two.count()).join(layouts.small(two.select(F.col("idx").alias("t2"), F.col("seq").alias("r2"))), "t2")
     noisy = both.select("key", "truth", "t2", errors.substitution(F.concat("ref", "r2"), F.col("key"), 0.04, "h").alias("seq"))
     return decode.decode_hierarchical(noisy, one, two, 28, 4, 2).select("key", "truth", "t2", "decoded_1", "decoded_2")
 
 
-_COMP = f""", e AS (SELECT pos, lpad(bin(code), 36, '0') AS bits FROM axis WHERE pos <= 60), d AS (SELECT pos, array_to_string(list_transform(range(1, 37, 2), lambda i: CASE substr(bits, i::INT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS seq FROM e),
- n AS (SELECT max(pos) AS n FROM d), rd AS (SELECT o_orderkey AS key, (o_orderkey % n + 1)::INT AS true_row, (o_orderkey * 7 % n + 1)::INT AS true_col FROM orders, n WHERE o_orderkey % 10 = 0),
+_COMP = f""", e AS (SELECT pos, lpad(bin(code), 36, '0') AS bits FROM axis), d AS (SELECT pos, array_to_string(list_transform(range(1, 37, 2), lambda i: CASE substr(bits, i::INT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS seq FROM e),
+ n AS (SELECT count(*) AS n FROM d), rd AS (SELECT o_orderkey AS key, (o_orderkey % n)::INT AS true_row, (o_orderkey * 7 % n)::INT AS true_col FROM orders, n),
  z AS (SELECT key, true_row, true_col, {_sub_sql("x.seq || y.seq", "key", 0.12, 'c')} FROM rd JOIN d x ON x.pos = true_col JOIN d y ON y.pos = true_row),
  mx AS (SELECT key, pos, hamming(left(z.seq, 18), d.seq) AS dist FROM z, d WHERE hamming(left(z.seq, 18), d.seq) <= 3), bx AS (SELECT key, min(dist) AS dist FROM mx GROUP BY key), gx AS (SELECT mx.key, min(pos) AS pos, any_value(mx.dist) AS dist, count(*) > 1 AS amb FROM mx JOIN bx ON mx.key = bx.key AND mx.dist = bx.dist GROUP BY mx.key),
  my AS (SELECT key, pos, hamming(right(z.seq, 18), d.seq) AS dist FROM z, d WHERE hamming(right(z.seq, 18), d.seq) <= 3), b_y AS (SELECT key, min(dist) AS dist FROM my GROUP BY key), gy AS (SELECT my.key, min(pos) AS pos, any_value(my.dist) AS dist, count(*) > 1 AS amb FROM my JOIN b_y ON my.key = b_y.key AND my.dist = b_y.dist GROUP BY my.key),
@@ -588,11 +648,9 @@ _COMP = f""", e AS (SELECT pos, lpad(bin(code), 36, '0') AS bits FROM axis WHERE
 
 @query("decode_component", _COMP + " SELECT key, true_row, true_col, success, decoded_row, decoded_col, x_distance::INT AS x_distance, y_distance::INT AS y_distance, ambiguous, outcome, spatial_distance FROM outc")
 def decode_component(spark, sf_dir):
-    ax = axis(spark, sf_dir).where("pos <= 60").select("pos", dna.bits_to_dna(dna.bit_string(F.col("code"), 36)).alias("seq"))
-    n = ax.agg(F.max("pos")).first()[0]
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(
-        F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % n + 1).cast("int").alias("true_row"), (F.col("o_orderkey") * 7 % n + 1).cast("int").alias("true_col")
-    )
+    ax = axis(spark, sf_dir).select("pos", dna.bits_to_dna(dna.bit_string(F.col("code"), 36)).alias("seq"))
+    n = ax.count()
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % n).cast("int").alias("true_row"), (F.col("o_orderkey") * 7 % n).cast("int").alias("true_col"))
     xs, ys = ax.select(F.col("pos").alias("true_col"), F.col("seq").alias("x")), ax.select(F.col("pos").alias("true_row"), F.col("seq").alias("y"))
     made = rows.join(layouts.small(xs), "true_col").join(layouts.small(ys), "true_row")
     noisy = made.select("key", "true_row", "true_col", errors.substitution(F.concat("x", "y"), F.col("key"), 0.12, "c").alias("seq"))
@@ -627,9 +685,18 @@ def duplicate_spots(spark, sf_dir):
     return grid.duplicates(spots(spark, sf_dir).withColumn("bar", F.left("bar", F.lit(5))), "bar")
 
 
-@query("block_barcodes", None)
+_BLOCKS = """, e AS (SELECT pos, left(lpad(bin(code), 36, '0'), 28) AS bits FROM axis),
+ d AS (SELECT pos, array_to_string(list_transform(range(1, 29, 2), lambda i: CASE substr(bits, i::INT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS seq FROM e),
+ r AS (SELECT y.pos AS block_row, x.pos AS block_col, x.seq || y.seq AS raw FROM d y, d x),
+ g AS (SELECT *, list_reduce(list_prepend('', list_transform(range(1, length(raw) + 1), lambda k: substr(raw, k::INT, 1))), lambda s, b: s || CASE WHEN b = 'G' AND length(regexp_replace(s, '[^G]', '', 'g')) >= 7 THEN 'T' ELSE b END) AS less,
+  greatest(length(regexp_replace(raw, '[^G]', '', 'g')) - 7, 0)::INT AS g_swaps FROM r),
+ b AS (SELECT *, regexp_extract_all(less, 'A+|C+|G+|T+') AS runs FROM g)
+SELECT block_row, block_col, raw, array_to_string(list_transform(runs, lambda q: regexp_replace(q, '(.{3}).', CASE WHEN left(q, 1) IN ('A', 'T') THEN '\\1C' ELSE '\\1A' END, 'g')), '') AS seq, g_swaps, list_sum(list_transform(runs, lambda q: length(q) // 4))::INT AS run_subs FROM b"""
+
+
+@query("block_barcodes", _BLOCKS)
 def block_barcodes(spark, sf_dir):
-    ax = whole_axis(spark, sf_dir).select("pos", dna.bits_to_dna(F.left(dna.bit_string(F.col("code"), 36), F.lit(28))).alias("seq"))
+    ax = axis(spark, sf_dir).select("pos", dna.bits_to_dna(F.left(dna.bit_string(F.col("code"), 36), F.lit(28))).alias("seq"))
     return codes.block_barcodes(ax, ax)
 
 

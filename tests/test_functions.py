@@ -88,7 +88,10 @@ def test_error_models(spark):
     assert abs(sub - 0.1) < 0.02
     ind = rows.select(F.length(errors.indel(F.col("s"), F.col("id"), 0.0, 0.2, 0.1)).alias("n")).agg(F.avg("n")).first()[0] / 32
     assert abs(ind - 0.9 * 1.2) < 0.04
-    fixed = rows.select("s", errors.fixed_length_channel(0.03, 0.04, 0.14)(F.col("s"), F.col("id")).alias("r"))
+    fixed = rows.select("s", errors.fixed_length(F.col("s"), F.col("id"), 0.03, 0.04, 0.14).alias("r"))
     assert fixed.where(F.length("r") != 32).count() == 0 and fixed.where("r <> s").count() > 200
-    assert one(spark, errors.substitution(F.col("s"), F.lit(1), 0.5), s="") == ""
-    assert abs(rows.select(errors.binomial(100, 0.3, F.col("id")).alias("n")).agg(F.avg("n")).first()[0] - 30) < 1.5
+    assert rows.select("s", errors.fixed_length(F.col("s"), F.col("id"), 0.0, 0.0, 0.0).alias("r")).where("r <> s").count() == 0
+    # Three of four bases that are drawn differ from what stood there.
+    sub = rows.select(dna.hamming(F.col("s"), errors.fixed_length(F.col("s"), F.col("id"), 0.06, 0.0, 0.0)).alias("d")).agg(F.avg("d")).first()[0] / 32
+    assert abs(sub - 0.06) < 0.01
+    assert one(spark, errors.substitution(F.col("s"), F.lit(1), 0.5), s="") == "" == one(spark, errors.fixed_length(F.col("s"), F.lit(1), 0.5, 0.5, 0.5), s="")
