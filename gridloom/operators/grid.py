@@ -35,21 +35,8 @@ def block_columns(cols: int, block: int = BLOCK) -> int:
 
 
 def neighbours(spots: DataFrame, value: str) -> DataFrame:
-    """(row, col, direction, a, b): each spot's value with its right and its bottom neighbour's.
-
-    Shifted windows: each row, and each column, is one partition.
-    """
-    right = spots.select(
-        "row", "col", F.lit("right").alias("direction"), F.col(value).alias("a"),
-        F.lead(value).over(Window.partitionBy("row").orderBy("col")).alias("b"),
-        (F.lead("col").over(Window.partitionBy("row").orderBy("col")) - F.col("col")).alias("step"),
-    )
-    bottom = spots.select(
-        "row", "col", F.lit("bottom").alias("direction"), F.col(value).alias("a"),
-        F.lead(value).over(Window.partitionBy("col").orderBy("row")).alias("b"),
-        (F.lead("row").over(Window.partitionBy("col").orderBy("row")) - F.col("row")).alias("step"),
-    )
-    return right.union(bottom).where("step = 1").drop("step")
+    """(row, col, direction, a, b): each spot's value with its right and its bottom neighbour's."""
+    return far_neighbours(spots, value, 1, 1).drop("step")
 
 
 def far_neighbours(spots: DataFrame, value: str, low: int = 5, high: int = 14) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from ..functions.prng import digest
+from ..functions.prng import below, digest
 from .grid import block_columns, with_blocks
 
 MOST_BROADCAST = 1_000_000  # rows of an axis or library that may be sent to all executors
@@ -56,17 +56,14 @@ def assign_bar1(blocks: DataFrame, library: DataFrame, n: int) -> DataFrame:
 
 
 def assign_bar2(spots: DataFrame, library: DataFrame, n: int, seed: object) -> DataFrame:
-    """Each spot of a bar_1 gets another bar_2: spot k of a bar_1, by block and spot, the k-th in the bar_1's own order.
+    """Each spot of a bar_1 gets another bar_2: spot k of a bar_1, by block and spot, the k-th of the shuffled library (idx, seq) from a place that the bar_1 draws.
 
     ``spots`` has bar_1, block and spot_in_block; a bar_1 with more than ``n`` spots is an error.
     """
-    rank = F.row_number().over(Window.partitionBy("bar_1").orderBy("block", "spot_in_block"))
-    bars = spots.select("bar_1").distinct()
-    order = F.row_number().over(Window.partitionBy("bar_1").orderBy(digest(seed, F.col("bar_1"), F.col("bar_2")), "bar_2"))
-    choices = bars.crossJoin(small(library.select(F.col("seq").alias("bar_2")), n)).withColumn("rank", order)
+    rank = F.row_number().over(Window.partitionBy("bar_1").orderBy("block", "spot_in_block")) - 1
     wanted = spots.withColumn("rank", rank)
-    wanted = wanted.withColumn("rank", F.when(F.col("rank") <= n, F.col("rank")).otherwise(F.raise_error(F.lit("too few bar_2 for a bar_1")).cast("int")))
-    return wanted.join(choices, ["bar_1", "rank"]).drop("rank")
+    at = F.when(F.col("rank") < n, (below(n, seed, F.col("bar_1")) + F.col("rank")) % n).otherwise(F.raise_error(F.lit("too few bar_2 for a bar_1")).cast("long"))
+    return wanted.withColumn("idx", at).join(small(library.withColumnRenamed("seq", "bar_2"), n), "idx").drop("idx", "rank")
 
 
 def dual_layout(spots: DataFrame, cols: int, bar1: DataFrame, n1: int, bar2: DataFrame, n2: int, seed: object) -> DataFrame:
@@ -75,7 +72,7 @@ def dual_layout(spots: DataFrame, cols: int, bar1: DataFrame, n1: int, bar2: Dat
         raise ValueError("a dual layout needs one bar_1 and sixteen bar_2 at least")
     placed = with_blocks(spots, cols).withColumn("block", F.col("block_row") * block_columns(cols) + F.col("block_col"))
     first = assign_bar1(placed, shuffled(bar1, seed), n1)
-    out = assign_bar2(first, bar2, n2, seed)
+    out = assign_bar2(first, shuffled(bar2, seed), n2, seed)
     return out.select("row", "col", "block_row", "block_col", "spot_in_block", "bar_1", "bar_2", F.concat("bar_1", "bar_2").alias("combined"))
 
 
@@ -127,6 +124,32 @@ def g_by_cycle(seqs: DataFrame, column: str) -> DataFrame:
     return bases.groupBy("cycle").agg(F.count("*").alias("n"), F.round(F.avg((F.col("base") == "G").cast("double")), 6).alias("g_share"))
 
 
+def hierarchical_report(layout: DataFrame) -> DataFrame:
+    """Figures of a layout beyond its statistics: blocks, the least distance of two bar_2, cycles with more than a quarter of G."""
+    from .distances import min_pairwise, pairs
+
+    bars = layout.select("bar_2").distinct()
+    least = min_pairwise(pairs(bars.withColumn("other", F.col("bar_2")), "bar_2", "other", by_place=False))
+    cycles = g_by_cycle(layout, "combined").agg(F.count_if(F.col("g_share") > 0.25).alias("cycles_above"), F.max("g_share").alias("g_share_max"))
+    size = layout.agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.countDistinct("block_row", "block_col").alias("n_blocks"), (F.countDistinct("bar_1") * F.countDistinct("bar_2")).alias("n_possible"))
+    return size.crossJoin(least.withColumnRenamed("min_dist", "bar_2_min_dist")).crossJoin(cycles)  # one row each
+
+
+def block_qc(blocks: DataFrame) -> DataFrame:
+    """Figures of block barcodes (block_row, block_col, seq, g_swaps, run_subs): counts, G and GC, the longest run, distances of neighbours and of blocks 5 to 14 steps apart."""
+    from .grid import far_neighbours, neighbours
+
+    g, gc, seq = dna.g_fraction(F.col("seq")), dna.gc_fraction(F.col("seq")), F.col("seq")
+    counts = blocks.agg(
+        F.count("*").alias("n"), F.countDistinct("seq").alias("n_unique"), F.count_if(F.col("g_swaps") > 0).alias("n_g_changed"), F.round(F.avg(g), 4).alias("g_mean"), F.round(F.max(g), 4).alias("g_max"),
+        F.count_if(g > 0.25).alias("g_above"), F.round(F.avg(gc), 4).alias("gc_mean"), F.round(F.min(gc), 4).alias("gc_min"), F.round(F.max(gc), 4).alias("gc_max"), F.max(dna.max_run(seq)).alias("run_max"),
+    )
+    spots = blocks.select(F.col("block_row").alias("row"), F.col("block_col").alias("col"), "seq")
+    dist = dna.hamming(F.col("a"), F.col("b")).alias("dist")
+    figures = lambda df, name: df.select(dist).agg(F.min("dist").alias(f"{name}_min"), F.round(F.avg("dist"), 2).alias(f"{name}_mean"), F.max("dist").alias(f"{name}_max"))
+    return counts.crossJoin(figures(neighbours(spots, "seq"), "adjacent")).crossJoin(figures(far_neighbours(spots, "seq"), "far"))  # one row each
+
+
 def assign_tails(spots: DataFrame, library: DataFrame, n: int, index: Column, strategy: str = "sequential", seed: object = 42) -> DataFrame:
     """A library sequence for each spot, column ``tail``: by running index with wrap-around, or drawn with replacement ('random')."""
     if strategy in ("sequential", "spatial"):

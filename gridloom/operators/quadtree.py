@@ -88,3 +88,15 @@ def uniqueness(layout: DataFrame, column: str) -> DataFrame:
         F.count("*").alias("n"), F.countDistinct(column).alias("n_unique"), F.round(F.try_divide(100.0 * F.countDistinct(column), F.count("*")), 6).alias("unique_percent"),
         F.round(F.try_divide(F.count("*").cast("double"), F.countDistinct(column)), 6).alias("reuse"),
     )
+
+
+def reuse_report(layout: DataFrame, column: str) -> DataFrame:
+    """Codes by how often they occur: n_codes, and the first of the commonest, one row for each number of uses."""
+    uses = layout.groupBy(F.col(column).alias("code")).agg(F.count("*").alias("uses"))
+    return uses.groupBy("uses").agg(F.count("*").alias("n_codes"), F.min("code").alias("first_code"))
+
+
+def level_report(spark, report: list[dict]) -> DataFrame:
+    """The report of :func:`quadtree_codes` as a table: level, permutation (as letters), violations, repeats."""
+    rows = [(r["level"], "".join("ACGT"[b] for b in r["permutation"]), r["violations"], r["repeats"]) for r in report]
+    return spark.createDataFrame(rows, "level int, permutation string, violations long, repeats long")

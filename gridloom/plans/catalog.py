@@ -257,6 +257,22 @@ def axis_distance_stats(spark, sf_dir):
     return distances.stats_by_separation(hamming_bits(spark, sf_dir), 10)
 
 
+_BOTH = """, two AS (SELECT 'x' AS axis, * FROM axis UNION ALL SELECT 'y', s_suppkey::INT, ('0x' || substr(md5('axis_y:' || s_suppkey), 1, 9))::BIGINT FROM supplier),
+ p AS (SELECT a.axis, b.pos - a.pos AS diff, bit_count(xor(a.code, b.code))::INT AS dist FROM two a JOIN two b ON a.axis = b.axis AND a.pos < b.pos)"""
+
+
+@query(
+    "both_axes_distance_stats",
+    _BOTH
+    + """ SELECT axis, diff, count(*) AS n_pairs, min(dist) AS min_dist, max(dist) AS max_dist, round(avg(dist), 6) AS mean_dist, round(quantile_cont(dist, 0.5), 6) AS median_dist,
+ round(stddev_pop(dist), 6) AS std_dist, round(quantile_cont(dist, 0.25), 6) AS q25, round(quantile_cont(dist, 0.75), 6) AS q75 FROM p GROUP BY axis, diff""",
+)
+def both_axes_distance_stats(spark, sf_dir):
+    y = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("pos"), prng.bits(36, "axis_y", F.col("s_suppkey")).alias("code"))
+    met = [distances.pairs(rows, "pos", "code", "bits").withColumn("axis", F.lit(name)) for name, rows in (("x", axis(spark, sf_dir)), ("y", y))]
+    return distances.stats_by_separation(met[0].unionByName(met[1]), None, "axis")
+
+
 @query("axis_distance_histogram", _AXIS_PAIRS + " SELECT diff, dist, count(*) AS n FROM p GROUP BY ALL")
 def axis_distance_histogram(spark, sf_dir):
     return distances.histogram(hamming_bits(spark, sf_dir))
@@ -267,7 +283,7 @@ def axis_distance_histogram(spark, sf_dir):
     _AXIS_PAIRS
     + """, t AS (SELECT CASE WHEN diff <= 4 THEN diff ELSE -1 END AS sep, CASE diff WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 6 ELSE 8 END AS target, dist FROM p),
  h AS (SELECT *, CASE WHEN sep = -1 THEN dist >= 8 ELSE abs(dist - target) <= 0.5 * target END AS holds FROM t)
-SELECT sep, target, count(*) AS n_pairs, min(dist) AS min_dist, max(dist) AS max_dist, round(avg(dist), 6) AS mean_dist, round(avg(abs(dist - target)), 6) AS mean_error,
+SELECT sep, target, count(*) AS n_pairs, min(dist) AS min_dist, max(dist) AS max_dist, round(avg(dist), 6) AS mean_dist, round(stddev_pop(dist), 6) AS std_dist, round(avg(dist - target), 6) AS mean_signed_error, round(avg(abs(dist - target)), 6) AS mean_error,
  count(*) FILTER (holds) AS n_held, count(*) FILTER (NOT holds) AS n_violations FROM h GROUP BY sep, target""",
 )
 def axis_constraints(spark, sf_dir):
@@ -287,6 +303,13 @@ def axis_step_best_candidate(spark, sf_dir):
     return codes.step_best(axis(spark, sf_dir), candidates, 10)
 
 
+@query("hamming_truncated", "SELECT a.idx AS i, b.idx AS j, hamming(left(a.seq, 20 + a.idx % 9), left(b.seq, 20 + a.idx % 9))::INT AS dist FROM lib a JOIN lib b ON b.idx = a.idx + 1")
+def hamming_truncated(spark, sf_dir):
+    a = library(spark, sf_dir).select(F.col("idx").alias("i"), F.left("seq", (F.col("idx") % 9 + 20).cast("int")).alias("a"))
+    b = library(spark, sf_dir).select(F.col("idx").alias("j"), (F.col("idx") - 1).alias("i"), F.col("seq").alias("b"))
+    return a.join(b, "i").select("i", "j", dna.hamming(F.col("a"), F.col("b"), "truncate").alias("dist"))
+
+
 @query(
     "distance_preservation",
     """, c AS (SELECT a.pos, lpad(bin(code), 36, '0') AS b FROM axis a), d AS (SELECT pos, b, array_to_string(list_transform(range(1, 37, 2), lambda i: CASE substr(b, i::INT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS seq FROM c),
@@ -364,9 +387,9 @@ def block_index(spark, sf_dir):
 _DUAL = f""", n1 AS (SELECT count(*) AS n FROM lib2), bar1 AS (SELECT row_number() OVER (ORDER BY md5('dual:' || seq), seq) - 1 AS k, seq AS bar_1 FROM lib2),
  s AS (SELECT row, col, block_row, block_col, spot_in_block, block_row * {-(-COLS // 4)} + block_col AS block FROM blocks),
  one AS (SELECT s.*, bar_1 FROM s JOIN bar1 ON k = block % (SELECT n FROM n1)),
- r1 AS (SELECT *, row_number() OVER (PARTITION BY bar_1 ORDER BY block, spot_in_block) AS rank FROM one),
- r2 AS (SELECT b.bar_1, l.seq AS bar_2, row_number() OVER (PARTITION BY b.bar_1 ORDER BY md5('dual:' || b.bar_1 || ':' || l.seq), l.seq) AS rank FROM (SELECT DISTINCT bar_1 FROM one) b, lib l),
- dual AS (SELECT row, col, block_row, block_col, spot_in_block, bar_1, bar_2, bar_1 || bar_2 AS combined FROM r1 JOIN r2 USING (bar_1, rank))"""
+ r1 AS (SELECT *, row_number() OVER (PARTITION BY bar_1 ORDER BY block, spot_in_block) - 1 AS rank FROM one),
+ r2 AS (SELECT row_number() OVER (ORDER BY md5('dual:' || seq), seq) - 1 AS k, seq AS bar_2 FROM lib),
+ dual AS (SELECT row, col, block_row, block_col, spot_in_block, bar_1, bar_2, bar_1 || bar_2 AS combined FROM r1 JOIN r2 ON k = (('0x' || substr(md5('dual:' || bar_1), 1, 12))::BIGINT + rank) % (SELECT count(*) FROM lib))"""
 
 
 @query("dual_layout", _DUAL + " SELECT row, col, block_row::INT AS block_row, block_col::INT AS block_col, spot_in_block::INT AS spot_in_block, bar_1, bar_2, combined FROM dual")
@@ -428,6 +451,17 @@ def hierarchical_stats(spark, sf_dir):
     return layouts.layout_stats(hierarchical_layout(spark, sf_dir))
 
 
+@query(
+    "hierarchical_report",
+    _HIER
+    + """, bars AS (SELECT DISTINCT bar_2 FROM hierarchical), c AS (SELECT unnest(range(0, 36)) AS cycle, unnest(string_split(combined, '')) AS b FROM hierarchical), g AS (SELECT round(avg((b = 'G')::INT), 6) AS share FROM c GROUP BY cycle)
+SELECT (max(row) + 1)::INT AS n_rows, (max(col) + 1)::INT AS n_cols, count(DISTINCT (block_row, block_col)) AS n_blocks, count(DISTINCT bar_1) * count(DISTINCT bar_2) AS n_possible,
+ (SELECT coalesce(min(hamming(x.bar_2, y.bar_2)), 0) FROM bars x JOIN bars y ON x.bar_2 < y.bar_2) AS bar_2_min_dist, (SELECT count(*) FILTER (share > 0.25) FROM g) AS cycles_above, (SELECT max(share) FROM g) AS g_share_max FROM hierarchical""",
+)
+def hierarchical_report(spark, sf_dir):
+    return layouts.hierarchical_report(hierarchical_layout(spark, sf_dir))
+
+
 @query("per_cycle_g", _HIER + ", c AS (SELECT unnest(range(0, 36)) AS cycle, unnest(string_split(combined, '')) AS b FROM hierarchical) SELECT cycle::INT AS cycle, count(*) AS n, round(avg((b = 'G')::INT), 6) AS g_share FROM c GROUP BY cycle")
 def per_cycle_g(spark, sf_dir):
     return layouts.g_by_cycle(hierarchical_layout(spark, sf_dir), "combined")
@@ -479,6 +513,26 @@ def tail_assign(spark, sf_dir):
     return layouts.assign_tails(s, lib, lib.count(), (F.col("row") * COLS + F.col("col")).cast("long"))
 
 
+@query("tail_random", f"SELECT row, col, l.seq AS tail FROM spots s JOIN lib2 l ON l.idx = ('0x' || substr(md5('42:' || (row::BIGINT * {COLS} + col)), 1, 12))::BIGINT % (SELECT count(*) FROM lib2)")
+def tail_random(spark, sf_dir):
+    lib = short_library(spark, sf_dir)
+    return layouts.assign_tails(spots(spark, sf_dir).drop("bar"), lib, lib.count(), (F.col("row") * COLS + F.col("col")).cast("long"), "random")
+
+
+@query("quadtree_reuse", quadtree_sql(6) + ", u AS (SELECT seq, count(*) AS uses FROM s5 GROUP BY seq) SELECT uses, count(*) AS n_codes, min(seq) AS first_code FROM u GROUP BY uses")
+def quadtree_reuse(spark, sf_dir):
+    return quadtree.reuse_report(quadtree_codes(spark, sf_dir), "seq")
+
+
+_LEVELS = " UNION ALL ".join(["SELECT 0 AS level, 'ACGT' AS permutation, 0 AS violations, 0 AS repeats", *(f"SELECT {k}, substr('ACGT', p0 + 1, 1) || substr('ACGT', p1 + 1, 1) || substr('ACGT', p2 + 1, 1) || substr('ACGT', p3 + 1, 1), bad::BIGINT, again::BIGINT FROM e{k}" for k in range(1, 6))])
+
+
+@query("quadtree_levels", quadtree_sql(6) + " " + _LEVELS)
+def quadtree_levels(spark, sf_dir):
+    report = quadtree.quadtree_codes(spots(spark, sf_dir), grid_rows(spark, sf_dir), COLS, 6)[1]
+    return quadtree.level_report(spark, report)
+
+
 @query("hybrid_uniqueness", quadtree_sql(6) + " SELECT count(*) AS n, count(DISTINCT seq) AS n_unique, round(100.0 * count(DISTINCT seq) / count(*), 6) AS unique_percent, round(count(*) / count(DISTINCT seq), 6) AS reuse FROM s5")
 def hybrid_uniqueness(spark, sf_dir):
     return quadtree.uniqueness(quadtree_codes(spark, sf_dir), "seq")
@@ -700,6 +754,43 @@ def block_barcodes(spark, sf_dir):
     return codes.block_barcodes(ax, ax)
 
 
+@query(
+    "block_qc",
+    _BLOCKS.replace("SELECT block_row, block_col, raw, array", ", made AS (SELECT block_row AS row, block_col AS col, raw, array")
+    + """), m AS (SELECT *, length(regexp_replace(seq, '[^G]', '', 'g')) / length(seq) AS g, length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) AS gc, list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))) AS run FROM made),
+ adj AS (SELECT hamming(a.seq, b.seq) AS dist FROM made a JOIN made b ON b.row = a.row AND b.col = a.col + 1 UNION ALL SELECT hamming(a.seq, b.seq) FROM made a JOIN made b ON b.col = a.col AND b.row = a.row + 1),
+ step AS (SELECT unnest(range(5, 15)) AS k),
+ far AS (SELECT hamming(a.seq, b.seq) AS dist FROM made a, step JOIN made b ON b.row = a.row AND b.col = a.col + k UNION ALL SELECT hamming(a.seq, b.seq) FROM made a, step JOIN made b ON b.col = a.col AND b.row = a.row + k)
+SELECT count(*) AS n, count(DISTINCT seq) AS n_unique, count(*) FILTER (g_swaps > 0) AS n_g_changed, round(avg(g), 4) AS g_mean, round(max(g), 4) AS g_max, count(*) FILTER (g > 0.25) AS g_above, round(avg(gc), 4) AS gc_mean,
+ round(min(gc), 4) AS gc_min, round(max(gc), 4) AS gc_max, max(run)::INT AS run_max, (SELECT min(dist) FROM adj)::INT AS adjacent_min, (SELECT round(avg(dist), 2) FROM adj) AS adjacent_mean, (SELECT max(dist) FROM adj)::INT AS adjacent_max,
+ (SELECT min(dist) FROM far)::INT AS far_min, (SELECT round(avg(dist), 2) FROM far) AS far_mean, (SELECT max(dist) FROM far)::INT AS far_max FROM m""",
+)
+def block_qc(spark, sf_dir):
+    return layouts.block_qc(block_barcodes(spark, sf_dir))
+
+
+@query(
+    "split_reads",
+    """, r AS (SELECT idx, left(seq, 12) || 'GGG' || substr(seq, 13, 10 + idx % 5) AS seq FROM lib UNION ALL SELECT -1 - idx, left(seq, 20 + idx % 9) FROM lib), s AS (SELECT idx, seq, string_split(seq, 'GGG') AS sides FROM r)
+SELECT idx, CASE WHEN length(sides) = 2 THEN sides[1] WHEN length(seq) >= 24 THEN left(seq, 12) END AS x, CASE WHEN length(sides) = 2 THEN sides[2] WHEN length(seq) >= 24 THEN right(seq, 12) END AS y FROM s""",
+)
+def split_reads(spark, sf_dir):
+    lib = library(spark, sf_dir)
+    made = lib.select("idx", F.concat(F.left("seq", F.lit(12)), F.lit("GGG"), F.substr(F.col("seq"), F.lit(13), (F.col("idx") % 5 + 10).cast("int"))).alias("seq"))
+    made = made.union(lib.select(-1 - F.col("idx"), F.left("seq", (F.col("idx") % 9 + 20).cast("int"))))
+    return made.select("idx", decode.split_read(F.col("seq"), "GGG", 12, 12).alias("s")).select("idx", "s.x", "s.y")
+
+
+@query("duplicates_but_first", "SELECT row, col, bar FROM (SELECT row, col, left(bar, 5) AS bar, row_number() OVER (PARTITION BY left(bar, 5) ORDER BY row, col) AS k FROM spots) WHERE k > 1")
+def duplicates_but_first(spark, sf_dir):
+    return grid.duplicates(spots(spark, sf_dir).withColumn("bar", F.left("bar", F.lit(5))), "bar", "first")
+
+
+@query("feature_ids_linear", f"SELECT row, col, (row::BIGINT * {COLS} + col)::VARCHAR AS feature_id FROM spots")
+def feature_ids_linear(spark, sf_dir):
+    return spots(spark, sf_dir).select("row", "col", dna.feature_id(F.col("row"), F.col("col"), COLS, "linear").alias("feature_id"))
+
+
 @query(
     "stream_window_rates",
     """SELECT time_bucket(INTERVAL 5 MINUTE, ts::TIMESTAMP) AS window_start, event_type AS outcome, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""",
