@@ -145,6 +145,7 @@ class Encoder:
     """Encodes batches; what a word encodes to is kept, up to MOST words."""
 
     MOST, AT_ONCE = 900_000, 60_000
+    LONG, CHARACTERS = 512, 1 << 18  # characters of a long word, and of what is indexed at once
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
@@ -213,19 +214,69 @@ class Encoder:
         place = np.concatenate([c[2] for c in chains])
         order = np.argsort(place, kind="stable")
         word, ids, place = word[order], ids[order], place[order]
+        flat, count = self._with_bytes(ids, points[place])
+        sizes = np.bincount(word, weights=count, minlength=len(words)).astype(np.int64)
+        for k, w in enumerate(words, len(self.known)):
+            self.known[w] = k
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+        self.pool = np.concatenate((self.pool, flat.astype(np.int32)))
+
+    def _with_bytes(self, ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each was) with the bytes of the characters that no piece holds."""
         count = np.ones(len(ids), np.int64)
         odd = np.flatnonzero(ids == _NONE)
-        raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[place[odd]].tolist()]
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[odd].tolist()]
         count[odd] = [len(r) for r in raw]
         flat = np.repeat(ids, count)
         if len(odd):
             spots = (np.cumsum(count) - count)[odd]
             where = np.arange(int(count[odd].sum())) + np.repeat(spots - np.concatenate(([0], np.cumsum(count[odd])))[:-1], count[odd])
-            flat[where] = m.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-        sizes = np.bincount(word, weights=count, minlength=len(words)).astype(np.int64)
-        for k, w in enumerate(words, len(self.known)):
-            self.known[w] = k
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+            flat[where] = self.model.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
+        return flat, count
+
+    def _learn_long(self, text: str) -> None:
+        """One long word, indexed part by part; which pieces may follow which is worked out for a part at once, then its places are passed once."""
+        m, points = self.model, np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        n = len(points)
+        last, chosen = [_NONE] * (n + 1), [_NONE] * (n + 1)  # piece that ends the encoding of a prefix, and its number among the edges that end there
+        late = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # edges (start, piece) that end in the next part
+        was = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # edges (stop, piece) that end shortly before this part
+        for low in range(0, n, self.CHARACTERS):
+            high = min(low + self.CHARACTERS, n)
+            at, piece = self.edges(points[low : high + m.depth], np.array([min(high + m.depth, n) - low]))
+            keep = m.stable[piece] & (at < high - low)
+            at, piece = np.concatenate((late[0], at[keep] + low)), np.concatenate((late[1], piece[keep]))
+            stop = at + m.size[piece]
+            late = (at[stop > high], piece[stop > high])
+            now = np.flatnonzero(stop <= high)
+            now = now[np.argsort(stop[now], kind="stable")]
+            at, piece, stop = at[now], piece[now], stop[now]
+            stops, pieces = np.concatenate((was[0], stop)), np.concatenate((was[1], piece))
+            a, b = np.searchsorted(stops, at, side="left"), np.searchsorted(stops, at, side="right")
+            before = np.where(at > 0, b - a, 0)
+            base = np.cumsum(before) - before
+            pairs = pieces[np.arange(int(before.sum())) + np.repeat(a - base, before)] * m.n + np.repeat(piece, before)
+            code, of = np.unique(pairs, return_inverse=True)
+            stable = m.pairs_stable(code // m.n, code % m.n)[of].tobytes()
+            edge = 0
+            ends = stop.tolist()
+            for k, (start, p, first) in enumerate(zip(at.tolist(), piece.tolist(), base.tolist(), strict=True)):
+                end = ends[k]
+                if k and ends[k - 1] != end:
+                    edge = k
+                j = chosen[start]
+                if start == 0 or j < 0 or stable[first + j]:
+                    last[end], chosen[end] = p, k - edge
+            near = stops > high - m.depth
+            was = (stops[near], pieces[near])
+        ids, place, size = [], [], m.size.tolist()
+        while n:
+            ids.append(last[n])
+            n -= size[last[n]]
+            place.append(n)
+        flat, _ = self._with_bytes(np.array(ids[::-1], np.int64), points[np.array(place[::-1])])
+        self.known[text] = len(self.known)
+        self.ends = np.append(self.ends, self.ends[-1] + len(flat))
         self.pool = np.concatenate((self.pool, flat.astype(np.int32)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -247,9 +298,17 @@ class Encoder:
         if len(self.known) + len(split) > self.MOST:
             self.forget()
         new = dict.fromkeys(p for parts in (*split, *whole.values()) for p in parts if p not in self.known)
-        new = list(new)
-        for k in range(0, len(new), self.AT_ONCE):  # the index and edges of so many words at a time
-            self._learn(new[k : k + self.AT_ONCE])
+        short = [p for p in new if len(p) <= self.LONG]
+        size = np.cumsum([len(p) for p in short])
+        k = 0
+        while k < len(short):  # the index and edges of so many words and characters at a time
+            done = size[k - 1] if k else 0
+            to = max(k + 1, min(k + self.AT_ONCE, int(np.searchsorted(size, done + self.CHARACTERS, side="right"))))
+            self._learn(short[k:to])
+            k = to
+        for p in new:
+            if len(p) > self.LONG:
+                self._learn_long(p)
         known = self.known
         counts = np.array([len(s) for s in split] or [0], np.int64)
         slots = np.fromiter((known[p] for s in split for p in s), np.int64, int(counts.sum()))

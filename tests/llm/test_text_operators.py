@@ -130,6 +130,25 @@ def test_sentencepiece_property(texts):
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library.encode(t) for t in texts]
 
 
+def test_sentencepiece_long_words():
+    """Words without spaces, over several parts of the index."""
+    import random
+    import time
+
+    import sentencepiece
+
+    path = public_tokenizers.path(suffix_pieces.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoder = suffix_pieces.Encoder(path)
+    encoder.CHARACTERS = 700
+    r = random.Random(3)
+    for text in ("x" * 5000, "ab" * 2000 + "é日" * 300, "".join(r.choice("etaoin shrdlu"[:6] + "日é😀") for _ in range(4000)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5000))):
+        assert encoder.encode(pa.array([text]))[1].tolist() == library.encode(text)
+    began = time.perf_counter()
+    word = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=500_000))
+    assert len(suffix_pieces.Encoder(path).encode(pa.array([word]))[1]) > 100_000 and time.perf_counter() - began < 30
+
+
 def test_media(docs_of):
     texts = [*ODD, "y" * 192, "z" * 193]
     for r in telephony.audio_columns(docs_of(texts, clash=True)).collect():
