@@ -562,30 +562,31 @@ def _further(rows: DataFrame, least: int) -> DataFrame:
     """Passages of open windows that other windows of their key hold as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        ended, most = False, 1 << 20
-        while not ended:
-            batch = next(batches, None)
-            ended = batch is None
-            if not ended and batch.num_rows:
-                held.append(batch)
-            if not held or not ended and sum(b.nbytes for b in held) < most:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table.column("key").to_numpy()
-            # The last key may go on in the next batch.
-            others = np.flatnonzero(key != key[-1])
-            stop = len(key) if ended else int(others[-1]) + 1 if len(others) else 0
-            most = 1 << 20 if stop else 2 * table.nbytes
-            out: list[tuple[int, int, int, int]] = []
-            doc, at, is_open = table.column("doc").to_numpy(), table.column("at").to_numpy(), table.column("open").to_numpy().astype(bool)
-            edges = np.append(np.flatnonzero(np.diff(key[:stop], prepend=~key[:1]) != 0), stop).tolist()
-            texts = table.column("words")
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                out += _met(doc[a:b], at[a:b], is_open[a:b], [np.frombuffer(x, np.uint32) for x in texts.slice(a, b - a).to_pylist()], least)
-            found = np.array(out, np.int64).reshape(-1, 4)
-            yield _batch({n: found[:, i] for i, n in enumerate(("doc_id", "start", "end", "source"))})
-            held = table.slice(stop).to_batches()
+        now, held, seen = None, [], set()
+
+        def found() -> list[tuple[int, int, int, int]]:
+            if not any(h[2] for h in held):
+                return []
+            doc, at, is_open = (np.array([h[k] for h in held], kind) for k, kind in enumerate((np.int64, np.int64, bool)))
+            return _met(doc, at, is_open, [np.frombuffer(h[3], np.uint32) for h in held], least)
+
+        def out(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            table = np.array(rows, np.int64).reshape(-1, 4)
+            return _batch({n: table[:, i] for i, n in enumerate(("doc_id", "start", "end", "source"))})
+
+        for batch in batches:
+            rows: list[tuple[int, int, int, int]] = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "at", "open", "words")), strict=True):
+                if key != now:
+                    rows += found()
+                    now, held, seen = key, [], set()
+                # Of windows that are linked already and have equal words around, the first stands for all.
+                if row[2] or row[3] not in seen:
+                    held.append(row)
+                    if not row[2]:
+                        seen.add(row[3])
+            yield out(rows)
+        yield out(found())
         give_back()
 
     dealt = rows.repartition("key").sortWithinPartitions("key", "doc", "place")
