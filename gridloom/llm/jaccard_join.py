@@ -38,6 +38,8 @@ from .words import mix, shingles, word_hashes
 THRESHOLD = 80  # in a hundred
 BITS = 48  # of a token's hash; more for corpora of over 1e12 tokens
 FLUSH = 2 << 20  # tokens that a task gathers before it sends them
+BUCKET = 4 << 20  # tokens that a bucket is made for, as long as a packet keeps PACKET of them
+PACKET = 256
 BLOCK = 1024  # sets in a block of a group
 _INDEX = 20  # bits of a node that count within what a task sends at once
 _CODEC = "zstd"
@@ -312,10 +314,16 @@ def _asked(postings: DataFrame, members: DataFrame) -> DataFrame:
     return met.select("node", "part", F.col("other").alias("group")).distinct()
 
 
+def _buckets(docs: DataFrame) -> int:
+    """A power of two: as many as keep a bucket's tokens bounded when the input grows, and every task busy."""
+    tokens = (docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // 6
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << max(4, (tasks - 1).bit_length(), min((tokens // BUCKET).bit_length(), (FLUSH // PACKET - 1).bit_length()))
+
+
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each document."""
-    spark = docs.sparkSession
-    buckets = 1 << max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    buckets = _buckets(docs)
     stored = written(_candidates(_answered(_sent(id_text(docs), buckets)), threshold), "candidates")
     rows = stored.select("doc_id", "set_id", "n", "node")
     # Equal sets of different flushes are one: the smallest node stands for them.
