@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import jaccard_join, packing, secret_scan, substring_dedup, toxicity
 from gridloom.llm.catalog import table, tokenizer_file
-from gridloom.llm.shared import written
+from gridloom.llm.shared import remove, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; every one but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; every one but the last is written and read again, and goes when the next is there."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            remove(spark, last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

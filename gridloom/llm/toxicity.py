@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_text, slices, written
+from .shared import id_text, remove, slices, written
 from .words import mix, shingles, split, word_hashes
 
 THRESHOLD = 0.7
@@ -353,6 +353,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             half = math.exp(own / 2) * words_yes / words_no
             value = weight(y + half / (1 + half), n + 1 / (1 + half), 1e-9)
             out.near[w] = value if value >= LEAST_WEIGHT else 0.0
+    remove(docs.sparkSession, counts)
     return out
 
 
