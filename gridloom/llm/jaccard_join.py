@@ -37,7 +37,7 @@ from .words import mix, shingles, word_hashes
 
 THRESHOLD = 80  # in a hundred
 BITS = 48  # of a token's hash; more for corpora of over 1e12 tokens
-FLUSH = 2 << 20  # tokens that a task gathers before it sends them
+FLUSH = 1 << 20  # tokens that a task gathers before it sends them
 BUCKET = 4 << 20  # tokens that a bucket is made for, as long as a packet keeps PACKET of them
 PACKET = 256
 BLOCK = 1024  # sets in a block of a group
@@ -122,7 +122,7 @@ def _sent(texts: DataFrame, buckets: int) -> DataFrame:
                 [pa.array([*range(buckets), -1 - (part * 7919 + number) % buckets], pa.int32()), pa.array([flush] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "flush", "data"]
             )
 
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             for doc, s in zip(batch.column("doc_id").to_pylist(), sets_of(batch.column("text")), strict=True):
                 own = set_id(s) if len(s) else 0
                 at = -1

@@ -36,7 +36,7 @@ from .shared import id_text, remove, slices, written
 from .words import mix, shingles, split, word_hashes
 
 THRESHOLD = 0.7
-SLICE = 4 << 20  # bytes of text at a time
+SLICE = 2 << 20  # bytes of text at a time
 MOST_TERMS = 50_000  # of the lexicon: a bound of the driver's memory
 LEAST_EVIDENCE = 30.0  # G-squared of a term
 LEAST_RATIO = 6  # of a term's rates in toxic and clean texts
