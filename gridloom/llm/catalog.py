@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, jaccard_join, lm_scoring, packing, secret_scan, substring_dedup, suffix_pieces, telephony, toxicity, warc
+from . import ann, jaccard_join, lm_scoring, packing, periodic_runs, secret_scan, substring_dedup, suffix_pieces, telephony, toxicity, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,24 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = (
+    url_filters.Rule("org", "/", True),
+    url_filters.Rule("example.org", "/es/", False),
+    url_filters.Rule("example.org", "/en/1", False),
+    url_filters.Rule("com", "/fr/", True),
+    url_filters.Rule("com", "/de/", False),
+)
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filters.judged(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumn("purity", F.round("purity", 9))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_media_columns": op2_media_columns,
@@ -73,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc": op9_warc,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_url_filters": op11_url_filters,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +105,5 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN n >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id < largest THEN largest END AS refers_to
 FROM g""",
+    "op11_url_filters": url_filters.judged_sql(URL_RULES),
 }
