@@ -1,8 +1,9 @@
 """WARC archives as a PySpark Python data source, for reading and writing.
 
 Reading plans one partition a file. Predicates on record type and other header
-columns are pushed down: a record's headers are parsed first, and the payload
-of an unwanted record is neither inflated nor copied. Written files hold one
+columns are pushed down: a record's headers, of any length, are parsed first, and
+the payload of an unwanted record is neither inflated nor copied. A header that a
+record lacks is null, and columns of other names do not matter to writing. Written files hold one
 gzip member a record, whose extra field ``SL`` gives the member's length, so
 that the reader can step over it; files without that field, and plain files,
 are read too.
@@ -60,9 +61,13 @@ HEADERS = {
     "payload_length": "X-Payload-Length",
     "content_type": "Content-Type",
 }
+# Columns that the WARC headers alone give: predicates on them are pushed down.
+# (The length of a payload is a header in archives written here only, the content type is one of the payload's.)
+PUSHED = [c for c in HEADERS if c not in ("payload_length", "content_type")]
 EPOCH = "1970-01-01T00:00:00Z"
 _ENDS = b"\r\n\r\n"
 _LEAST_SHARED = 1000
+_SALTS = 8  # tasks that the pages of one payload are dealt to
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -154,12 +159,13 @@ class _Members:
                 inflate = zlib.decompressobj(-15)
                 data = inflate.decompress(first, 4096)
                 fed = len(first)
-                while _ENDS not in data and fed < length - 28:
-                    more = self.file.read(min(65536, length - 28 - fed))
+                while _ENDS not in data:
+                    more = b"" if inflate.unconsumed_tail else self.file.read(min(65536, length - 28 - fed))
+                    if not more and not inflate.unconsumed_tail:
+                        raise ValueError(f"the headers of the record at byte {at} have no end")
                     fed += len(more)
-                    data += inflate.decompress(inflate.unconsumed_tail + more)
+                    data += inflate.decompress(inflate.unconsumed_tail + more, 65536)
                 head, _, begun = data.partition(_ENDS)
-
                 parsed = _parse(head)
                 size = int(parsed.get("content-length", 0))
 
@@ -242,7 +248,7 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
             column = getattr(f, "attribute", ("",))
-            if len(column) == 1 and column[0] in HEADERS and column[0] != "content_type" and isinstance(f, (EqualTo, In, IsNotNull, StringStartsWith, GreaterThanOrEqual, LessThanOrEqual)):
+            if len(column) == 1 and column[0] in PUSHED and isinstance(f, (EqualTo, In, IsNotNull, StringStartsWith, GreaterThanOrEqual, LessThanOrEqual)):
                 self.filters.append(f)
             else:
                 yield f
@@ -365,10 +371,11 @@ def page_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
     largest = rows.where(F.col("n") >= _LEAST_SHARED).groupBy("digest").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies"))
-    # Only payloads that occur twice meet their rows again; the rest need no partner, and small ones a key of their own.
-    shared = largest.where("copies > 1").select(F.col("digest").alias("shared_digest"), "largest")
-    key = F.when(F.col("n") >= _LEAST_SHARED, F.col("digest")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))
-    known = rows.join(shared, key == F.col("shared_digest"), "left")
+    # Only payloads that occur twice meet their rows again, in several tasks each; the rest need no partner, and small ones a key of their own.
+    shared = largest.where("copies > 1").select(F.col("digest").alias("shared_digest"), "largest", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("shared_salt"))
+    own = F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))
+    key = F.when(F.col("n") >= _LEAST_SHARED, F.col("digest")).otherwise(F.concat(F.lit("page "), own))
+    known = rows.join(shared, (key == F.col("shared_digest")) & (F.pmod(F.xxhash64(own), F.lit(_SALTS)) == F.col("shared_salt")), "left")
     revisit = F.coalesce(F.col("largest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("largest"))), F.lit(False))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     return known.select(
