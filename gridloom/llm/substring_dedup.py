@@ -25,10 +25,12 @@ pair of passages has a key in common, by rule and not by chance.
    verified shingle by shingle (by hashes of 32 bits a word): a stretch of ``least``
    shingles counts where it reaches the similarity, and its ends are cut back to what
    both hold.
-3. A window that neither its leader nor another passage covers meets all windows of
-   its key by their words: shingles that several documents of the key hold bound the
-   overlap, what reaches the bound is verified. One similar passage of a smaller
-   document, and one of each class not linked yet, is enough.
+3. What the passages found link are classes of documents. A window that no passage
+   covers, and all windows of a key whose documents are of several classes, meet the
+   others of their key by their words: shingles that several documents of the key hold
+   bound the overlap, what reaches the bound is verified. One similar passage of a
+   smaller document is enough for a window without any, and one for two classes; so
+   components are those of all pairs of similar passages, though not all pairs are met.
 
 Nulls, empty texts and texts under ``least`` shingles have no passages. Rows that
 share a doc_id are one document, with the largest of their texts. A passage repeated
@@ -432,7 +434,10 @@ def _parts(links: DataFrame, texts: DataFrame, least: int) -> DataFrame:
 
 
 def _verified(parts: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """Passages (doc_id, start, end, source) that are similar to the leader's; with a key, windows (doc_id, place in start) that no passage covers."""
+    """Passages (doc_id, start, end, source) that are similar to the leader's; with a key, windows (doc_id, place in start).
+
+    These are windows that no passage covers (end 1, else 0), and all of pairs of documents without a passage (with the leader's as source).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, asks in _groups(batches, ("id", "kind")):
@@ -450,8 +455,10 @@ def _verified(parts: DataFrame, texts: DataFrame, least: int) -> DataFrame:
             start, end = start + low[at], end + low[at]
             spans = {"doc_id": doc[pair[at]], "start": start, "end": end, "source": doc0[pair[at]], "key": pa.nulls(len(at), pa.int64())}
             yield _batch(spans)
-            # Windows outside all passages of their document.
-            owner = np.repeat(doc, [len(x) for x in windows])
+            # Windows outside all passages of their document, and those of pairs without any.
+            sizes = [len(x) for x in windows]
+            owner, source = np.repeat(doc, sizes), np.repeat(doc0, sizes)
+            alone = np.repeat(~np.isin(np.arange(len(doc)), pair[at]), sizes)
             key, place = np.concatenate(windows).T
             number = {d: i for i, d in enumerate(dict.fromkeys(doc.tolist()))}
             wide = np.int64(1) << 40
@@ -462,38 +469,49 @@ def _verified(parts: DataFrame, texts: DataFrame, least: int) -> DataFrame:
             a, b = place >> _WIDE, (place >> _WIDE) + (place & int(_PLACE)) + SHINGLE - 1
             before = np.searchsorted((span * wide + start)[order], group * wide + a, side="right") - 1
             covered = (before >= 0) & (reach[np.maximum(before, 0)] >= group * wide + b) if len(reach) else np.zeros(len(key), bool)
-            rest = {"doc_id": owner[~covered], "start": place[~covered], "end": pa.nulls((~covered).sum(), pa.int64()), "source": pa.nulls((~covered).sum(), pa.int64()), "key": key[~covered]}
-            yield _batch(rest)
+            keep = ~covered | alone
+            yield _batch({"doc_id": owner[keep], "start": place[keep], "end": (~covered[keep]).astype(np.int64), "source": pa.array(source[keep], mask=~alone[keep]), "key": key[keep]})
 
     dealt = _with_texts(texts, parts.withColumnRenamed("doc", "id"), "doc0")
     return dealt.mapInArrow(run, "doc_id long, start long, end long, source long, key long")
 
 
-def _contexts(open_windows: DataFrame, links: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """(key, doc, place, open, at, words) of all windows of the keys of ``open_windows``: the words around, from word ``at`` on."""
-    keys = open_windows.select("key").distinct()
+def _contexts(open_windows: DataFrame, keys: DataFrame, classes: DataFrame, links: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """(key, doc, place, open, class, at, words) of all windows of ``keys``: their document's class, and the words around, from word ``at`` on."""
     rows = links.join(keys, "key", "left_semi")
     leaders = rows.where("doc0 is not null").select("key", F.col("doc0").alias("doc"), F.col("place0").alias("place")).distinct()
     windows = rows.select("key", "doc", "place", F.lit(0).alias("open")).unionByName(leaders.withColumn("open", F.lit(0)))
     windows = windows.unionByName(open_windows.withColumn("open", F.lit(1))).groupBy("key", "doc", "place").agg(F.max("open").alias("open"))
+    windows = _with_class(windows, classes, "doc", "class")
     around = 2 * least - shared_at_least(least) - 1  # shingles beside a window: what a stretch, or one similar to it, can reach
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, asks in _groups(batches, ()):
+        for words, asks in _groups(batches, ("id",)):
             for part in asks.to_batches(max_chunksize=8192):
                 doc, place = part.column("id").to_numpy(), part.column("place").to_numpy()
                 start = np.maximum((place >> _WIDE) - around, 0)
                 end = (place >> _WIDE) + (place & int(_PLACE)) + around + SHINGLE - 1
                 found = [words[d][a:b] for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True)]
                 cuts = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-                yield _batch({"key": part.column("key"), "doc": doc, "place": place, "open": part.column("open"), "at": start, "words": _bytes(np.concatenate(found), cuts)})
+                yield _batch({"key": part.column("key"), "doc": doc, "place": place, "open": part.column("open"), "class": part.column("class"), "at": start, "words": _bytes(np.concatenate(found), cuts)})
+
+    windows = written(windows, "open")
+    asked = texts.join(windows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    dealt = _with_texts(asked, windows.withColumnRenamed("doc", "id"), "place", "key")
+    return dealt.mapInArrow(run, "key long, doc long, place long, open int, class long, at long, words binary")
+
 
-    dealt = _with_texts(texts, windows.withColumnRenamed("doc", "id"), "place", "key")
-    return dealt.mapInArrow(run, "key long, doc long, place long, open int, at long, words binary")
+def _with_class(rows: DataFrame, classes: DataFrame, doc: str, name: str) -> DataFrame:
+    """``rows`` with the class of a document: the smallest one that passages link it with."""
+    known = classes.select(F.col("node").alias(doc), F.col("component").alias(name))
+    return rows.join(known, doc, "left").withColumn(name, F.coalesce(name, doc))
 
 
-def _met(doc: np.ndarray, at: np.ndarray, is_open: np.ndarray, words: list[np.ndarray], least: int) -> list[tuple[int, int, int, int]]:
-    """Passages (doc, start, end, source) of one key's windows, in order of documents, that the open ones among them are part of."""
+def _met(doc: np.ndarray, at: np.ndarray, is_open: np.ndarray, group: np.ndarray, words: list[np.ndarray], least: int) -> list[tuple[int, int, int, int]]:
+    """Passages (doc, start, end, source) of one key's windows, in order of documents: of the open ones, and such that link two classes.
+
+    Of any two classes one is not the largest, so its windows ask.
+    """
     enough = shared_at_least(least)
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in words])))
     flat = np.concatenate(words)
@@ -510,21 +528,14 @@ def _met(doc: np.ndarray, at: np.ndarray, is_open: np.ndarray, words: list[np.nd
     starts = _flat(first[:-1], np.maximum(sizes - least + 1, 0))
     may = np.zeros(len(sizes), bool)
     may[row[starts[sums[starts + least] - sums[starts] >= enough]]] = True
-    asking = np.flatnonzero(may & is_open)
+    names, group, sizes_of = np.unique(group, return_inverse=True, return_counts=True)
+    asking = np.flatnonzero(may & (is_open | (group != sizes_of.argmax())))
     if not len(asking):
         return []
     listed = np.flatnonzero(shared & may[row])
     pairs = np.unique(kind[listed] * np.int64(len(sizes)) + row[listed])
     holders, of = pairs % len(sizes), pairs // len(sizes)
     cuts = np.searchsorted(of, np.arange(len(low) + 1))
-    # Windows that are not open are linked already, by their leader or by what covers them.
-    root = np.where(is_open, np.arange(len(sizes)), -1)
-
-    def find(i: int) -> int:
-        while root[i] not in (i, -1):
-            i = root[i]
-        return i if root[i] == i else -1
-
     out: list[tuple[int, int, int, int]] = []
     held = np.zeros(len(low), bool)
     for x in asking.tolist():
@@ -532,10 +543,10 @@ def _met(doc: np.ndarray, at: np.ndarray, is_open: np.ndarray, words: list[np.nd
         mine, times = np.unique(own, return_counts=True)
         many = cuts[mine + 1] - cuts[mine]
         both = np.bincount(holders[_flat(cuts[mine], many)], np.repeat(times, many), len(sizes))
-        done = False
-        met = np.flatnonzero((both >= enough) & (doc != doc[x]))
+        done = not is_open[x]
+        met = np.flatnonzero((both >= enough) & (doc != doc[x]) & ((group != group[x]) | (not done and doc < doc[x])))
         for y in met[np.lexsort((-both[met], doc[met] > doc[x]))].tolist():
-            if find(x) == find(y) and (done or doc[y] > doc[x]):
+            if group[x] == group[y] and (done or doc[y] > doc[x]):
                 continue
             other = kind[first[y] : first[y + 1]]
             held[other] = True
@@ -548,27 +559,21 @@ def _met(doc: np.ndarray, at: np.ndarray, is_open: np.ndarray, words: list[np.nd
             if len(start):
                 out += [(int(doc[later]), int(at[later]) + a, int(at[later]) + b, int(doc[source])) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
                 done |= later == x
-                a, b = find(x), find(y)
-                if -1 in (a, b):
-                    for k in (a, b):
-                        if k != -1:
-                            root[k] = -1
-                else:
-                    root[max(a, b)] = min(a, b)
+                group[group == group[y]] = group[x]
     return out
 
 
 def _further(rows: DataFrame, least: int) -> DataFrame:
-    """Passages of open windows that other windows of their key hold as well."""
+    """Passages that windows of one key hold beside those of its leader: see :func:`_met`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, seen = None, [], set()
 
         def found() -> list[tuple[int, int, int, int]]:
-            if not any(h[2] for h in held):
+            if not any(h[2] for h in held) and len({h[3] for h in held}) < 2:
                 return []
-            doc, at, is_open = (np.array([h[k] for h in held], kind) for k, kind in enumerate((np.int64, np.int64, bool)))
-            return _met(doc, at, is_open, [np.frombuffer(h[3], np.uint32) for h in held], least)
+            doc, at, is_open, group = (np.array([h[k] for h in held], kind) for k, kind in enumerate((np.int64, np.int64, bool, np.int64)))
+            return _met(doc, at, is_open, group, [np.frombuffer(h[4], np.uint32) for h in held], least)
 
         def out(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
             table = np.array(rows, np.int64).reshape(-1, 4)
@@ -576,15 +581,15 @@ def _further(rows: DataFrame, least: int) -> DataFrame:
 
         for batch in batches:
             rows: list[tuple[int, int, int, int]] = []
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "at", "open", "words")), strict=True):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "at", "open", "class", "words")), strict=True):
                 if key != now:
                     rows += found()
                     now, held, seen = key, [], set()
-                # Of windows that are linked already and have equal words around, the first stands for all.
-                if row[2] or row[3] not in seen:
+                # Of a class' windows with equal words around that passages cover, the first stands for all.
+                if row[2] or (row[3], row[4]) not in seen:
                     held.append(row)
                     if not row[2]:
-                        seen.add(row[3])
+                        seen.add((row[3], row[4]))
             yield out(rows)
         yield out(found())
         give_back()
@@ -606,9 +611,14 @@ def _passages(texts: DataFrame, least_words: int) -> DataFrame:
     # What a copy holds, its first document holds.
     links = written(links.where("place >= 0").join(copies.select("doc"), "doc", "left_anti").select(*links.columns), "links")
     met = written(_verified(_parts(links.where("doc0 is not null"), texts, least), texts, least), "verified")
-    open_windows = met.where("key is not null").select("key", F.col("doc_id").alias("doc"), F.col("start").alias("place"))
-    more = _further(_contexts(open_windows, links, texts, least), least)
-    return whole.unionByName(met.where("key is null").select(*whole.columns)).unionByName(more)
+    rest, found = met.where("key is not null"), met.where("key is null").select(*whole.columns)
+    classes = written(components(found.select(F.col("doc_id").alias("a"), F.col("source").alias("b")).distinct()), "classes")
+    open_windows = rest.where("end = 1").select("key", F.col("doc_id").alias("doc"), F.col("start").alias("place"))
+    # Keys whose leader's class does not hold all of their documents.
+    apart = _with_class(_with_class(rest.where("source is not null"), classes, "doc_id", "own"), classes, "source", "other").where("own <> other")
+    keys = open_windows.select("key").unionByName(apart.select("key")).distinct()
+    more = _further(_contexts(open_windows, keys, classes, links, texts, least), least)
+    return whole.unionByName(found).unionByName(more)
 
 
 def spans_of(passages: DataFrame) -> DataFrame:

@@ -169,13 +169,13 @@ def test_minima_of_windows_are_the_tree_nodes_that_span_as_many(values, t):
     assert nodes == set(substring_dedup.window_minima(np.array(values, np.uint64) << np.uint64(30), t).tolist())
 
 
-def near(a, b, least=46):
-    """Whether some 50 words of ``a`` are similar to a passage of ``b``, end to end: by every pair of places."""
+def near(a, b, least=46, ends=True):
+    """Whether some 50 words of ``a`` are similar to a passage of ``b`` (end to end, if ``ends``): by every pair of places."""
     x, y = ([tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (a, b))
     for i in range(len(x) - least + 1):
         for j in range(len(y) - least + 1):
             both = set(x[i : i + least]) & set(y[j : j + least])
-            if 100 * len(both) >= 80 * (2 * least - len(both)) and x[i] in both and x[i + least - 1] in both:
+            if 100 * len(both) >= 80 * (2 * least - len(both)) and (not ends or x[i] in both and x[i + least - 1] in both):
                 return True
     return False
 
@@ -207,6 +207,59 @@ def test_near_copies_of_passages_whatever_the_partitions(spark, words):
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_no_link_between_classes_is_lost(spark, words):
+    """Chains D ~ B ~ C ~ E of 50-word passages, the smaller documents at the ends, and random families: the components of all pairs."""
+    families = []
+    for k in range(10):
+        b = words(50, 60_000 + k).split()
+        change = lambda w, at, k=k: [f"new{k}x{at}" if i == at else x for i, x in enumerate(w)]
+        c = change(b, 10)
+        families.append([change(b, 12), change(c, 45), b, c])
+    for k in range(12):
+        r, w = random.Random(k), words(60, 70_000 + k).split()
+        families.append([[f"{k}y{n}z{i}" if i in at else x for i, x in enumerate(w)] for n, at in enumerate(set(r.sample(range(8, 52), r.randint(1, 3))) for _ in range(7))])
+    rows, want, n = [], [{}, {}], 0
+    for family in families:
+        ids = list(range(n, n + len(family)))
+        rows += [(i, " ".join([words(30, 80_000 + i), *w, words(30, 90_000 + i)])) for i, w in zip(ids, family)]
+        for ends in (False, True):
+            root = dict(zip(ids, ids))
+            for i in range(len(family)):
+                for j in range(i):
+                    if near(family[i], family[j], ends=ends):
+                        a, b = root[ids[i]], root[ids[j]]
+                        root = {x: min(a, b) if y in (a, b) else y for x, y in root.items()}
+            want[ends] |= root
+        n += len(family)
+    # What is cut back to shared ends may be shorter than a passage: then, and only then, a link need not be.
+    loose, strict = want
+    assert sum(loose[i] != strict[i] for i in range(40, n)) < 10 and all(loose[i] == i // 4 * 4 for i in range(40))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7, 40):
+        got = {r.doc_id: r.component_id for r in substring_dedup.passage_report(docs.repartition(parts)).collect()}
+        assert all(got[i] == loose[i] for i in range(n) if i < 40 or loose[i] == strict[i]), parts
+        assert all(got[i] == got[strict[i]] and loose[got[i]] == loose[i] for i in range(n)), parts
+
+
+def test_groups_come_out_document_by_document():
+    """Rows of a partition leave once their document is complete: some batches are held, never a partition."""
+    most, taken = 0, 0
+
+    def batches():
+        nonlocal taken
+        for k in range(40):
+            taken += 1
+            ids = [k, k]
+            yield pa.RecordBatch.from_pydict({"id": ids, "kind": pa.array([0, 1], pa.int32()), "text": ["w%d " % k * 300_000, None]})
+
+    out = 0
+    for words, asks in substring_dedup._groups(batches(), ("id",)):
+        out += asks.num_rows
+        most = max(most, taken - out)
+        assert set(words) == set(asks.column("id").to_pylist())
+    assert out == 40 and most <= 3
+
+
 def test_rows_of_one_document(spark, words):
     """Rows that share a doc_id are one document, with the largest of their texts; other rows of it stay as they are."""
     p, a, b = words(60, 1), words(40, 2), words(40, 3)
