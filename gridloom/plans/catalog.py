@@ -21,11 +21,11 @@ COLS = 50
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+HEX = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
 WITH = f"""
-WITH lib AS (SELECT p_partkey AS idx, translate(substr(md5('lib:' || p_partkey), 1, 28), {_HEX}) AS seq FROM part),
-lib2 AS (SELECT s_suppkey AS idx, translate(substr(md5('lib2:' || s_suppkey), 1, 8), {_HEX}) AS seq FROM supplier),
-sixteen AS (SELECT n_nationkey AS idx, translate(substr(md5('spot:' || n_nationkey), 1, 8), {_HEX}) AS seq FROM nation WHERE n_nationkey < 16),
+WITH lib AS (SELECT p_partkey AS idx, translate(substr(md5('lib:' || p_partkey), 1, 28), {HEX}) AS seq FROM part),
+lib2 AS (SELECT s_suppkey AS idx, translate(substr(md5('lib2:' || s_suppkey), 1, 8), {HEX}) AS seq FROM supplier),
+sixteen AS (SELECT n_nationkey AS idx, translate(substr(md5('spot:' || n_nationkey), 1, 8), {HEX}) AS seq FROM nation WHERE n_nationkey < 16),
 bits AS (SELECT p_partkey AS idx, lpad(bin(('0x' || substr(md5('bits:' || p_partkey), 1, 9))::BIGINT), 36, '0') AS bits FROM part),
 spots AS (SELECT (p_partkey // {COLS})::INT AS row, (p_partkey % {COLS})::INT AS col, seq AS bar FROM part JOIN lib ON idx = p_partkey),
 dims AS (SELECT (max(row) + 1)::INT AS rows FROM spots),
@@ -609,15 +609,15 @@ def _nearest_sql(name: str, seqs: str, lib: str, threshold: int, length: int) ->
  {name} AS (SELECT seq, any_value(dist) AS dist, count(*) AS n, min(idx) AS idx FROM {name}_m JOIN (SELECT seq, min(dist) AS dist FROM {name}_m GROUP BY seq) USING (seq, dist) GROUP BY seq)"""
 
 
-_DECODED = _nearest_sql("best", "reads", "lib", 4, 28) + ", flat AS (SELECT key, truth, CASE WHEN n = 1 THEN idx END AS decoded, dist, coalesce(n > 1, false) AS ambiguous FROM reads LEFT JOIN best USING (seq))"
+DECODED = _nearest_sql("best", "reads", "lib", 4, 28) + ", flat AS (SELECT key, truth, CASE WHEN n = 1 THEN idx END AS decoded, dist, coalesce(n > 1, false) AS ambiguous FROM reads LEFT JOIN best USING (seq))"
 
 
-@query("decode_flat", READS + _DECODED + " SELECT key, truth, decoded, dist::INT AS dist, ambiguous FROM flat")
+@query("decode_flat", READS + DECODED + " SELECT key, truth, decoded, dist::INT AS dist, ambiguous FROM flat")
 def decode_flat(spark, sf_dir):
     return decode.decode(reads(spark, sf_dir), library(spark, sf_dir), 4, 28).select("key", "truth", "decoded", "dist", "ambiguous")
 
 
-@query("decode_brute", READS + _DECODED + " SELECT key, truth, decoded, dist::INT AS dist, ambiguous FROM flat")
+@query("decode_brute", READS + DECODED + " SELECT key, truth, decoded, dist::INT AS dist, ambiguous FROM flat")
 def decode_brute(spark, sf_dir):
     return decode.decode(reads(spark, sf_dir), library(spark, sf_dir), 4).select("key", "truth", "decoded", "dist", "ambiguous")
 
@@ -626,12 +626,12 @@ _RATES = """count(*) AS n_reads, count(*) FILTER (truth = decoded) AS n_correct,
  round(coalesce(count(*) FILTER (truth = decoded) / nullif(count(decoded), 0), 0), 6) AS precision, round(count(decoded) / count(*), 6) AS recall, round((count(*) - count(decoded)) / count(*), 6) AS erasure_rate"""
 
 
-@query("benchmark_rates", READS + _DECODED + f" SELECT {_RATES} FROM flat")
+@query("benchmark_rates", READS + DECODED + f" SELECT {_RATES} FROM flat")
 def benchmark_rates(spark, sf_dir):
     return decode.benchmark_rates(decode_flat(spark, sf_dir))
 
 
-@query("rates_rollup", READS + _DECODED + f", x AS (SELECT flat.*, o_orderstatus AS status, o_orderpriority AS priority FROM flat JOIN orders ON o_orderkey = key) SELECT status, priority, {_RATES} FROM x GROUP BY ROLLUP (status, priority)")
+@query("rates_rollup", READS + DECODED + f", x AS (SELECT flat.*, o_orderstatus AS status, o_orderpriority AS priority FROM flat JOIN orders ON o_orderkey = key) SELECT status, priority, {_RATES} FROM x GROUP BY ROLLUP (status, priority)")
 def rates_rollup(spark, sf_dir):
     by = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     return decode_flat(spark, sf_dir).join(by, "key").rollup("status", "priority").agg(*decode.rate_columns())
@@ -639,7 +639,7 @@ def rates_rollup(spark, sf_dir):
 
 # The default channel and thresholds of the simulation benchmark: 36-base reads of a flat library, and of a block's 28 and a spot's 8 bases.
 RATES, FLAT, PART_1, PART_2 = (0.03, 0.04, 0.14), 5, 4, 2
-_WIDE = f""", wide AS (SELECT p_partkey AS idx, translate(substr(md5('wide:' || p_partkey) || md5('wide+1:' || p_partkey), 1, 36), {_HEX}) AS seq FROM part),
+_WIDE = f""", wide AS (SELECT p_partkey AS idx, translate(substr(md5('wide:' || p_partkey) || md5('wide+1:' || p_partkey), 1, 36), {HEX}) AS seq FROM part),
  noisy AS ({_fixed_sql("(SELECT key, truth, wide.seq AS ref FROM truths JOIN wide ON wide.idx = truth)", "ref", "key", "key, truth", *RATES, "flat")})"""
 _FLAT = _WIDE + _nearest_sql("best", "noisy", "wide", FLAT, 36) + ", done AS (SELECT key, truth, CASE WHEN n = 1 THEN idx END AS decoded FROM noisy LEFT JOIN best USING (seq))"
 
@@ -722,7 +722,7 @@ def simulation_summary(spark, sf_dir):
     return decode.simulation_summary(decode_component(spark, sf_dir))
 
 
-@query("truth_index", f", s AS (SELECT o_orderkey AS key, translate(substr(md5('lib:' || (o_orderkey % 300)), 1, 28), {_HEX}) AS true_seq FROM orders) SELECT key, coalesce(f.idx, -1) AS truth FROM s LEFT JOIN (SELECT seq, min(idx) AS idx FROM lib GROUP BY seq) f ON f.seq = true_seq")
+@query("truth_index", f", s AS (SELECT o_orderkey AS key, translate(substr(md5('lib:' || (o_orderkey % 300)), 1, 28), {HEX}) AS true_seq FROM orders) SELECT key, coalesce(f.idx, -1) AS truth FROM s LEFT JOIN (SELECT seq, min(idx) AS idx FROM lib GROUP BY seq) f ON f.seq = true_seq")
 def truth_index(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), prng.dna(28, "lib", F.col("o_orderkey") % 300).alias("true_seq"))
     return decode.truth_index(rows, library(spark, sf_dir)).select("key", "truth")

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from gridloom.plans import catalog
+from jobs import catalog as job_catalog
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -28,13 +29,16 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+QUERIES, ORACLE_SQL = catalog.QUERIES | job_catalog.QUERIES, catalog.ORACLE_SQL | job_catalog.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, str(DATA))
+    df = QUERIES[name](spark, str(DATA))
     columns = sorted(df.columns)
     got = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
-    if name in catalog.ORACLE_SQL:
-        cur = duck.execute(catalog.ORACLE_SQL[name])
+    if name in ORACLE_SQL:
+        cur = duck.execute(ORACLE_SQL[name])
         names = [d[0] for d in cur.description]
         assert sorted(names) == columns
         assert got == sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in cur.fetchall())
