@@ -32,25 +32,31 @@ def segment_matches(reads: DataFrame, library: DataFrame, threshold: int, length
     """As ``brute_matches``, for a library of sequences of one length.
 
     A sequence cut into threshold + 1 pieces has one that at most ``threshold`` edits
-    leave whole, moved by no more than ``threshold`` places (by none under the Hamming
-    distance). Pieces meet by a hash join; the distance is tested there, and only pairs
-    within the threshold are shuffled, to be made distinct. Exact.
+    leave whole. Under the Hamming distance it stays in its place. Otherwise some whole
+    piece has no more edits before it than pieces, and no more after it than pieces (else
+    the others had too few edits to be all broken), which bounds its move from both
+    ends: a read has about threshold ** 2 / 2 places to look at, and looks them up in the
+    table of the library's pieces, a hash join. The distance is tested there, and only
+    pairs within the threshold are shuffled, to be made distinct. Exact.
     """
     parts = threshold + 1
     if length < parts:
         raise ValueError("more pieces than bases: use brute_matches")
     cuts = [length * k // parts for k in range(parts + 1)]
-    cut = lambda s, k, move=0: F.struct(F.lit(k).alias("part"), F.substring(s, cuts[k] + 1 + move, cuts[k + 1] - cuts[k]).alias("piece"))
+    key = lambda s, k, move=0: F.concat(F.lit(f"{k}:"), F.substring(s, cuts[k] + 1 + move, cuts[k + 1] - cuts[k]))
     packed = [dna.packed(F.col("seq")).alias("__r")] if metric == "hamming" else []
-    refs = library.select("idx", F.col("seq").alias("ref"), *packed, F.explode(F.array(*(cut("seq", k) for k in range(parts)))).alias("s"))
-    refs = refs.select(*(c for c in refs.columns if c != "s"), "s.part", "s.piece")
-    moves = range(-threshold, threshold + 1) if metric == "levenshtein" else (0,)
-    windows = [cut("seq", k, m) for k in range(parts) for m in moves if cuts[k] + m >= 0]
+    refs = library.select("idx", F.col("seq").alias("ref"), *packed, F.explode(F.array(*(key(F.col("seq"), k) for k in range(parts)))).alias("piece"))
+    if metric == "levenshtein":
+        more = F.length("seq") - length
+        # A piece k has k others before it and threshold - k after it; a read that is longer moves its end.
+        fits = lambda k, m: (F.abs(more - m) <= threshold - k) & (F.length("seq") >= cuts[k + 1] + m)
+        windows = F.array_compact(F.array(*(F.when(fits(k, m), key(F.col("seq"), k, m)) for k in range(parts) for m in range(-k, k + 1) if cuts[k] + m >= 0)))
+    else:
+        windows = F.array(*(key(F.col("seq"), k) for k in range(parts)))
     most = threshold if metric == "levenshtein" else 0
     seqs = reads.select("seq").distinct().where(F.length("seq").between(length - most, length + most))
-    seen = seqs.select("seq", *(p.alias("__s") for p in packed), F.explode(F.array_distinct(F.array(*windows))).alias("s"))
-    seen = seen.select(*(c for c in seen.columns if c != "s"), "s.part", "s.piece")
-    met = seen.join(small(refs), ["part", "piece"])
+    seen = seqs.select("seq", *(p.alias("__s") for p in packed), F.explode(F.array_distinct(windows)).alias("piece"))
+    met = seen.join(small(refs), "piece")
     if metric == "hamming":
         dist = dna.hamming(F.col("seq"), F.col("ref"), "inf", F.col("__s"), F.col("__r"))
         return met.withColumn("dist", dist).where(F.col("dist") <= threshold).select("seq", "idx", "dist").distinct()

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.prng import hex_long
 
-# 2**32 as a double: eight hexadecimal digits of a place's digest make a number in [0, 1).
-_WHOLE = 4294967296.0
+# Eight hexadecimal digits of a place's digest make a number in [0, 1).
+_WHOLE = 16**8
 
 
 def _places(seq: Column, seed: object, key: Column, make) -> Column:
     """``make(base, digest)`` at each place, joined; an empty sequence stays."""
-    joined = F.array_join(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), lambda k: make(F.substr(seq, k, F.lit(1)), F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), k.cast("string")).cast("binary")))), ""
-    )
+    step = lambda k: make(F.substr(seq, k, F.lit(1)), _digest(seed, key, k))
+    joined = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), step), "")
     return F.when(F.length(seq) == 0, "").otherwise(joined)
 
 
+def _digest(seed: object, key: Column, k: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), k.cast("string")).cast("binary"))
+
+
 def _other(base: Column, d: Column) -> Column:
     """One of the other three bases."""
     at = F.translate(base, "ACGT", "0123").cast("int") + 1 + (hex_long(d, 9, 4) % 3).cast("int")
@@ -26,7 +31,9 @@ def _other(base: Column, d: Column) -> Column:
 
 
 def _below(d: Column, start: int, rate: float) -> Column:
-    return hex_long(d, start, 8) / F.lit(_WHOLE) < F.lit(rate)
+    """Whether the number that eight digits make is below the rate: digits of one length compare as numbers do."""
+    most = math.ceil(rate * _WHOLE)
+    return F.lit(True) if most >= _WHOLE else F.substring(d, start, 8) < F.lit(f"{most:08x}")
 
 
 def substitution(seq: Column, key: Column, rate: float, seed: object = 0) -> Column:
@@ -55,7 +62,7 @@ def fixed_length(seq: Column, key: Column, sub: float, ins: float, dele: float,
     fill up, or what is too long goes.
     """
     n = F.length(seq)
-    drawn = lambda kind, most: F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: F.md5(F.concat_ws(":", F.lit(f"{seed}{kind}"), key.cast("string"), k.cast("string")).cast("binary")))
+    drawn = lambda kind, most: F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: _digest(f"{seed}{kind}", key, k))
     base = lambda d: F.substr(F.lit("ACGT"), (hex_long(d, 13, 2) % 4).cast("int") + 1, F.lit(1))
     place = lambda d, size: (hex_long(d, 9, 4) % size).cast("int")
 

@@ -9,13 +9,13 @@ from ..functions import dna
 from ..functions.prng import below, digest
 from .grid import block_columns, with_blocks
 
-MOST_BROADCAST = 1_000_000  # rows of an axis or library that may be sent to all executors
+MOST_BROADCAST = 64 << 20  # bytes of an axis or library that may be sent to all executors
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcasting if it has at most MOST_BROADCAST rows, else as it is."""
-    n = rows if rows is not None else df.limit(MOST_BROADCAST + 1).count()
-    return F.broadcast(df) if n <= MOST_BROADCAST else df
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcasting if its values have at most MOST_BROADCAST bytes (counted), else as it is."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= MOST_BROADCAST else df
 
 
 def codebook(x: DataFrame, y: DataFrame, spacer: str = "", style: str = "row_col", cols: int = 0) -> DataFrame:
@@ -52,7 +52,7 @@ def shuffled(library: DataFrame, seed: object) -> DataFrame:
 
 def assign_bar1(blocks: DataFrame, library: DataFrame, n: int) -> DataFrame:
     """Block k (``block``, row-major) gets entry k mod n of the shuffled library: the least used, in shuffled order."""
-    return blocks.withColumn("idx", F.col("block") % n).join(small(library.withColumnRenamed("seq", "bar_1"), n), "idx").drop("idx")
+    return blocks.withColumn("idx", F.col("block") % n).join(small(library.withColumnRenamed("seq", "bar_1")), "idx").drop("idx")
 
 
 def assign_bar2(spots: DataFrame, library: DataFrame, n: int, seed: object) -> DataFrame:
@@ -63,7 +63,7 @@ def assign_bar2(spots: DataFrame, library: DataFrame, n: int, seed: object) -> D
     rank = F.row_number().over(Window.partitionBy("bar_1").orderBy("block", "spot_in_block")) - 1
     wanted = spots.withColumn("rank", rank)
     at = F.when(F.col("rank") < n, (below(n, seed, F.col("bar_1")) + F.col("rank")) % n).otherwise(F.raise_error(F.lit("too few bar_2 for a bar_1")).cast("long"))
-    return wanted.withColumn("idx", at).join(small(library.withColumnRenamed("seq", "bar_2"), n), "idx").drop("idx", "rank")
+    return wanted.withColumn("idx", at).join(small(library.withColumnRenamed("seq", "bar_2")), "idx").drop("idx", "rank")
 
 
 def dual_layout(spots: DataFrame, cols: int, bar1: DataFrame, n1: int, bar2: DataFrame, n2: int, seed: object) -> DataFrame:
@@ -160,7 +160,7 @@ def assign_tails(spots: DataFrame, library: DataFrame, n: int, index: Column, st
         at = below(n, seed, index)
     else:
         raise ValueError(f"unknown strategy: {strategy}")
-    return spots.withColumn("idx", at).join(small(library.withColumnRenamed("seq", "tail"), n), "idx").drop("idx")
+    return spots.withColumn("idx", at).join(small(library.withColumnRenamed("seq", "tail")), "idx").drop("idx")
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, prng
 from ..operators import codes, decode, distances, errors, grid, layouts, qc, quadtree
+from ..sources.tables import stored
 from ..streaming import windows
 
 COLS = 50
@@ -87,7 +88,8 @@ def true_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return true_reads(spark, sf_dir).select("key", "truth", errors.substitution(F.col("ref"), F.col("key"), 0.05, "read").alias("seq"))
+    """Noisy reads, stored: decoding takes their distinct sequences and joins them back."""
+    return stored(true_reads(spark, sf_dir).select("key", "truth", errors.substitution(F.col("ref"), F.col("key"), 0.05, "read").alias("seq")), "reads")
 
 
 def _sub_sql(seq: str, key: str, rate: float, seed: str, out: str = "seq") -> str:
@@ -649,7 +651,7 @@ def benchmark_flat(spark, sf_dir):
     wide = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), prng.dna(36, "wide", F.col("p_partkey")).alias("seq"))
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") * 7919 % wide.count()).alias("truth"))
     clean = keys.join(layouts.small(wide.select(F.col("idx").alias("truth"), "seq")), "truth")
-    noisy = clean.select("key", "truth", errors.fixed_length(F.col("seq"), F.col("key"), *RATES, "flat").alias("seq"))
+    noisy = stored(clean.select("key", "truth", errors.fixed_length(F.col("seq"), F.col("key"), *RATES, "flat").alias("seq")), "reads")
     return decode.benchmark_rates(decode.decode(noisy, wide, FLAT, 36).withColumn("decoder", F.lit("flat")), "decoder")
 
 
@@ -666,7 +668,7 @@ _PARTS = (
 def benchmark_hierarchical(spark, sf_dir):
     one, two = library(spark, sf_dir), sixteen(spark, sf_dir)
     both = true_reads(spark, sf_dir).withColumn("spot", F.col("key") % 16).join(F.broadcast(two.select(F.col("idx").alias("spot"), F.col("seq").alias("r2"))), "spot")
-    noisy = both.select("key", (F.col("truth") * 16 + F.col("spot")).alias("truth"), errors.fixed_length(F.concat("ref", "r2"), F.col("key"), *RATES, "parts").alias("seq"))
+    noisy = stored(both.select("key", (F.col("truth") * 16 + F.col("spot")).alias("truth"), errors.fixed_length(F.concat("ref", "r2"), F.col("key"), *RATES, "parts").alias("seq")), "reads")
     done = decode.decode_hierarchical(noisy, one, two, 28, PART_1, PART_2).withColumn("decoded", F.col("decoded_1") * 16 + F.col("decoded_2"))
     return decode.benchmark_rates(done.withColumn("decoder", F.lit("hierarchical")), "decoder")
 
@@ -685,7 +687,7 @@ FROM noisy LEFT JOIN one ON one.seq = left(noisy.seq, 28) LEFT JOIN two ON two.s
 def decode_hierarchical(spark, sf_dir):
     one, two = library(spark, sf_dir), short_library(spark, sf_dir)
     both = true_reads(spark, sf_dir).withColumn("t2", F.col("key") % two.count()).join(layouts.small(two.select(F.col("idx").alias("t2"), F.col("seq").alias("r2"))), "t2")
-    noisy = both.select("key", "truth", "t2", errors.substitution(F.concat("ref", "r2"), F.col("key"), 0.04, "h").alias("seq"))
+    noisy = stored(both.select("key", "truth", "t2", errors.substitution(F.concat("ref", "r2"), F.col("key"), 0.04, "h").alias("seq")), "reads")
     return decode.decode_hierarchical(noisy, one, two, 28, 4, 2).select("key", "truth", "t2", "decoded_1", "decoded_2")
 
 
@@ -707,7 +709,7 @@ def decode_component(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % n).cast("int").alias("true_row"), (F.col("o_orderkey") * 7 % n).cast("int").alias("true_col"))
     xs, ys = ax.select(F.col("pos").alias("true_col"), F.col("seq").alias("x")), ax.select(F.col("pos").alias("true_row"), F.col("seq").alias("y"))
     made = rows.join(layouts.small(xs), "true_col").join(layouts.small(ys), "true_row")
-    noisy = made.select("key", "true_row", "true_col", errors.substitution(F.concat("x", "y"), F.col("key"), 0.12, "c").alias("seq"))
+    noisy = stored(made.select("key", "true_row", "true_col", errors.substitution(F.concat("x", "y"), F.col("key"), 0.12, "c").alias("seq")), "reads")
     return decode.classify(decode.decode_components(noisy, ax, ax, "", 18, 18, 3)).drop("seq")
 
 

@@ -76,7 +76,7 @@ def run(spark: SparkSession, library: str, reads: str, output: str, settings: Se
     if lanes:
         wanted = sorted(set(lanes.split(",")))
         orders = orders.where(F.col("o_orderstatus").isin(wanted))
-    made = reads_of(orders, array, size["n"], s)
+    made = stored(reads_of(orders, array, size["n"], s), "reads")  # met twice: by their sequences, and whole
     # Decoded once for both outputs.
     done = stored(decode.decode(made, array, s.threshold, s.length, s.ties).select("lane", "truth", "decoded", "dist"), "decoded")
     if lanes:

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import prng
-from gridloom.operators import codes, decode, distances, grid, layouts, qc, quadtree
+from gridloom.operators import codes, decode, distances, errors, grid, layouts, qc, quadtree
 from gridloom.sources import config, io
+from gridloom.sources.tables import stored
 from gridloom.streaming import windows
 
 # The published spot barcodes, in order.
@@ -75,6 +76,29 @@ def test_segment_join_is_exact(spark):
         assert a == {tuple(r) for r in decode.brute_matches(reads, lib, t).collect()} and a
 
 
+@pytest.mark.parametrize("threshold, length", [(5, 36), (4, 28), (2, 12)])
+def test_pieces_of_reads_with_indels(spark, threshold, length):
+    """All pairs within the threshold, for reads shorter and longer than the library, against Levenshtein distances of every pair."""
+    # Four bases in a row are drawn together, so that pieces recur and edits can be read in several ways.
+    lib = spark.range(90).select(F.col("id").alias("idx"), F.substring(F.repeat(prng.dna(4, "u", F.col("id") % 3), 20), 1, length // 2).alias("a"), prng.dna(length, "n", F.shiftright("id", 1)).alias("b"))
+    lib = lib.select("idx", F.left(F.concat("a", "b"), F.lit(length)).alias("seq"))
+    kinds = [errors.indel(F.col("seq"), F.concat_ws("-", "idx", F.lit(k)), 0.05, 0.03 * (k % 3), 0.02 * (k % 4), "i") for k in range(12)]
+    kinds += [F.concat(F.lit("ACG"), "seq"), F.concat("seq", F.lit("TT")), F.expr("substring(seq, 3)"), F.expr(f"left(seq, {length - 2})"), F.reverse("seq"), F.lit(""), F.lit(None)]
+    reads = stored(lib.select(F.explode(F.array(*kinds)).alias("seq")), "reads")
+    got = {tuple(r) for r in decode.segment_matches(reads, lib, threshold, length).collect()}
+    want = {tuple(r) for r in decode.brute_matches(reads, lib, threshold).collect()}
+    assert got == want and len({d for _, _, d in want}) == threshold + 1
+    assert {len(s) - length for s, _, _ in want} >= set(range(-2, 3))
+
+
+def test_small_tables_are_measured(spark, monkeypatch):
+    rows = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("s"))
+    broadcast = lambda df: "broadcast" in df._jdf.queryExecution().analyzed().toString()
+    assert broadcast(layouts.small(rows)) and not broadcast(rows)
+    monkeypatch.setattr(layouts, "MOST_BROADCAST", 100_000)
+    assert not broadcast(layouts.small(rows)) and broadcast(layouts.small(rows.limit(50))) and broadcast(layouts.small(rows.limit(0)))
+
+
 def test_ties(spark):
     lib = spark.createDataFrame([(0, "AAAA"), (1, "AAAA"), (2, "CCCC")], "idx int, seq string")
     reads = spark.createDataFrame([("AAAA",), ("CCCA",), ("GGGG",), (None,)], "seq string")
