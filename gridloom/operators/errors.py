@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,3 +87,86 @@ def fixed_length(seq: Column, key: Column, sub: float, ins: float, dele: float,
 def _let(value: Column, use) -> Column:
     """``use(value)`` with the value worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)
+
+
+@dataclass(frozen=True)
+class ErrorModel:
+    """A channel by name: a column of reads, the SQL that gives the same reads, and its rates.
+
+    ``column(seq, key, seed=..., **rates)`` is an expression; ``sql(seq, key, seed=..., **rates)``
+    a DuckDB expression of the same text.
+    """
+
+    rates: tuple[str, ...]
+    column: Callable[..., Column]
+    sql: Callable[..., str]
+
+    def checked(self, rates: dict[str, float]) -> dict[str, float]:
+        if set(rates) != set(self.rates) or not all(0 <= r <= 1 for r in rates.values()):
+            raise ValueError(f"rates from 0 to 1 are needed for {', '.join(self.rates)}, not {rates}")
+        return rates
+
+
+MODELS: dict[str, ErrorModel] = {}
+
+
+def register(name: str, rates: tuple[str, ...], column: Callable[..., Column], sql: Callable[..., str]) -> None:
+    """Adds a channel, for commands and queries alike."""
+    if name in MODELS:
+        raise ValueError(f"there is an error model {name}")
+    MODELS[name] = ErrorModel(rates, column, sql)
+
+
+def read_of(model: str, seq: Column, key: Column, seed: object = 0, **rates: float) -> Column:
+    """``seq`` through the channel of a name; an unknown name or rate is an error."""
+    if model not in MODELS:
+        raise ValueError(f"unknown error model: {model}; there are {', '.join(MODELS)}")
+    found = MODELS[model]
+    return found.column(seq, key, seed=seed, **found.checked(rates))
+
+
+def read_sql(model: str, seq: str, key: str, seed: object = 0, **rates: float) -> str:
+    """DuckDB SQL of :func:`read_of`."""
+    found = MODELS[model]
+    return found.sql(seq, key, seed=seed, **found.checked(rates))
+
+
+def _u_sql(digest_: str, start: int) -> str:
+    return f"('0x' || substr({digest_}, {start}, 8))::BIGINT / 4294967296.0"
+
+
+def _other_sql(base: str, digest_: str) -> str:
+    return f"substr('ACGTACG', (translate({base}, 'ACGT', '0123')::INT + 2 + (('0x' || substr({digest_}, 9, 4))::BIGINT % 3))::INT, 1)"
+
+
+def substitution_sql(seq: str, key: str, rate: float, seed: object = 0) -> str:
+    d, b = f"md5('{seed}:' || {key} || ':' || k)", f"substr({seq}, k::INT, 1)"
+    return f"array_to_string(list_transform(range(1, length({seq}) + 1), lambda k: CASE WHEN {_u_sql(d, 1)} < {rate} THEN {_other_sql(b, d)} ELSE {b} END), '')"
+
+
+def indel_sql(seq: str, key: str, sub: float, ins: float, dele: float, seed: object = 0) -> str:
+    d, b = f"md5('{seed}:' || {key} || ':' || k)", f"substr({seq}, k::INT, 1)"
+    kept = f"CASE WHEN {_u_sql(d, 1)} < {sub} THEN {_other_sql(b, d)} ELSE {b} END"
+    new = f"CASE WHEN {_u_sql(d, 13)} < {ins} THEN substr('ACGT', ((('0x' || substr({d}, 21, 4))::BIGINT % 4) + 1)::INT, 1) ELSE '' END"
+    return f"array_to_string(list_transform(range(1, length({seq}) + 1), lambda k: CASE WHEN {_u_sql(d, 25)} < {dele} THEN '' ELSE {kept} || {new} END), '')"
+
+
+def fixed_length_sql(seq: str, key: str, sub: float, ins: float, dele: float, seed: object = 0) -> str:
+    """One expression: steps take what the one before made from a list of one."""
+    let = lambda value, name, use: f"list_transform([{value}], lambda {name}: {use})[1]"
+    digests = lambda kind, n: f"list_transform(range(1, {n} + 1), lambda k: md5('{seed}{kind}:' || {key} || ':' || k))"
+    at = lambda e, n: f"(('0x' || substr({e}, 9, 4))::BIGINT % ({n}))::INT"
+    base = lambda e: f"substr('ACGT', (('0x' || substr({e}, 13, 2))::BIGINT % 4)::INT + 1, 1)"
+    size = f"length({seq})"
+    changed = f"list_reduce(list_prepend({seq}, {digests('s', size)}), lambda s, e: CASE WHEN {_u_sql('e', 1)} < {min(1.0, sub * 4 / 3)} THEN left(s, {at('e', 'length(s)')}) || {base('e')} || substr(s, {at('e', 'length(s)')} + 2) ELSE s END)"
+    gone = f"list_transform(list_filter({digests('d', size)}, lambda e: {_u_sql('e', 1)} < {dele}), lambda e: {at('e', size)} + 1)"
+    kept = "array_to_string(list_transform(list_filter(range(1, length(x.c) + 1), lambda k: NOT list_contains(x.g, k::INT)), lambda k: substr(x.c, k::INT, 1)), '')"
+    kept = let(f"struct_pack(c := {changed}, g := {gone})", "x", kept)
+    grown = f"list_reduce(list_prepend(w, {digests('i', 'length(w)')}), lambda s, e: CASE WHEN {_u_sql('e', 1)} < {ins} THEN left(s, {at('e', 'length(s) + 1')}) || {base('e')} || substr(s, {at('e', 'length(s) + 1')} + 1) ELSE s END)"
+    fill = f"array_to_string(list_transform({digests('p', size)}, lambda e: {base('e')}), '')"
+    return f"left({let(kept, 'w', grown)} || {fill}, {size}::INT)"
+
+
+register("substitution", ("rate",), substitution, substitution_sql)
+register("indel", ("sub", "ins", "dele"), indel, indel_sql)
+register("fixed_length", ("sub", "ins", "dele"), fixed_length, fixed_length_sql)

@@ -42,12 +42,10 @@ def feature_at(book: DataFrame, row: int, col: int) -> DataFrame:
 
 
 def shuffled(library: DataFrame, seed: object) -> DataFrame:
-    """(idx, seq) with idx the place in a random order that depends on the seed and the sequence.
+    """(idx, seq) with idx the place in a random order that depends on the seed and the sequence."""
+    from ..sources.tables import numbered
 
-    One partition: for libraries that design a grid, not for reads.
-    """
-    rank = F.row_number().over(Window.orderBy(digest(seed, F.col("seq")), "seq")) - 1
-    return library.select(rank.alias("idx"), "seq")
+    return numbered(library.select("seq", digest(seed, F.col("seq")).alias("__d")), "__d", "seq").select("idx", "seq")
 
 
 def assign_bar1(blocks: DataFrame, library: DataFrame, n: int) -> DataFrame:

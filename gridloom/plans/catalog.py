@@ -9,13 +9,15 @@ Every query takes its whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, prng
 from ..operators import codes, decode, distances, errors, grid, layouts, qc, quadtree
-from ..sources.tables import stored
+from ..sources import io
+from ..sources.tables import new_path, stored
 from ..streaming import windows
 
 COLS = 50
@@ -89,19 +91,10 @@ def true_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy reads, stored: decoding takes their distinct sequences and joins them back."""
-    return stored(true_reads(spark, sf_dir).select("key", "truth", errors.substitution(F.col("ref"), F.col("key"), 0.05, "read").alias("seq")), "reads")
+    return stored(true_reads(spark, sf_dir).select("key", "truth", errors.read_of("substitution", F.col("ref"), F.col("key"), "read", rate=0.05).alias("seq")), "reads")
 
 
-def _sub_sql(seq: str, key: str, rate: float, seed: str, out: str = "seq") -> str:
-    """SQL of the substitution model."""
-    h = f"md5('{seed}:' || {key} || ':' || k)"
-    base = f"substr({seq}, k::INT, 1)"
-    u = f"('0x' || substr({h}, 1, 8))::BIGINT / 4294967296.0"
-    other = f"substr('ACGTACG', (translate({base}, 'ACGT', '0123')::INT + 2 + (('0x' || substr({h}, 9, 4))::BIGINT % 3))::INT, 1)"
-    return f"array_to_string(list_transform(range(1, length({seq}) + 1), lambda k: CASE WHEN {u} < {rate} THEN {other} ELSE {base} END), '') AS {out}"
-
-
-READS = f", reads AS (SELECT key, truth, {_sub_sql('lib.seq', 'key', 0.05, 'read')} FROM truths JOIN lib ON lib.idx = truth)"
+READS = f", reads AS (SELECT key, truth, {errors.read_sql('substitution', 'lib.seq', 'key', 'read', rate=0.05)} AS seq FROM truths JOIN lib ON lib.idx = truth)"
 
 _gc = "length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)"
 _g = "length(regexp_replace(seq, '[^G]', '', 'g')) / length(seq)"
@@ -246,7 +239,12 @@ def hamming_bits(spark, sf_dir):
 
 @query("min_pairwise", _AXIS_PAIRS + " SELECT coalesce(min(dist), 0) AS min_dist FROM p")
 def min_pairwise(spark, sf_dir):
-    return distances.min_pairwise(hamming_bits(spark, sf_dir))
+    return spark.createDataFrame([(distances.closest(axis(spark, sf_dir), "code", 36, "bits"),)], "min_dist int")
+
+
+@query("library_min_distance", "SELECT coalesce(min(hamming(a.seq, b.seq)), 0)::INT AS min_dist FROM lib a JOIN lib b ON a.idx < b.idx")
+def library_min_distance(spark, sf_dir):
+    return spark.createDataFrame([(distances.closest(library(spark, sf_dir), "seq", 28),)], "min_dist int")
 
 
 @query(
@@ -256,7 +254,7 @@ def min_pairwise(spark, sf_dir):
  round(stddev_pop(dist), 6) AS std_dist, round(quantile_cont(dist, 0.25), 6) AS q25, round(quantile_cont(dist, 0.75), 6) AS q75 FROM p WHERE diff <= 10 GROUP BY diff""",
 )
 def axis_distance_stats(spark, sf_dir):
-    return distances.stats_by_separation(hamming_bits(spark, sf_dir), 10)
+    return distances.stats_by_separation(distances.near_pairs(axis(spark, sf_dir), "pos", "code", "bits", 10))
 
 
 _BOTH = """, two AS (SELECT 'x' AS axis, * FROM axis UNION ALL SELECT 'y', s_suppkey::INT, ('0x' || substr(md5('axis_y:' || s_suppkey), 1, 9))::BIGINT FROM supplier),
@@ -323,6 +321,24 @@ def distance_preservation(spark, sf_dir):
     return distances.preservation(rows, "pos", "bits", "seq")
 
 
+DRAWS = 100_000
+
+
+@query(
+    "distance_preservation_sampled",
+    f""", c AS (SELECT row_number() OVER (ORDER BY pos) - 1 AS nr, lpad(bin(code), 36, '0') AS b FROM axis),
+ d AS (SELECT nr, b, array_to_string(list_transform(range(1, 37, 2), lambda i: CASE substr(b, i::INT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS seq FROM c),
+ n AS (SELECT count(*) * (count(*) - 1) // 2 AS pairs FROM d), t AS (SELECT ('0x' || substr(md5('preserve:' || k), 1, 12))::BIGINT % pairs AS t FROM range({DRAWS}) r(k), n),
+ u AS (SELECT t, floor((1 + sqrt(1 + 8 * t)) / 2)::BIGINT AS j FROM t),
+ v AS (SELECT t, CASE WHEN j * (j - 1) // 2 > t THEN j - 1 WHEN j * (j + 1) // 2 <= t THEN j + 1 ELSE j END AS j FROM u),
+ r AS (SELECT hamming(x.seq, y.seq) / (hamming(x.b, y.b) / 2.0) AS ratio FROM v JOIN d y ON y.nr = v.j JOIN d x ON x.nr = v.t - v.j * (v.j - 1) // 2 WHERE x.b <> y.b)
+SELECT count(*) AS n_pairs, round(avg(ratio), 6) AS mean_ratio, round(stddev_pop(ratio), 6) AS std_ratio FROM r""",
+)
+def distance_preservation_sampled(spark, sf_dir):
+    rows = axis(spark, sf_dir).withColumn("bits", dna.bit_string(F.col("code"), 36)).withColumn("seq", dna.bits_to_dna(F.col("bits")))
+    return distances.sampled_preservation(rows, "pos", "bits", "seq", DRAWS, "preserve")
+
+
 _BOOK = """, e AS (SELECT pos, lpad(bin(code), 36, '0') AS bits FROM axis), d AS (SELECT pos, bits, array_to_string(list_transform(range(1, 37, 2), lambda i: CASE substr(bits, i::INT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS seq FROM e),
  book AS (SELECT printf('R%03d_C%03d', y.pos, x.pos) AS feature_id, y.pos AS row, x.pos AS col, x.bits AS x_bits, y.bits AS y_bits, x.seq AS x_seq, y.seq AS y_seq, x.seq || 'GGG' || y.seq AS zip_seq FROM d x, d y)"""
 
@@ -343,6 +359,14 @@ def feature_lookup(spark, sf_dir):
     return layouts.feature_at(codebook(spark, sf_dir), 3, 7)
 
 
+@query("feature_lookup_stored", _BOOK + " SELECT 'place' AS kind, * FROM book WHERE row = 3 AND col = 7 UNION ALL SELECT 'id', * FROM book WHERE feature_id IN ('R003_C007', 'R005_C002', 'R999_C999')")
+def feature_lookup_stored(spark, sf_dir):
+    path = new_path(spark, "codebook")
+    io.write_look_up(codebook(spark, sf_dir), path)
+    place, ids = io.look_up_place(spark, path, 3, 7), io.look_up_id(spark, path, "R003_C007", "R005_C002", "R999_C999")
+    return place.select(F.lit("place").alias("kind"), "*").unionByName(ids.select(F.lit("id").alias("kind"), "*"))
+
+
 _KEPT = "kept AS (SELECT row, col FROM spots WHERE (row * 31 + col * 17) % 11 <> 0 UNION ALL SELECT row, col FROM spots WHERE row = 1 UNION ALL SELECT -1, 2)"
 
 
@@ -479,20 +503,21 @@ def quadtree_uv(spark, sf_dir):
     return uv.select("row", "col", "u", "v", levels).select("row", "col", "u", "v", "x.level", "x.quadrant")
 
 
-def quadtree_sql(levels: int, max_run: int = 1) -> str:
-    """The code construction unrolled, one step a level."""
+def quadtree_sql(levels: int, max_run: int = 1, start: tuple[int, ...] = (0, 1, 2, 3), name: str = "") -> str:
+    """The code construction unrolled, one step a level; ``name`` tells the tables of several rounds apart, the first of which has none."""
     perms = ", ".join(f"({k}, {p[0]}, {p[1]}, {p[2]}, {p[3]})" for k, p in enumerate(quadtree.PERMUTATIONS))
     q = lambda l, a="": f"(({a}u >> {levels - 1 - l}) & 1) * 2 + (({a}v >> {levels - 1 - l}) & 1)"  # noqa: E731, E741
-    out = f""", perms(k, p0, p1, p2, p3) AS (VALUES {perms}), uv AS (SELECT row, col, (row::BIGINT * {1 << levels}) // (SELECT rows FROM dims) AS u, (col::BIGINT * {1 << levels}) // {COLS} AS v FROM spots),
- s0 AS (SELECT row, col, u, v, {q(0)} AS prev, 1 AS run, substr('ACGT', ({q(0)} + 1)::INT, 1) AS seq FROM uv)"""
+    shared = f""", perms(k, p0, p1, p2, p3) AS (VALUES {perms}), uv AS (SELECT row, col, (row::BIGINT * {1 << levels}) // (SELECT rows FROM dims) AS u, (col::BIGINT * {1 << levels}) // {COLS} AS v FROM spots)"""
+    first = f"(CASE {q(0)} WHEN 0 THEN {start[0]} WHEN 1 THEN {start[1]} WHEN 2 THEN {start[2]} ELSE {start[3]} END)"
+    out = ("" if name else shared) + f", {name}s0 AS (SELECT row, col, u, v, {first} AS prev, 1 AS run, substr('ACGT', ({first} + 1)::INT, 1) AS seq FROM uv)"
     for level in range(1, levels):
-        was = f"s{level - 1}"
-        out += f""", c{level} AS (SELECT {q(level)} AS q, prev, count(*) AS n, count(*) FILTER (run >= {max_run}) AS risk FROM {was} GROUP BY 1, 2),
- e{level} AS (SELECT k, any_value(p0) AS p0, any_value(p1) AS p1, any_value(p2) AS p2, any_value(p3) AS p3, coalesce(sum(risk), 0) AS bad, coalesce(sum(n), 0) AS again
-   FROM perms LEFT JOIN c{level} ON prev = CASE q WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END GROUP BY k ORDER BY bad, again, k LIMIT 1),
- d{level} AS (SELECT s.*, CASE {q(level, 's.')} WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS cand FROM {was} s, e{level}),
- f{level} AS (SELECT *, CASE WHEN cand = prev AND run >= {max_run} THEN (prev + (row + col + {level}) % 3 + 1) % 4 ELSE cand END AS nxt FROM d{level}),
- s{level} AS (SELECT row, col, u, v, nxt AS prev, CASE WHEN nxt = prev THEN run + 1 ELSE 1 END AS run, seq || substr('ACGT', (nxt + 1)::INT, 1) AS seq FROM f{level})"""
+        was = f"{name}s{level - 1}"
+        out += f""", {name}c{level} AS (SELECT {q(level)} AS q, prev, count(*) AS n, count(*) FILTER (run >= {max_run}) AS risk FROM {was} GROUP BY 1, 2),
+ {name}e{level} AS (SELECT k, any_value(p0) AS p0, any_value(p1) AS p1, any_value(p2) AS p2, any_value(p3) AS p3, coalesce(sum(risk), 0) AS bad, coalesce(sum(n), 0) AS again
+   FROM perms LEFT JOIN {name}c{level} ON prev = CASE q WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END GROUP BY k ORDER BY bad, again, k LIMIT 1),
+ {name}d{level} AS (SELECT s.*, CASE {q(level, 's.')} WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS cand FROM {was} s, {name}e{level}),
+ {name}f{level} AS (SELECT *, CASE WHEN cand = prev AND run >= {max_run} THEN (prev + (row + col + {level}) % 3 + 1) % 4 ELSE cand END AS nxt FROM {name}d{level}),
+ {name}s{level} AS (SELECT row, col, u, v, nxt AS prev, CASE WHEN nxt = prev THEN run + 1 ELSE 1 END AS run, seq || substr('ACGT', (nxt + 1)::INT, 1) AS seq FROM {name}f{level})"""
     return out
 
 
@@ -540,64 +565,101 @@ def hybrid_uniqueness(spark, sf_dir):
     return quadtree.uniqueness(quadtree_codes(spark, sf_dir), "seq")
 
 
+ROUNDS, LEVELS = 3, 6
+_ROUNDS = "".join(quadtree_sql(LEVELS, 1, start, f"t{k}_" if k else "") for k, start in enumerate(quadtree.round_starts(ROUNDS)))
+_HYBRID = f""", hybrid AS (SELECT row, col, {", ".join(f"r{k}.seq AS quadtree_round{k + 1}" for k in range(ROUNDS))}, {" || ".join(f"r{k}.seq" for k in range(ROUNDS))} AS quadtree_combined
+ FROM s{LEVELS - 1} r0 {" ".join(f"JOIN t{k}_s{LEVELS - 1} r{k} USING (row, col)" for k in range(1, ROUNDS))}),
+ tailed AS (SELECT hybrid.*, l.seq AS tail, quadtree_combined || l.seq AS barcode FROM hybrid JOIN lib2 l ON l.idx = ('0x' || substr(md5('hybrid:' || (row::BIGINT * {COLS} + col)), 1, 12))::BIGINT % (SELECT count(*) FROM lib2))"""
+
+
+@query("hybrid_layout", _ROUNDS + _HYBRID + " SELECT * FROM tailed")
+def hybrid_layout(spark, sf_dir):
+    """Codes of several rounds, all made in one pass over the levels, and a tail for each spot."""
+    out = quadtree.repeated_rounds(spots(spark, sf_dir), grid_rows(spark, sf_dir), COLS, LEVELS, ROUNDS)
+    lib = short_library(spark, sf_dir)
+    out = layouts.assign_tails(out, lib, lib.count(), (F.col("row") * COLS + F.col("col")).cast("long"), "random", "hybrid")
+    return out.withColumn("barcode", F.concat("quadtree_combined", "tail"))
+
+
+@query(
+    "hybrid_rounds",
+    _ROUNDS
+    + _HYBRID
+    + ", e AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS round, {c} AS code FROM hybrid" for k, c in enumerate(["quadtree_combined", *(f"quadtree_round{k + 1}" for k in range(ROUNDS))]))
+    + """), w AS (SELECT round, code, count(*) AS uses FROM e GROUP BY ALL)
+SELECT round, sum(uses)::BIGINT AS n, count(*) AS n_unique, round(100.0 * count(*) / sum(uses), 6) AS unique_percent, round(avg(uses), 6) AS reuse, max(uses) AS most_uses, count(*) FILTER (uses >= 2) AS n_shared FROM w GROUP BY round""",
+)
+def hybrid_rounds(spark, sf_dir):
+    return quadtree.round_report(quadtree.repeated_rounds(spots(spark, sf_dir), grid_rows(spark, sf_dir), COLS, LEVELS, ROUNDS), ROUNDS)
+
+
+@query("hybrid_round_levels", _ROUNDS + " " + " UNION ALL ".join(
+    line
+    for k, start in enumerate(quadtree.round_starts(ROUNDS))
+    for line in (
+        f"SELECT {k + 1} AS round, 0 AS level, '{''.join('ACGT'[b] for b in start)}' AS permutation, 0 AS violations, 0 AS repeats",
+        *(f"SELECT {k + 1}, {n}, substr('ACGT', p0 + 1, 1) || substr('ACGT', p1 + 1, 1) || substr('ACGT', p2 + 1, 1) || substr('ACGT', p3 + 1, 1), bad::BIGINT, again::BIGINT FROM {f't{k}_' if k else ''}e{n}" for n in range(1, LEVELS)),
+    )
+))
+def hybrid_round_levels(spark, sf_dir):
+    """For each round and level the permutation taken, with its forced changes and repeats."""
+    reports = quadtree.rounds_of_codes(spots(spark, sf_dir), grid_rows(spark, sf_dir), COLS, LEVELS, quadtree.round_starts(ROUNDS))[1]
+    tables = [quadtree.level_report(spark, r).select(F.lit(k + 1).alias("round"), "*") for k, r in enumerate(reports)]
+    return reduce(DataFrame.unionByName, tables)
+
+
+_WORD_RULE = """length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq) BETWEEN 0.4 AND 0.6 AND length(regexp_replace(seq, '[^G]', '', 'g')) / length(seq) <= {g}
+ AND list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))) <= 3"""
+
+
 @query(
     "kmer_candidates",
-    """SELECT i AS idx, seq FROM (SELECT i, array_to_string(list_transform(range(5, -1, -1), lambda k: substr('ACGT', ((i >> k::INT * 2) & 3)::INT + 1, 1)), '') AS seq FROM range(4096) r(i))
- WHERE length(regexp_replace(seq, '[^GC]', '', 'g')) / 6 BETWEEN 0.4 AND 0.6 AND length(regexp_replace(seq, '[^G]', '', 'g')) / 6 <= 0.2 AND list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))) <= 3""",
-    prelude=False,
+    f""", w AS (SELECT substr(seq, unnest(range(1, length(seq) - 4))::INT, 6) AS word FROM lib), k AS (SELECT word AS seq, count(*) AS n FROM w GROUP BY word) SELECT seq, n FROM k WHERE {_WORD_RULE.format(g=0.2)}""",
 )
 def kmer_candidates(spark, sf_dir):
-    return qc.kmers(spark, 6).where(qc.spot_candidate(F.col("seq")))
+    """Words of the library that may be spot barcodes, and how often it holds them."""
+    return qc.word_counts(library(spark, sf_dir), "seq", 6).where(qc.spot_candidate(F.col("seq")))
 
 
-_GREEDY = """WITH RECURSIVE words AS (SELECT array_to_string(list_transform(range(7, -1, -1), lambda k: substr('ACGT', ((i >> k::INT * 2) & 3)::INT + 1, 1)), '') AS seq FROM range(65536) r(i)),
- cand AS (SELECT seq FROM words WHERE length(regexp_replace(seq, '[^GC]', '', 'g')) / 8 BETWEEN 0.4 AND 0.6 AND length(regexp_replace(seq, '[^G]', '', 'g')) / 8 <= 0.25 AND list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda r: length(r))) <= 3),
- chosen(place, seq, held) AS (SELECT 0, min(seq), [min(seq)] FROM cand
-  UNION ALL SELECT place + 1, min(c.seq), list_append(any_value(held), min(c.seq)) FROM chosen g JOIN cand c ON c.seq > g.seq AND list_min(list_transform(held, lambda h: hamming(h, c.seq))) >= 5 WHERE place < 15 GROUP BY place)
-SELECT place::INT AS place, seq FROM chosen"""
+_GREEDY = f""", cand AS (SELECT idx, seq FROM lib2 WHERE {_WORD_RULE.format(g=0.25)})"""
 
 
-@query("greedy_select", _GREEDY, prelude=False)
+def _greedy_sql(n: int, distance: int) -> str:
+    """Choices one after the other: each is the first that keeps the distance from those before."""
+    out = _GREEDY + ", g0 AS (SELECT arg_min(seq, struct_pack(a := idx, b := seq)) AS seq FROM cand)"
+    for k in range(1, n):
+        out += f", g{k} AS (SELECT arg_min(seq, struct_pack(a := idx, b := seq)) AS seq FROM cand WHERE " + " AND ".join(f"hamming(seq, (SELECT seq FROM g{j})) >= {distance}" for j in range(k)) + ")"
+    return out + " " + " UNION ALL ".join(f"SELECT {k} AS place, seq FROM g{k}" for k in range(n))
+
+
+@query("greedy_select", _greedy_sql(3, 5))
 def greedy_select(spark, sf_dir):
-    return spark.createDataFrame([(k, s) for k, s in enumerate(codes.spot_barcodes(spark))], "place int, seq string")
+    """The first sequences of the short library that pass the rule and keep their distance."""
+    candidates = stored(short_library(spark, sf_dir).where(qc.spot_candidate(F.col("seq"), g_max=0.25)), "words")
+    return spark.createDataFrame(list(enumerate(codes.greedy_set(candidates, 3, 5)[0])), "place int, seq string")
 
 
-@query("errors_substitution", f"SELECT idx, {_sub_sql('seq', 'idx', 0.1, 's', 'read')} FROM lib")
+@query("errors_substitution", f"SELECT idx, {errors.read_sql('substitution', 'seq', 'idx', 's', rate=0.1)} AS read FROM lib")
 def errors_substitution(spark, sf_dir):
-    return library(spark, sf_dir).select("idx", errors.substitution(F.col("seq"), F.col("idx"), 0.1, "s").alias("read"))
+    return library(spark, sf_dir).select("idx", errors.read_of("substitution", F.col("seq"), F.col("idx"), "s", rate=0.1).alias("read"))
 
 
-def _indel_sql() -> str:
-    h, b = "md5('i:' || idx || ':' || k)", "substr(seq, k::INT, 1)"
-    u = lambda at: f"('0x' || substr({h}, {at}, 8))::BIGINT / 4294967296.0"
-    other = f"substr('ACGTACG', (translate({b}, 'ACGT', '0123')::INT + 2 + (('0x' || substr({h}, 9, 4))::BIGINT % 3))::INT, 1)"
-    kept = f"CASE WHEN {u(1)} < 0.05 THEN {other} ELSE {b} END"
-    new = f"CASE WHEN {u(13)} < 0.04 THEN substr('ACGT', ((('0x' || substr({h}, 21, 4))::BIGINT % 4) + 1)::INT, 1) ELSE '' END"
-    return f"SELECT idx, array_to_string(list_transform(range(1, length(seq) + 1), lambda k: CASE WHEN {u(25)} < 0.06 THEN '' ELSE {kept} || {new} END), '') AS read FROM lib"
+INDEL = dict(sub=0.05, ins=0.04, dele=0.06)
 
 
-@query("errors_indel", _indel_sql())
+@query("errors_indel", f"SELECT idx, {errors.read_sql('indel', 'seq', 'idx', 'i', **INDEL)} AS read FROM lib")
 def errors_indel(spark, sf_dir):
-    return library(spark, sf_dir).select("idx", errors.indel(F.col("seq"), F.col("idx"), 0.05, 0.04, 0.06, "i").alias("read"))
+    return library(spark, sf_dir).select("idx", errors.read_of("indel", F.col("seq"), F.col("idx"), "i", **INDEL).alias("read"))
 
 
-def _fixed_sql(source: str, seq: str, key: str, more: str, sub: float, ins: float, dele: float, seed: str) -> str:
-    """SQL of the fixed-length channel: a SELECT of ``more`` and the read as seq."""
-    digests = lambda kind, n: f"list_transform(range(1, {n} + 1), lambda k: md5('{seed}{kind}:' || {key} || ':' || k))"
-    u = lambda e: f"('0x' || substr({e}, 1, 8))::BIGINT / 4294967296.0"
-    at = lambda e, n: f"(('0x' || substr({e}, 9, 4))::BIGINT % ({n}))::INT"
-    base = lambda e: f"substr('ACGT', (('0x' || substr({e}, 13, 2))::BIGINT % 4)::INT + 1, 1)"
-    changed = f"list_reduce(list_prepend({seq}, {digests('s', f'length({seq})')}), lambda s, e: CASE WHEN {u('e')} < {min(1.0, sub * 4 / 3)} THEN left(s, {at('e', 'length(s)')}) || {base('e')} || substr(s, {at('e', 'length(s)')} + 2) ELSE s END)"
-    gone = f"list_transform(list_filter({digests('d', f'length({seq})')}, lambda e: {u('e')} < {dele}), lambda e: {at('e', f'length({seq})')} + 1)"
-    kept = "array_to_string(list_transform(list_filter(range(1, length(changed) + 1), lambda k: NOT list_contains(gone, k::INT)), lambda k: substr(changed, k::INT, 1)), '')"
-    grown = f"list_reduce(list_prepend(kept, {digests('i', 'length(kept)')}), lambda s, e: CASE WHEN {u('e')} < {ins} THEN left(s, {at('e', 'length(s) + 1')}) || {base('e')} || substr(s, {at('e', 'length(s) + 1')} + 1) ELSE s END)"
-    fill = f"array_to_string(list_transform({digests('p', 'size')}, lambda e: {base('e')}), '')"
-    return f"""SELECT {more}, left(grown || fill, size) AS seq FROM (SELECT *, {grown} AS grown, {fill} AS fill FROM (SELECT *, {kept} AS kept FROM (SELECT *, length({seq})::INT AS size, {changed} AS changed, {gone} AS gone FROM {source})))"""
+# The default channel of the simulation benchmark.
+RATES = dict(sub=0.03, ins=0.04, dele=0.14)
 
 
-@query("errors_fixed_length", f", x AS ({_fixed_sql('lib', 'seq', 'idx', 'idx', 0.03, 0.04, 0.14, 'e3')}) SELECT idx, seq AS read FROM x")
+@query("errors_fixed_length", f"SELECT idx, {errors.read_sql('fixed_length', 'seq', 'idx', 'e3', **RATES)} AS read FROM lib")
 def errors_fixed_length(spark, sf_dir):
-    return library(spark, sf_dir).select("idx", errors.fixed_length(F.col("seq"), F.col("idx"), 0.03, 0.04, 0.14, "e3").alias("read"))
+    return library(spark, sf_dir).select("idx", errors.read_of("fixed_length", F.col("seq"), F.col("idx"), "e3", **RATES).alias("read"))
 
 
 def _nearest_sql(name: str, seqs: str, lib: str, threshold: int, length: int) -> str:
@@ -619,6 +681,18 @@ def decode_flat(spark, sf_dir):
     return decode.decode(reads(spark, sf_dir), library(spark, sf_dir), 4, 28).select("key", "truth", "decoded", "dist", "ambiguous")
 
 
+@query("decode_streamed", READS + DECODED + " SELECT key AS read_id, decoded, dist::INT AS dist FROM flat")
+def decode_streamed(spark, sf_dir):
+    """Reads as a stream of files that ends with what is there, decoded batch by batch into a table."""
+    top, made = new_path(spark, "stream"), new_path(spark, "reads")
+    dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    rows = reads(spark, sf_dir).join(dates, "key").select(F.col("key").alias("read_id"), "ts", "seq")
+    rows.write.parquet(made)
+    stream = spark.readStream.schema(rows.schema).parquet(made)
+    windows.decode_stream(stream, library(spark, sf_dir), 4, 28, f"{top}/decoded", f"{top}/checkpoint")
+    return spark.read.schema(windows.DECODED).parquet(f"{top}/decoded").select("read_id", "decoded", "dist")
+
+
 @query("decode_brute", READS + DECODED + " SELECT key, truth, decoded, dist::INT AS dist, ambiguous FROM flat")
 def decode_brute(spark, sf_dir):
     return decode.decode(reads(spark, sf_dir), library(spark, sf_dir), 4).select("key", "truth", "decoded", "dist", "ambiguous")
@@ -639,10 +713,10 @@ def rates_rollup(spark, sf_dir):
     return decode_flat(spark, sf_dir).join(by, "key").rollup("status", "priority").agg(*decode.rate_columns())
 
 
-# The default channel and thresholds of the simulation benchmark: 36-base reads of a flat library, and of a block's 28 and a spot's 8 bases.
-RATES, FLAT, PART_1, PART_2 = (0.03, 0.04, 0.14), 5, 4, 2
+# The default thresholds of the simulation benchmark: 36-base reads of a flat library, and of a block's 28 and a spot's 8 bases.
+FLAT, PART_1, PART_2 = 5, 4, 2
 _WIDE = f""", wide AS (SELECT p_partkey AS idx, translate(substr(md5('wide:' || p_partkey) || md5('wide+1:' || p_partkey), 1, 36), {HEX}) AS seq FROM part),
- noisy AS ({_fixed_sql("(SELECT key, truth, wide.seq AS ref FROM truths JOIN wide ON wide.idx = truth)", "ref", "key", "key, truth", *RATES, "flat")})"""
+ noisy AS (SELECT key, truth, {errors.read_sql("fixed_length", "ref", "key", "flat", **RATES)} AS seq FROM (SELECT key, truth, wide.seq AS ref FROM truths JOIN wide ON wide.idx = truth))"""
 _FLAT = _WIDE + _nearest_sql("best", "noisy", "wide", FLAT, 36) + ", done AS (SELECT key, truth, CASE WHEN n = 1 THEN idx END AS decoded FROM noisy LEFT JOIN best USING (seq))"
 
 
@@ -651,12 +725,12 @@ def benchmark_flat(spark, sf_dir):
     wide = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), prng.dna(36, "wide", F.col("p_partkey")).alias("seq"))
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") * 7919 % wide.count()).alias("truth"))
     clean = keys.join(layouts.small(wide.select(F.col("idx").alias("truth"), "seq")), "truth")
-    noisy = stored(clean.select("key", "truth", errors.fixed_length(F.col("seq"), F.col("key"), *RATES, "flat").alias("seq")), "reads")
+    noisy = stored(clean.select("key", "truth", errors.read_of("fixed_length", F.col("seq"), F.col("key"), "flat", **RATES).alias("seq")), "reads")
     return decode.benchmark_rates(decode.decode(noisy, wide, FLAT, 36).withColumn("decoder", F.lit("flat")), "decoder")
 
 
 _PARTS = (
-    f""", noisy AS ({_fixed_sql("(SELECT key, truth, key % 16 AS spot, lib.seq || sixteen.seq AS ref FROM truths JOIN lib ON lib.idx = truth JOIN sixteen ON sixteen.idx = key % 16)", "ref", "key", "key, truth, spot", *RATES, "parts")}),
+    f""", noisy AS (SELECT key, truth, spot, {errors.read_sql("fixed_length", "ref", "key", "parts", **RATES)} AS seq FROM (SELECT key, truth, key % 16 AS spot, lib.seq || sixteen.seq AS ref FROM truths JOIN lib ON lib.idx = truth JOIN sixteen ON sixteen.idx = key % 16)),
  a AS (SELECT DISTINCT left(seq, 28) AS seq FROM noisy), b AS (SELECT DISTINCT substr(seq, 29) AS seq FROM noisy)"""
     + _nearest_sql("one", "a", "lib", PART_1, 28)
     + f""", m2 AS (SELECT b.seq, idx, levenshtein(b.seq, s.seq) AS dist FROM b JOIN sixteen s ON levenshtein(b.seq, s.seq) <= {PART_2}), two AS (SELECT seq, count(*) AS n, min(idx) AS idx FROM m2 JOIN (SELECT seq, min(dist) AS dist FROM m2 GROUP BY seq) USING (seq, dist) GROUP BY seq),
@@ -668,13 +742,13 @@ _PARTS = (
 def benchmark_hierarchical(spark, sf_dir):
     one, two = library(spark, sf_dir), sixteen(spark, sf_dir)
     both = true_reads(spark, sf_dir).withColumn("spot", F.col("key") % 16).join(F.broadcast(two.select(F.col("idx").alias("spot"), F.col("seq").alias("r2"))), "spot")
-    noisy = stored(both.select("key", (F.col("truth") * 16 + F.col("spot")).alias("truth"), errors.fixed_length(F.concat("ref", "r2"), F.col("key"), *RATES, "parts").alias("seq")), "reads")
+    noisy = stored(both.select("key", (F.col("truth") * 16 + F.col("spot")).alias("truth"), errors.read_of("fixed_length", F.concat("ref", "r2"), F.col("key"), "parts", **RATES).alias("seq")), "reads")
     done = decode.decode_hierarchical(noisy, one, two, 28, PART_1, PART_2).withColumn("decoded", F.col("decoded_1") * 16 + F.col("decoded_2"))
     return decode.benchmark_rates(done.withColumn("decoder", F.lit("hierarchical")), "decoder")
 
 
 _LONG = (
-    f""", noisy AS (SELECT key, truth, t2, {_sub_sql('lib.seq || lib2.seq', 'key', 0.04, 'h')} FROM (SELECT *, key % (SELECT count(*) FROM lib2) AS t2 FROM truths) JOIN lib ON lib.idx = truth JOIN lib2 ON lib2.idx = t2),
+    f""", noisy AS (SELECT key, truth, t2, {errors.read_sql('substitution', '(lib.seq || lib2.seq)', 'key', 'h', rate=0.04)} AS seq FROM (SELECT *, key % (SELECT count(*) FROM lib2) AS t2 FROM truths) JOIN lib ON lib.idx = truth JOIN lib2 ON lib2.idx = t2),
  a AS (SELECT DISTINCT left(seq, 28) AS seq FROM noisy), b AS (SELECT DISTINCT substr(seq, 29) AS seq FROM noisy)"""
     + _nearest_sql("one", "a", "lib", 4, 28)
     + """, m2 AS (SELECT b.seq, idx, levenshtein(b.seq, s.seq) AS dist FROM b JOIN lib2 s ON levenshtein(b.seq, s.seq) <= 2), two AS (SELECT seq, count(*) AS n, min(idx) AS idx FROM m2 JOIN (SELECT seq, min(dist) AS dist FROM m2 GROUP BY seq) USING (seq, dist) GROUP BY seq)
@@ -687,13 +761,13 @@ FROM noisy LEFT JOIN one ON one.seq = left(noisy.seq, 28) LEFT JOIN two ON two.s
 def decode_hierarchical(spark, sf_dir):
     one, two = library(spark, sf_dir), short_library(spark, sf_dir)
     both = true_reads(spark, sf_dir).withColumn("t2", F.col("key") % two.count()).join(layouts.small(two.select(F.col("idx").alias("t2"), F.col("seq").alias("r2"))), "t2")
-    noisy = stored(both.select("key", "truth", "t2", errors.substitution(F.concat("ref", "r2"), F.col("key"), 0.04, "h").alias("seq")), "reads")
+    noisy = stored(both.select("key", "truth", "t2", errors.read_of("substitution", F.concat("ref", "r2"), F.col("key"), "h", rate=0.04).alias("seq")), "reads")
     return decode.decode_hierarchical(noisy, one, two, 28, 4, 2).select("key", "truth", "t2", "decoded_1", "decoded_2")
 
 
 _COMP = f""", e AS (SELECT pos, lpad(bin(code), 36, '0') AS bits FROM axis), d AS (SELECT pos, array_to_string(list_transform(range(1, 37, 2), lambda i: CASE substr(bits, i::INT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS seq FROM e),
  n AS (SELECT count(*) AS n FROM d), rd AS (SELECT o_orderkey AS key, (o_orderkey % n)::INT AS true_row, (o_orderkey * 7 % n)::INT AS true_col FROM orders, n),
- z AS (SELECT key, true_row, true_col, {_sub_sql("x.seq || y.seq", "key", 0.12, 'c')} FROM rd JOIN d x ON x.pos = true_col JOIN d y ON y.pos = true_row),
+ z AS (SELECT key, true_row, true_col, {errors.read_sql("substitution", "(x.seq || y.seq)", "key", "c", rate=0.12)} AS seq FROM rd JOIN d x ON x.pos = true_col JOIN d y ON y.pos = true_row),
  mx AS (SELECT key, pos, hamming(left(z.seq, 18), d.seq) AS dist FROM z, d WHERE hamming(left(z.seq, 18), d.seq) <= 3), bx AS (SELECT key, min(dist) AS dist FROM mx GROUP BY key), gx AS (SELECT mx.key, min(pos) AS pos, any_value(mx.dist) AS dist, count(*) > 1 AS amb FROM mx JOIN bx ON mx.key = bx.key AND mx.dist = bx.dist GROUP BY mx.key),
  my AS (SELECT key, pos, hamming(right(z.seq, 18), d.seq) AS dist FROM z, d WHERE hamming(right(z.seq, 18), d.seq) <= 3), b_y AS (SELECT key, min(dist) AS dist FROM my GROUP BY key), gy AS (SELECT my.key, min(pos) AS pos, any_value(my.dist) AS dist, count(*) > 1 AS amb FROM my JOIN b_y ON my.key = b_y.key AND my.dist = b_y.dist GROUP BY my.key),
  k AS (SELECT z.key, true_row, true_col, gx.pos IS NOT NULL AND gy.pos IS NOT NULL AS success, gy.pos AS dr, gx.pos AS dc, gx.dist AS xd, gy.dist AS yd, gx.amb OR gy.amb AS amb FROM z LEFT JOIN gx ON gx.key = z.key LEFT JOIN gy ON gy.key = z.key),
@@ -709,7 +783,7 @@ def decode_component(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % n).cast("int").alias("true_row"), (F.col("o_orderkey") * 7 % n).cast("int").alias("true_col"))
     xs, ys = ax.select(F.col("pos").alias("true_col"), F.col("seq").alias("x")), ax.select(F.col("pos").alias("true_row"), F.col("seq").alias("y"))
     made = rows.join(layouts.small(xs), "true_col").join(layouts.small(ys), "true_row")
-    noisy = stored(made.select("key", "true_row", "true_col", errors.substitution(F.concat("x", "y"), F.col("key"), 0.12, "c").alias("seq")), "reads")
+    noisy = stored(made.select("key", "true_row", "true_col", errors.read_of("substitution", F.concat("x", "y"), F.col("key"), "c", rate=0.12).alias("seq")), "reads")
     return decode.classify(decode.decode_components(noisy, ax, ax, "", 18, 18, 3)).drop("seq")
 
 

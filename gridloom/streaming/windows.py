@@ -1,39 +1,36 @@
-"""Streams of reads: decoding against a fixed library, and rates by event-time window.
-
-All functions take static and streaming frames alike.
-"""
+"""Streams of reads: decoding against a fixed library into a table, and rates by event-time window."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_REFS = 100_000
+from ..operators.decode import decode
+from ..sources.tables import stored
 
+DECODED = "read_id long, ts timestamp, decoded long, dist int, batch long"
 
 
-def decode_stream(reads: DataFrame, library: DataFrame, threshold: int, late: str = "10 minutes") -> DataFrame:
-    """(read_id, ts, decoded) of a stream (read_id, ts, seq): stateless per micro-batch but for repeats of a read, which go within the watermark.
+def decode_stream(reads: DataFrame, library: DataFrame, threshold: int, length: int | None, output: str, checkpoint: str, late: str = "10 minutes", ties: str = "erase") -> None:
+    """Decodes what is new of a stream (read_id, ts, seq) into a Parquet table at ``output`` (see DECODED), and ends.
 
-    The library is static and small (at most MOST_REFS sequences, which is checked): each read
-    meets it as one broadcast array. Ties leave a read undecoded.
+    Repeats of a read go within the watermark. Each batch meets the library as reads at rest
+    do, by its pieces, whatever the library's size, and writes a partition of its own
+    (``batch=N``): a batch that is repeated after a failure replaces it by the same rows.
     """
-    if library.limit(MOST_REFS + 1).count() > MOST_REFS:
-        raise ValueError(f"a stream meets at most {MOST_REFS} sequences")
-    once = reads.withWatermark("ts", late).dropDuplicatesWithinWatermark(["read_id"]) if reads.isStreaming else reads.dropDuplicates(["read_id"])
-    refs = library.select("idx", F.col("seq").alias("ref")).agg(F.collect_list(F.struct("idx", "ref")).alias("refs"))
-    near = F.filter(
-        F.transform("refs", lambda r: F.struct(F.levenshtein(F.col("seq"), r["ref"], threshold).alias("dist"), r["idx"].alias("idx"))), lambda m: m["dist"] >= 0
-    )
-    best = once.crossJoin(F.broadcast(refs)).withColumn("near", near).withColumn("least", F.array_min(F.transform("near", lambda m: m["dist"])))
-    ties = F.filter("near", lambda m: m["dist"] == F.col("least"))
-    return best.select("read_id", "ts", F.when(F.size(ties) == 1, ties[0]["idx"]).alias("decoded"))
+    once = reads.withWatermark("ts", late).dropDuplicatesWithinWatermark(["read_id"])
+
+    def add(rows: DataFrame, number: int) -> None:
+        made = stored(rows.select("read_id", "ts", "seq"), "reads")  # met twice: by their sequences, and whole
+        done = decode(made, library, threshold, length, ties).select(F.col("read_id").cast("long").alias("read_id"), "ts", F.col("decoded").cast("long").alias("decoded"), "dist", F.lit(number).cast("long").alias("batch"))
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(output)
+
+    query = once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
 
 
 def window_rates(outcomes: DataFrame, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """(window_start, outcome, n, total) of rows (ts, outcome, value) by tumbling windows."""
+    """(window_start, outcome, n, total) of rows (ts, outcome, value) by tumbling windows, at rest or streaming."""
     rows = outcomes.withWatermark("ts", late) if outcomes.isStreaming else outcomes
     out = rows.groupBy(F.window("ts", length).alias("w"), "outcome").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "outcome", "n", "total")
-
-
