@@ -1,12 +1,14 @@
+import hashlib
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.functions import prng
+from gridloom.functions import dna, prng
 from gridloom.operators import codes, decode, distances, errors, grid, layouts, qc, quadtree
 from gridloom.sources import config, io
-from gridloom.sources.tables import stored
+from gridloom.sources.tables import numbered, stored
 from gridloom.streaming import windows
 
 # The published spot barcodes, in order.
@@ -19,7 +21,9 @@ def test_spot_barcodes(spark):
     assert qc.kmers(spark, 8).where(qc.spot_candidate(F.col("seq"), g_max=0.2)).count() == 5474
     assert codes.spot_barcodes(spark) == SPOTS
     with pytest.raises(ValueError):
-        codes.greedy_set(["AAAA", "AAAC"], 2, 5)
+        codes.greedy_set(spark.createDataFrame([(0, "AAAA"), (1, "AAAC")], "idx int, seq string"), 2, 5)
+    relaxed = spark.createDataFrame([(2, "AAAATTTT"), (1, "AAAACCCC"), (3, "CCCCAAAA")], "idx int, seq string")
+    assert codes.greedy_set(relaxed, 3, 5) == (["AAAACCCC", "AAAATTTT", "CCCCAAAA"], 4)
 
 
 @pytest.mark.parametrize("size", [(1, 1), (1, 7), (5, 6), (13, 22)])
@@ -157,13 +161,147 @@ def test_config(tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    """Reads of files as they come: repeats go, a restart takes what is new, a batch taken again gives the same rows."""
     lib = spark.createDataFrame([(0, "AAAACCCC"), (1, "GGGGTTTT")], "idx int, seq string")
-    src = spark.createDataFrame([(1, "AAAACCCC"), (2, "GGGGTTTA"), (1, "AAAACCCC"), (3, "CCCCCCCC")], "read_id long, seq string").withColumn("ts", F.timestamp_seconds(F.col("read_id") * 100))
-    src.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(src.schema).parquet(str(tmp_path / "in"))
-    q = decode_query = windows.decode_stream(stream, lib, 2).writeStream.format("memory").queryName("decoded").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    decode_query.stop()
-    assert {(r.read_id, r.decoded) for r in spark.sql("select * from decoded").collect()} == {(1, 0), (2, 1), (3, None)}
-    rates = windows.window_rates(src.select("ts", F.lit("ok").alias("outcome"), F.lit(1.0).alias("value")))
-    assert rates.agg(F.sum("n")).first()[0] == 4
+    places = [str(tmp_path / n) for n in ("in", "out", "cp")]
+    add = lambda rows: spark.createDataFrame(rows, "read_id long, seq string").withColumn("ts", F.timestamp_seconds(F.col("read_id") * 10)).coalesce(1).write.mode("append").parquet(places[0])
+
+    def run():
+        stream = spark.readStream.schema("read_id long, seq string, ts timestamp").parquet(places[0])
+        windows.decode_stream(stream, lib, 2, None, places[1], places[2])
+        return sorted((r.batch, r.read_id, r.decoded, r.dist) for r in spark.read.schema(windows.DECODED).parquet(places[1]).collect())
+
+    add([(1, "AAAACCCC"), (2, "GGGGTTTA"), (1, "AAAACCCC"), (3, "CCCCCCCC")])
+    first = run()
+    assert first == [(0, 1, 0, 0), (0, 2, 1, 1), (0, 3, None, None)] and run() == first
+    add([(2, "GGGGTTTA"), (4, "AAAACCCG"), (5, None)])
+    both = run()
+    assert both == [*first, (1, 4, 0, 1), (1, 5, None, None)] or both == [*first, (2, 4, 0, 1), (2, 5, None, None)]
+    last = max(int(f.name) for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
+    assert run() == both
+    rates = windows.window_rates(spark.read.parquet(places[0]).select("ts", F.lit("ok").alias("outcome"), F.lit(1.0).alias("value")))
+    assert rates.agg(F.sum("n")).first()[0] == 7
+
+
+@pytest.mark.parametrize("metric, length", [("bits", 36), ("hamming", 28), ("bits", 3), ("hamming", 1)])
+def test_closest(spark, metric, length):
+    for n in (0, 1, 2, 40, 300):
+        value = prng.bits(length, f"c{n}", F.col("id")) if metric == "bits" else prng.dna(length, f"c{n}", F.col("id"))
+        rows = spark.range(n).select("id", value.alias("v"))
+        if length > 3 and n == 300:  # a common half, as in products of axes
+            rows = rows.withColumn("v", F.col("v").bitwiseAND(F.lit((1 << 20) - 1)) if metric == "bits" else F.concat(F.repeat(F.lit("A"), 12), F.left("v", F.lit(16))))
+        rows = stored(rows, "codes")
+        assert distances.closest(rows, "v", length, metric) == distances.min_pairwise(distances.pairs(rows, "id", "v", metric)).first()[0], n
+    far = spark.createDataFrame([("A" * 28,), ("C" * 28,), (None,)], "v string")
+    assert distances.closest(far, "v", 28) == 28
+    with pytest.raises(ValueError, match="other lengths"):
+        distances.closest(far, "v", 27)
+
+
+def test_near_pairs(spark):
+    rows = spark.range(40).where("id % 7 <> 3").select("id", prng.dna(9, "n", F.col("id")).alias("v"))
+    for metric in ("hamming", "levenshtein"):
+        want = sorted(tuple(r) for r in distances.pairs(rows, "id", "v", metric).where("diff <= 4").collect())
+        assert sorted(tuple(r) for r in distances.near_pairs(rows, "id", "v", metric, 4).select("i", "j", "diff", "dist").collect()) == want
+
+
+def test_sampled_pairs_are_all_pairs(spark):
+    """Enough draws hit every pair, and nothing else, about as often; the mean is near the exact one."""
+    rows = spark.range(3, 15).select("id", dna.bit_string(prng.bits(20, "s", F.col("id")), 20).alias("b")).withColumn("s", dna.bits_to_dna(F.col("b")))
+    exact, sampled = distances.preservation(rows, "id", "b", "s").first(), distances.sampled_preservation(rows, "id", "b", "s", 20_000, 1).first()
+    assert exact.n_pairs == 66 and sampled.n_pairs == 20_000
+    assert abs(exact.mean_ratio - sampled.mean_ratio) < 0.01 and abs(exact.std_ratio - sampled.std_ratio) < 0.01
+    assert distances.sampled_preservation(rows.limit(1), "id", "b", "s", 10, 1).first().n_pairs == 0
+
+
+def test_numbered(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"), F.lit("x").alias("idx_"))
+    for parts in (1, 5):
+        got = numbered(rows.repartition(parts), "v").orderBy("idx").collect()
+        assert [r.idx for r in got] == list(range(1000)) and [r.v for r in got] == sorted(r.v for r in got)
+    assert numbered(rows.limit(0), "v").count() == 0
+    lib = spark.range(50).select(prng.dna(8, "p", F.col("id")).alias("seq"))
+    plain = sorted((r.seq for r in lib.collect()), key=lambda s: (hashlib.md5(f"9:{s}".encode()).hexdigest(), s))
+    assert [r.seq for r in layouts.shuffled(lib, 9).orderBy("idx").collect()] == plain
+
+
+def test_library_over_splits(spark, tmp_path):
+    """Lines are numbered as in a sequential reading of all files, though splits cut through them."""
+    lines = [f"{'ACGT'[k % 4]}{'ACGT'[k // 4 % 4]}{'ACGT'[k // 16 % 4]}" * 5 for k in range(3000)]
+    (tmp_path / "lib").mkdir()
+    for name, part in (("b.txt", lines[1000:]), ("a.txt", lines[:1000])):
+        (tmp_path / "lib" / name).write_text("\n\n".join(part) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        rows = io.read_library(spark, str(tmp_path / "lib"), 15)
+        assert spark.read.text(str(tmp_path / "lib")).rdd.getNumPartitions() > 5
+        assert [(r.idx, r.seq) for r in rows.orderBy("idx").collect()] == list(enumerate(lines))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    (tmp_path / "none.txt").write_text("\n \n")
+    with pytest.raises(ValueError, match="no sequences"):
+        io.read_library(spark, str(tmp_path / "none.txt"))
+    assert io.read_library(spark, str(tmp_path / "none.txt"), empty="keep").count() == 0
+
+
+def test_look_ups_read_one_row_group(spark, tmp_path):
+    path = str(tmp_path / "book")
+    book = spark.range(40_000).select(F.expr("cast(id div 200 as int)").alias("row"), (F.col("id") % 200).cast("int").alias("col"), prng.dna(30, "k", F.col("id")).alias("seq"))
+    book = book.withColumn("feature_id", F.md5(F.concat_ws(",", "row", "col").cast("binary")))
+    io.write_look_up(book, path, files=4, rows_a_group=1000)
+
+    def read(df):
+        rows = df.collect()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return rows, int(scan.metrics().apply("numOutputRows").value()), scan.toString()
+
+    rows, taken, plan = read(io.look_up_place(spark, path, 77, 31))
+    assert [(r.row, r.col) for r in rows] == [(77, 31)] and taken <= 1000 and "EqualTo(row,77)" in plan
+    name = hashlib.md5(b"77,31").hexdigest()
+    rows, taken, plan = read(io.look_up_id(spark, path, name))
+    assert [(r.row, r.col) for r in rows] == [(77, 31)] and taken <= 3000 and "feature_id" in plan.partition("PushedFilters")[2]
+    rows, taken, _ = read(io.look_up_id(spark, path, "none"))
+    assert rows == [] and taken <= 2000
+    assert read(io.look_up_place(spark, path, 999, 0))[:2] == ([], 0)
+
+
+def test_error_models_by_name(spark):
+    """Every registered channel gives the reads of its SQL; another one can be added, and used by name."""
+    seqs = spark.createDataFrame([(0, ""), (1, "A"), (2, "ACGTACGTTGCA"), (3, "G" * 40)], "nr long, s string")
+    rates = {"rate": 0.3, "sub": 0.2, "ins": 0.25, "dele": 0.15}
+    for name, model in errors.MODELS.items():
+        own = {r: rates[r] for r in model.rates}
+        for some in (own, {r: 0.0 for r in own}, {r: 1.0 for r in own}):
+            got = [r.x for r in seqs.select("nr", errors.read_of(name, F.col("s"), F.col("nr"), "e", **some).alias("x")).orderBy("nr").collect()]
+            sql = errors.read_sql(name, "s", "nr", "e", **some)
+            want = duckdb.sql(f"SELECT {sql} FROM (VALUES (0, ''), (1, 'A'), (2, 'ACGTACGTTGCA'), (3, '{'G' * 40}')) t(nr, s) ORDER BY nr").fetchall()
+            assert got == [w[0] for w in want], (name, some)
+    with pytest.raises(ValueError, match="unknown error model"):
+        errors.read_of("none", F.col("s"), F.col("nr"))
+    with pytest.raises(ValueError, match="rates from 0 to 1"):
+        errors.read_of("indel", F.col("s"), F.col("nr"), sub=0.1, ins=0.1, dele=1.1)
+    with pytest.raises(ValueError, match="there is an error model"):
+        errors.register("indel", (), errors.indel, errors.indel_sql)
+    errors.register("reversed", (), lambda seq, key, seed: F.reverse(seq), lambda seq, key, seed: f"reverse({seq})")
+    try:
+        assert seqs.select(errors.read_of("reversed", F.col("s"), F.col("nr")).alias("x")).collect()[2].x == "ACGTTGCATGCA"
+    finally:
+        del errors.MODELS["reversed"]
+
+
+def test_rounds_are_those_of_single_codes(spark):
+    spots = grid.grid(spark, 9, 13)
+    starts = quadtree.round_starts(3)
+    both, reports = quadtree.rounds_of_codes(spots, 9, 13, 6, starts, 2)
+    got = {(r.row, r.col): list(r.seqs) for r in both.collect()}
+    for k, start in enumerate(starts):
+        codes_, report = quadtree.quadtree_codes(spots, 9, 13, 6, 2, start)
+        assert {(r.row, r.col): r.seq for r in codes_.collect()} == {p: s[k] for p, s in got.items()} and report == reports[k]
+    layout = quadtree.repeated_rounds(spots, 9, 13, 6, 3)
+    report = {r["round"]: r for r in quadtree.round_report(layout, 3).collect()}
+    assert set(report) == {0, 1, 2, 3} and all(r.n == 117 for r in report.values()) and report[0].n_unique == len({r.quadtree_combined for r in layout.collect()})
+    with pytest.raises(ValueError):
+        quadtree.rounds_of_codes(spots, 9, 13, 6, [])
