@@ -92,6 +92,19 @@ def check_mapping(mapping: dict[str, str]) -> int:
     return n
 
 
+def dna_length(bits: int, mapping: dict[str, str] = TWO_BIT) -> int:
+    """Bases that so many bits make; an error if they do not fill the last one."""
+    n = check_mapping(mapping)
+    if bits % n:
+        raise ValueError(f"{bits} bits are not a multiple of {n}")
+    return bits // n
+
+
+def bits_of_dna(length: int, mapping: dict[str, str] = TWO_BIT) -> int:
+    """Bits that so many bases hold, the inverse of ``dna_length``."""
+    return length * check_mapping(mapping)
+
+
 def _words(mapping: dict[str, str]) -> dict[str, str]:
     """The mapping by the bits that are read: a one-hot base is named by two bits, its place."""
     if check_mapping(mapping) == 2 and len(next(iter(mapping))) == 4:

@@ -116,6 +116,34 @@ def layout_stats(layout: DataFrame) -> DataFrame:
     )
 
 
+def dual_report(layout: DataFrame, n1: int, n2: int) -> DataFrame:
+    """One row: size, blocks, different barcodes and how many there could be, and the spots that a bar_1 and a bar_2 serve at least and at most.
+
+    ``n1`` and ``n2`` are the sizes of the libraries that the layout was made from.
+    """
+    size = layout.agg(
+        (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.count("*").alias("n_spots"), F.countDistinct("block_row", "block_col").alias("n_blocks"),
+        F.countDistinct("combined").alias("n_unique"), F.max(F.length("combined")).alias("length"),
+    )
+    uses = layout_usage(layout).groupBy("kind").agg(F.count("*").alias("used"), F.min("n").alias("least"), F.max("n").alias("most"))
+    of = lambda kind: uses.where(F.col("kind") == kind).select(*(F.col(c).alias(f"{kind}_{c}") for c in ("used", "least", "most")))
+    out = size.crossJoin(of("bar_1")).crossJoin(of("bar_2"))  # one row each
+    return out.withColumns({"n_possible": F.lit(n1).cast("long") * n2, "all_unique": F.col("n_unique") == F.col("n_spots")})
+
+
+def hybrid_report(layout: DataFrame) -> DataFrame:
+    """One row of a layout of quadtree codes and tails (quadtree_combined, tail, barcode): different codes, tails and barcodes, their reuse, and the distances of neighbouring codes, all of them."""
+    from .grid import neighbours
+
+    dist = neighbours(layout, "quadtree_combined").select(dna.hamming(F.col("a"), F.col("b")).alias("d"))
+    near = dist.agg(F.count("*").alias("n_neighbours"), F.round(F.avg("d"), 6).alias("near_mean"), F.round(F.stddev_pop("d"), 6).alias("near_std"), F.min("d").alias("near_min"), F.max("d").alias("near_max"))
+    counts = layout.agg(
+        (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.count("*").alias("n_spots"), F.countDistinct("barcode").alias("n_unique"), F.max(F.length("barcode")).alias("length"),
+        F.countDistinct("quadtree_combined").alias("n_codes"), F.countDistinct("tail").alias("n_tails"), F.round(F.try_divide(F.count("*").cast("double"), F.countDistinct("tail")), 6).alias("tail_reuse"),
+    )
+    return counts.withColumn("all_unique", F.col("n_unique") == F.col("n_spots")).crossJoin(near)  # one row each
+
+
 def g_by_cycle(seqs: DataFrame, column: str) -> DataFrame:
     """(cycle, n, g_share): share of G at each place, by exploding bases and counting before the shuffle."""
     bases = seqs.select(F.posexplode(F.split(column, "")).alias("cycle", "base"))

@@ -170,6 +170,28 @@ def qc_summary(spark, sf_dir):
     return qc.qc_summary(out, "axis")
 
 
+@query(
+    "axis_qc",
+    f""", xy AS (SELECT 'x' AS axis, pos, code FROM axis UNION ALL SELECT 'y', s_suppkey::INT, ('0x' || substr(md5('axis_y:' || s_suppkey), 1, 9))::BIGINT FROM supplier),
+ e AS (SELECT axis, pos, lpad(bin(code), 36, '0') AS bits FROM xy),
+ d AS (SELECT axis, pos, array_to_string(list_transform(range(1, 37, 2), lambda i: CASE substr(bits, i::INT, 2) WHEN '00' THEN 'A' WHEN '01' THEN 'C' WHEN '10' THEN 'G' ELSE 'T' END), '') AS seq FROM e),
+ q AS (SELECT axis, pos, {_gc} AS gc, {_maxrun} AS run, (contains(seq, 'GGGG') OR contains(seq, 'CCCC') OR contains(seq, 'AAAAAA') OR contains(seq, 'TTTTTT') OR contains(seq, 'GCGCGC') OR contains(seq, 'CGCGCG')) AS bad FROM d),
+ f AS (SELECT *, gc BETWEEN 0.4 AND 0.6 AND run <= 3 AND NOT bad AS passed FROM q)
+SELECT axis, count(*) AS n, count(*) FILTER (passed) AS n_passed, count(*) FILTER (NOT passed) AS n_failed, round(avg(passed::INT), 6) AS pass_rate, round(avg(gc), 6) AS gc_mean, round(stddev_pop(gc), 6) AS gc_std, round(min(gc), 6) AS gc_min,
+ round(max(gc), 6) AS gc_max, round(avg(run), 6) AS run_mean, max(run)::INT AS run_max, coalesce(string_agg(upper(axis) || '_' || pos, ',' ORDER BY pos) FILTER (NOT passed), '') AS failed, count(*) FILTER (NOT passed) = 0 AS all_passed FROM f GROUP BY axis""",
+)
+def axis_qc(spark, sf_dir):
+    y = table(spark, sf_dir, "supplier").select(F.lit("y").alias("axis"), F.col("s_suppkey").cast("int").alias("pos"), prng.bits(36, "axis_y", F.col("s_suppkey")).alias("code"))
+    both = axis(spark, sf_dir).select(F.lit("x").alias("axis"), "pos", "code").unionByName(y).withColumn("seq", dna.bits_to_dna(dna.bit_string(F.col("code"), 36)))
+    checked = [qc.sequence_qc(both.where(F.col("axis") == a), "pos", "seq").withColumn("axis", F.lit(a)) for a in "xy"]
+    return qc.axis_report(checked[0].unionByName(checked[1]))
+
+
+@query("homopolymer_free", f"SELECT count(seq) AS n, count(*) FILTER ({_maxrun} > 4) AS n_long, max({_maxrun})::INT AS run_max, count(*) FILTER ({_maxrun} > 4) = 0 AS free FROM lib")
+def homopolymer_free(spark, sf_dir):
+    return qc.runs_within(library(spark, sf_dir), "seq", 4)
+
+
 def _pairs_sql(width: int, words: dict[str, str]) -> str:
     case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items())
     return f"SELECT idx, array_to_string(list_transform(range(1, 37, {width}), lambda i: CASE substr(bits, i::INT, {width}) {case} END), '') AS seq FROM bits"
@@ -429,6 +451,18 @@ def dual_usage(spark, sf_dir):
     return layouts.layout_usage(dual_layout(spark, sf_dir))
 
 
+@query(
+    "dual_report",
+    _DUAL
+    + """, u1 AS (SELECT count(*) AS n FROM dual GROUP BY bar_1), u2 AS (SELECT count(*) AS n FROM dual GROUP BY bar_2)
+SELECT max(row) + 1 AS n_rows, max(col) + 1 AS n_cols, count(*) AS n_spots, count(DISTINCT (block_row, block_col)) AS n_blocks, count(DISTINCT combined) AS n_unique, max(length(combined)) AS length,
+ (SELECT count(*) FROM u1) AS bar_1_used, (SELECT min(n) FROM u1) AS bar_1_least, (SELECT max(n) FROM u1) AS bar_1_most, (SELECT count(*) FROM u2) AS bar_2_used, (SELECT min(n) FROM u2) AS bar_2_least, (SELECT max(n) FROM u2) AS bar_2_most,
+ (SELECT count(*) FROM lib2) * (SELECT count(*) FROM lib) AS n_possible, count(DISTINCT combined) = count(*) AS all_unique FROM dual""",
+)
+def dual_report(spark, sf_dir):
+    return layouts.dual_report(stored(dual_layout(spark, sf_dir), "layout"), short_library(spark, sf_dir).count(), library(spark, sf_dir).count())
+
+
 _RULES = """SELECT 'unique_combined' AS rule, combined AS key, count(*) AS n FROM {t} GROUP BY combined HAVING count(*) > 1
  UNION ALL SELECT 'one_bar_1', block_row || ',' || block_col, count(DISTINCT bar_1) FROM {t} GROUP BY block_row, block_col HAVING count(DISTINCT bar_1) > 1
  UNION ALL SELECT 'distinct_bar_2', block_row || ',' || block_col || ',' || bar_2, count(*) FROM {t} GROUP BY block_row, block_col, bar_2 HAVING count(*) > 1"""
@@ -581,6 +615,19 @@ def hybrid_layout(spark, sf_dir):
     return out.withColumn("barcode", F.concat("quadtree_combined", "tail"))
 
 
+@query(
+    "hybrid_report",
+    _ROUNDS
+    + _HYBRID
+    + """, nb AS (SELECT hamming(a.quadtree_combined, b.quadtree_combined) AS d FROM hybrid a JOIN hybrid b ON (b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col))
+SELECT max(row) + 1 AS n_rows, max(col) + 1 AS n_cols, count(*) AS n_spots, count(DISTINCT barcode) AS n_unique, max(length(barcode)) AS length, count(DISTINCT quadtree_combined) AS n_codes, count(DISTINCT tail) AS n_tails,
+ round(count(*) / count(DISTINCT tail), 6) AS tail_reuse, count(DISTINCT barcode) = count(*) AS all_unique, (SELECT count(*) FROM nb) AS n_neighbours, (SELECT round(avg(d), 6) FROM nb) AS near_mean, (SELECT round(stddev_pop(d), 6) FROM nb) AS near_std,
+ (SELECT min(d) FROM nb)::INT AS near_min, (SELECT max(d) FROM nb)::INT AS near_max FROM tailed""",
+)
+def hybrid_report(spark, sf_dir):
+    return layouts.hybrid_report(stored(hybrid_layout(spark, sf_dir), "layout"))
+
+
 @query(
     "hybrid_rounds",
     _ROUNDS

@@ -157,7 +157,7 @@ def test_config(tmp_path):
         config.load_config(tmp_path / "none.json")
     for bad in ({"distances": [1]}, {"distances": [0, 1, 2, 3]}):
         with pytest.raises(ValueError):
-            config.ErrorCorrection(**bad)
+            config.DistanceRules(**bad)
 
 
 def test_stream(spark, tmp_path):
