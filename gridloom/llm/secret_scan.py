@@ -26,18 +26,54 @@ from pyspark.sql import DataFrame
 
 from .shared import id_text, slices
 
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: what to search and which matches stay."""
+    """A kind of secret: what to search and which matches stay.
+
+    ``search``, where given, finds the spans of the pattern's leftmost matches in another
+    way, for patterns that a plain search may go through a text for at every place.
+    """
 
     kind: str
     pattern: str
     keep: Callable[[re.Match], bool]
     any_case: bool = False
+    search: Callable[[str], Iterator[tuple[int, int]]] | None = None
 
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.any_case else 0))
 
+    def finder(self) -> Callable[[str], Iterator[tuple[int, int]]]:
+        """A function that gives the spans in a text."""
+        if self.search is not None:
+            return self.search
+        compiled = self.compiled()
+        return lambda text: ((m.start(), m.end()) for m in compiled.finditer(text) if self.keep(m))
+
+
+_PARTS = re.compile(r"[A-Za-z0-9_.-]+", re.ASCII)
+
+
+def _tokens_of_three(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of ``eyJ`` and eight letters or more, a dot, eight or more, a dot, eight or more: part by part of what dots divide.
+
+    In a part only the first ``eyJ`` has to be looked at, as the rest of the part is longest there.
+    """
+    for chain in _PARTS.finditer(text):
+        parts = chain[0].split(".")
+        starts = [chain.start()]
+        for p in parts:
+            starts.append(starts[-1] + len(p) + 1)
+        i = 0
+        while i + 2 < len(parts):
+            at = parts[i].find("eyJ")
+            if at >= 0 and len(parts[i]) - at >= 11 and len(parts[i + 1]) >= 8 and len(parts[i + 2]) >= 8:
+                yield starts[i] + at, starts[i + 2] + len(parts[i + 2])
+                i += 2
+            i += 1
+
 
 # The three base kinds, then kinds added to them.
 RULES = (
@@ -52,7 +88,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36}", lambda m: True),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", lambda m: True),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", lambda m: True),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lambda m: True),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lambda m: True, search=_tokens_of_three),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", lambda m: True),
 )
 BASE = ("assign", "access", "hex")
@@ -180,16 +216,16 @@ class TrigramIndex:
 
 def scan_batches(batches: Iterator[pa.RecordBatch], rules=RULES) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, int, int]]]]]:
     """For each slice: (the slice, for each row its spans (start, rule number, end) by start, then rule)."""
-    searched = [(r.compiled(), trigram_query(r.pattern), r.keep) for r in rules]
-    index = TrigramIndex([q for _, q, _ in searched])
+    searched = [(r.finder(), trigram_query(r.pattern)) for r in rules]
+    index = TrigramIndex([q for _, q in searched])
     for batch in slices(batches, "text"):
         texts = batch.column("text").to_pylist()
         raw = [t.encode() for t in texts]
         index.index(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(b) for b in raw]))
         spans: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        for k, (pattern, query, keep) in enumerate(searched):
+        for k, (find, query) in enumerate(searched):
             for row in index.candidates(query).tolist():
-                found = [(m.start(), k, m.end()) for m in pattern.finditer(texts[row]) if keep(m)]
+                found = [(start, k, end) for start, end in find(texts[row])]
                 if found:
                     spans[row] += found
         for s in spans:
