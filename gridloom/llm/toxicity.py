@@ -14,7 +14,8 @@ hits that a toxic text would have.
 A null or empty text has no hits and gets the score of a text without any; a
 repeated row gets the same score again. Without usable labels the score is 0.5.
 Labels count once a document (toxic if any of its labels is); null labels and
-labels of unknown documents do not count. Words of all labelled training texts count;
+labels of unknown documents do not count. Words of all labelled training texts count
+(of MOST_LABELLED documents, if more are labelled);
 as evidence, texts that share their least shingle hash, as copies do, are one family
 and count once a label, for copies of one text prove nothing about its words. Columns other than doc_id and text do
 not matter.
@@ -37,7 +38,7 @@ from .words import mix, shingles, split, word_hashes
 
 THRESHOLD = 0.7
 SLICE = 2 << 20  # bytes of text at a time
-MOST_TERMS = 50_000  # of the lexicon: a bound of the driver's memory
+MOST_LABELLED = 4_000_000  # training documents that are learned from, drawn by id where there are more labels
 LEAST_EVIDENCE = 30.0  # G-squared of a term
 LEAST_RATIO = 6  # of a term's rates in toxic and clean texts
 DAMPED = 0.3  # of the expected rate of hits
@@ -68,10 +69,11 @@ class Lexicon:
 class Matcher:
     """The lexicon's trie intersected with Levenshtein automata, made deterministic step by step.
 
-    A state is a set of (trie node, errors so far). Steps are kept, up to ``most``.
+    A state is a set of (trie node, errors so far). States and steps are kept until the states
+    hold ``most`` nodes, then all are forgotten together.
     """
 
-    def __init__(self, lexicon: Lexicon, most: int = 200_000):
+    def __init__(self, lexicon: Lexicon, most: int = 500_000):
         self.child: list[dict[str, int]] = [{}]
         self.word: dict[int, str] = {}
         self.stem: dict[int, str] = {}
@@ -88,11 +90,15 @@ class Matcher:
         self._mark(lexicon)
         self.most = most
         self.start = self._closed({(0, 0)})
+        self._forget()
+
+    def _forget(self) -> None:
         self.steps: dict[tuple[int, str], int] = {}
         self.states: list[frozenset] = [self.start]
         self.number: dict[frozenset, int] = {self.start: 0}
         self.ends: list[tuple[str, int] | None] = [None]
         self.stems_at: list[str | None] = [None]
+        self.held = len(self.start)
 
     def _mark(self, lexicon: Lexicon) -> None:
         """Nodes on the way to a word long enough to be matched with an error."""
@@ -123,6 +129,7 @@ class Matcher:
         if (k := self.number.get(state)) is None:
             k = self.number[state] = len(self.states)
             self.states.append(state)
+            self.held += len(state) + 1
             hits = sorted((e, self.word[n]) for n, e in state if n in self.word and (e == 0 or len(self.word[n]) >= FUZZY))
             self.ends.append((hits[0][1], hits[0][0]) if hits else None)
             self.stems_at.append(max((self.stem[n] for n, e in state if e == 0 and n in self.stem), default=None))
@@ -130,13 +137,13 @@ class Matcher:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, 0) for the word itself, (beginning + '-', 0) for a beginning, (term, 1) for one error, or None."""
+        if self.held + len(self.steps) > self.most:  # between words, when no state is in use
+            self._forget()
         now, stem, steps = 0, None, self.steps
         for c in word:
             new = steps.get((now, c))
             if new is None:
-                new = self._number(self._step(self.states[now], c))
-                if len(steps) < self.most:
-                    steps[now, c] = new
+                new = steps[now, c] = self._number(self._step(self.states[now], c))
             now = new
             stem = self.stems_at[now] or stem
             if not self.states[now]:
@@ -204,7 +211,9 @@ def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-
+    n = known.count()
+    if n > MOST_LABELLED:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * MOST_LABELLED // n)
     labelled = id_bits(known)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +300,10 @@ def _strong(counts: np.ndarray, total, words_yes: int, words_no: int) -> bool:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """The lexicon of all training documents: at most MOST_TERMS terms, none of them covered by a chosen beginning."""
+    """The lexicon of the training documents: every term with evidence enough that no chosen beginning covers.
+
+    A term needs several toxic documents, so MOST_LABELLED bounds the lexicon, which goes to every task.
+    """
     counts = written(word_counts(docs, labels), "toxic-words")
     total = counts.where("term is null").first()
     if total is None or not total["toxic"] or not total["clean"]:
@@ -311,8 +323,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     # Occurrences and documents of chosen terms, by the beginnings that cover them.
     taken: dict[str, np.ndarray] = {}
     for r in strong.orderBy(F.desc("g"), "kind", "word").toLocalIterator():
-        if len(out.words) + len(out.stems) >= MOST_TERMS:
-            break
         term = r["word"]
         heads = [term[:k] for k in STEMS if k < len(term)]
         if any(h in out.stems for h in heads):
