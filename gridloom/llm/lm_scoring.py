@@ -15,7 +15,9 @@ sum to one, and a token costs the square root of the items.
 
 Training is noise-contrastive estimation in numpy on every token of the training texts,
 by tasks side by side, whose parameters are averaged after each of ROUNDS parts of the
-slices. So the model's fit, not its counts, depends on how rows are dealt.
+slices. As few tasks take part as leave each of them TASK tokens a round, however many
+partitions there are, so what a task learns does not fade as a corpus is spread out
+more. The model's fit, not its counts, depends a little on how rows are dealt.
 
 Texts are read once: a slice of them becomes numbers of its own distinct words, and each
 of these asks once for its count in all training texts. Words are 64-bit hashes.
@@ -45,6 +47,7 @@ SIZE = 16  # of vectors
 NOISE = 10  # samples for each token
 DRAWS = 64  # of noise, shared by a batch and weighted to NOISE a token
 ROUNDS = 3  # of training, each followed by an average
+TASK = 500_000  # tokens that a training task has in a round, at least
 BATCH = 4096  # tokens of a step
 RATE = 0.15
 SEED = 20
@@ -367,8 +370,9 @@ def learned(docs: DataFrame) -> tuple[DataFrame, LogBilinear, Items, int]:
         remove(docs.sparkSession, table)
     model = LogBilinear(items.prior, items.wide)
     if n:
+        tasks = max(1, n // (ROUNDS * TASK))
         for k in range(ROUNDS):
-            _averaged(model, done.where(F.pmod(F.xxhash64("docs"), F.lit(ROUNDS)) == k), k, items.end)
+            _averaged(model, done.where(F.pmod(F.xxhash64("docs"), F.lit(ROUNDS)) == k).coalesce(tasks), k, items.end)
     return done, model, items, n
 
 
