@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -47,6 +48,24 @@ def test_index_loses_nothing(text):
     assert spans == whole
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["eyJ", ".", "abcdefgh", "a", "-_9", " ", "é", "..", "eyJabcdefgh", "eyJabcdefgh.abcdefgh.abcdefgh"]), max_size=14))
+def test_tokens_of_three_parts(parts):
+    """The search part by part gives the spans of the pattern itself."""
+    rule = next(r for r in secret_scan.RULES if r.kind == "jwt")
+    text = "".join(parts)
+    assert list(rule.finder()(text)) == [m.span() for m in rule.compiled().finditer(text)]
+
+
+def test_long_texts_are_searched_once():
+    texts = ["eyJ" * 400_000, "eyJ." * 300_000, "eyJabcdefgh." * 90_000, "password " * 120_000, "password" + " " * 1_000_000, "-----BEGIN " * 90_000, "xoxb-" * 200_000, "f" * 1_000_000, "AKIA" * 250_000, "token=" * 170_000]
+    for text in texts:
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+        began = time.perf_counter()
+        list(secret_scan.scan_batches(iter([batch])))
+        assert time.perf_counter() - began < 5, text[:12]
+
+
 def test_redact(docs_of):
     texts = ODD + SECRETS
     docs = docs_of(texts, clash=True)
@@ -350,3 +369,26 @@ def test_matcher_is_levenshtein(word):
     assert (hit is not None) == bool(near)
     if hit:
         assert distance(word, hit[0]) == hit[1]
+
+
+def test_the_automaton_forgets():
+    """States are forgotten between words, and matches stay those of an automaton that keeps all."""
+    rng = np.random.default_rng(5)
+    made = ["".join(rng.choice(list("abcde"), rng.integers(3, 9))) for _ in range(4000)]
+    lexicon = toxicity.Lexicon(words=dict.fromkeys(made[:500], 1.0), stems=dict.fromkeys((w[:4] for w in made[500:520] if len(w) > 4), 1.0))
+    small, whole = toxicity.Matcher(lexicon, most=2000), toxicity.Matcher(lexicon, most=1 << 40)
+    most = 0
+    for w in made:
+        assert small.match(w) == whole.match(w), w
+        most = max(most, small.held + len(small.steps))
+    assert most < 2000 + 9 * 2000 and whole.held > 3 * most
+
+
+def test_learning_does_not_fade_with_partitions(spark):
+    """Held-out log-probabilities of texts dealt to one partition and to 64."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    share = []
+    for parts in (1, 64):
+        sums = lm_scoring.lm_scores(docs.repartition(parts)).where("held_out").selectExpr("sum(score) / sum(base_score) as share").first()
+        share.append(sums.share)
+    assert abs(share[0] - share[1]) < 0.005 and max(share) < 0.985
