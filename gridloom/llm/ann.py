@@ -10,7 +10,8 @@ Vectors that are null, zero, hold a null or non-finite component, or differ in
 length from the query's take no part; a table without queries gives no rows.
 Equal scores go to the smaller id. An id that occurs twice counts as two rows: either
 is a candidate of the other, and, if ids like it are queries, has its own answer. Rows
-are told apart by their place in the stored blocks.
+are told apart by their place in the stored blocks. Rows without an id take no part, and
+columns other than vec_id and embedding do not matter.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ similarity reaches the threshold. The result is exact up to collisions of
    overlap with any member, and only blocks that reach the bound are opened.
 
 Nulls and texts without words have an empty set and link with nothing; fewer
-than five words are one shingle. Repeated rows, and texts with equal sets, link.
+than five words are one shingle. Repeated rows, and texts with equal sets, link; a row
+without an id stays one, and names no class that it could be the smallest of. Columns
+other than doc_id and text do not matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
