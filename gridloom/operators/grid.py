@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +38,20 @@ def block_columns(cols: int, block: int = BLOCK) -> int:
 
 def neighbours(spots: DataFrame, value: str) -> DataFrame:
     """(row, col, direction, a, b): each spot's value with its right and its bottom neighbour's."""
-    return far_neighbours(spots, value, 1, 1).drop("step")
+    return at_steps(spots, value, (1,)).drop("step")
 
 
 def far_neighbours(spots: DataFrame, value: str, low: int = 5, high: int = 14) -> DataFrame:
-    """(row, col, direction, step, a, b): values low to high steps apart along rows and columns, by an equi-join on the shifted place."""
-    steps = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("step")
-    left = spots.select("row", "col", F.col(value).alias("a"), steps)
-    moved = left.withColumn("direction", F.explode(F.array(F.lit("right"), F.lit("bottom")))).withColumns(
-        {"row2": F.col("row") + F.when(F.col("direction") == "bottom", F.col("step")).otherwise(0), "col2": F.col("col") + F.when(F.col("direction") == "right", F.col("step")).otherwise(0)}
-    )
+    """(row, col, direction, step, a, b): values low to high steps apart along rows and columns."""
+    return at_steps(spots, value, range(low, high + 1))
+
+
+def at_steps(spots: DataFrame, value: str, steps: Sequence[int]) -> DataFrame:
+    """(row, col, direction, step, a, b): values so many steps apart along rows and columns, by one equi-join on the shifted place."""
+    ways = F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(k).alias("step")) for d in ("right", "bottom") for k in steps))
+    left = spots.select("row", "col", F.col(value).alias("a"), F.explode(ways).alias("w")).select("row", "col", "a", "w.direction", "w.step")
+    down = F.col("direction") == "bottom"
+    moved = left.withColumns({"row2": F.col("row") + F.when(down, F.col("step")).otherwise(0), "col2": F.col("col") + F.when(down, 0).otherwise(F.col("step"))})
     other = spots.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col(value).alias("b"))
     return moved.join(other, ["row2", "col2"]).select("row", "col", "direction", "step", "a", "b")
 

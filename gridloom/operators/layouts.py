@@ -133,10 +133,9 @@ def dual_report(layout: DataFrame, n1: int, n2: int) -> DataFrame:
 
 def hybrid_report(layout: DataFrame) -> DataFrame:
     """One row of a layout of quadtree codes and tails (quadtree_combined, tail, barcode): different codes, tails and barcodes, their reuse, and the distances of neighbouring codes, all of them."""
-    from .grid import neighbours
+    from .distances import of_neighbours
 
-    dist = neighbours(layout, "quadtree_combined").select(dna.hamming(F.col("a"), F.col("b")).alias("d"))
-    near = dist.agg(F.count("*").alias("n_neighbours"), F.round(F.avg("d"), 6).alias("near_mean"), F.round(F.stddev_pop("d"), 6).alias("near_std"), F.min("d").alias("near_min"), F.max("d").alias("near_max"))
+    near = of_neighbours(layout, "quadtree_combined").withColumnRenamed("dist", "d").agg(F.count("*").alias("n_neighbours"), F.round(F.avg("d"), 6).alias("near_mean"), F.round(F.stddev_pop("d"), 6).alias("near_std"), F.min("d").alias("near_min"), F.max("d").alias("near_max"))
     counts = layout.agg(
         (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.count("*").alias("n_spots"), F.countDistinct("barcode").alias("n_unique"), F.max(F.length("barcode")).alias("length"),
         F.countDistinct("quadtree_combined").alias("n_codes"), F.countDistinct("tail").alias("n_tails"), F.round(F.try_divide(F.count("*").cast("double"), F.countDistinct("tail")), 6).alias("tail_reuse"),
@@ -163,7 +162,7 @@ def hierarchical_report(layout: DataFrame) -> DataFrame:
 
 def block_qc(blocks: DataFrame) -> DataFrame:
     """Figures of block barcodes (block_row, block_col, seq, g_swaps, run_subs): counts, G and GC, the longest run, distances of neighbours and of blocks 5 to 14 steps apart."""
-    from .grid import far_neighbours, neighbours
+    from .distances import of_neighbours
 
     g, gc, seq = dna.g_fraction(F.col("seq")), dna.gc_fraction(F.col("seq")), F.col("seq")
     counts = blocks.agg(
@@ -171,9 +170,9 @@ def block_qc(blocks: DataFrame) -> DataFrame:
         F.count_if(g > 0.25).alias("g_above"), F.round(F.avg(gc), 4).alias("gc_mean"), F.round(F.min(gc), 4).alias("gc_min"), F.round(F.max(gc), 4).alias("gc_max"), F.max(dna.max_run(seq)).alias("run_max"),
     )
     spots = blocks.select(F.col("block_row").alias("row"), F.col("block_col").alias("col"), "seq")
-    dist = dna.hamming(F.col("a"), F.col("b")).alias("dist")
-    figures = lambda df, name: df.select(dist).agg(F.min("dist").alias(f"{name}_min"), F.round(F.avg("dist"), 2).alias(f"{name}_mean"), F.max("dist").alias(f"{name}_max"))
-    return counts.crossJoin(figures(neighbours(spots, "seq"), "adjacent")).crossJoin(figures(far_neighbours(spots, "seq"), "far"))  # one row each
+    of = {"adjacent": F.when(F.col("step") == 1, F.col("dist")), "far": F.when(F.col("step") > 1, F.col("dist"))}
+    figures = [x for name, d in of.items() for x in (F.min(d).alias(f"{name}_min"), F.round(F.avg(d), 2).alias(f"{name}_mean"), F.max(d).alias(f"{name}_max"))]
+    return counts.crossJoin(of_neighbours(spots, "seq", (1, *range(5, 15))).agg(*figures))  # one row each
 
 
 def assign_tails(spots: DataFrame, library: DataFrame, n: int, index: Column, strategy: str = "sequential", seed: object = 42) -> DataFrame:

@@ -318,7 +318,7 @@ def axis_constraints(spark, sf_dir):
  m AS (SELECT attempt, c.code, 10 - h.pos AS diff, bit_count(xor(c.code, h.code)) AS dist FROM cand c, held h),
  s AS (SELECT attempt, code, min(dist) FILTER (diff > 4)::INT AS far_min,
    sum(CASE WHEN diff <= 4 THEN (dist - CASE diff WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 6 ELSE 8 END) ** 2 ELSE 0 END)::BIGINT AS score FROM m GROUP BY attempt, code)
-SELECT * FROM s WHERE far_min IS NULL OR far_min >= 8""",
+SELECT *, score <= 4 * (0.5 * 8) ** 2 AS acceptable FROM s WHERE far_min IS NULL OR far_min >= 8""",
 )
 def axis_step_best_candidate(spark, sf_dir):
     candidates = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("attempt"), prng.bits(36, "cand", F.col("p_partkey")).alias("code"))
@@ -410,7 +410,7 @@ _NEAR = """, nb AS (SELECT a.row, a.col, 'right' AS direction, a.bar AS x, b.bar
 
 @query("neighbour_hamming", _NEAR + " SELECT row, col, direction, hamming(x, y)::INT AS dist FROM nb")
 def neighbour_hamming(spark, sf_dir):
-    return grid.neighbours(spots(spark, sf_dir), "bar").select("row", "col", "direction", dna.hamming(F.col("a"), F.col("b")).alias("dist"))
+    return distances.of_neighbours(spots(spark, sf_dir), "bar").drop("step")
 
 
 @query(
@@ -421,10 +421,8 @@ def neighbour_hamming(spark, sf_dir):
 SELECT kind, count(*) AS n, min(dist)::INT AS min_dist, round(avg(dist), 2) AS mean_dist, max(dist)::INT AS max_dist FROM u GROUP BY kind""",
 )
 def spatial_distance_stats(spark, sf_dir):
-    s = spots(spark, sf_dir)
-    d = dna.hamming(F.col("a"), F.col("b")).alias("dist")
-    both = grid.neighbours(s, "bar").select(F.lit("adjacent").alias("kind"), d).union(grid.far_neighbours(s, "bar").select(F.lit("far").alias("kind"), d))
-    return both.groupBy("kind").agg(F.count("*").alias("n"), F.min("dist").alias("min_dist"), F.round(F.avg("dist"), 2).alias("mean_dist"), F.max("dist").alias("max_dist"))
+    both = distances.of_neighbours(spots(spark, sf_dir), "bar", (1, *range(5, 15)))
+    return both.groupBy(F.when(F.col("step") == 1, "adjacent").otherwise("far").alias("kind")).agg(F.count("*").alias("n"), F.min("dist").alias("min_dist"), F.round(F.avg("dist"), 2).alias("mean_dist"), F.max("dist").alias("max_dist"))
 
 
 @query("block_index", "SELECT row, col, (row // 4)::INT AS block_row, (col // 4)::INT AS block_col, (row_number() OVER (PARTITION BY row // 4, col // 4 ORDER BY row, col) - 1)::INT AS spot_in_block FROM spots")

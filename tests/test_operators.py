@@ -122,6 +122,14 @@ def test_far_neighbours_and_coverage(spark):
     far = grid.far_neighbours(spots, "v").collect()
     assert len(far) == sum(max(0, 9 - k) for k in range(5, 15)) * 8 + sum(max(0, 8 - k) for k in range(5, 15)) * 9
     assert grid.coverage(spots, 8, 9).count() == 0
+    for length in (20, 40):  # packed, and as text
+        seqs = {(r.row, r.col): r.s for r in spots.select("row", "col", prng.dna(length, "v", F.col("v")).alias("s")).where("v % 7 <> 3").collect()}
+        rows = spark.createDataFrame([(*p, s) for p, s in seqs.items()], "row int, col int, s string")
+        got = {(r.row, r.col, r.direction, r.step): r.dist for r in distances.of_neighbours(rows, "s", (1, 5, 6)).collect()}
+        want = {(r, c, d, k): sum(x != y for x, y in zip(s, seqs[q])) for (r, c), s in seqs.items() for k in (1, 5, 6) for d, q in (("right", (r, c + k)), ("bottom", (r + k, c))) if q in seqs}
+        assert got == want
+    with pytest.raises(Exception, match="differ in length"):
+        distances.of_neighbours(spark.createDataFrame([(0, 0, "ACG"), (0, 1, "AC")], "row int, col int, s string"), "s").collect()
     assert grid.duplicates(spots.union(spots.limit(2)), "v", "first").count() == 2
     pairs = distances.pairs(spots.where("row = 0"), "col", "v", "bits")
     assert pairs.count() == 36 and distances.min_pairwise(pairs.where("1=0")).first()[0] == 0
