@@ -116,6 +116,12 @@ def layout_stats(layout: DataFrame) -> DataFrame:
     )
 
 
+def long_table(layout: DataFrame, *columns: str) -> DataFrame:
+    """(row, col, kind, seq): a row for each spot and column, as plotting tools take them."""
+    kinds = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("seq")) for c in columns or ("bar_1", "bar_2", "combined")))
+    return layout.select("row", "col", F.explode(kinds).alias("k")).select("row", "col", "k.kind", "k.seq")
+
+
 def dual_report(layout: DataFrame, n1: int, n2: int) -> DataFrame:
     """One row: size, blocks, different barcodes and how many there could be, and the spots that a bar_1 and a bar_2 serve at least and at most.
 

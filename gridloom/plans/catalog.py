@@ -449,6 +449,11 @@ def dual_usage(spark, sf_dir):
     return layouts.layout_usage(dual_layout(spark, sf_dir))
 
 
+@query("layout_long", _DUAL + " " + " UNION ALL ".join(f"SELECT row, col, '{c}' AS kind, {c} AS seq FROM dual" for c in ("bar_1", "bar_2", "combined")))
+def layout_long(spark, sf_dir):
+    return layouts.long_table(dual_layout(spark, sf_dir))
+
+
 @query(
     "dual_report",
     _DUAL
