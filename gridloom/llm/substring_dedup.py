@@ -54,7 +54,7 @@ from .words import SHINGLE, mix, shingles, word_hashes
 
 LEAST_WORDS = 50
 SIMILAR = 80  # in a hundred
-SLICE = 2 << 20  # bytes of text whose windows are made at once
+SLICE = 1 << 20  # bytes of text whose windows are made at once
 MANY = 5_000  # windows that meet a leader in one task; more, if a thousandth of all is more
 _PLACE = np.uint64((1 << 28) - 1)
 _WIDE = 28  # bits of a window's width

@@ -37,7 +37,7 @@ from .shared import id_text, remove, slices, written
 from .words import mix, shingles, split, word_hashes
 
 THRESHOLD = 0.7
-SLICE = 2 << 20  # bytes of text at a time
+SLICE = 1 << 20  # bytes of text at a time
 MOST_LABELLED = 4_000_000  # training documents that are learned from, drawn by id where there are more labels
 LEAST_EVIDENCE = 30.0  # G-squared of a term
 LEAST_RATIO = 6  # of a term's rates in toxic and clean texts
