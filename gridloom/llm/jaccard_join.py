@@ -40,8 +40,7 @@ from .words import mix, shingles, word_hashes
 THRESHOLD = 80  # in a hundred
 BITS = 48  # of a token's hash; more for corpora of over 1e12 tokens
 FLUSH = 1 << 20  # tokens that a task gathers before it sends them
-BUCKET = 4 << 20  # tokens that a bucket is made for, as long as a packet keeps PACKET of them
-PACKET = 256
+BUCKET = 4 << 20  # tokens that a bucket is made for, whatever the corpus: packets get smaller as buckets get more
 BLOCK = 1024  # sets in a block of a group
 _INDEX = 20  # bits of a node that count within what a task sends at once
 _CODEC = "zstd"
@@ -114,14 +113,15 @@ def _sent(texts: DataFrame, buckets: int) -> DataFrame:
             tokens, index = np.concatenate([np.zeros(0, np.uint64), *held]), np.repeat(np.arange(len(held)), sizes).astype(np.uint32)
             order = np.argsort(tokens, kind="stable")
             tokens, index = tokens[order], index[order]
-            cuts = np.searchsorted(tokens >> shift, np.arange(buckets + 1, dtype=np.uint64))
-            data = [_packed(tokens[a:b], index[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            bucket = (tokens >> shift).astype(np.int64)
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))  # of the buckets that get any
+            data = [_packed(tokens[a:b], index[a:b]) for a, b in zip(starts, np.append(starts, len(tokens))[1:], strict=True)]
             data.append(np.array(docs, np.int64).tobytes())
             if number >> 20 or part >> 22:
                 raise OverflowError("a task sends too often for its numbers; use more partitions")
             flush = part << 20 | number
             return pa.RecordBatch.from_arrays(
-                [pa.array([*range(buckets), -1 - (part * 7919 + number) % buckets], pa.int32()), pa.array([flush] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "flush", "data"]
+                [pa.array([*bucket[starts].tolist(), -1 - (part * 7919 + number) % buckets], pa.int32()), pa.array([flush] * len(data), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "flush", "data"]
             )
 
         for batch in slices(batches, "text", 1 << 20):
@@ -181,7 +181,7 @@ def _candidates(answers: DataFrame, threshold: int) -> DataFrame:
                 docs = np.frombuffer(data, np.int64).reshape(-1, 5)
             else:
                 parts.append(_unpacked(data, np.uint64, np.uint32, np.uint32))
-        tokens, index, often = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        tokens, index, often = (np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)]) for k, kind in enumerate((np.uint64, np.uint32, np.uint32)))
         order = np.argsort(index, kind="stable")
         tokens, index, often = tokens[order], index[order], often[order].astype(np.int64)
         cuts = np.searchsorted(index, np.arange(int(docs[:, 4].max()) + 2)).tolist()
@@ -320,7 +320,7 @@ def _buckets(docs: DataFrame) -> int:
     """A power of two: as many as keep a bucket's tokens bounded when the input grows, and every task busy."""
     tokens = (docs.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0) // 6
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << max(4, (tasks - 1).bit_length(), min((tokens // BUCKET).bit_length(), (FLUSH // PACKET - 1).bit_length()))
+    return 1 << min(30, max(4, (tasks - 1).bit_length(), (tokens // BUCKET).bit_length()))
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

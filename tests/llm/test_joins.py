@@ -73,6 +73,14 @@ def test_jaccard(docs_of, words, seed):
     assert {r.doc_id for r in kept.collect()} == set(want) and kept.columns == docs_of([]).columns
 
 
+def test_more_buckets_than_tokens(docs_of, words, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_buckets", lambda docs: 1 << 30)
+    texts = [*ODD, *(edited(words(80, 500 + k // 3), k, 1) for k in range(30)), *(words(70, 900 + k) for k in range(5))]
+    want, sets = brute_components(texts)
+    rows = jaccard_join.jaccard_components(docs_of(texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, want, strict=True))}
+
+
 def test_jaccard_empty(docs_of):
     assert jaccard_join.jaccard_components(docs_of([])).count() == 0
     assert {r.component_id for r in jaccard_join.jaccard_components(docs_of([None, "", None])).collect()} == {0, 1, 2}
