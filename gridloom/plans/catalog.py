@@ -672,7 +672,7 @@ def kmer_candidates(spark, sf_dir):
     return qc.word_counts(library(spark, sf_dir), "seq", 6).where(qc.spot_candidate(F.col("seq")))
 
 
-_GREEDY = f""", cand AS (SELECT idx, seq FROM lib2 WHERE {_WORD_RULE.format(g=0.25)})"""
+_GREEDY = f""", cand AS (SELECT idx, seq FROM (SELECT idx, left(seq, 8) AS seq FROM lib) WHERE {_WORD_RULE.format(g=0.25)})"""
 
 
 def _greedy_sql(n: int, distance: int) -> str:
@@ -683,11 +683,12 @@ def _greedy_sql(n: int, distance: int) -> str:
     return out + " " + " UNION ALL ".join(f"SELECT {k} AS place, seq FROM g{k}" for k in range(n))
 
 
-@query("greedy_select", _greedy_sql(3, 5))
+@query("greedy_select", _greedy_sql(5, 5))
 def greedy_select(spark, sf_dir):
-    """The first sequences of the short library that pass the rule and keep their distance."""
-    candidates = stored(short_library(spark, sf_dir).where(qc.spot_candidate(F.col("seq"), g_max=0.25)), "words")
-    return spark.createDataFrame(list(enumerate(codes.greedy_set(candidates, 3, 5)[0])), "place int, seq string")
+    """The first beginnings of the library's sequences that pass the rule and keep their distance."""
+    heads = library(spark, sf_dir).select("idx", F.left("seq", F.lit(8)).alias("seq"))
+    candidates = stored(heads.where(qc.spot_candidate(F.col("seq"), g_max=0.25)), "words")
+    return spark.createDataFrame(list(enumerate(codes.greedy_set(candidates, 5, 5)[0])), "place int, seq string")
 
 
 @query("errors_substitution", f"SELECT idx, {errors.read_sql('substitution', 'seq', 'idx', 's', rate=0.1)} AS read FROM lib")
