@@ -47,13 +47,16 @@ def far_neighbours(spots: DataFrame, value: str, low: int = 5, high: int = 14) -
 
 
 def at_steps(spots: DataFrame, value: str, steps: Sequence[int]) -> DataFrame:
-    """(row, col, direction, step, a, b): values so many steps apart along rows and columns, by one equi-join on the shifted place."""
+    """(row, col, direction, step, a, b): values so many steps apart along rows and columns, by one equi-join on the shifted place.
+
+    Both sides are shuffled: every spot's value is needed, so neither is a table to broadcast, whatever its file's size.
+    """
     ways = F.array(*(F.struct(F.lit(d).alias("direction"), F.lit(k).alias("step")) for d in ("right", "bottom") for k in steps))
     left = spots.select("row", "col", F.col(value).alias("a"), F.explode(ways).alias("w")).select("row", "col", "a", "w.direction", "w.step")
     down = F.col("direction") == "bottom"
     moved = left.withColumns({"row2": F.col("row") + F.when(down, F.col("step")).otherwise(0), "col2": F.col("col") + F.when(down, 0).otherwise(F.col("step"))})
     other = spots.select(F.col("row").alias("row2"), F.col("col").alias("col2"), F.col(value).alias("b"))
-    return moved.join(other, ["row2", "col2"]).select("row", "col", "direction", "step", "a", "b")
+    return moved.join(other.hint("shuffle_hash"), ["row2", "col2"]).select("row", "col", "direction", "step", "a", "b")
 
 
 def coverage(spots: DataFrame, rows: int, cols: int) -> DataFrame:
