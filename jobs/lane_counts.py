@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import prng
 from gridloom.operators import decode, errors
 from gridloom.operators.grid import with_blocks
-from gridloom.sources.tables import stored
+from gridloom.operators.layouts import small
+from gridloom.sources.tables import spread, stored
 
 from .shared import as_it_stands, command
 
@@ -52,7 +53,7 @@ class Settings:
 def library_of(parts: DataFrame, s: Settings) -> DataFrame:
     """(idx, seq) of the array's spots."""
     seq = F.col("seq") if "seq" in parts.columns else prng.dna(s.length, s.library_seed, F.col("p_partkey"))
-    return parts.select(F.col("p_partkey").cast("long").alias("idx"), seq.alias("seq")).where("idx is not null")
+    return spread(parts.select("p_partkey", *(["seq"] if "seq" in parts.columns else []))).select(F.col("p_partkey").cast("long").alias("idx"), seq.alias("seq")).where("idx is not null")
 
 
 def reads_of(orders: DataFrame, library: DataFrame, size: int, s: Settings) -> DataFrame:
@@ -60,8 +61,8 @@ def reads_of(orders: DataFrame, library: DataFrame, size: int, s: Settings) -> D
     rows = orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("lane"), *(["seq"] if "seq" in orders.columns else [])).where("key is not null and lane <> ''")
     if "seq" in rows.columns:
         return rows.select("key", "lane", F.lit(None).cast("long").alias("truth"), "seq")
-    drawn = rows.withColumn("truth", F.col("key") * 7919 % size)
-    clean = drawn.join(library.select(F.col("idx").alias("truth"), F.col("seq").alias("ref")), "truth")
+    drawn = spread(rows).withColumn("truth", F.col("key") * 7919 % size)
+    clean = drawn.join(small(library.select(F.col("idx").alias("truth"), F.col("seq").alias("ref"))), "truth")
     return clean.select("key", "lane", "truth", errors.substitution(F.col("ref"), F.col("key"), s.rate, s.seed).alias("seq"))
 
 

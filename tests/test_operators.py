@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import dna, prng
 from gridloom.operators import codes, decode, distances, errors, grid, layouts, qc, quadtree
 from gridloom.sources import config, io
-from gridloom.sources.tables import numbered, stored
+from gridloom.sources.tables import numbered, spread, stored
 from gridloom.streaming import windows
 
 # The published spot barcodes, in order.
@@ -313,3 +313,32 @@ def test_rounds_are_those_of_single_codes(spark):
     assert set(report) == {0, 1, 2, 3} and all(r.n == 117 for r in report.values()) and report[0].n_unique == len({r.quadtree_combined for r in layout.collect()})
     with pytest.raises(ValueError):
         quadtree.rounds_of_codes(spots, 9, 13, 6, [])
+
+
+def test_neighbours_are_not_broadcast_by_the_bytes_of_a_file(spark, tmp_path):
+    spark.range(2000).write.parquet(f"{tmp_path}/spots")
+    spots = spark.read.parquet(f"{tmp_path}/spots").select(F.expr("cast(id div 50 as int)").alias("row"), F.expr("cast(id % 50 as int)").alias("col"), prng.dna(28, "v", F.col("id")).alias("v"))
+    met = distances.of_neighbours(spots, "v")
+    assert "Broadcast" not in met._jdf.queryExecution().sparkPlan().toString()
+    assert met.count() == 49 * 40 + 39 * 50
+
+
+def test_rows_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(9000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert spread(one).select(F.spark_partition_id()).distinct().count() == 5 and spread(one).distinct().count() == 9000
+    assert spread(one, 1).select(F.spark_partition_id()).distinct().count() == 16 and spread(one.where("id < 5")).count() == 5
+
+
+@pytest.mark.parametrize("whole", [2, 3])
+def test_keys_of_several_pieces(spark, whole):
+    """As one piece: all pairs within the threshold, with insertions and deletions."""
+    lib = stored(spark.range(60).select(F.col("id").alias("idx"), F.left(F.concat(F.repeat(prng.dna(3, "u", F.col("id") % 3), 4), prng.dna(12, "n", F.shiftright("id", 1))), F.lit(24)).alias("seq")), "lib")
+    kinds = [errors.indel(F.col("seq"), F.concat_ws("-", "idx", F.lit(k)), 0.05, 0.03 * (k % 3), 0.03 * (k % 4), "i") for k in range(12)] + [F.expr("substring(seq, 3)"), F.concat(F.lit("ACG"), "seq"), F.lit(""), F.lit(None)]
+    reads = stored(lib.select(F.explode(F.array(*kinds)).alias("seq")), "reads")
+    for metric in ("levenshtein", "hamming"):
+        got = {tuple(r) for r in decode.segment_matches(reads, lib, 4, 24, metric, whole).collect()}
+        assert got == {tuple(r) for r in decode.brute_matches(reads, lib, 4, metric).collect()} and got
+    near = {tuple(r) for r in decode.nearest_by_pieces(reads, lib, 4, 24).collect()}
+    assert near == {tuple(r) for r in decode.nearest(decode.brute_matches(reads, lib, 4)).collect()}
+    assert [decode.pieces_for(n, 4, 28) for n in (200, 120_000, 7_200_000)] == [1, 2, 3]
