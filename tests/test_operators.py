@@ -342,3 +342,38 @@ def test_keys_of_several_pieces(spark, whole):
     near = {tuple(r) for r in decode.nearest_by_pieces(reads, lib, 4, 24).collect()}
     assert near == {tuple(r) for r in decode.nearest(decode.brute_matches(reads, lib, 4)).collect()}
     assert [decode.pieces_for(n, 4, 28) for n in (200, 120_000, 7_200_000)] == [1, 2, 3]
+
+
+def test_greedy_selection_is_whole(spark):
+    from gridloom.plans import catalog
+
+    got = [r.seq for r in catalog.QUERIES["greedy_select"](spark, "/root/testdata/sf0.001").orderBy("place").collect()]
+    assert len(got) == 16 and all(sum(a != b for a, b in zip(x, y)) >= 5 for i, x in enumerate(got) for y in got[:i])
+    few = spark.createDataFrame([(0, "AAAA"), (1, "AAAC"), (2, "CCCC")], "idx int, seq string")
+    assert codes.greedy_set(few, 3, 4, fewer=True) == (["AAAA", "CCCC"], 4)
+
+
+def test_statistics_from_counts(spark):
+    """Figures of an axis pair by pair, with ties, without a pair and with values of one kind."""
+    rows = stored(spark.range(40).select(F.col("id").cast("int").alias("pos"), prng.bits(36, "a", F.col("id") % 30).alias("code")), "rows")
+    pairs = distances.pairs(rows, "pos", "code", "bits")
+    plain = pairs.groupBy("diff").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("m"), F.round(F.stddev_pop("dist"), 6).alias("s"), F.round(F.percentile("dist", 0.25), 6).alias("q"))
+    want = {r.diff: (r.n, r.m, r.s, r.q) for r in plain.collect()}
+    made = distances.stats_by_separation(pairs)
+    assert {r.diff: (r.n_pairs, r.mean_dist, r.std_dist, r.q25) for r in made.collect()} == want and len(want) == 39
+    sizes = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert len(sizes) == 2 and "percentile" not in sizes[1]  # pairs are counted, and the counts are ranked
+    assert distances.stats_by_separation(pairs.limit(0)).count() == 0 and distances.constraint_report(pairs.limit(0)).count() == 0
+
+
+def test_codebook_figures_from_its_axes(spark):
+    rows = lambda *seqs: spark.createDataFrame([(k // 2, "01" * len(s), s) for k, s in enumerate(seqs)], "pos int, bits string, seq string")
+    fixed, loose = rows("ACGT", "ACGT", "CCGT"), rows("A", "AC", "C", "")
+    for x, y in ((fixed, loose), (loose, fixed), (fixed, fixed), (loose, loose), (fixed.limit(0), loose)):
+        assert layouts.product_stats(x, y, "C").collect() == layouts.codebook_stats(layouts.codebook(x, y, "C")).collect()
+
+
+def test_repairs_of_neighbouring_runs(spark):
+    df = spark.createDataFrame([("AAAACCCC",), ("GGGGAAAAAAAAGG",), ("TTTTCCC",), ("aaaa",), ("",), (None,)], "s string")
+    got = [(r.b and r.b.seq, r.g and r.g.seq) for r in df.select(dna.break_runs(F.col("s")).alias("b"), dna.reduce_g(F.col("s")).alias("g")).collect()]
+    assert got == [("AAACCCCA", "AAAACCCC"), ("GGGAAAACAAACGG", "GGGTAAAAAAAATT"), ("TTTCCCC", "TTTTCCC"), ("AAAC", "aaaa"), ("", ""), (None, None)]
