@@ -377,3 +377,21 @@ def test_repairs_of_neighbouring_runs(spark):
     df = spark.createDataFrame([("AAAACCCC",), ("GGGGAAAAAAAAGG",), ("TTTTCCC",), ("aaaa",), ("",), (None,)], "s string")
     got = [(r.b and r.b.seq, r.g and r.g.seq) for r in df.select(dna.break_runs(F.col("s")).alias("b"), dna.reduce_g(F.col("s")).alias("g")).collect()]
     assert got == [("AAACCCCA", "AAAACCCC"), ("GGGAAAACAAACGG", "GGGTAAAAAAAATT"), ("TTTCCCC", "TTTTCCC"), ("AAAC", "aaaa"), ("", ""), (None, None)]
+
+
+def test_libraries_of_unknown_and_short_lengths_are_met_by_pieces(spark, monkeypatch):
+    """Several lengths, short ones among them, and reads of all radii: as all pairs, which only lengths with few entries are compared with."""
+    lib = spark.range(900).select(F.col("id").alias("idx"), F.substring(prng.dna(24, "m", F.col("id") % 800), 1, F.element_at(F.array(*map(F.lit, (8, 20, 24))), (F.col("id") % 3 + 1).cast("int"))).alias("seq"))
+    lib = stored(lib.union(spark.createDataFrame([(900, "A"), (901, "CC"), (902, None)], "idx long, seq string")), "lib")
+    kinds = [errors.indel(F.col("seq"), F.concat_ws("-", "idx", F.lit(k)), 0.03 * k, 0.02 * k, 0.02 * k, "u") for k in range(4)]
+    reads = stored(lib.where("idx % 5 = 0 or idx >= 900").select(F.explode(F.array(*kinds)).alias("seq")), "reads")
+    for threshold in (1, 2, 4):
+        want = {r.seq: (r.dist, r.n, r.idx) for r in decode.nearest(decode.brute_matches(reads, lib, threshold)).collect()}
+        compared = []
+        monkeypatch.setattr(decode, "brute_matches", lambda r, l, t, m, f=decode.brute_matches: compared.append(l.count()) or f(r, l, t, m))
+        got = decode.decode(reads, lib, threshold, ties="first").where("dist is not null").distinct().collect()
+        monkeypatch.undo()
+        assert {r.seq: (r.dist, r.decoded) for r in got} == {s: (d, i) for s, (d, _, i) in want.items()} and {d for d, _, _ in want.values()} == set(range(threshold + 1))
+        assert {r.seq for r in got if r.ambiguous} == {s for s, (_, n, _) in want.items() if n > 1}
+        if threshold == 1:
+            assert max(compared) < 10
