@@ -416,3 +416,11 @@ def test_counted_pairs_are_pairs_counted(spark, monkeypatch):
         assert distances.counted_pairs(few, "pos", {"dist": ("code", "bits")}).count() == 0
     monkeypatch.setattr(distances, "pairs", None)
     assert {n for n in ("axis_constraints", "axis_distance_histogram", "both_axes_distance_stats", "distance_preservation") if catalog.QUERIES[n](spark, "/root/testdata/sf0.001").count() == 0} == set()
+
+
+def test_pieces_leave_few_entries_to_compare(spark):
+    """A piece of 6 bases would have a read meet 500 of 120,000 entries of 36 bases; a piece that is in many keys is taken once."""
+    assert decode.pieces_for(120_000, 5, 36) == 2
+    one = spark.createDataFrame([(0, "ACGT" * 9)], "idx int, seq string")
+    plan = decode.segment_matches(one.select("seq"), one, 5, 36, whole=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(seq") < 100 and decode.segment_matches(one.select("seq"), one, 5, 36, whole=2).collect() == [("ACGT" * 9, 0, 0)]
