@@ -424,3 +424,17 @@ def test_pieces_leave_few_entries_to_compare(spark):
     one = spark.createDataFrame([(0, "ACGT" * 9)], "idx int, seq string")
     plan = decode.segment_matches(one.select("seq"), one, 5, 36, whole=2)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("substring(seq") < 100 and decode.segment_matches(one.select("seq"), one, 5, 36, whole=2).collect() == [("ACGT" * 9, 0, 0)]
+
+
+def test_look_ups_of_stored_axes(spark, tmp_path):
+    """Every place and id of a codebook, a repeated place and ids of no feature among them; what is stored grows with the axes."""
+    x = spark.createDataFrame([(0, "00", "A"), (7, "01", "C"), (7, "10", "G"), (1234, "11", "T"), (-1, "11", "T")], "pos int, bits string, seq string")
+    y = spark.createDataFrame([(k, "0110", f"A{k}") for k in (2, 3, 1000)], "pos int, bits string, seq string")
+    io.write_axes_look_up(x, y, f"{tmp_path}/axes")
+    assert sum(spark.read.parquet(f"{tmp_path}/axes/{a}").count() for a in "xy") == 5 + 3
+    book = layouts.codebook(x, y, "GG")
+    out = lambda df: sorted(map(tuple, df.select(book.columns).collect()))
+    for r, c in [(2, 0), (3, 7), (1000, 1234), (2, -1), (0, 2), (9, 9)]:
+        assert out(io.look_up_axes_place(spark, f"{tmp_path}/axes", r, c, "GG")) == out(layouts.feature_at(book, r, c))
+    for ids in ([r.feature_id for r in book.collect()], ["R002_C000", "R003_C1234"], ["R9_C000", "R002", "x", "_", ""]):
+        assert out(io.look_up_axes_id(spark, f"{tmp_path}/axes", *ids, spacer="GG")) == out(book.where(F.col("feature_id").isin(ids)))
