@@ -438,3 +438,10 @@ def test_look_ups_of_stored_axes(spark, tmp_path):
         assert out(io.look_up_axes_place(spark, f"{tmp_path}/axes", r, c, "GG")) == out(layouts.feature_at(book, r, c))
     for ids in ([r.feature_id for r in book.collect()], ["R002_C000", "R003_C1234"], ["R9_C000", "R002", "x", "_", ""]):
         assert out(io.look_up_axes_id(spark, f"{tmp_path}/axes", *ids, spacer="GG")) == out(book.where(F.col("feature_id").isin(ids)))
+
+
+def test_motifs_are_looked_for_only_where_they_occur(spark):
+    rows = spark.createDataFrame([("GGGGGa",), ("ggGgC",), ("ACGT",), ("GG",), ("",), (None,)], "s string")
+    found = dna.motif_positions(F.col("s"), "GGGG")
+    assert [r[0] for r in rows.select(found).collect()] == [[0, 1], [0], [], [], [], []]
+    assert "contains" in rows.select(found)._jdf.queryExecution().optimizedPlan().toString().lower()
