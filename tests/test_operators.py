@@ -445,3 +445,12 @@ def test_motifs_are_looked_for_only_where_they_occur(spark):
     found = dna.motif_positions(F.col("s"), "GGGG")
     assert [r[0] for r in rows.select(found).collect()] == [[0, 1], [0], [], [], [], []]
     assert "contains" in rows.select(found)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_layout_statistics_of_repeated_and_missing_barcodes(spark):
+    rows = [("ACGG", "AC", "GG"), ("ACGG", "AC", "GG"), ("TTTT", "TT", "TT"), (None, None, "A")]
+    layout = spark.createDataFrame(rows, "combined string, bar_1 string, bar_2 string")
+    stats = layouts.layout_stats(layout)
+    assert tuple(stats.first()) == (4, 2, 2, 3, 0.3333, 0.5, 2, 0.5, 0.0, 0.75, 4)
+    assert "Expand" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(layouts.layout_stats(layout.limit(0)).first())[:4] == (0, 0, 0, 0)
