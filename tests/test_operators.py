@@ -454,3 +454,23 @@ def test_layout_statistics_of_repeated_and_missing_barcodes(spark):
     assert tuple(stats.first()) == (4, 2, 2, 3, 0.3333, 0.5, 2, 0.5, 0.0, 0.75, 4)
     assert "Expand" not in stats._jdf.queryExecution().optimizedPlan().toString()
     assert tuple(layouts.layout_stats(layout.limit(0)).first())[:4] == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("metric, length, threshold", [("levenshtein", 24, 4), ("levenshtein", 9, 1), ("hamming", 18, 3)])
+def test_decoding_block_by_block(spark, monkeypatch, metric, length, threshold):
+    """As all pairs, with several blocks on both sides, equal entries, one without an idx, and letters beside the bases; keys of reads are no rows."""
+    from gridloom.operators import blocks
+
+    lib = spark.range(700).select(F.when(F.col("id") != 13, F.col("id")).alias("idx"), F.substring(F.concat(F.repeat(prng.dna(3, "u", F.col("id") % 3), 2), prng.dna(24, "b", F.col("id") % 600)), 1, length).alias("seq"))
+    lib = stored(lib, "lib")
+    kinds = [errors.indel(F.col("seq"), F.concat_ws("-", "idx", F.lit(k)), 0.04 * k, *([0.03 * (k % 3), 0.03 * (k % 2)] if metric == "levenshtein" else [0, 0]), "b") for k in range(5)]
+    kinds += [F.concat(F.lit("N"), F.expr("substring(seq, 2)")), F.expr("substring(seq, 2)"), F.lit(""), F.lit(None)]
+    reads = stored(lib.where("idx % 3 = 0 or idx is null").select(F.explode(F.array(*kinds)).alias("seq")), "reads")
+    want = {tuple(r) for r in decode.nearest(decode.brute_matches(reads, lib, threshold, metric)).collect()}
+    monkeypatch.setattr(blocks, "READS", 100)
+    monkeypatch.setattr(blocks, "ENTRIES", 250)
+    joined = []
+    monkeypatch.setattr(decode, "segment_matches", lambda r, *a, f=decode.segment_matches: joined.append(r.where("seq not like 'N%'").count()) or f(r, *a))
+    out = decode.nearest_by_pieces(reads, lib, threshold, length, metric)
+    assert {tuple(r) for r in out.collect()} == want and {d for _, d, _, _ in want} == set(range(threshold + 1)) and not any(joined)
+    assert out.schema["idx"].dataType == lib.schema["idx"].dataType and any(n > 1 for _, _, n, _ in want)
