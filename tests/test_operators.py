@@ -474,3 +474,21 @@ def test_decoding_block_by_block(spark, monkeypatch, metric, length, threshold):
     out = decode.nearest_by_pieces(reads, lib, threshold, length, metric)
     assert {tuple(r) for r in out.collect()} == want and {d for _, d, _, _ in want} == set(range(threshold + 1)) and not any(joined)
     assert out.schema["idx"].dataType == lib.schema["idx"].dataType and any(n > 1 for _, _, n, _ in want)
+
+
+@pytest.mark.parametrize("metric", ["bits", "hamming", "levenshtein"])
+def test_all_pairs_block_by_block(spark, monkeypatch, metric):
+    """Gaps, a repeated key, sequences of several lengths and several blocks and strips: every pair once, without a join of all with all."""
+    monkeypatch.setattr(distances, "BLOCK", 40)
+    monkeypatch.setattr(distances, "STRIP", 16)
+    seq = prng.dna(40, "ap", F.col("id")) if metric == "hamming" else F.substring(prng.dna(40, "ap", F.col("id") % 90), 1, (F.col("id") % 38).cast("int"))
+    value = F.xxhash64("id") if metric == "bits" else seq
+    rows = stored(spark.range(120).select(F.when(F.col("id") % 50 == 3, F.col("id") - 1).otherwise(F.col("id") * 3).cast("int").alias("k"), value.alias("v")), "rows")
+    far = {"bits": dna.hamming_bits, "hamming": dna.hamming, "levenshtein": F.levenshtein}[metric]
+    a, b = rows.toDF("i", "a"), rows.toDF("j", "b")
+    want = a.join(b, F.col("i") < F.col("j")).select("i", "j", (F.col("j") - F.col("i")).alias("diff"), far(F.col("a"), F.col("b")).alias("dist"))
+    monkeypatch.setattr(distances, "small", None)
+    got = distances.pairs(rows, "k", "v", metric)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert distances.pairs(rows, "k", "v", metric, by_place=False).columns == ["i", "j", "dist"]
+    assert distances.pairs(rows.limit(0), "k", "v", metric).count() == distances.pairs(rows.limit(1), "k", "v", metric).count() == 0
