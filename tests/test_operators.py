@@ -492,3 +492,20 @@ def test_all_pairs_block_by_block(spark, monkeypatch, metric):
     assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert distances.pairs(rows, "k", "v", metric, by_place=False).columns == ["i", "j", "dist"]
     assert distances.pairs(rows.limit(0), "k", "v", metric).count() == distances.pairs(rows.limit(1), "k", "v", metric).count() == 0
+
+
+@pytest.mark.parametrize("g_filter, max_run, n", [(True, 3, 12), (False, 2, 14), (True, 1, 5)])
+def test_block_qc_from_the_axes(spark, g_filter, max_run, n):
+    """As of a row for each block, for sequences with many G's and runs that go on from the column's part, gaps between places, and heads that become the same."""
+    from gridloom.operators import products
+
+    letters = ("GGGC", "AAAC", "GGGG", "CCCA", "TTTT", "ACGT")
+    part = lambda name: F.left(F.concat(*(F.element_at(F.array(*map(F.lit, letters)), (prng.below(6, f"{name}{k}", F.col("id")) + 1).cast("int")) for k in range(4))), F.lit(n))
+    x = stored(spark.range(60).select((F.col("id") + F.shiftright("id", 4)).cast("int").alias("pos"), F.substring(part("x"), 1, n).alias("seq")), "x")
+    y = stored(spark.range(45).select((F.col("id") * 2 % 47).cast("int").alias("pos"), F.reverse(part("y")).alias("seq")), "y")
+    want = layouts.block_qc(codes.block_barcodes(x, y, g_filter, max_run))
+    got = products.block_qc_of_axes(x, y, g_filter, max_run)
+    assert got.dtypes == want.dtypes and got.collect() == want.collect() and 0 < got.first()["n_unique"] < 60 * 45
+    one = x.where("pos = 3")
+    assert products.block_qc_of_axes(one, one).collect() == layouts.block_qc(codes.block_barcodes(one, one)).collect()
+    assert products.block_qc_of_axes(x.withColumn("seq", F.when(F.col("pos") == 3, "A").otherwise(F.col("seq"))), y) is None
