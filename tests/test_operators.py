@@ -542,3 +542,17 @@ def test_products_are_written_in_few_bytes(spark, tmp_path, product):
     assert 10 * size["strips"] < 8 * size["plain"], size
     one, two = (spark.read.parquet(f"{tmp_path}/{k}") for k in size)
     assert one.count() == two.count() == 1_440_000 and one.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first() == two.agg(F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first()
+
+
+def test_reads_of_many_keys_at_once(spark):
+    """The channels in numpy draw as the expressions do, whatever the rates, lengths and keys; what numpy does not take is left to the expression."""
+    rows = spark.range(600).select("id", F.substring(prng.dna(60, "ml", F.col("id")), 1, (F.col("id") % 41).cast("int")).alias("seq"))
+    odd = spark.createDataFrame([(1, None), (None, "ACGT"), (2, ""), (3, "AÉGT"), (-4, "NNACGT"), (5, "ACGT" * 60)], "id long, seq string")
+    rows = stored(rows.union(odd), "rows")
+    for rates in ((0.03, 0.04, 0.14), (0.0, 0.0, 0.0), (0.9, 0.5, 0.1), (0.1, 1.0, 0.0), (0.2, 0.3, 1.0)):
+        made = rows.select(errors.fixed_length(F.col("seq"), F.col("id"), *rates, "f").alias("a"), errors.fixed_length_by_place(F.col("seq"), F.col("id"), *rates, "f").alias("b"), "seq").collect()
+        assert all(r.a == r.b for r in made) and len(made) == 606, [r for r in made if r.a != r.b][:3]
+    for rate in (0.0, 0.05, 0.7, 1.0):
+        plain = rows.where("seq is null or seq rlike '^[ACGT]*$'")
+        made = plain.select(errors.substitution(F.col("seq"), F.col("id"), rate, "g").alias("a"), errors.substitution_by_place(F.col("seq"), F.col("id"), rate, "g").alias("b")).collect()
+        assert all(r.a == r.b for r in made) and len(made) == 604, [r for r in made if r.a != r.b][:3]
